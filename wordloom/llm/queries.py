@@ -8,21 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm import bpe, fingerprints, language_id, ngram_lm, packing
+from wordloom.llm import token_counts as counts
 from wordloom.llm._common import table
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
-def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.bpe import encode
 
-    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode_too=True)
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode_too=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordloom.llm.token_counts import token_counts
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, language_id.train(docs))
+    return out.select("doc_id", (language_id.fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op4_lm_scoring, op6_language_id, op7_fingerprints, op8_token_counts)}
 ORACLES: dict[str, str] = {}
