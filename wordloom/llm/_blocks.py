@@ -32,7 +32,7 @@ BLOCK_BYTES = 24 << 20
 
 
 def pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
 
 def unpack(b: bytes):
@@ -60,7 +60,7 @@ def pack_positions(pos: np.ndarray) -> list[bytes]:
     small = np.minimum(pos, 255).astype(np.uint8)
     rest = pos[pos >= 255] - 255
     planes = [((rest >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
-    z = zstandard.ZstdCompressor(level=1).compress
+    z = zstandard.ZstdCompressor(level=3).compress
     return [z(small.tobytes()), *map(z, planes)]
 
 
@@ -76,6 +76,25 @@ def unpack_positions(parts: list[bytes]) -> np.ndarray:
     return pos
 
 
+def smallest(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes each as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def steps(at: np.ndarray) -> np.ndarray:
+    """Rising positions as steps; cumsum() gives them back."""
+    return smallest(np.diff(at, prepend=0))
+
+
+def joined(values: list[bytes]) -> tuple[np.ndarray, bytes]:
+    return smallest(np.fromiter(map(len, values), np.int64, len(values))), b"".join(values)
+
+
+def apart(sizes: np.ndarray, data: bytes) -> Iterator[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return (data[a:b] for a, b in zip([0, *ends], ends))
+
+
 class Index:
     """The words of a block's documents."""
 
@@ -90,14 +109,19 @@ class Index:
         self.chunks.append(np.fromiter(map(self.of.__getitem__, words), np.int32, len(words)))
         self.bytes += size
 
-    def closed(self) -> tuple[list, np.ndarray, np.ndarray, list]:
-        """Row ids, words a row, positions of all words, and the distinct words, the most frequent first."""
+    def closed(self, buckets: int) -> tuple[list, np.ndarray, np.ndarray, list, np.ndarray]:
+        """Row ids, words a row, positions of all words, the distinct words and their buckets.
+
+        Distinct words are in falling order of frequency, those of a frequency by bucket: a bucket's are then mostly in a row.
+        """
         words = list(self.of)
         pos = np.concatenate(self.chunks) if self.chunks else np.zeros(0, np.int32)
-        order = np.argsort(-np.bincount(pos, minlength=len(words)), kind="stable")
+        # Another hash than the bucket number's own, so that buckets and hash partitions are independent.
+        slot = (mixed(word_hash(words) ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((slot, -np.bincount(pos, minlength=len(words))))
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
-        return self.ids, np.asarray(self.lengths, np.int64), rank[pos], [words[i] for i in order]
+        return self.ids, np.asarray(self.lengths, np.int64), rank[pos], [words[i] for i in order], slot[order]
 
 
 def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: int = BLOCK_BYTES, extra: Callable | None = None, counted: Callable | None = None) -> DataFrame:
@@ -112,11 +136,8 @@ def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: in
         block = Index()
 
         def close() -> Iterator[pa.RecordBatch]:
-            ids, lengths, pos, words = block.closed()
+            ids, lengths, pos, words, slot = block.closed(buckets)
             key = (part << 24) | done
-            home = word_hash(words)
-            # A second key for the bucket, so that buckets and hash partitions are independent.
-            slot = (mixed(home ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             if counted is None:
                 times = np.bincount(pos, minlength=len(words))
             else:
@@ -127,7 +148,7 @@ def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: in
             for b in range(buckets):
                 at = order[ends[b] : ends[b + 1]]
                 if len(at):
-                    rows.append((WORDS, b, pack((at.astype(np.int32), [words[i] for i in at], times[at]))))
+                    rows.append((WORDS, b, pack((steps(at), [words[i] for i in at], smallest(times[at])))))
             if extra is not None:
                 rows += [(EXTRA, s, p) for s, p in extra(ids, lengths, pos, words)]
             for i in range(0, len(rows), 64):
@@ -150,7 +171,7 @@ def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: in
 def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...] = (DOCS,), extra: Callable | None = None) -> DataFrame:
     """Bring each bucket's WORDS rows together and make VALUES rows of them; rows of pass_kinds go through.
 
-    value() makes a function of (distinct words, their counts) that returns a list or array of values, one a word. extra()
+    value() makes a function of (distinct words, their counts) that returns a list of bytes or an array, one value a word. extra()
     makes a function of (slot, the distinct words' counts, payloads of EXTRA rows) that returns (kind, slot, payload) rows.
     """
 
@@ -181,7 +202,7 @@ def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...]
             values = make(list(of), total) if of else []
             array = values if isinstance(values, np.ndarray) else None
             for block, at, pos in packets:
-                yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else [values[i] for i in pos])))
+                yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else joined([values[i] for i in pos]))))
             if other is not None:
                 for kind, s, payload in other(slot, total, more.pop(slot, [])):
                     yield _one(kind, s, -1, payload)
@@ -214,11 +235,11 @@ def reassemble(rows: DataFrame, n: int, finish: Callable, schema: str) -> DataFr
             if found and isinstance(found[0][1], np.ndarray):
                 values = np.zeros((n_words, *found[0][1].shape[1:]), found[0][1].dtype)
                 for at, v in found:
-                    values[at] = v
+                    values[np.cumsum(at, dtype=np.int64)] = v
             else:
                 values = [None] * n_words
                 for at, v in found:
-                    for i, x in zip(at.tolist(), v):
+                    for i, x in zip(np.cumsum(at, dtype=np.int64).tolist(), apart(*v)):
                         values[i] = x
             yield from make(block, ids, lengths, unpack_positions(packed), values)
 

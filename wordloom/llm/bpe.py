@@ -45,22 +45,17 @@ def _encoder(path: str, pattern: str):
         ranks = load_ranks(path)
         core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
+        kind = np.min_scalar_type(max(ranks.values()))  # sent in two bytes an id, if that will do
+
         def values(words: list[str], _) -> list[bytes]:
             one = core.encode_single_piece
-            return [np.asarray(one(w.encode()), np.uint32).tobytes() for w in words]
+            return [np.asarray(one(w.encode()), kind).tobytes() for w in words]
 
         return values
 
     return make
 
 
-def _joined(values: list[bytes], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values' 32-bit numbers in the order of pos, and where each document's word ends."""
-    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    flat = np.frombuffer(b"".join(values), np.uint32)
-    return _ragged(flat, np.concatenate([[0], np.cumsum(size)]), size, pos)
-
-
 def _ragged(flat: np.ndarray, starts: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``flat`` (start and size by position) one after the other; second, their ends."""
     length = size[pos]
@@ -83,13 +78,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = B.
 
     def finish():
         token_bytes = _token_bytes(ranks_path) if decode_too else None
+        kind = np.min_scalar_type(max(load_ranks(ranks_path).values()))
 
         def make(_, ids, lengths, pos, values) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(lengths)])
             step = 2000
             for i in range(0, len(ids), step):
                 own = ids[i : i + step]
-                got, word_ends = _joined_part(values, pos[ends[i] : ends[min(i + step, len(ids))]])
+                got, word_ends = joined_ids(values, pos[ends[i] : ends[min(i + step, len(ids))]])
                 last = np.concatenate([[0], word_ends])[ends[i : i + len(own) + 1] - ends[i]]
                 cols = [pa.array(own, pa.int64()), _slices(got.view(np.uint8), last * 4), pa.array(np.diff(last), pa.int64())]
                 if decode_too:
@@ -98,10 +94,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = B.
 
         cache: dict = {}
 
-        def _joined_part(values, pos):
+        def joined_ids(values, pos):
             if cache.get("of") is not values:
-                size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-                cache.update(of=values, size=size, flat=np.frombuffer(b"".join(values), np.uint32), starts=np.concatenate([[0], np.cumsum(size)]))
+                size = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
+                cache.update(of=values, size=size, flat=np.frombuffer(b"".join(values), kind).astype(np.uint32), starts=np.concatenate([[0], np.cumsum(size)]))
             return _ragged(cache["flat"], cache["starts"], cache["size"], pos)
 
         return make
