@@ -10,6 +10,7 @@ a third of the documents share is still counted by many tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
@@ -27,8 +28,65 @@ from wordloom.llm._common import short_batches, shuffle_width, texts, written
 WORDS_KEPT = 300_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in plain}
+    letters.update((b, chr(256 + k)) for k, b in enumerate(b for b in range(256) if b not in letters))
+    return letters
+
+
+class FastMerges:
+    """The tokenizer's merges as byte ranks for tiktoken, which encodes many words in a call.
+
+    A word end is a zero byte that the word's last byte takes up before any other merge. Fits tokenizers that compose (NFC),
+    squeeze white space, lower-case and split by PIECES; for others usable is False.
+    """
+
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.usable = model.get("end_of_word_suffix") == "</w>" and kinds == ["NFC", "Replace", "Lowercase"] and split[0].get("pattern") == {"Regex": self.PIECES}
+        if not self.usable:
+            return
+        letters, vocabulary = byte_letters(), model["vocab"]
+        of = {c: b for b, c in letters.items()}
+
+        def raw(token: str) -> bytes:
+            end = token.endswith("</w>") and token != "</w>"
+            return bytes(of[c] for c in (token[:-4] if end else token)) + b"\0" * end
+
+        ids = np.zeros(512 + len(model["merges"]), np.uint32)
+        ranks = {}
+        for b, c in letters.items():
+            ranks[bytes([b])], ranks[bytes([b, 0])] = b, 256 + b
+            ids[b], ids[256 + b] = vocabulary[c], vocabulary[c + "</w>"]
+        for k, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            if ranks.setdefault(raw(left) + raw(right), 512 + k) == 512 + k:
+                ids[512 + k] = vocabulary[left + right]
+        self.ids, self.end = ids, 256 + ord("\n")
+        self.split = regex.compile(self.PIECES + r"|\n").findall
+        self.ordinary = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 letters without zeros, which NFC leaves alone and lower() maps one to one."""
+        found = self.split("\n".join(words).lower() + "\n")
+        ranks = np.asarray(self.ordinary("\0".join(found) + "\0"), np.int64)
+        ends = np.flatnonzero(ranks == self.end)
+        data, ends = self.ids[ranks].tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+
+
 class WordEncoder:
-    """Ids of a tokenizer that drops white space and marks word ends: each distinct word is encoded once in a while."""
+    """Ids of a tokenizer that drops white space and marks word ends: words are encoded apart, distinct ones once in a while."""
 
     def __init__(self, path: str):
         import regex
@@ -37,11 +95,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.fast = FastMerges(path)
         self.odd = re.compile("[\x1c-\x1f]").search
+        self.other = re.compile("[^\x01-\xff]").search
         self.apart = regex.compile(r"[^\s]+").findall
         self.kept: dict[str, bytes] = {}
 
@@ -49,26 +105,16 @@ class WordEncoder:
         """Maximal runs without Unicode white space. (split() would also cut at the four separators U+001C to U+001F.)"""
         return self.apart(text) if self.odd(text) else text.split()
 
-    def n_pieces(self, word: str) -> int:
-        if word.isascii() and word.isalpha():
-            return 1
-        if max(word) < "Ā":  # lower-casing and composing change no class here
-            return len(self.pieces(word.lower()))
-        normal = self.tokenizer.normalizer.normalize_str(word)
-        return len(self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
-
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            pieces = np.cumsum(np.fromiter(map(self.n_pieces, some), np.int64, len(some)))
-            if len(ends) != pieces[-1]:
-                for w in some:
-                    self.kept[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-                continue
-            data, at = ids.tobytes(), [0, *(ends[pieces - 1] * 4).tolist()]
-            self.kept.update(zip(some, (data[a:b] for a, b in zip(at, at[1:]))))
+            if not self.fast.usable or self.other("".join(some)):
+                slow = [w for w in some if not self.fast.usable or self.other(w)]
+                for w, e in zip(slow, self.tokenizer.encode_batch(slow, add_special_tokens=False)):
+                    self.kept[w] = np.asarray(e.ids, np.uint32).tobytes()
+                some = [w for w in some if w not in self.kept]
+            if some:
+                self.kept.update(zip(some, self.fast.encode(some)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
