@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, fingerprints, language_id, ngram_join, ngram_lm, packing
+from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, ngram_join, ngram_lm, packing
 from wordloom.llm import token_counts as counts
 from wordloom.llm._common import table
 
@@ -47,5 +47,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op6_language_id, op7_fingerprints, op8_token_counts)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op6_language_id, op7_fingerprints, op8_token_counts, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
