@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, ngram_join, ngram_lm, packing
+from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, line_dedup, ngram_join, ngram_lm, packing, sharding
 from wordloom.llm import token_counts as counts
-from wordloom.llm._common import table
+from wordloom.llm._common import new_folder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,6 +32,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.removal_report(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chunks", "n_removed", "removed_chars", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.identify(docs, language_id.train(docs))
@@ -47,9 +52,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    return out.select("doc_id", F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.regexp_extract("shard", "[^/]+$", 0).alias("shard"), "shard_bytes")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op6_language_id, op7_fingerprints, op8_token_counts, op10_embedding_near_dedup)}
+OPERATORS = (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op5_line_dedup, op6_language_id, op7_fingerprints, op8_token_counts, op9_sharding, op10_embedding_near_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {}
