@@ -5,6 +5,95 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from wordloom.functions import lexicon
+from wordloom.functions import text as X
+from wordloom.operators import books, compare, context, index, stats
+from wordloom.plans import oracles as O  # noqa: N812
+from wordloom.plans import profile
+from wordloom.settings import AnalysisSettings
+from wordloom.sources import html
+from wordloom.sources.tables import dialogue_chapters, document_chapters, labelled_chapters, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+STANDARD = AnalysisSettings()
+TERM = "of the"
+
+
+def _add(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None = None, source: Query = document_chapters) -> None:
+    QUERIES[name] = lambda spark, folder: make(source(spark, folder))
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+_add("word_frequencies", stats.word_frequencies, O.word_frequencies())
+_add("top_words", lambda c: stats.top_words(stats.word_frequencies(c), 100), O.top_words(100))
+_add("top_content_words", lambda c: stats.top_words(stats.word_frequencies(c), 100, "content"), O.top_words(100, "not is_stop_word"))
+_add("top_function_words", lambda c: stats.top_words(stats.word_frequencies(c), 100, "function"), O.top_words(100, "is_stop_word"))
+_add("word_detail", lambda c: stats.word_detail(stats.word_frequencies(c), "The"), O.word_detail("the"))
+_add("dialogue_word_frequencies", stats.word_frequencies, O.word_frequencies(O.TALK), dialogue_chapters)
+_add("token_index", index.token_index, O.token_index())
+_add("run_positions", index.run_positions, O.run_positions())
+_add("token_index_summary", index.index_summary, O.index_summary())
+_add("token_index_diagnostics", index.index_diagnostics, O.index_diagnostics())
+_add("health", index.health, O.health())
+_add("collocations", lambda c: context.collocations(c, "the", 4), O.collocations("the", 4))
+_add("collocations_content", lambda c: context.collocations(c, "the", 4, word_class="content"), O.collocations("the", 4, f"not {O.stop('collocate')}"))
+_add("collocations_min_dice", lambda c: context.collocations(c, "that", 2, min_count=5, min_dice=0.01), O.collocations("that", 2, "count >= 5 and dice >= 0.01::double"))
+_add("kwic", lambda c: context.concordance(c, "That", 5), O.concordance("that", 5))
+_add("phrases", lambda c: context.phrases(c, 2, 5, 3), O.phrases(2, 5, 3))
+_add("phrases_content_boundary", lambda c: context.with_boundary(context.phrases(c, 2, 5, 3)), O.phrases(2, 5, 3, "boundary"))
+_add("phrases_longest_only", lambda c: context.longest_only(context.phrases(c, 2, 5, 3)), O.phrases(2, 5, 3, "longest"))
+_add("sentences", lambda c: stats.sentence_table(c).select("run", "chapter_id", "sentence_index", "sentence"), O.sentences())
+_add("sentence_tokens", stats.sentence_tokens, O.sentence_tokens())
+_add("sentence_lengths", stats.sentence_lengths, O.sentence_lengths())
+_add("corpus_summary", stats.corpus_summary, O.corpus_summary())
+_add("ngrams", stats.ngram_frequencies, O.ngrams(2, 5, 2))
+_add("ngrams_search", lambda c: stats.ngram_search(stats.ngram_frequencies(c), TERM, min_count=2), O.ngrams(2, 5, 2, f"contains(' ' || text || ' ', ' {TERM} ')"))
+_add("ngrams_min_word_length", lambda c: stats.ngram_frequencies(c, AnalysisSettings(min_word_length=3, ngram_max_n=3)), O.ngrams(2, 3, 2, "len(list_filter(string_split(text, ' '), lambda x: length(x) < 3)) = 0"))
+_add("ngram_patterns", lambda c: stats.ngram_patterns(stats.ngram_frequencies(c)), O.ngram_patterns(2, 5, 2))
+_add("ngram_content_boundary", lambda c: stats.ngram_patterns(stats.ngram_frequencies(c), "boundary"), O.ngram_patterns(2, 5, 2, "pattern like 'C%C'"))
+_add("next_words", stats.next_words, O.next_words(1000, 2))
+_add("next_words_of", lambda c: stats.neighbours(stats.next_words(c), "the"), O.next_words(1000, 2, "word = 'the'"))
+_add("previous_words_of", lambda c: stats.neighbours(stats.next_words(c), "the", before=True), O.next_words(1000, 2, "next_word = 'the'"))
+_add("sentence_categories", stats.sentence_categories, O.sentence_categories())
+_add("dialogue_categories", stats.sentence_categories, O.sentence_categories(O.TALK), dialogue_chapters)
+_add("compare_word", lambda c: compare.compare_words(stats.word_frequencies(c), "en", "de").where("word = 'in'"), O.compare_words("en", "de", 1, "word = 'in'"))
+_add("compare_words", lambda c: compare.compare_words(stats.word_frequencies(c), "en", "de", min_count=2), O.compare_words("en", "de", 2))
+_add("compare_words_shared", lambda c: compare.compare_words(stats.word_frequencies(c), "en", "fr", "shared"), O.compare_words("en", "fr", 1, "left_count > 0 and right_count > 0"))
+_add("compare_words_exclusive", lambda c: compare.compare_words(stats.word_frequencies(c), "fr", "es", "exclusive"), O.compare_words("fr", "es", 1, "(left_count = 0 or right_count = 0)"))
+_add("compare_quality", lambda c: compare.compare_words(stats.word_frequencies(c), "good", "poor"), O.compare_words("good", "poor", 1, chapters=O.LABELLED), labelled_chapters)
+_add("difficulty", compare.difficulty, O.difficulty())
+_add("compare_difficulty", lambda c: compare.compare_difficulty(compare.difficulty(c), "en", "de"), O.compare_difficulty("en", "de"))
+_add("language_note", lambda c: compare.language_note(c, "en", "de"), O.language_note())
+_add("corpus_profile", lambda c: profile.corpus_profile(c, 10), O.corpus_profile(10))
+_add("run_books", books.run_books, O.run_books())
+_add("word_book_distribution", lambda c: books.word_distribution(c, "the"), O.word_distribution("the"))
+_add("word_books_coverage", lambda c: books.word_coverage(c, "that"), O.word_coverage("that"))
+_add("chapter_metrics", books.chapter_metrics, O.chapter_metrics())
+_add("find_in_chapters", lambda c: books.find_in_chapters(c, "license"), O.find_in_chapters("license"))
+_add("import_diagnostics", books.import_diagnostics, O.import_diagnostics())
+_add("suspicious_chapters", books.suspicious_chapters, O.suspicious_chapters())
+_add("suspicious_terms", books.suspicious_terms, O.suspicious_terms())
+_add("shortest_chapters", lambda c: books.extreme_chapters(c, longest=False), O.extreme_chapters("asc", 15))
+_add("longest_chapters", lambda c: books.extreme_chapters(c, longest=True), O.extreme_chapters("desc", 15))
+_add("normalize_text", lambda c: c.select("chapter_id", X.for_reading(F.col("text")).alias("reading"), X.inline(F.col("text")).alias("one_line"), X.key(F.col("text")).alias("key")), O.normalize_text())
+
+
+def _language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [(*p, len(lexicon.STOP_WORDS[p[0]])) for p in lexicon.PROFILES]
+    return spark.createDataFrame(rows, "code string, name string, family string, long_word_length bigint, very_long_word_length bigint, apostrophes string, stop_word_count bigint")
+
+
+def _source_books(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("lang").alias("run_id"), F.col("source").alias("book_id"))
+    links = docs.where("run_id <> 'es'").distinct().withColumn("order_index", F.lit(2))
+    return books.source_books(docs.groupBy("run_id").agg(F.min("book_id").alias("book_id")), links)
+
+
+QUERIES["language_profiles"], ORACLES["language_profiles"] = _language_profiles, O.language_profiles()
+QUERIES["source_books"], ORACLES["source_books"] = _source_books, O.source_books()
+QUERIES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages"))
