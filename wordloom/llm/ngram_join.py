@@ -185,7 +185,7 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, bl
                 v, root = forest(pairs[:, 0].tolist(), pairs[:, 1].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
 
-    return docs.select("text").mapInArrow(post, "slot int, payload binary").repartition(slots, "slot").mapInArrow(meet, "a bigint, b bigint")
+    return docs.select("text").mapInArrow(post, "slot int, payload binary").repartitionById(slots, F.col("slot")).mapInArrow(meet, "a bigint, b bigint")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
