@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DOCS, WORDS, VALUES, EXTRA = 0, 1, 2, 3
 ROW = "kind int, slot int, block bigint, payload binary"
@@ -207,7 +208,7 @@ def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...]
                 for kind, s, payload in other(slot, total, more.pop(slot, [])):
                     yield _one(kind, s, -1, payload)
 
-    return rows.repartition(n, "slot").mapInArrow(run, ROW)
+    return rows.repartitionById(n, F.col("slot")).mapInArrow(run, ROW)
 
 
 def _one(kind: int, slot: int, block: int, payload: bytes) -> pa.RecordBatch:

@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     rows = own.mapInArrow(cut, B.ROW)
-    valued = rows.repartition(n, "slot").mapInArrow(met, B.ROW)
+    valued = rows.repartitionById(n, F.col("slot")).mapInArrow(met, B.ROW)
     return valued.repartition(n, "block").mapInArrow(finished, shape)
 
 
