@@ -372,3 +372,13 @@ select * from links union all select run_id, book_id, 1 from runs where not exis
 
 def language_note() -> str:
     return "select string_agg(code, ', ' order by code) as languages, count(*) > 1 as different_languages from (select distinct lower(lang) as code from documents where lang in ('en', 'de'))"
+
+
+#: Marker lines around a text, for the query that removes them.
+MARKED = ("Header\n*** START OF THE PROJECT GUTENBERG EBOOK SAMPLE ***\n\n", "\n*** END OF THE PROJECT GUTENBERG EBOOK SAMPLE ***\nLicence")
+
+
+def boilerplate_markers() -> str:
+    marked = " || ".join((_q(MARKED[0]), "text", _q(MARKED[1])))
+    body = rf"regexp_replace({marked}, '(?i)(?m:^)\s*\*{{3}}\s*END OF (?:THE )?PROJECT GUTENBERG EBOOK(?s:.*)', '')"
+    return rf"select doc_id as chapter_id, regexp_replace({body}, '(?i)^(?s:.*?)\n\s*\*{{3}}\s*START OF (?:THE )?PROJECT GUTENBERG EBOOK.*?\*{{3}}\s*', '') as text from documents"

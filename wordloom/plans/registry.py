@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions import lexicon
+from wordloom.functions import cleaning, lexicon
 from wordloom.functions import text as X
 from wordloom.operators import books, compare, context, index, stats
 from wordloom.plans import oracles as O  # noqa: N812
@@ -96,4 +96,13 @@ def _source_books(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["language_profiles"], ORACLES["language_profiles"] = _language_profiles, O.language_profiles()
 QUERIES["source_books"], ORACLES["source_books"] = _source_books, O.source_books()
+
+
+def _marked(chapters: DataFrame) -> DataFrame:
+    marked = F.concat(F.lit(O.MARKED[0]), "text", F.lit(O.MARKED[1]))
+    return chapters.select("chapter_id", cleaning.without_markers(marked).alias("text"))
+
+
+_add("boilerplate_markers", _marked, O.boilerplate_markers())
+QUERIES["boilerplate_clean"] = lambda spark, folder: table(spark, folder, "pages").select("page_id", cleaning.cleaned(html.text_column(F.col("html"))).alias("c")).select("page_id", "c.text", "c.is_front_matter")
 QUERIES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages"))
