@@ -144,6 +144,6 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 def ids_array(df: DataFrame, column: str = "ids") -> DataFrame:
     """The binary ids as an array of integers."""
     hexed = F.hex(column)
-    le = F.transform(F.sequence(F.lit(1), F.length(column) / 4), lambda i: hexed.substr(((i - 1) * 8 + 1).cast("int"), F.lit(8)))
+    le = F.transform(F.sequence(F.lit(1), (F.length(column) / 4).cast("int")), lambda i: hexed.substr(((i - 1) * 8 + 1).cast("int"), F.lit(8)))
     number = F.transform(le, lambda h: F.conv(F.concat(h.substr(7, 2), h.substr(5, 2), h.substr(3, 2), h.substr(1, 2)), 16, 10).cast("int"))
     return df.withColumn(column, F.when(F.length(column) > 0, number).otherwise(F.array().cast("array<int>")))
