@@ -40,14 +40,11 @@ def test_bpe_decode_and_array(spark, docs, library):
 
 
 def test_pattern_classes(library):
-    """The splitter's classes of characters are those of the library's pattern."""
-    import regex
-
-    ranks = {bytes([b]): b for b in range(256)}
-    text = "".join(chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000)
-    for cls in (r"\s", r"\p{L}", r"\p{N}"):
-        enc = tiktoken.Encoding("c", pat_str=cls, mergeable_ranks=ranks, special_tokens={})
-        assert bytes(enc.encode_ordinary(text)).decode() == "".join(regex.findall(cls, text))
+    """The splitter finds the pre-tokens of the library's pattern, with characters of newer Unicode versions too."""
+    split = bpe.splitter(P.PATTERN)()
+    texts = ["".join(f"a{c} {c}1{c}{c}" for c in bpe.newer_characters()[::97] + "é٣ "), *("".join(map(chr, range(c, c + 999))) for c in range(1, 0xC000, 997))]
+    for t in texts:
+        assert [x for w in split(t) for x in library._core_bpe.encode_single_piece(w.encode())] == library.encode_ordinary(t)
 
 
 def brute_count(word: bytes, scores: dict) -> int:

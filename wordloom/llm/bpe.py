@@ -11,6 +11,7 @@ the input are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +28,59 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+_NEWER: list[str] = []
+
+
+def newer_characters() -> str:
+    """Characters that this process's ``regex`` counts among letters or numbers and the library's patterns, of an older
+    Unicode version, don't. Found once for each worker process, by asking both."""
+    if not _NEWER:
+        import regex
+        import tiktoken
+
+        ranks = {bytes([b]): b for b in range(256)}
+        classes = tiktoken.Encoding("classes", pat_str=r"[\p{L}\p{N}]", mergeable_ranks=ranks, special_tokens={})
+        every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+        theirs: set[str] = set()
+        for i in range(0, len(every), 20_000):
+            theirs.update(bytes(classes.encode_ordinary("".join(every[i : i + 20_000]))).decode())
+        _NEWER.append("".join(sorted(set(regex.findall(r"[\p{L}\p{N}]", "".join(every))) - theirs)))
+    return _NEWER[0]
+
+
 def splitter(pattern: str):
-    """Makes a function of a text that returns its pre-tokens."""
+    """Makes a function of a text that returns its pre-tokens, as the library's pattern finds them."""
 
     def make():
         import regex
 
-        return regex.compile(pattern).findall
+        found, newer = regex.compile(pattern), newer_characters()
+        if not newer:
+            return found.findall
+        odd = re.compile(f"[{_ranges(newer)}]").search
+        plain = dict.fromkeys(map(ord, newer), "\ue000")  # neither letter nor number in any version
+
+        def split(text: str) -> list[str]:
+            if text.isascii() or odd(text) is None:
+                return found.findall(text)
+            return [text[m.start() : m.end()] for m in found.finditer(text.translate(plain))]
+
+        return split
 
     return make
 
 
+def _ranges(characters: str) -> str:
+    """Sorted characters as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in map(ord, characters):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 def _encoder(path: str, pattern: str):
     def make():
         import tiktoken
