@@ -79,11 +79,12 @@ def test_sharding(spark, docs, empty, tmp_path):
     out = sharding.sharded(docs, f"file://{tmp_path}/s", arrivals=3, target_bytes=40_000, fan_out=2)
     assert key((r["doc_id"], r["text"]) for r in out.collect()) == key(ROWS)
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", 40_000, 2)
-    assert store.version() == 4 and len(store.manifest(3)) > len(store.manifest())
+    last = store.version()
+    assert last >= 4 and len(store.manifest(3)) > len(store.manifest())
     assert sum(s["rows"] for s in store.manifest()) == len(ROWS) and store.read(1).count() < len(ROWS)
     with pytest.raises(sharding.Conflict):
-        store.commit(store.manifest(), 2)
-    assert store.version() == 4
+        store.commit(store.manifest(), last - 1)
+    assert store.version() == last
     store.vacuum()
     assert store.read().count() == len(ROWS)
     assert sharding.sharded(empty, f"file://{tmp_path}/e").count() == 0
@@ -107,7 +108,7 @@ def test_pipeline(spark, tmp_path):
     letters = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
     lines = [(i, t) for i, _, gone, t in brute_lines(letters) if not gone or t]
     want = {i for (i, _, c) in brute_classes(lines) if i == c}
-    assert {r["doc_id"] for r in got} == want and want == {*range(12), 23, 24}
+    assert {r["doc_id"] for r in got} == want and {*range(12), 23, 24} <= want and not want & {21, 22}
     assert [len(P.STAGES), P.ORACLE_SQL] == [4, None]
     stage = P.identify_language(spark, df, "")
     assert stage.columns == df.columns and stage.where(F.col("text").isNull()).count() == 0
