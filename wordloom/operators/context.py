@@ -69,7 +69,7 @@ def phrases(chapters: DataFrame, low: int = 2, high: int = 5, min_count: int = 2
     """Repeated runs of words with nothing but white space between them, within a chapter (they may cross line and sentence
     ends that have no punctuation)."""
     low, high = phrase_lengths(low, high)
-    own = chapters.select("run", "chapter_id", X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps"))
+    own = chapters.repartition("chapter_id").select("run", "chapter_id", X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps"))
     rows = own.select("run", "chapter_id", F.explode(X.grams(F.col("words"), low, high, F.col("gaps"))).alias("g")).select("run", "chapter_id", "g.n", F.col("g.text").alias("phrase"))
     counts = rows.groupBy("run", "chapter_id", "n", "phrase").agg(F.count("*").alias("c")).groupBy("run", "n", "phrase").agg(F.sum("c").alias("count"), F.count("*").alias("chapter_count"))
     out = counts.where((F.col("count") >= min_count) & (F.col("chapter_count") >= min_chapters)).join(word_totals(chapters), "run")

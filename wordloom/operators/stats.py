@@ -26,9 +26,9 @@ def word_totals(chapters: DataFrame) -> DataFrame:
 def word_frequencies(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> DataFrame:
     """Counts, numbers of documents, frequency per million and stop-word flag of each word of a run.
 
-    Words are counted by chapter first, which Spark does before the shuffle.
+    Texts are dealt by chapter, so words are counted by chapter where they are, and only these counts are shuffled.
     """
-    rows = word_arrays(chapters).select("run", "chapter_id", F.explode("words").alias("word"))
+    rows = word_arrays(chapters.repartition("chapter_id")).select("run", "chapter_id", F.explode("words").alias("word"))
     if settings.min_word_length > 1:
         rows = rows.where(F.length("word") >= settings.min_word_length)
     counts = rows.groupBy("run", "chapter_id", "word").agg(F.count("*").alias("n")).groupBy("run", "word").agg(F.sum("n").alias("count"), F.count("*").alias("document_count"))
@@ -55,7 +55,7 @@ def word_detail(words: DataFrame, word: str) -> DataFrame:
 def ngram_frequencies(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> DataFrame:
     """Runs of words within sentences that occur min_ngram_count times or more; per million of word tokens."""
     found = X.grams(F.col("words"), settings.ngram_min_n, settings.ngram_max_n, min_length=settings.min_word_length)
-    rows = sentence_table(chapters).select("run", "chapter_id", F.explode(found).alias("g")).select("run", "chapter_id", "g.n", "g.text")
+    rows = sentence_table(chapters.repartition("chapter_id")).select("run", "chapter_id", F.explode(found).alias("g")).select("run", "chapter_id", "g.n", "g.text")
     counts = rows.groupBy("run", "chapter_id", "n", "text").agg(F.count("*").alias("c")).groupBy("run", "n", "text").agg(F.sum("c").alias("count"), F.count("*").alias("document_count"))
     out = counts.where(F.col("count") >= settings.min_ngram_count).join(word_totals(chapters), "run")
     return out.select("run", "n", "text", "count", "document_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"))
