@@ -72,6 +72,18 @@ def test_overlaps_of_long_columns():
     assert np.array_equal(got, want)
 
 
+def test_thinned_rows_stand_for_all():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        size = np.sort(rng.integers(10, 60, rng.integers(1, 12)))
+        kept, a, b = ngram_join.thinned(np.zeros(len(size), np.uint64), size, 80, 100)
+        near = lambda x, y: min(x, y) * 100 >= max(x, y) * 80
+        assert all(near(size[x], size[y]) for x, y in zip(a, b))
+        for other in range(8, 80):
+            if any(near(other, x) for x in size):
+                assert any(near(other, x) for x in size[kept])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (None, 3)]

@@ -121,6 +121,31 @@ def _hot_counters(described: DataFrame, total: int, slots: int, width: int) -> n
     return hot
 
 
+def thinned(h: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key and size: which stand for all in other blocks, and links (a, b) of neighbours within the bound.
+
+    Of a chain of rows of a key, each within the bound of the next, the first and the last are kept and enough between them
+    that neighbours kept are within the bound of each other; whatever is within the bound of a row is then within the bound
+    of one kept.
+    """
+    near = (h[1:] == h[:-1]) & (size[1:] * num <= size[:-1] * den)
+    a = np.flatnonzero(near)
+    kept = np.ones(len(h), bool)
+    if len(a):
+        inner = np.zeros(len(h), bool)  # rows with a neighbour within the bound on both sides
+        inner[1:-1] = near[1:] & near[:-1]
+        last, before = 0, -2
+        for i in np.flatnonzero(inner).tolist():
+            if i != before + 1:
+                last = size[i - 1]
+            before = i
+            if size[i + 1] * num <= last * den:
+                kept[i] = False
+            else:
+                last = size[i]
+    return kept, a, a + 1
+
+
 def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, block_keys: int = 1_500_000) -> DataFrame:
     """Links (a, b) between sets: a spanning forest, bucket by bucket, of those that share a key within the size bound."""
 
@@ -131,14 +156,21 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, bl
         def packets() -> Iterator[pa.RecordBatch]:
             h, own = np.concatenate(held), np.repeat(np.arange(len(owner)), owner)
             slot = (B.mixed(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(slots)).astype(np.int64)
-            order = np.lexsort((h, slot))
-            ends = np.searchsorted(slot[order], np.arange(slots + 1))
             s, z = np.asarray(sids, np.int64), np.asarray(sizes, np.int64)
+            order = np.lexsort((z[own], h, slot))
+            h, own, slot = h[order], own[order], slot[order]
+            kept, a, b = thinned(h, z[own], num, den)
+            # The block's own forest travels with its first packet.
+            links = np.unique(np.stack([own[a], own[b]], axis=1), axis=0)
+            inside = [s[np.asarray(x, np.int64)] for x in forest(*links.T.tolist())]
+            h, own, slot = h[kept], own[kept], slot[kept]
+            ends = np.searchsorted(slot, np.arange(slots + 1))
             for k in range(slots):
-                at = order[ends[k] : ends[k + 1]]
-                if len(at):
+                at = slice(ends[k], ends[k + 1])
+                if ends[k] < ends[k + 1]:
                     used, local = np.unique(own[at], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([B.pack((h[at], B.smallest(local), s[used], B.smallest(z[used])))], pa.binary())], names=["slot", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([B.pack((h[at], B.smallest(local), s[used], B.smallest(z[used]), *inside))], pa.binary())], names=["slot", "payload"])
+                    inside = [s[:0], s[:0]]
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -168,6 +200,7 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, bl
             h = np.concatenate([p[0] for p in parts])
             sid = np.concatenate([p[2][p[1]] for p in parts])
             size = np.concatenate([p[3][p[1]] for p in parts]).astype(np.int64)
+            inside = [np.concatenate([p[k] for p in parts]) for k in (4, 5)]
             del parts
             order = np.argsort(h, kind="stable")
             h = h[order]
@@ -179,7 +212,7 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, bl
             order = np.lexsort((sid, size, h))  # neighbours in a key's list, by size: a gap in sizes parts it
             h, sid, size = h[order], sid[order], size[order]
             near = (h[1:] == h[:-1]) & (sid[1:] != sid[:-1]) & (size[1:] * num <= size[:-1] * den)
-            a, b = sid[:-1][near], sid[1:][near]
+            a, b = (np.concatenate([x, y]) for x, y in zip((sid[:-1][near], sid[1:][near]), inside))
             if len(a):
                 pairs = np.unique(np.stack([a, b], axis=1), axis=0)
                 v, root = forest(pairs[:, 0].tolist(), pairs[:, 1].tolist())
