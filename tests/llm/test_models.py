@@ -36,6 +36,17 @@ def test_lm_passes_agree_and_learn(spark, empty):
     assert ngram_lm.lm_scores(empty).count() == 0
 
 
+def test_weights_from_the_histogram_are_those_of_the_tokens():
+    rng = np.random.default_rng(3)
+    r = np.concatenate([np.zeros(300), np.exp2(rng.uniform(-6, 14, 700))])
+    ratios = np.zeros((64, ngram_lm.BINS), np.int64)
+    at = np.where(r > 0, 1 + ((np.log2(np.maximum(r, 1e-9)) + 48) * 8).astype(int), 0)
+    np.add.at(ratios[5], at, 1)
+    exact = [np.log(w * r + 1 - w).sum() for w in ngram_lm.GRID]
+    got = ngram_lm.best_weights(ratios)
+    assert got[5] == ngram_lm.GRID[int(np.argmax(exact))] and (np.delete(got, 5) == 0.1).all()
+
+
 def test_filter_counts_round_down():
     f = ngram_lm.LogFrequencyFilter(ngram_lm.level_bounds(2, 1.5), 8)
     h, c = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(2, 3002)
