@@ -129,6 +129,25 @@ def test_line_dedup_keeps_the_first_of_repeated_rows(spark):
     assert [r["n_removed"] > 0 for r in got if r["doc_id"] is None] == [True]
 
 
+def sentences(seed, n_words, k):
+    """A passage of k sentences with n_words words altogether."""
+    words = [f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(n_words)]
+    return " ".join(" ".join(words[i * n_words // k : (i + 1) * n_words // k]) + "." for i in range(k))
+
+
+def test_line_dedup_finds_whole_short_passages(spark):
+    """Passages of 50-120 words in 2-6 sentences go as a whole, whatever stands around them."""
+    cases = [(n, k) for n in (50, 70, 90, 120) for k in (2, 3, 4, 5, 6)]
+    rows = []
+    for c, (n, k) in enumerate(cases):
+        for copy in (0, 1):
+            around = [sentences(9000 + 4 * c + 2 * copy + e, 40, 3 + copy) for e in (0, 1)]
+            rows.append((2 * c + copy, " ".join([around[0], sentences(c, n, k), around[1]]), " ".join(around)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.removal_report(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)).collect()}
+    for i, text, around in rows:
+        assert got[i].split() == (text if i % 2 == 0 else around).split()
+
+
 def weighted_jaccard(a, b):
     a, b = (collections.Counter(x.encode().lower().split()) for x in (a, b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))

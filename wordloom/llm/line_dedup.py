@@ -1,12 +1,17 @@
 """Operator 5: removal of repeated content-defined line chunks.
 
-A text is cut into lines, at line breaks and after sentence ends (a long line is many sentences). A rolling hash over the
-hashes of ``WINDOW`` lines chooses chunk boundaries, so the chunks of a passage are the same wherever it stands but for its
-first and last ones. Distinct chunks of at least two lines and ``min_words`` words go, with their bytes, to the bucket of
-their hash, where equal bytes meet; of each chunk that occurs more than once, the first occurrence (least doc_id, nulls
-last, then place) stays and the others are removed.
+A text is cut into lines, at line breaks and after sentence ends (a long line is many sentences). A chunk is a shortest run
+of lines with ``min_words`` words: one begins at each line and one ends at each line. Chunks overlap and depend on their own
+lines alone, so those of a passage are the same wherever it stands, and together they cover all its lines. Of each chunk that
+occurs more than once, the first occurrence (least doc_id, nulls last, then place) stays and the lines of the others are
+removed; so the first occurrence of each line stays too. White space between lines doesn't count.
 
-Chunks are sent once for each block of documents, so a chunk that a third of the documents share is sent once a block.
+1. The distinct lines of a block of documents go, with their bytes, to the bucket of their hash, where equal bytes meet. Lines
+   that occur more than once get a number of their own.
+2. Chunks all of whose lines have one are sent, as these numbers, to the bucket of their hash, where equal chunks meet.
+3. What is to be removed goes back to the blocks.
+
+Lines and chunks are sent once for each block of documents, so one that a third of the documents share is sent once a block.
 """
 
 from __future__ import annotations
@@ -23,36 +28,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import short_batches, shuffle_width
+from wordloom.llm._common import drop_folder, short_batches, shuffle_width, written
 
-WINDOW = 2
-DIVISOR = 2
 LINE_ENDS = re.compile(r"[.!?]+[ \t]+|\n\s*")
 LAST = np.iinfo(np.int64).max  # where null doc_ids stand
 
 
-def chunks(text: str, min_words: int = 10) -> list[tuple[int, int]]:
-    """Start and end of the text's chunks that may be removed, white space at their end left out."""
-    import xxhash
-
-    ends = [m.end() for m in LINE_ENDS.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    out, start, lines, a, before = [], 0, 0, 0, 0
-    for b in ends:
-        h = xxhash.xxh3_64_intdigest(text[a:b].strip())
-        lines += 1
-        rolled = (before * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if b == len(text) or (lines >= WINDOW and (rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9 >> 40 & 0xFFFF < 0x10000 // DIVISOR):
-            if lines >= 2:
-                own = text[start:b].rstrip()
-                if len(own.split(None, min_words)) >= min_words:
-                    out.append((start, start + len(own)))
-            start, lines = b, 0
-        a, before = b, h
+def lines(text: str) -> list[tuple[int, str]]:
+    """Start and text of each line, without white space around it; blank lines are left out."""
+    out, a = [], 0
+    for b in [*(m.end() for m in LINE_ENDS.finditer(text)), len(text)]:
+        raw = text[a:b]
+        if own := raw.strip():
+            out.append((a if raw[0] == own[0] else text.index(own, a), own))
+        a = b
     return out
 
 
+def weight(line: str) -> int:
+    """What a line counts for the least number of words: 1 at least."""
+    return len(line.split())
+
+
+def runs(weights: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the shortest runs that weigh ``least``, in order; begin: where each text's lines begin, and the end."""
+    total = np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
+    i, n = np.arange(len(weights)), len(weights) + 1
+    per = np.diff(begin)
+    last = np.searchsorted(total[1:], total[:-1] + least)
+    first = np.searchsorted(total[:-1], total[1:] - least, "right") - 1
+    ahead, back = last < np.repeat(begin[1:], per), first >= np.repeat(begin[:-1], per)
+    both = np.unique(np.concatenate([i[ahead] * n + last[ahead], first[back] * n + i[back]]))
+    return both // n, both % n
+
+
+def chunks(text: str, min_words: int = 10) -> list[tuple[int, int]]:
+    """Start and end of the text's chunks that may be removed, in order; they overlap."""
+    own = lines(text)
+    first, last = runs(np.asarray([weight(x) for _, x in own], np.int64), np.asarray([0, len(own)]), min_words)
+    return [(own[i][0], own[j][0] + len(own[j][1])) for i, j in zip(first.tolist(), last.tolist())]
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of docs, with text without the repeated chunks, n_chars of the new text if there is such a column, and
     n_chunks, n_removed, removed_chars.
@@ -72,6 +88,19 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
 
     arrow = to_arrow_schema(shape)
 
+    def dealt(key: int, kind: int, words: list, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Distinct words of a block, and columns about them, by bucket."""
+        slot = (B.mixed(B.word_hash(words) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        ends = np.searchsorted(slot[order], np.arange(n + 1))
+        for s in range(n):
+            at = order[ends[s] : ends[s + 1]]
+            if len(at):
+                yield B._one(kind, s, key, B.pack((B.steps(at), [words[k] for k in at], *(c[at] for c in columns))))
+
+    def home(key: int) -> int:
+        return int(B.mixed(np.asarray([key], np.uint64))[0] % np.uint64(n))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         rows, size = [], 0
@@ -79,30 +108,21 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
         def close() -> Iterator[pa.RecordBatch]:
             key = (part << 24) | done
             of: dict = {}
-            spans, firsts, times = [], [], []
-            for r, row in enumerate(rows):
-                text = row[at_text]
-                mine = chunks(text, min_words) if text else []
-                for i, (a, b) in enumerate(mine):
-                    k = of.setdefault(text[a:b], len(of))
-                    first = (LAST if row[at_id] is None else row[at_id], r, i)
-                    if k == len(firsts):
-                        firsts.append(first)
-                        times.append(1)
-                    else:
-                        times[k] += 1
-                        firsts[k] = min(firsts[k], first)
-                    spans.append((r, a, b, k))
-            words = list(of)
-            slot = (B.mixed(B.word_hash(words) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(n)).astype(np.int64)
-            first, count = np.asarray(firsts, np.int64).reshape(-1, 3), np.asarray(times, np.int64)
-            yield B._one(B.DOCS, int(B.mixed(np.asarray([key], np.uint64))[0] % np.uint64(n)), key, B.pack((rows, np.asarray(spans, np.int32).reshape(-1, 4), len(words))))
-            order = np.argsort(slot, kind="stable")
-            ends = np.searchsorted(slot[order], np.arange(n + 1))
-            for s in range(n):
-                at = order[ends[s] : ends[s + 1]]
-                if len(at):
-                    yield B._one(B.WORDS, s, key, B.pack((B.steps(at), [words[k] for k in at], first[at], B.smallest(count[at]))))
+            starts, seq, begin = [], [], [0]
+            for row in rows:
+                for a, line in lines(row[at_text] or ""):
+                    starts.append(a)
+                    seq.append(of.setdefault(line, len(of)))
+                begin.append(len(seq))
+            words, seq, begin = list(of), np.asarray(seq, np.int64), np.asarray(begin)
+            weights = np.asarray([weight(w) for w in words], np.int64)
+            first, _ = runs(weights[seq], begin, min_words)
+            ends = np.asarray(starts, np.int64) + np.fromiter(map(len, words), np.int64, len(words))[seq]
+            n_chunks = np.diff(np.searchsorted(first, begin))
+            ids = np.asarray([LAST if row[at_id] is None else row[at_id] for row in rows], np.int64)
+            yield B._one(B.DOCS, home(key), key, B.pack((rows, np.asarray(starts, np.int32), ends.astype(np.int32), begin, n_chunks)))
+            yield B._one(B.EXTRA, home(key), key, B.pack((B.smallest(seq), B.smallest(weights), begin, ids)))
+            yield from dealt(key, B.WORDS, words, B.smallest(np.bincount(seq, minlength=len(words))))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -114,11 +134,67 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
         if rows:
             yield from close()
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for batch in batches:
+            for slot, block, payload in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                held[slot].append((block, payload))
+        for slot in sorted(held):
+            of: dict = defaultdict()
+            of.default_factory = of.__len__  # equal bytes, not only equal hashes
+            packets = []
+            for block, payload in held.pop(slot):
+                at, words, count = B.unpack(payload)
+                packets.append((block, np.cumsum(at, dtype=np.int64), np.fromiter(map(of.__getitem__, words), np.int64, len(words)), count))
+            total = np.zeros(len(of), np.int64)
+            for _, _, pos, count in packets:
+                total[pos] += count  # a block's lines are distinct
+            for block, at, pos, _ in packets:
+                again = total[pos] > 1
+                if again.any():
+                    yield B._one(B.VALUES, slot, block, B.pack((at[again], pos[again] | slot << 40)))
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values = {}, defaultdict(list)
+        for batch in batches:
+            for kind, block, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if kind == B.EXTRA:
+                    held[block] = payload
+                else:
+                    values[block].append(payload)
+        for block in sorted(held):
+            seq, weights, begin, ids = B.unpack(held.pop(block))
+            number = np.full(len(weights), -1, np.int64)
+            for p in values.pop(block, []):
+                at, x = B.unpack(p)
+                number[at] = x
+            number = number[seq]
+            a, b = runs(weights[seq], begin, min_words)
+            once = np.concatenate([[0], np.cumsum(number < 0)])
+            both = once[b + 1] == once[a]
+            a, b = a[both], b[both]
+            if not len(a):
+                continue
+            doc = ids[np.searchsorted(begin, a, "right") - 1].tolist()
+            of: dict = {}
+            place, firsts, times = [], [], []
+            for w, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+                k = of.setdefault(number[i : j + 1].tobytes(), len(of))
+                if k == len(firsts):
+                    firsts.append((doc[w], w))
+                    times.append(1)
+                else:
+                    times[k] += 1
+                    firsts[k] = min(firsts[k], (doc[w], w))
+                place.append(k)
+            yield B._one(B.EXTRA, home(block), block, B.pack((a.astype(np.int32), b.astype(np.int32), np.asarray(place, np.int32), len(of))))
+            yield from dealt(block, B.WORDS, list(of), np.asarray(firsts, np.int64), B.smallest(np.asarray(times, np.int64)))
+
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)
         for batch in batches:
             for kind, slot, block, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == B.DOCS:
+                if kind == B.EXTRA:
                     yield B._one(kind, slot, block, payload)
                 else:
                     held[slot].append((block, payload))
@@ -129,8 +205,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                 at, words, first, count = B.unpack(payload)
                 pos = []
                 for w, f, c in zip(words, first.tolist(), count.tolist()):
-                    k = of.setdefault(w, len(of))  # equal bytes, not only equal hashes
-                    f = (f[0], block, f[1], f[2])
+                    k = of.setdefault(w, len(of))
+                    f = (f[0], block, f[1])
                     if k == len(firsts):
                         firsts.append(f)
                         totals.append(c)
@@ -139,52 +215,60 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                         totals[k] += c
                     pos.append(k)
                 packets.append((block, np.cumsum(at, dtype=np.int64), np.asarray(pos)))
-            first, total = np.asarray(firsts, np.int64).reshape(-1, 4), np.asarray(totals)
+            first, total = np.asarray(firsts, np.int64).reshape(-1, 3), np.asarray(totals)
             for block, at, pos in packets:
                 again = total[pos] > 1
                 if again.any():
                     yield B._one(B.VALUES, slot, block, B.pack((at[again], first[pos[again]][:, 1:])))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, values = {}, defaultdict(list)
+        held, places, values = {}, {}, defaultdict(list)
         for batch in batches:
             for kind, block, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if kind == B.DOCS:
                     held[block] = payload
+                elif kind == B.EXTRA:
+                    places[block] = payload
                 else:
                     values[block].append(payload)
         for block in sorted(held):
-            rows, spans, n_words = B.unpack(held.pop(block))
-            keeper = np.full((n_words, 3), -1, np.int64)
-            for p in values.pop(block, []):
-                at, first = B.unpack(p)
-                keeper[at] = first
-            row, idx = spans[:, 0], np.arange(len(spans))
-            begin = np.searchsorted(row, np.arange(len(rows) + 1))
-            idx = idx - begin[row]
-            k = keeper[spans[:, 3]]
-            gone = (k[:, 0] >= 0) & ~((k[:, 0] == block) & (k[:, 1] == row) & (k[:, 2] == idx))
+            rows, starts, ends, begin, n_chunks = B.unpack(held.pop(block))
+            first = last = np.zeros(0, np.int64)
+            if block in places:
+                first, last, place, n_words = B.unpack(places.pop(block))
+                keeper = np.full((n_words, 2), -1, np.int64)
+                for p in values.pop(block, []):
+                    at, x = B.unpack(p)
+                    keeper[at] = x
+                k = keeper[place]
+                gone = (k[:, 0] >= 0) & ~((k[:, 0] == block) & (k[:, 1] == np.arange(len(k))))
+                first, last = first[gone], last[gone]
+            cuts = np.searchsorted(first, begin)
             for i in range(0, len(rows), 1000):
                 out = []
                 for r in range(i, min(i + 1000, len(rows))):
-                    s = slice(begin[r], begin[r + 1])
+                    s = slice(cuts[r], cuts[r + 1])
                     cells, lost = list(rows[r]), 0
-                    if gone[s].any():
+                    if cuts[r] < cuts[r + 1]:
                         text = cells[at_text]
-                        kept, last = [], 0
-                        for a, b in spans[s][gone[s], 1:3].tolist():
-                            kept.append(text[last:a])
-                            lost += b - a
-                            last = b
-                        cells[at_text] = "".join([*kept, text[last:]]).strip()
+                        kept, done = [], 0
+                        for a, b in zip(starts[first[s]].tolist(), ends[last[s]].tolist()):
+                            kept.append(text[done:a])
+                            lost += b - max(a, done)
+                            done = b
+                        cells[at_text] = "".join([*kept, text[done:]]).strip()
                         if at_chars is not None:
                             cells[at_chars] = len(cells[at_text])
-                    out.append((*cells, int(begin[r + 1] - begin[r]), int(gone[s].sum()), lost))
+                    out.append((*cells, int(n_chunks[r]), int(cuts[r + 1] - cuts[r]), lost))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    rows = own.mapInArrow(cut, B.ROW)
-    valued = rows.repartitionById(n, F.col("slot")).mapInArrow(met, B.ROW)
-    return valued.repartition(n, "block").mapInArrow(finished, shape)
+    kept, path = written(own.mapInArrow(cut, B.ROW), "lines", partition_by="kind")
+    kept = kept.select("kind", "slot", "block", "payload")
+    again, _ = written(kept.where(F.col("kind") == B.WORDS).repartitionById(n, F.col("slot")).mapInArrow(numbered, B.ROW), "line-numbers")
+    drop_folder(spark, f"{path}/kind={B.WORDS}")
+    sent = kept.where(F.col("kind") == B.EXTRA).union(again).repartition(n, "block").mapInArrow(chunked, B.ROW)
+    valued = sent.repartitionById(n, F.col("slot")).mapInArrow(met, B.ROW)
+    return kept.where(F.col("kind") == B.DOCS).union(valued).repartition(n, "block").mapInArrow(finished, shape)
 
 
 def removal_report(docs: DataFrame, min_words: int = 10) -> DataFrame:
