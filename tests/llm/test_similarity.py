@@ -148,6 +148,24 @@ def test_line_dedup_finds_whole_short_passages(spark):
         assert got[i].split() == (text if i % 2 == 0 else around).split()
 
 
+def test_line_dedup_finds_passages_of_all_kinds(spark):
+    """One line without a sentence's end, inside another or alone; unspaced scripts; one string without blanks."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randrange(0xE01, 0xE2E)) for _ in range(n))
+    spaced = lambda n: " ".join(word() for _ in range(n))
+    kinds = [
+        (spaced(60), lambda: spaced(30), " ", 0.6), (spaced(150), lambda: spaced(30), " ", 0.85), (spaced(14), lambda: spaced(12), "\n", 1.0),
+        ("".join(han(18) + "。" for _ in range(5)), lambda: han(30) + "。", "", 1.0), (han(200), lambda: han(60), "", 0.8), (thai(300), lambda: thai(80), "", 0.8),
+        ("".join(rng.choices("0123456789abcdef", k=400)), lambda: "".join(rng.choices("0123456789abcdef", k=90)), "\n", 1.0),
+    ]
+    rows = [(2 * k + c, sep.join([other(), passage, other()])) for k, (passage, other, sep, _) in enumerate(kinds) for c in (0, 1)]
+    got = {r["doc_id"]: r for r in line_dedup.removal_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    for k, (passage, _, _, part) in enumerate(kinds):
+        assert got[2 * k]["removed_chars"] == 0 and part * len(passage) - 1 <= got[2 * k + 1]["removed_chars"] <= len(passage) + 1, k
+
+
 def weighted_jaccard(a, b):
     a, b = (collections.Counter(x.encode().lower().split()) for x in (a, b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))

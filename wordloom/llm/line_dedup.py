@@ -1,6 +1,7 @@
 """Operator 5: removal of repeated content-defined line chunks.
 
-A text is cut into lines, at line breaks and after sentence ends (a long line is many sentences). A chunk is a shortest run
+A text is cut into lines, at line breaks and after sentence ends (a long line is many sentences). A line of over ``LONG``
+words is cut further where a rolling hash over its words says so, or over its characters where there are no blanks. A chunk is a shortest run
 of lines with ``min_words`` words: one begins at each line and one ends at each line. Chunks overlap and depend on their own
 lines alone, so those of a passage are the same wherever it stands, and together they cover all its lines. Of each chunk that
 occurs more than once, the first occurrence (least doc_id, nulls last, then place) stays and the lines of the others are
@@ -30,7 +31,15 @@ from pyspark.sql import types as T
 from wordloom.llm import _blocks as B
 from wordloom.llm._common import drop_folder, short_batches, shuffle_width, written
 
-LINE_ENDS = re.compile(r"[.!?]+[ \t]+|\n\s*")
+LINE_ENDS = re.compile(r"[.!?]+[\"')\]’”»]*[ \t\xa0\u3000]+|[。！？｡．]+[」』）”’]*\s*|[؟۔।॥።။។]+\s*|[\n\r\v\f\x85\u2028\u2029]\s*")
+#: Characters of scripts written without blanks: two count as a word.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+NO_BLANKS = re.compile(f"[{UNSPACED}]")
+#: What a long line is cut between: words, but single characters of unspaced scripts and of strings of over 40 characters.
+ATOMS = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,40}}+(?![^\s{UNSPACED}])|\S")
+LONG = 24  # words in a line that is cut further
+PIECE = 4  # atoms in a piece of a long line, about
+CHARS = 8  # so many characters count as a word, if there are fewer words
 LAST = np.iinfo(np.int64).max  # where null doc_ids stand
 
 
@@ -40,14 +49,40 @@ def lines(text: str) -> list[tuple[int, str]]:
     for b in [*(m.end() for m in LINE_ENDS.finditer(text)), len(text)]:
         raw = text[a:b]
         if own := raw.strip():
-            out.append((a if raw[0] == own[0] else text.index(own, a), own))
+            start = a if raw[0] == own[0] else text.index(own, a)
+            if len(own) > LONG and weight(own) > LONG:
+                out += [(start + i, own[i:j]) for i, j in pieces(own)]
+            else:
+                out.append((start, own))
         a = b
     return out
 
 
+def pieces(line: str) -> list[tuple[int, int]]:
+    """Start and end of the pieces of a long line: a hash of two neighbouring atoms says whether the second ends a piece."""
+    import xxhash
+
+    out, start, before, end = [], None, 0, 0
+    for m in ATOMS.finditer(line):
+        a, end = m.span()
+        if start is None:
+            start = a
+        h = xxhash.xxh3_64_intdigest(line[a:end])
+        if ((before * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF) >> 40 & 0xFFFF < 0x10000 // PIECE:
+            out.append((start, end))
+            start = None
+        before = h
+    if start is not None:
+        out.append((start, end))
+    return out
+
+
 def weight(line: str) -> int:
-    """What a line counts for the least number of words: 1 at least."""
-    return len(line.split())
+    """What a line counts for the least number of words, by its words or by its characters: 1 at least."""
+    words = len(line.split())
+    if not line.isascii():
+        words += len(NO_BLANKS.findall(line)) // 2
+    return max(words, len(line) // CHARS)
 
 
 def runs(weights: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
