@@ -36,6 +36,21 @@ def test_lm_passes_agree_and_learn(spark, empty):
     assert ngram_lm.lm_scores(empty).count() == 0
 
 
+def test_lm_knows_pairs_seen_once(spark):
+    """A held-out copy of a training document whose pairs occur nowhere else scores above the same words in another order."""
+    trained = [i for i in range(200) if ngram_lm.remainder(i, 7) != 2]
+    held = [i for i in range(200) if ngram_lm.remainder(i, 7) == 2]
+    own = [i if i < 40 else i // 4 for i in trained]  # later texts occur several times, so pairs have a weight
+    rows = [(i, " ".join(f"w{(37 * t + k * (t + 1)) % 1009}" for k in range(60))) for i, t in zip(trained, own)]
+    rows = [r for r in rows if r[0] >= 40 or r[0] < 9]
+    copied = rows[5][1]
+    rows += [(held[0], copied), (held[1], " ".join(copied.split()[::-1]))]
+    got = {r["doc_id"]: r for r in ngram_lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    one, other = got[held[0]], got[held[1]]
+    assert one["held_out"] and other["held_out"] and abs(one["base_score"] - other["base_score"]) < 1e-6
+    assert one["score"] > other["score"] + 10
+
+
 def test_weights_from_the_histogram_are_those_of_the_tokens():
     rng = np.random.default_rng(3)
     r = np.concatenate([np.zeros(300), np.exp2(rng.uniform(-6, 14, 700))])

@@ -11,7 +11,7 @@ Rounding down keeps the sum over w at 1 or less. There is one lambda for each po
 likelihood of all training documents with one occurrence of the pair taken away. Up to a constant, that likelihood depends
 on the ratio of the two terms alone, so it is read from a histogram of ratios for each power, of a size that doesn't grow.
 
-The filter's size follows the pairs that repeat. Segments are sent out in passes of at most ``pass_mb`` megabytes, first to
+The filter's size follows the distinct pairs, which are all stored (``min_count`` is 1). Segments are sent out in passes of at most ``pass_mb`` megabytes, first to
 choose the weights, then to score; each token is seen in the passes that hold its pair's segment, and sums are added up.
 Blocks are put together with their words' counts once; the passes read them without a shuffle.
 """
@@ -108,7 +108,7 @@ def level_bounds(min_count: int, base: float, most: int = 1 << 40) -> np.ndarray
     return np.asarray(bounds, np.int64)
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, min_count: int = 2, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, pass_mb: int = 64, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, min_count: int = 1, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, pass_mb: int = 64, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Learns from the documents whose crc32(doc_id as text) mod ``folds`` isn't ``held``. Null text is empty: its only token
