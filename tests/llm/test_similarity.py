@@ -96,6 +96,12 @@ def test_components(spark):
     assert linked_labels(m).tolist() == [0, 1, 0, 3, 0]
 
 
+def test_components_that_run_out_of_rounds_are_an_error(spark):
+    path = spark.createDataFrame([((k * 37) % 101, ((k + 1) * 37) % 101) for k in range(100)], "a bigint, b bigint").repartition(20)
+    with pytest.raises(RuntimeError):
+        connected_components(path, most_rounds=1)
+
+
 def brute_lines(rows):
     seen, out = set(), []
     for i, t in rows:

@@ -55,7 +55,8 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(vertex, root) of each vertex with a link, root being the least vertex of its component; edges: (a, b), bigint.
 
-    Loops and repeated links are allowed; links with a null are ignored.
+    Loops and repeated links are allowed; links with a null are ignored. Raises an error if the stars aren't finished after
+    ``most_rounds``, which grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     own = edges.select(edges.columns[0], edges.columns[1]).toDF("a", "b").where("a is not null and b is not null and a <> b")
@@ -75,6 +76,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         path, before, mark = p4, mark, _mark(e)
         if mark == before:
             break
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components are not finished after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(roots)
 
