@@ -135,6 +135,12 @@ def test_line_dedup_keeps_the_first_of_repeated_rows(spark):
     assert [r["n_removed"] > 0 for r in got if r["doc_id"] is None] == [True]
 
 
+def test_line_dedup_keeps_ids_of_other_types(spark):
+    text = "\n".join(prose(k, 8) for k in range(30))
+    got = line_dedup.dedup_lines(spark.createDataFrame([("a", text), ("12", text), (None, text)], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "", r["n_removed"] > 0) for r in got) == [("", True), ("12", False), ("a", True)]
+
+
 def sentences(seed, n_words, k):
     """A passage of k sentences with n_words words altogether."""
     words = [f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(n_words)]

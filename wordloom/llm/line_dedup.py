@@ -109,14 +109,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
     n_chunks, n_removed, removed_chars.
 
     Null texts stay null, empty ones empty. Repeated rows are documents of their own: the later row loses its repeated
-    chunks. Columns named n_chunks, n_removed or removed_chars are replaced; an empty table gives an empty result.
+    chunks. doc_ids of other types than whole numbers keep their type; for the order of documents they are cast to bigint, and
+    those that can't be come last. Columns named n_chunks, n_removed or removed_chars are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     short_batches(spark)
     n = shuffle_width(spark)
     own = docs.drop("n_chunks", "n_removed", "removed_chars")
     names = own.columns
-    at_text, at_id = names.index("text"), names.index("doc_id")
+    at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
     shape = T.StructType([*own.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_chunks", "n_removed", "removed_chars")]])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -144,7 +145,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             key = (part << 24) | done
             of: dict = {}
             starts, seq, begin = [], [], [0]
-            for row in rows:
+            for row, _ in rows:
                 for a, line in lines(row[at_text] or ""):
                     starts.append(a)
                     seq.append(of.setdefault(line, len(of)))
@@ -154,14 +155,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             first, _ = runs(weights[seq], begin, min_words)
             ends = np.asarray(starts, np.int64) + np.fromiter(map(len, words), np.int64, len(words))[seq]
             n_chunks = np.diff(np.searchsorted(first, begin))
-            ids = np.asarray([LAST if row[at_id] is None else row[at_id] for row in rows], np.int64)
-            yield B._one(B.DOCS, home(key), key, B.pack((rows, np.asarray(starts, np.int32), ends.astype(np.int32), begin, n_chunks)))
+            ids = np.asarray([LAST if i is None else i for _, i in rows], np.int64)
+            yield B._one(B.DOCS, home(key), key, B.pack(([row for row, _ in rows], np.asarray(starts, np.int32), ends.astype(np.int32), begin, n_chunks)))
             yield B._one(B.EXTRA, home(key), key, B.pack((B.smallest(seq), B.smallest(weights), begin, ids)))
             yield from dealt(key, B.WORDS, words, B.smallest(np.bincount(seq, minlength=len(words))))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(row)
+            for *row, doc_id in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((tuple(row), doc_id))
                 size += len(row[at_text] or "")
                 if size >= block_bytes:
                     yield from close()
@@ -297,7 +298,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                     out.append((*cells, int(n_chunks[r]), int(cuts[r + 1] - cuts[r]), lost))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    kept, path = written(own.mapInArrow(cut, B.ROW), "lines", partition_by="kind")
+    numbered_rows = own.select("*", F.col("doc_id").cast("string").try_cast("bigint").alias("_order"))  # the order of documents goes by it
+    kept, path = written(numbered_rows.mapInArrow(cut, B.ROW), "lines", partition_by="kind")
     kept = kept.select("kind", "slot", "block", "payload")
     again, _ = written(kept.where(F.col("kind") == B.WORDS).repartitionById(n, F.col("slot")).mapInArrow(numbered, B.ROW), "line-numbers")
     drop_folder(spark, f"{path}/kind={B.WORDS}")
