@@ -211,6 +211,39 @@ def test_sampling_estimates_generalised_jaccard():
     assert (s.codes("") == 0).all()
 
 
+@pytest.mark.parametrize("n", [15_000, 60_000])
+def test_sampling_of_long_texts(n):
+    """Terms are words, not classes of words: disjoint texts are unlike, whatever their length; half of one is half like it."""
+    s = fingerprints.Sampler.get(512)
+    a, b = (" ".join(f"{c}{k}" for k in range(n)) for c in "ab")
+    half = " ".join(f"a{k}" for k in range(n // 2))
+    assert fingerprints.likeness(s.codes(a), s.codes(b)) < 0.02
+    assert abs(fingerprints.likeness(s.codes(a), s.codes(half)) - weighted_jaccard(a, half)) < 0.09
+    assert abs(fingerprints.likeness(s.codes(a), s.codes(a + " " + half)) - weighted_jaccard(a, a + " " + half)) < 0.09
+
+
+def test_a_full_sampler_draws_the_same_again():
+    s = fingerprints.Sampler(fingerprints.KEPT_CELLS // 256)  # room for 256 pairs
+    texts = [prose(k, 150) for k in range(12)]
+    assert all((a == b).all() for a, b in zip([s.codes(t) for t in texts], [s.codes(t) for t in texts]))
+
+
+def test_successors_of_hot_ids(spark):
+    """A third of the rows without an id and a third with one id: each row once, in the order, over several ranges."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k // 9}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = fingerprints.successors(df).collect()
+    own = [(r["span"], r["doc_id"], r["k2"], r["k3"], r["text"]) for r in got if not r["ahead"]]
+    assert key((i, t) for _, i, _, _, t in own) == key(rows)
+    whole = sorted(own, key=lambda r: (r[1] is None, -(r[1] or 0), r[2], r[3]))
+    assert [r[0] for r in whole] == sorted(r[0] for r in own) and len({r[0] for r in own}) == 4
+    heads = {r["span"]: (r["doc_id"], r["k2"], r["k3"], r["text"]) for r in got if r["ahead"]}
+    last = max(heads)
+    for span, head in heads.items():
+        assert head == next(r[1:] for r in whole if r[0] == (0 if span == last else span + 1))
+    assert max(sum(r[0] == s for r in own) for s in heads) < 400
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
