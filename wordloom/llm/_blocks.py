@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm._common import reducer_count
+
 DOCS, WORDS, VALUES, EXTRA = 0, 1, 2, 3
 ROW = "kind int, slot int, block bigint, payload binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
@@ -40,6 +42,14 @@ def unpack(b: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
+def squeezed(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b)
+
+
+def expanded(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def word_hash(words: list) -> np.ndarray:
     """64-bit hashes, the same in each process."""
     import xxhash
@@ -96,6 +106,40 @@ def apart(sizes: np.ndarray, data: bytes) -> Iterator[bytes]:
     return (data[a:b] for a, b in zip([0, *ends], ends))
 
 
+def by_slot(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each slot that occurs, and where, in order."""
+    order = np.argsort(slot, kind="stable")
+    if len(order):
+        own = slot[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        yield from zip(own[first].tolist(), np.split(order, first[1:]))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+    """Groups of rows of equal values in a column, of batches sorted by it: one group at a time is held."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[column] != key:
+                yield key, rows
+                rows = []
+            key = row[column]
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def to_buckets(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of a slot together, one slot after the other; several slots may share a reducer."""
+    reducers = reducer_count(rows.sparkSession, n)
+    return rows.repartitionById(reducers, F.pmod("slot", F.lit(reducers))).sortWithinPartitions("slot")
+
+
+def to_blocks(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of a block together, one block after the other."""
+    return rows.repartition(reducer_count(rows.sparkSession, n), "block").sortWithinPartitions("block")
+
+
 class Index:
     """The words of a block's documents."""
 
@@ -110,7 +154,7 @@ class Index:
         self.chunks.append(np.fromiter(map(self.of.__getitem__, words), np.int32, len(words)))
         self.bytes += size
 
-    def closed(self, buckets: int) -> tuple[list, np.ndarray, np.ndarray, list, np.ndarray]:
+    def closed(self, buckets: int, route: Callable | None = None) -> tuple[list, np.ndarray, np.ndarray, list, np.ndarray]:
         """Row ids, words a row, positions of all words, the distinct words and their buckets.
 
         Distinct words are in falling order of frequency, those of a frequency by bucket: a bucket's are then mostly in a row.
@@ -118,18 +162,19 @@ class Index:
         words = list(self.of)
         pos = np.concatenate(self.chunks) if self.chunks else np.zeros(0, np.int32)
         # Another hash than the bucket number's own, so that buckets and hash partitions are independent.
-        slot = (mixed(word_hash(words) ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+        slot = (mixed(word_hash(words if route is None else list(map(route, words))) ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((slot, -np.bincount(pos, minlength=len(words))))
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
         return self.ids, np.asarray(self.lengths, np.int64), rank[pos], [words[i] for i in order], slot[order]
 
 
-def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: int = BLOCK_BYTES, extra: Callable | None = None, counted: Callable | None = None) -> DataFrame:
+def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: int = BLOCK_BYTES, extra: Callable | None = None, counted: Callable | None = None, route: Callable | None = None) -> DataFrame:
     """Rows of ``docs(doc_id, text)`` as DOCS and WORDS rows.
 
     split() makes a function of a text that returns its words; extra(ids, lengths, positions, words) may return more
-    (slot, payload) rows of kind EXTRA; counted(ids) says which documents count in the words' frequencies, else all do.
+    (slot, payload) rows of kind EXTRA; counted(ids) says which documents count in the words' frequencies, else all do; words are
+    dealt to buckets by their hash, or by that of route(word).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +182,15 @@ def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: in
         block = Index()
 
         def close() -> Iterator[pa.RecordBatch]:
-            ids, lengths, pos, words, slot = block.closed(buckets)
+            ids, lengths, pos, words, slot = block.closed(buckets, route)
             key = (part << 24) | done
             if counted is None:
                 times = np.bincount(pos, minlength=len(words))
             else:
                 times = np.bincount(pos[np.repeat(np.asarray(counted(ids), bool), lengths)], minlength=len(words))
             rows = [(DOCS, int(mixed(np.asarray([key], np.uint64))[0] % np.uint64(buckets)), pack((ids, lengths, len(words), pack_positions(pos))))]
-            order = np.argsort(slot, kind="stable")
-            ends = np.searchsorted(slot[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = order[ends[b] : ends[b + 1]]
-                if len(at):
-                    rows.append((WORDS, b, pack((steps(at), [words[i] for i in at], smallest(times[at])))))
+            for b, at in by_slot(slot):
+                rows.append((WORDS, b, pack((steps(at), [words[i] for i in at], smallest(times[at])))))
             if extra is not None:
                 rows += [(EXTRA, s, p) for s, p in extra(ids, lengths, pos, words)]
             for i in range(0, len(rows), 64):
@@ -173,66 +214,61 @@ def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...]
     """Bring each bucket's WORDS rows together and make VALUES rows of them; rows of pass_kinds go through.
 
     value() makes a function of (distinct words, their counts) that returns a list of bytes or an array, one value a word. extra()
-    makes a function of (slot, the distinct words' counts, payloads of EXTRA rows) that returns (kind, slot, payload) rows.
+    makes a function of (slot, the distinct words' counts, [(block, payload)] of EXTRA rows) that returns (kind, slot, block, payload)
+    rows. One bucket is held at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, more = defaultdict(list), defaultdict(list)
-        for batch in batches:
-            for kind, slot, block, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == WORDS:
-                    held[slot].append((block, payload))
-                elif kind in pass_kinds:
-                    yield _one(kind, slot, block, payload)
-                else:
-                    more[slot].append(payload)
         make = value()
         other = extra() if extra is not None else None
-        for slot in sorted({*held, *more}):
+        for slot, rows in grouped(batches, 1):
             of: dict = defaultdict()
             of.default_factory = of.__len__
-            packets, total = [], np.zeros(0, np.int64)
-            for block, payload in held.pop(slot, []):
-                at, words, times = unpack(payload)
-                pos = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
-                if len(of) > len(total):
-                    total = np.concatenate([total, np.zeros(max(len(of), 2 * len(total)) - len(total), np.int64)])
-                total[pos] += times  # a block's words are distinct
-                packets.append((block, at, pos))
+            packets, more, total = [], [], np.zeros(0, np.int64)
+            for kind, _, block, payload in rows:
+                if kind in pass_kinds:
+                    yield _one(kind, slot, block, payload)
+                elif kind != WORDS:
+                    more.append((block, payload))
+                else:
+                    at, words, times = unpack(payload)
+                    pos = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+                    if len(of) > len(total):
+                        total = np.concatenate([total, np.zeros(max(len(of), 2 * len(total)) - len(total), np.int64)])
+                    total[pos] += times  # a block's words are distinct
+                    packets.append((block, at, pos))
+            rows.clear()
             total = total[: len(of)]
             values = make(list(of), total) if of else []
             array = values if isinstance(values, np.ndarray) else None
             for block, at, pos in packets:
                 yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else joined([values[i] for i in pos]))))
-            if other is not None:
-                for kind, s, payload in other(slot, total, more.pop(slot, [])):
-                    yield _one(kind, s, -1, payload)
+            del packets, values, array, of
+            if other is not None and (more or len(total)):
+                for row in other(slot, total, more):
+                    yield _one(*row)
 
-    return rows.repartitionById(n, F.col("slot")).mapInArrow(run, ROW)
+    return to_buckets(rows, n).mapInArrow(run, ROW)
 
 
 def _one(kind: int, slot: int, block: int, payload: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([slot], pa.int32()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], schema=_ARROW)
 
 
-def reassemble(rows: DataFrame, n: int, finish: Callable, schema: str) -> DataFrame:
-    """Put the VALUES of each block into its words' places.
+def reassemble(rows: DataFrame, n: int, finish: Callable, schema: str, extra: int | None = None) -> DataFrame:
+    """Put the VALUES of each block into its words' places. One block is held at a time.
 
     finish() makes a function of (block, ids, lengths, positions, values in the order of the block's words) that yields
-    record batches of ``schema``.
+    record batches of ``schema``; with ``extra``, a kind of rows, also of [(slot, payload)] of the block's rows of that kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, docs, parts = finish(), {}, defaultdict(list)
-        for batch in batches:
-            for kind, block, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if kind == DOCS:
-                    docs[block] = payload
-                else:
-                    parts[block].append(payload)
-        for block in sorted(docs):
-            ids, lengths, n_words, packed = unpack(docs.pop(block))
-            found = [unpack(p) for p in parts.pop(block, [])]
+        make = finish()
+        for block, rows in grouped(batches, 2):
+            ids, lengths, n_words, packed = unpack(next(r[3] for r in rows if r[0] == DOCS))
+            found = [unpack(r[3]) for r in rows if r[0] == VALUES]
+            more = [[(r[1], r[3]) for r in rows if r[0] == extra]] if extra is not None else []
+            rows.clear()
             if found and isinstance(found[0][1], np.ndarray):
                 values = np.zeros((n_words, *found[0][1].shape[1:]), found[0][1].dtype)
                 for at, v in found:
@@ -242,6 +278,7 @@ def reassemble(rows: DataFrame, n: int, finish: Callable, schema: str) -> DataFr
                 for at, v in found:
                     for i, x in zip(np.cumsum(at, dtype=np.int64).tolist(), apart(*v)):
                         values[i] = x
-            yield from make(block, ids, lengths, unpack_positions(packed), values)
+            found.clear()
+            yield from make(block, ids, lengths, unpack_positions(packed), values, *more)
 
-    return rows.repartition(n, "block").mapInArrow(run, schema)
+    return to_blocks(rows, n).mapInArrow(run, schema)

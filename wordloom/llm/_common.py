@@ -26,10 +26,36 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the source for each bucket of distinct words, lines or n-grams, which one task holds at a time.
+BUCKET_BYTES = 8 << 20
+#: Most buckets, and most reducers that they are dealt to.
+MOST_BUCKETS, MOST_REDUCERS = 1 << 20, 20_000
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads, as the planner knows it; sources of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Number of buckets: as many as the session has reducers, more where the source is large for them."""
+    return max(shuffle_width(df.sparkSession), min(MOST_BUCKETS, -(-source_bytes(df) // BUCKET_BYTES)))
+
+
+def reducer_count(spark: SparkSession, buckets: int) -> int:
+    """Number of reducers that so many buckets are dealt to."""
+    return min(buckets, max(shuffle_width(spark), MOST_REDUCERS))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one when it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests),
+    an error on a cluster, whose machines don't share such a folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

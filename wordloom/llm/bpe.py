@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import short_batches, shuffle_width, texts
+from wordloom.llm._common import short_batches, bucket_count, texts
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -116,7 +116,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = B.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    n = shuffle_width(spark)
+    n = bucket_count(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), *([("decoded", pa.binary())] if decode_too else [])])
 
     def finish():

@@ -1,19 +1,22 @@
-"""Operator 4: language-model scores from a log-frequency Bloom filter.
+"""Operator 4: language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counts of words are exact: they are joined to the documents block by block (see ``_blocks``). Counts of word pairs are
-summed in buckets of the pair's hash; each bucket's reducer turns those of ``min_count`` and more into a segment of a
-Bloom filter that holds level 1, 2, ... of a pair up to its quantised log count. The segments are broadcast and probed
-level by level until a probe fails, which gives the count rounded down to the level. Probabilities are
+A trigram model. Counts of words are exact: they are joined to the documents block by block (see ``_blocks``). Pairs and
+triples of words, all of them, are kept in a Bloom filter that holds level 1, 2, ... of an n-gram up to its quantised log count;
+levels are probed one by one until one fails, which gives the count rounded down to a level's bound.
 
-    p(w | h) = lambda * q(h, w) / c(h) + (1 - lambda) * (c(w) + 1) / (N + V + 1)
+The filter is cut into segments by the n-gram's hash. A block sends its distinct n-grams, and how often its training documents
+have them, to the segments' buckets. The bucket's reducer adds the counts up, fills its segment, probes it once for each
+distinct n-gram of the bucket, held-out ones too, and sends each block the levels found, a byte each. So no segment leaves its
+reducer: a filter broadcast to all workers would grow with the corpus, without a bound. Data sent grow in proportion to the
+corpus; the number of buckets with it too. Probabilities are
 
-Rounding down keeps the sum over w at 1 or less. There is one lambda for each power of two of c(h), chosen by the
-likelihood of all training documents with one occurrence of the pair taken away. Up to a constant, that likelihood depends
-on the ratio of the two terms alone, so it is read from a histogram of ratios for each power, of a size that doesn't grow.
+    p1(w)     = (c(w) + 1) / (N + V + 1)
+    p2(w | v) = (q(v, w) + m2 * p1(w)) / (c(v) + m2)
+    p3(w | u v) = (q(u, v, w) + m3 * p2(w | v)) / (Q(u, v) + m3)
 
-The filter's size follows the distinct pairs, which are all stored (``min_count`` is 1). Segments are sent out in passes of at most ``pass_mb`` megabytes, first to
-choose the weights, then to score; each token is seen in the passes that hold its pair's segment, and sums are added up.
-Blocks are put together with their words' counts once; the passes read them without a shuffle.
+where q is the count found, rounded down, and Q the upper bound of the level found, so that the sum over w stays at 1 or less
+(but for the filter's false positives). A text begins after an end; its first word has no triple. m2 and m3 (``prior2``,
+``prior3``) are pseudo-counts.
 """
 
 from __future__ import annotations
@@ -27,14 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import drop_folder, short_batches, shuffle_width, texts, written
+from wordloom.llm._common import bucket_count, drop_folder, short_batches, texts, written
 
 END = b"\n"  # no word can hold it
-STATS, SEGMENT = 4, 5
-#: Ratios of the two terms, in eighths of powers of two from 2^-48 to 2^48; the first bin is for zero.
-BINS = 1 + 96 * 8
-GRID = np.asarray([0.0, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
-SALT = np.uint64(0xD6E8FEB86659FD93)
+STATS, LEVELS = 4, 5
+#: Bits of an n-gram's hash by which it is told.
+HASH_BITS = 52
 
 
 def tokens(text: str) -> list[bytes]:
@@ -47,68 +48,110 @@ def remainder(doc_id, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def chained(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from the hash of all but its last word and that of the last word."""
     with np.errstate(over="ignore"):
         return B.mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def slot_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (B.mixed(h ^ SALT) % np.uint64(buckets)).astype(np.int64)
-
-
 class LogFrequencyFilter:
-    """Segments of a Bloom filter; each has its own length in bits and is addressed by the slot of a pair."""
+    """A segment of a Bloom filter of n-grams and levels."""
 
-    def __init__(self, thresholds: np.ndarray, hashes: int):
-        self.thresholds, self.hashes = thresholds, hashes
+    def __init__(self, thresholds: np.ndarray, hashes: int, bits_per_entry: float):
+        self.thresholds, self.hashes, self.bits_per_entry = thresholds, hashes, bits_per_entry
+        self.bits = np.zeros(64, np.uint8)
 
     def walk(self, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the bits of entries (hash and level) start, and their steps; modulo the segment's length."""
         with np.errstate(over="ignore"):
             a = B.mixed(h + level.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        return a, B.mixed(a ^ SALT) | np.uint64(1)
-
-    def build(self, h: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple[np.ndarray, int]:
-        """A segment's bits and their number."""
-        top = np.searchsorted(self.thresholds, counts, "right")  # levels 1..top
-        entry = np.repeat(np.arange(len(h)), top)
-        level = np.arange(len(entry)) - np.repeat(np.cumsum(top) - top, top) + 1
-        m = max(64, int(len(entry) * bits_per_entry) // 8 * 8)
-        bits = np.zeros(m, bool)
-        a, step = self.walk(h[entry], level)
-        for _ in range(self.hashes):
-            bits[(a % np.uint64(m)).astype(np.int64)] = True
-            a = a + step
-        return np.packbits(bits, bitorder="little"), m
-
-    def counts(self, h: np.ndarray, start: np.ndarray, m: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """The lower bound of the highest level found of each hash; start and m: its segment's first byte and bits."""
-        found = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h))
-        for k, bound in enumerate(self.thresholds.tolist()):
-            a, step = self.walk(h[alive], np.full(len(alive), k + 1))
-            mod, byte = m[alive], start[alive]
-            for _ in range(self.hashes):
-                at = (a % mod).astype(np.int64)
-                hit = np.flatnonzero((data[byte + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
-                alive, step, mod, byte = alive[hit], step[hit], mod[hit], byte[hit]
-                a = a[hit] + step
-            if not len(alive):
-                break
-            found[alive] = bound
-        return found
-
-
-def level_bounds(min_count: int, base: float, most: int = 1 << 40) -> np.ndarray:
-    """Least counts of the levels: min_count, then in steps of the base."""
-    bounds, x = [min_count], float(min_count)
+        return a, (a >> np.uint64(29)) * np.uint64(2) + np.uint64(1)
+
+    def fill(self, h: np.ndarray, counts: np.ndarray) -> None:
+        """Store n-grams and their counts of 1 or more; the segment's length follows the number of entries."""
+        top = np.searchsorted(self.thresholds, counts, "right").astype(np.int8)  # levels 1..top
+        m = np.uint64(max(64, int(top.sum(dtype=np.int64) * self.bits_per_entry)))
+        self.bits = np.zeros(int(m), np.uint8)  # a byte a bit while it is in use: faster to fill and to probe
+        level = 0
+        while len(h):
+            level += 1
+            some = top >= level
+            h, top = h[some], top[some]
+            for i in range(0, len(h), 1 << 20):
+                own = h[i : i + (1 << 20)]
+                a, step = self.walk(own, np.full(len(own), level))
+                for _ in range(self.hashes):
+                    self.bits[(a % m).astype(np.int64)] = 1
+                    a += step
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The highest level found of each hash, 0 for none: levels are probed from the first on until one fails."""
+        out, m = np.zeros(len(h), np.uint8), np.uint64(len(self.bits))
+        for i in range(0, len(h), 1 << 20):
+            alive = np.arange(i, min(len(h), i + (1 << 20)))
+            for k in range(1, len(self.thresholds) + 1):
+                a, step = self.walk(h[alive], np.full(len(alive), k))
+                for _ in range(self.hashes):
+                    hit = np.flatnonzero(self.bits[(a % m).astype(np.int64)])
+                    alive, step = alive[hit], step[hit]
+                    a = a[hit] + step
+                if not len(alive):
+                    break
+                out[alive] = k
+        return out
+
+
+def level_bounds(base: float, most: int = 1 << 40) -> np.ndarray:
+    """Least counts of the levels: 1, 2, then in steps of the base."""
+    bounds, x = [1], 1.0
     while bounds[-1] < most:
         x = max(x * base, bounds[-1] + 1)
         bounds.append(int(np.ceil(x)))
     return np.asarray(bounds, np.int64)
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, min_count: int = 1, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, pass_mb: int = 64, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+class Grams:
+    """The distinct pairs and triples of a block's tokens in the order of their hashes, which is that of the buckets too; the same
+    whenever it is made of the same block.
+
+    pos: positions of all tokens in the list of distinct words; word: these words' hashes; end: the end's position.
+    """
+
+    def __init__(self, lengths: np.ndarray, pos: np.ndarray, word: np.ndarray, end: int, buckets: int):
+        own = word[pos]
+        before = np.empty_like(own)
+        before[1:], before[:1] = own[:-1], word[end]  # each document ends with the end
+        two = chained(before, own)
+        # A triple is a pair followed by a word; the first word of a text ends none.
+        self.inner = np.ones(len(pos), bool)
+        self.inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+        at = np.flatnonzero(self.inner)
+        self.hashes, place = np.unique(np.concatenate([two, chained(two[at - 1], own[at])]) >> np.uint64(64 - HASH_BITS), return_inverse=True)
+        self.pair, self.triple = place[: len(pos)], place[len(pos) :]
+        self.history = self.pair[at - 1]
+        bounds = [-(-(s << HASH_BITS) // buckets) for s in range(buckets)]
+        self.ends = np.append(np.searchsorted(self.hashes, np.asarray(bounds, np.uint64)), len(self.hashes))
+
+    def times(self, counted: np.ndarray) -> np.ndarray:
+        """How often the n-grams occur among the counted tokens."""
+        n = len(self.hashes)
+        return np.bincount(self.pair[counted], minlength=n) + np.bincount(self.triple[counted[self.inner]], minlength=n)
+
+
+def _planes(x: np.ndarray) -> list[bytes]:
+    """Whole numbers from 0 as one compressed string for each of their bytes."""
+    size = int(x.max() if len(x) else 0).bit_length() + 7 >> 3
+    return [B.squeezed(((x >> (8 * k)) & 255).astype(np.uint8).tobytes()) for k in range(size)]
+
+
+def _of_planes(planes: list[bytes], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for k, p in enumerate(planes):
+        out |= np.frombuffer(B.expanded(p), np.uint8).astype(np.int64) << (8 * k)
+    return out
+
+
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, prior2: float = 40.0, prior3: float = 3.0, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Learns from the documents whose crc32(doc_id as text) mod ``folds`` isn't ``held``. Null text is empty: its only token
@@ -117,202 +160,93 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, min_count: int = 1
     """
     spark = docs.sparkSession
     short_batches(spark)
-    n = shuffle_width(spark)
-    model = LogFrequencyFilter(level_bounds(min_count, base), hashes)
-    trained = lambda ids: [remainder(i, folds) != held for i in ids]
-
-    def pairs(ids, lengths, pos, words):
-        """The training documents' word pairs and their counts in this block, by slot."""
-        keep = np.repeat(np.asarray(trained(ids), bool), lengths)
-        before = np.empty_like(pos)
-        before[1:], before[:1] = pos[:-1], words.index(END)
-        key, times = np.unique(before[keep].astype(np.int64) * len(words) + pos[keep], return_counts=True)
-        h = B.word_hash(words)
-        h = pair_hash(h[key // len(words)], h[key % len(words)])
-        slot = slot_of(h, n)
-        order = np.argsort(slot, kind="stable")
-        ends = np.searchsorted(slot[order], np.arange(n + 1))
-        for s in range(n):
-            at = order[ends[s] : ends[s + 1]]
-            if len(at):
-                yield s, B.pack((h[at], times[at].astype(np.int32)))
+    n = bucket_count(docs)
+    bounds = level_bounds(base)
+    trained = lambda ids: np.asarray([remainder(i, folds) != held for i in ids], bool)
+
+    def ngrams(ids, lengths, pos, words):
+        """The block's n-grams and their counts in training documents, by bucket."""
+        g = Grams(lengths, pos, B.word_hash(words), words.index(END), n)
+        times = g.times(np.repeat(trained(ids), lengths))
+        for s in np.flatnonzero(np.diff(g.ends)).tolist():
+            at = slice(g.ends[s], g.ends[s + 1])
+            yield s, B.pack((int(g.ends[s + 1] - g.ends[s]), _planes(np.diff(g.hashes[at].view(np.int64), prepend=0)), _planes(times[at])))
 
     def value():
         return lambda words, total: np.stack([total, B.word_hash(words).view(np.int64)], axis=1)
 
     def reduced():
-        def make(slot, total, payloads):
-            parts = [B.unpack(p) for p in payloads]
-            h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-            times = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-            del parts
-            order = np.argsort(h)
-            h, times = h[order], times[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            times = np.add.reduceat(times, first) if len(first) else times
-            often = times >= min_count
-            bits, m = model.build(h[first][often], times[often], bits_per_entry)
-            yield STATS, slot, B.pack((int(total.sum()), int((total > 0).sum()), m))
-            yield SEGMENT, slot, bits.tobytes()
+        def make(slot, total, packets):
+            yield STATS, slot, -1, B.pack((int(total.sum()), int((total > 0).sum())))
+            h, times, blocks = [], [], []
+            for block, payload in packets:
+                size, steps, counts = B.unpack(payload)
+                h.append(np.cumsum(_of_planes(steps, size)).view(np.uint64))
+                times.append(_of_planes(counts, size))
+                blocks.append(block)
+            if not h:
+                return
+            ends = np.cumsum([len(x) for x in h])
+            own, times = np.concatenate(h), np.concatenate(times)
+            h.clear()
+            distinct, place = np.unique(own, return_inverse=True)
+            counts = np.bincount(place, times, len(distinct)).astype(np.int64)
+            segment = LogFrequencyFilter(bounds, hashes, bits_per_entry)
+            segment.fill(distinct[counts > 0], counts[counts > 0])
+            found = segment.levels(distinct)[place]
+            for block, a, b in zip(blocks, [0, *ends.tolist()], ends.tolist()):
+                yield LEVELS, slot, block, B.squeezed(found[a:b].tobytes())
 
         return make
 
-    rows = B.index_blocks(texts(docs), lambda: tokens, n, block_bytes, extra=pairs, counted=trained)
-    kept, path = written(B.valued(rows, n, value, extra=reduced), "lm")
-    stats = {r["slot"]: B.unpack(bytes(r["payload"])) for r in kept.where(F.col("kind") == STATS).select("slot", "payload").collect()}
-    n_train, n_words = sum(s[0] for s in stats.values()), sum(s[1] for s in stats.values())
-    bits_of = np.full(n, 64, np.int64)
-    for s, (_, _, m) in stats.items():
-        bits_of[s] = m
-
-    passes, size = [[]], 0
-    for s in range(n):
-        if size and size + bits_of[s] > pass_mb * 8_000_000:
-            passes.append([])
-            size = 0
-        passes[-1].append(s)
-        size += bits_of[s]
-    segments, _ = written(kept.where(F.col("kind") == SEGMENT).select("slot", "payload"), "lm-segments")
-    blocks, _ = written(B.reassemble(kept.where(F.col("kind").isin(B.DOCS, B.VALUES)), n, _together, "block bigint, payload binary"), "lm-blocks")
-    drop_folder(spark, path)
-    size = n_train + n_words + 1
-
-    ratios = np.zeros((64, BINS), np.int64)
-    for slots in passes:
-        probe = _Segments(segments, slots, bits_of, n, model)
-        for r in blocks.mapInArrow(_tuning(probe, size, trained), "bin int, times bigint").groupBy("bin").agg(F.sum("times").alias("times")).collect():  # at most 64 * BINS rows
-            ratios.flat[r["bin"]] += r["times"]
-        if len(passes) > 1:
-            probe.shared.destroy()
-    weights = best_weights(ratios)
-
-    parts = []
-    for k, slots in enumerate(passes):
-        if len(passes) > 1:
-            probe = _Segments(segments, slots, bits_of, n, model)
-        part = blocks.mapInArrow(_scoring(probe, size, weights, k == 0), SCORES)
-        if len(passes) > 1:
-            part, _ = written(part, "lm-scores")  # one pass's segments at a time
-            probe.shared.destroy()
-        parts.append(part)
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known")), *(F.sum(c).alias(c) for c in ("base_score", "score")))
+    rows = B.index_blocks(texts(docs), lambda: tokens, n, block_bytes, extra=ngrams, counted=trained)
+    kept, path = written(B.valued(rows, n, value, extra=reduced), "lm", "kind")
+    kept = kept.select("kind", "slot", "block", "payload")
+    stats = [B.unpack(bytes(r["payload"])) for r in kept.where(F.col("kind") == STATS).select("payload").collect()]  # two numbers a bucket
+    n_train, n_words = sum(s[0] for s in stats), sum(s[1] for s in stats)
+    scored = B.reassemble(kept.where(F.col("kind") != STATS), n, _scoring(bounds, n_train + n_words + 1, prior2, prior3, n), SCORES, extra=LEVELS)
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-SCORES = "block bigint, row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-
-
-class _Segments:
-    """The filter's segments of some slots, broadcast: one pass's."""
-
-    def __init__(self, segments: DataFrame, slots: list[int], bits_of: np.ndarray, n: int, model: LogFrequencyFilter):
-        self.n, self.model, self.bits = n, model, bits_of.astype(np.uint64)
-        start, data, at = np.full(n, -1, np.int64), [], 0
-        found = {r["slot"]: bytes(r["payload"]) for r in segments.where(F.col("slot").isin(slots)).collect()}
-        for s in slots:
-            start[s] = at
-            data.append(found.pop(s, bytes(8)))
-            at += len(data[-1])
-        self.shared = segments.sparkSession.sparkContext.broadcast((start, np.frombuffer(b"".join(data), np.uint8)))
-
-    def chunks(self, lengths: np.ndarray, pos: np.ndarray, values: np.ndarray, only: np.ndarray | None = None, most: int = 300_000) -> Iterator[tuple]:
-        """Some hundred thousand tokens at once: rows i to j, where each begins, c(w), c(h), q(h, w), and which are of this pass.
-
-        Each distinct pair is probed once. only: rows to look at; the tokens of others are left out.
-        """
-        start, data = self.shared.value
-        count, h = values[:, 0], np.ascontiguousarray(values[:, 1]).view(np.uint64)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        i = 0
-        while i < len(lengths):
-            j = min(len(lengths), max(i + 1, int(np.searchsorted(ends, ends[i] + most))))
-            own = pos[ends[i] : ends[j]]
-            before = np.empty_like(own)
-            before[1:], before[0] = own[:-1], own[-1]  # each document ends with the end
-            if only is not None:
-                looked = np.repeat(only[i:j], lengths[i:j])
-                own, before = own[looked], before[looked]
-            pair, place = np.unique(before.astype(np.int64) * len(h) + own, return_inverse=True)
-            one, two = pair // len(h), pair % len(h)
-            hashes = pair_hash(h[one], h[two])
-            slot = slot_of(hashes, self.n)
-            here = start[slot] >= 0
-            q = np.zeros(len(pair), np.int64)
-            q[here] = self.model.counts(hashes[here], start[slot[here]], self.bits[slot[here]], data)
-            q = np.minimum(q, np.minimum(count[two], count[one]))
-            yield i, j, ends[i:j] - ends[i], count[own], count[before], q[place], here[place]
-            i = j
-
-
-def _power(ch: np.ndarray) -> np.ndarray:
-    return np.frexp(ch.astype(np.float64))[1]
-
-
-def best_weights(ratios: np.ndarray) -> np.ndarray:
-    """The weight of the grid with the highest likelihood, for each power of c(h); 0.1 where nothing was seen."""
-    r = np.concatenate([[0.0], np.exp2((np.arange(BINS - 1) + 0.5) / 8 - 48)])
-    likelihood = ratios @ np.log(GRID[None, :] * r[:, None] + 1 - GRID[None, :])
-    return np.where(ratios.any(axis=1), GRID[likelihood.argmax(axis=1)], 0.1)
-
-
-def _together():
-    """A block's documents and its words' counts and hashes as one row."""
-
-    def make(block, ids, lengths, pos, values) -> Iterator[pa.RecordBatch]:
-        payload = B.pack((ids, lengths, B.pack_positions(pos), values))
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
-
-    return make
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids, lengths, pos, values = B.unpack(payload.as_py())
-            yield block, ids, lengths, B.unpack_positions(pos), values
-
-
-def _tuning(probe: _Segments, size: int, trained):
-    """Numbers of training tokens by power of two of c(h) and ratio of the two terms, with one occurrence of the pair taken away."""
-    lower = np.concatenate([[0, 0], probe.model.thresholds])  # the next level down; none below the first
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(64 * BINS, np.int64)
-        for _, ids, lengths, pos, values in _opened(batches):
-            train = np.asarray(trained(ids), bool)
-            for _, _, _, c, ch, q, here in probe.chunks(lengths, pos, values, train):
-                at = here & (ch > 1)
-                q = lower[np.searchsorted(probe.model.thresholds, q[at], "right")]
-                r = (q / (ch[at] - 1)) / (np.maximum(c[at], 1) / size)
-                ratio = np.zeros(len(r), np.int64)
-                some = r > 0
-                ratio[some] = 1 + np.clip((np.log2(r[some]) + 48) * 8, 0, BINS - 2).astype(np.int64)
-                totals += np.bincount(_power(ch[at]) * BINS + ratio, minlength=len(totals))
-        found = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(totals[found])], names=["bin", "times"])
-
-    return run
-
-
-def _scoring(probe: _Segments, size: int, weights: np.ndarray, base_too: bool):
-    """Scores of the tokens of this pass, summed by document."""
-    names = ["block", "row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-    schema = pa.schema(list(zip(names, [*[pa.int64()] * 5, pa.float64(), pa.float64()])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, lengths, pos, values in _opened(batches):
-            for i, j, first, c, ch, q, here in probe.chunks(lengths, pos, values):
-                u = (c + 1) / size
-                w = weights[_power(ch)]
-                w[ch == 0] = 0
-                token = np.where(here, np.log10(w * q / np.maximum(ch, 1) + (1 - w) * u), 0.0)
-                base = np.add.reduceat(np.log10(u), first) if base_too else np.zeros(j - i)
-                known = np.add.reduceat((c > 0).astype(np.int64), first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, block)), pa.array(np.arange(i, j)), pa.array(ids[i:j], pa.int64()), pa.array(lengths[i:j]), pa.array(known), pa.array(base), pa.array(np.add.reduceat(token, first))], schema=schema)
-
-    return run
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def token_scores(c: np.ndarray, cv: np.ndarray, q2: np.ndarray, q3: np.ndarray, up: np.ndarray, size: int, prior2: float, prior3: float) -> np.ndarray:
+    """log10 probabilities from c(w), c(v), q(v, w), q(u, v, w) and Q(u, v); Q is 0 where the history is unseen."""
+    p1 = (c + 1) / size
+    p2 = (q2 + prior2 * p1) / (cv + prior2)
+    return np.log10((np.minimum(q3, up) + prior3 * p2) / (up + prior3))
+
+
+def _scoring(bounds: np.ndarray, size: int, prior2: float, prior3: float, buckets: int):
+    """Scores of a block's documents from its words' counts and the levels of its n-grams."""
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    schema = pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.float64()] * 2)))
+    least = np.concatenate([[0], bounds])
+    most = np.concatenate([[0], bounds[1:] - 1, [np.iinfo(np.int64).max]])
+
+    def finish():
+        def make(_, ids, lengths, pos, values, levels) -> Iterator[pa.RecordBatch]:
+            count, word = values[:, 0], np.ascontiguousarray(values[:, 1]).view(np.uint64)
+            g = Grams(lengths, pos, word, int(pos[lengths[0] - 1]), buckets)
+            level = np.zeros(len(g.hashes), np.uint8)
+            for slot, payload in levels:
+                level[g.ends[slot] : g.ends[slot + 1]] = np.frombuffer(B.expanded(payload), np.uint8)
+            ends = np.cumsum(lengths)
+            c = count[pos]
+            cv = np.empty_like(c)
+            cv[1:], cv[0] = c[:-1], c[ends[0] - 1]
+            q2 = np.minimum(least[level[g.pair]], np.minimum(c, cv))
+            q3, up = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+            q3[g.inner], up[g.inner] = least[level[g.triple]], most[level[g.history]]
+            up[1:] = np.minimum(up[1:], cv[:-1])  # a pair is no commoner than its words
+            up = np.minimum(up, cv)
+            score = token_scores(c, cv, q2, np.minimum(q3, q2), up, size, prior2, prior3)
+            first = ends - lengths
+            sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / size), score)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths), *map(pa.array, sums)], schema=schema)
+
+        return make
+
+    return finish
