@@ -17,21 +17,28 @@ Lines and chunks are sent once for each block of documents, so one that a third
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import drop_folder, short_batches, shuffle_width, written
-
-LINE_ENDS = re.compile(r"[.!?]+[\"')\]’”»]*[ \t\xa0\u3000]+|[。！？｡．]+[」』）”’]*\s*|[؟۔।॥።။។]+\s*|[\n\r\v\f\x85\u2028\u2029]\s*")
+from wordloom.llm._common import bucket_count, drop_folder, short_batches, written
+
+_STOPS, _WIDE, _OTHER, _BREAKS = ".!?", "。！？｡．", "؟۔।॥។။។", r"\n\r\v\f\x85\u2028\u2029"
+#: A sentence's end with the blanks after it, or a line break. It begins with one class of characters, which is quick to search for.
+LINE_ENDS = re.compile(
+    rf"[{_STOPS}{_WIDE}{_OTHER}{_BREAKS}](?:(?<=[{_STOPS}])[{_STOPS}]*[\"')\]’”»]*[ \t\xa0\u3000]+"
+    rf"|(?<=[{_WIDE}])[{_WIDE}]*[」』）”’]*\s*|(?<=[{_OTHER}])[{_OTHER}]*\s*|(?<=[{_BREAKS}])\s*)"
+)
 #: Characters of scripts written without blanks: two count as a word.
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 NO_BLANKS = re.compile(f"[{UNSPACED}]")
@@ -50,7 +57,7 @@ def lines(text: str) -> list[tuple[int, str]]:
         raw = text[a:b]
         if own := raw.strip():
             start = a if raw[0] == own[0] else text.index(own, a)
-            if len(own) > LONG and weight(own) > LONG:
+            if len(own) > LONG and (len(own) > 2 * LONG or not own.isascii()) and weight(own) > LONG:
                 out += [(start + i, own[i:j]) for i, j in pieces(own)]
             else:
                 out.append((start, own))
@@ -60,21 +67,24 @@ def lines(text: str) -> list[tuple[int, str]]:
 
 def pieces(line: str) -> list[tuple[int, int]]:
     """Start and end of the pieces of a long line: a hash of two neighbouring atoms says whether the second ends a piece."""
-    import xxhash
-
-    out, start, before, end = [], None, 0, 0
-    for m in ATOMS.finditer(line):
-        a, end = m.span()
-        if start is None:
-            start = a
-        h = xxhash.xxh3_64_intdigest(line[a:end])
-        if ((before * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF) >> 40 & 0xFFFF < 0x10000 // PIECE:
-            out.append((start, end))
-            start = None
-        before = h
-    if start is not None:
-        out.append((start, end))
-    return out
+    atoms = line.split()
+    ends = list(itertools.accumulate(map(len, atoms)))
+    if ends[-1] + len(atoms) - 1 == len(line) and max(map(len, atoms)) <= 40 and (line.isascii() or not NO_BLANKS.search(line)):
+        ends = [e + k for k, e in enumerate(ends)]  # words with one blank between any two
+        starts = None
+    else:
+        spans = [m.span() for m in ATOMS.finditer(line)]
+        atoms, starts, ends = [line[a:b] for a, b in spans], [a for a, _ in spans], [b for _, b in spans]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, atoms), np.uint64, len(atoms))
+    mixed = h.copy()
+    mixed[1:] += h[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    last = np.flatnonzero((mixed >> np.uint64(40)) & np.uint64(0xFFFF) < 0x10000 // PIECE).tolist()
+    if not last or last[-1] != len(atoms) - 1:
+        last.append(len(atoms) - 1)
+    first = [0, *(k + 1 for k in last[:-1])]
+    if starts is None:
+        return [(ends[i - 1] + 1 if i else 0, ends[k]) for i, k in zip(first, last)]
+    return [(starts[i], ends[k]) for i, k in zip(first, last)]
 
 
 def weight(line: str) -> int:
@@ -114,7 +124,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
     """
     spark = docs.sparkSession
     short_batches(spark)
-    n = shuffle_width(spark)
+    n = bucket_count(docs)
     own = docs.drop("n_chunks", "n_removed", "removed_chars")
     names = own.columns
     at_text = names.index("text")
@@ -127,12 +137,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
     def dealt(key: int, kind: int, words: list, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Distinct words of a block, and columns about them, by bucket."""
         slot = (B.mixed(B.word_hash(words) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        ends = np.searchsorted(slot[order], np.arange(n + 1))
-        for s in range(n):
-            at = order[ends[s] : ends[s + 1]]
-            if len(at):
-                yield B._one(kind, s, key, B.pack((B.steps(at), [words[k] for k in at], *(c[at] for c in columns))))
+        for s, at in B.by_slot(slot):
+            yield B._one(kind, s, key, B.pack((B.steps(at), [words[k] for k in at], *(c[at] for c in columns))))
 
     def home(key: int) -> int:
         return int(B.mixed(np.asarray([key], np.uint64))[0] % np.uint64(n))
@@ -171,15 +177,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             yield from close()
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = defaultdict(list)
-        for batch in batches:
-            for slot, block, payload in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                held[slot].append((block, payload))
-        for slot in sorted(held):
+        for slot, rows in B.grouped(batches, 1):
             of: dict = defaultdict()
             of.default_factory = of.__len__  # equal bytes, not only equal hashes
             packets = []
-            for block, payload in held.pop(slot):
+            for _, _, block, payload in rows:
                 at, words, count = B.unpack(payload)
                 packets.append((block, np.cumsum(at, dtype=np.int64), np.fromiter(map(of.__getitem__, words), np.int64, len(words)), count))
             total = np.zeros(len(of), np.int64)
@@ -191,19 +193,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                     yield B._one(B.VALUES, slot, block, B.pack((at[again], pos[again] | slot << 40)))
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, values = {}, defaultdict(list)
-        for batch in batches:
-            for kind, block, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if kind == B.EXTRA:
-                    held[block] = payload
-                else:
-                    values[block].append(payload)
-        for block in sorted(held):
-            seq, weights, begin, ids = B.unpack(held.pop(block))
+        for block, rows in B.grouped(batches, 2):
+            seq, weights, begin, ids = B.unpack(next(r[3] for r in rows if r[0] == B.EXTRA))
             number = np.full(len(weights), -1, np.int64)
-            for p in values.pop(block, []):
-                at, x = B.unpack(p)
-                number[at] = x
+            for r in rows:
+                if r[0] == B.VALUES:
+                    at, x = B.unpack(r[3])
+                    number[at] = x
             number = number[seq]
             a, b = runs(weights[seq], begin, min_words)
             once = np.concatenate([[0], np.cumsum(number < 0)])
@@ -227,17 +223,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             yield from dealt(block, B.WORDS, list(of), np.asarray(firsts, np.int64), B.smallest(np.asarray(times, np.int64)))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = defaultdict(list)
-        for batch in batches:
-            for kind, slot, block, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == B.EXTRA:
-                    yield B._one(kind, slot, block, payload)
-                else:
-                    held[slot].append((block, payload))
-        for slot in sorted(held):
+        for slot, rows in B.grouped(batches, 1):
             of: dict = {}
             packets, firsts, totals = [], [], []
-            for block, payload in held.pop(slot):
+            for kind, _, block, payload in rows:
+                if kind == B.EXTRA:
+                    yield B._one(kind, slot, block, payload)
+                    continue
                 at, words, first, count = B.unpack(payload)
                 pos = []
                 for w, f, c in zip(words, first.tolist(), count.tolist()):
@@ -258,24 +250,16 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                     yield B._one(B.VALUES, slot, block, B.pack((at[again], first[pos[again]][:, 1:])))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, places, values = {}, {}, defaultdict(list)
-        for batch in batches:
-            for kind, block, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if kind == B.DOCS:
-                    held[block] = payload
-                elif kind == B.EXTRA:
-                    places[block] = payload
-                else:
-                    values[block].append(payload)
-        for block in sorted(held):
-            rows, starts, ends, begin, n_chunks = B.unpack(held.pop(block))
+        for block, sent in B.grouped(batches, 2):
+            rows, starts, ends, begin, n_chunks = B.unpack(next(r[3] for r in sent if r[0] == B.DOCS))
             first = last = np.zeros(0, np.int64)
-            if block in places:
-                first, last, place, n_words = B.unpack(places.pop(block))
+            if places := [r[3] for r in sent if r[0] == B.EXTRA]:
+                first, last, place, n_words = B.unpack(places[0])
                 keeper = np.full((n_words, 2), -1, np.int64)
-                for p in values.pop(block, []):
-                    at, x = B.unpack(p)
-                    keeper[at] = x
+                for r in sent:
+                    if r[0] == B.VALUES:
+                        at, x = B.unpack(r[3])
+                        keeper[at] = x
                 k = keeper[place]
                 gone = (k[:, 0] >= 0) & ~((k[:, 0] == block) & (k[:, 1] == np.arange(len(k))))
                 first, last = first[gone], last[gone]
@@ -301,11 +285,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
     numbered_rows = own.select("*", F.col("doc_id").cast("string").try_cast("bigint").alias("_order"))  # the order of documents goes by it
     kept, path = written(numbered_rows.mapInArrow(cut, B.ROW), "lines", partition_by="kind")
     kept = kept.select("kind", "slot", "block", "payload")
-    again, _ = written(kept.where(F.col("kind") == B.WORDS).repartitionById(n, F.col("slot")).mapInArrow(numbered, B.ROW), "line-numbers")
+    again, _ = written(B.to_buckets(kept.where(F.col("kind") == B.WORDS), n).mapInArrow(numbered, B.ROW), "line-numbers")
     drop_folder(spark, f"{path}/kind={B.WORDS}")
-    sent = kept.where(F.col("kind") == B.EXTRA).union(again).repartition(n, "block").mapInArrow(chunked, B.ROW)
-    valued = sent.repartitionById(n, F.col("slot")).mapInArrow(met, B.ROW)
-    return kept.where(F.col("kind") == B.DOCS).union(valued).repartition(n, "block").mapInArrow(finished, shape)
+    sent = B.to_blocks(kept.where(F.col("kind") == B.EXTRA).union(again), n).mapInArrow(chunked, B.ROW)
+    valued = B.to_buckets(sent, n).mapInArrow(met, B.ROW)
+    return B.to_blocks(kept.where(F.col("kind") == B.DOCS).union(valued), n).mapInArrow(finished, shape)
 
 
 def removal_report(docs: DataFrame, min_words: int = 10) -> DataFrame:
