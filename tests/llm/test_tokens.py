@@ -76,14 +76,12 @@ def test_trie_ties():
 def reference():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def test_word_encoder(reference):
     e = packing.WordEncoder(WORDS)
-    texts = [t or "" for _, t in ROWS] + ["It's WE'LL don't're x'S", "１２ ½ Ⅷ ﬁ ǅ ß µ ª", "a b c\u0085d"]
+    texts = [t or "" for _, t in ROWS] + ["It's WE'LL don't're x'S", "a <|endoftext|> b", "x<|startoftext|>Y Z<|endoftext|>", "<|ENDOFTEXT|> <| endoftext|>", "<|endoftext|", "１２ ½ Ⅷ ﬁ ǅ ß µ ª", "a b c\u0085d"]
     assert e.fast.usable
     for _ in range(2):  # from scratch, and from what is kept
         for t, got in zip(texts, e.encode(texts)):
@@ -149,6 +147,12 @@ def test_pack_odd_lengths(spark):
     assert got[5] == (0, 0) and got[1] == (0, 7) and got[2] == got[3] == got[4] == (None, None)
 
 
+def test_pack_columns_of_the_same_names(spark):
+    items = spark.createDataFrame([(1, 0, 3, 9, 9, 9, 9)], "doc_id bigint, piece int, length bigint, sequence_id int, offset int, _len int, _salt int")
+    got = packing.best_fit_pack(items, 10)
+    assert sorted(got.columns) == sorted(items.columns) and got.first()["sequence_id"] == 0 and got.first()["_len"] == 9
+
+
 def test_long_text_is_whole(docs):
     assert sum(r["length"] for r in packing.token_pieces(docs.where("doc_id = 7"), WORDS, 512).collect()) > len(LONG.split())
     assert hashlib.sha256(LONG.encode()).hexdigest()

@@ -86,7 +86,11 @@ class FastMerges:
 
 
 class WordEncoder:
-    """Ids of a tokenizer that drops white space and marks word ends: words are encoded apart, distinct ones once in a while."""
+    """Ids of a tokenizer that drops white space and marks word ends: words are encoded apart, distinct ones once in a while.
+
+    Texts that hold a part of an added token (such as <|endoftext|>) as it is written are encoded whole by the library, which cuts them
+    at added tokens before anything else.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -94,8 +98,11 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # What any text with an added token must hold; only those of two or more plain ASCII characters at the start can be told so.
+        self.marks = sorted({a[:2] for a in added})
         self.fast = FastMerges(path)
+        self.fast.usable = self.fast.usable and all(len(m) == 2 and m.isascii() and not m.isalnum() for m in self.marks)
         self.odd = re.compile("[\x1c-\x1f]").search
         self.other = re.compile("[^\x01-\xff]").search
         self.apart = regex.compile(r"[^\s]+").findall
@@ -117,14 +124,18 @@ class WordEncoder:
                 self.kept.update(zip(some, self.fast.encode(some)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(m in t for m in self.marks)}
+        split = [[] if i in whole else self.words(t) for i, t in enumerate(texts)]
         if len(self.kept) > WORDS_KEPT:
             self.kept.clear()
         new = set().union(*split).difference(self.kept)
         if new:
             self.learn(list(new))
         get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids = [b"".join(map(get, words)) for words in split]
+        for i in whole:
+            ids[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()
+        return ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -226,21 +237,23 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]
 def best_fit_pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``items`` with sequence_id and offset, both bigint: place of each in a sequence of at most ``capacity``.
 
-    Null lengths, lengths under 1 and those over the capacity get nulls. ``items`` is read twice: pass a written table.
+    Null lengths, lengths under 1 and those over the capacity get nulls. Columns named sequence_id or offset are replaced, and must
+    not be the length or the order. Items equal in ``order`` are placed in any order. ``items`` is read twice: pass a written table.
     """
+    items = items.drop("sequence_id", "offset")
     spark = items.sparkSession
     salts = shuffle_width(spark)
-    own = items.withColumn("_len", F.col(length).cast("bigint"))
-    own = own.withColumn("_len", F.when(F.col("_len").between(1, capacity), F.col("_len")))
-    own = own.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    counts = own.where("_len is not null").groupBy("_len", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["_len"]: r["n"] for r in counts.groupBy("_len").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    own = items.withColumn("__pack_len", F.col(length).cast("bigint"))
+    own = own.withColumn("__pack_len", F.when(F.col("__pack_len").between(1, capacity), F.col("__pack_len")))
+    own = own.withColumn("__pack_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    counts = own.where("__pack_len is not null").groupBy("__pack_len", "__pack_salt").agg(F.count("*").alias("__pack_n"))
+    histogram = {r["__pack_len"]: r["n"] for r in counts.groupBy("__pack_len").agg(F.sum("__pack_n").alias("n")).collect()}  # capacity rows at most
     plan = spark.sparkContext.broadcast(plan_runs(histogram, capacity))
 
-    by_length = Window.partitionBy("_len").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_len", "_salt", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))
-    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_len", "_salt").orderBy(*order)) - 1)
-    ranked = ranked.join(before, ["_len", "_salt"], "left")
+    by_length = Window.partitionBy("__pack_len").orderBy("__pack_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__pack_len", "__pack_salt", F.coalesce(F.sum("__pack_n").over(by_length), F.lit(0)).alias("__pack_before"))
+    ranked = own.withColumn("__pack_rank", F.row_number().over(Window.partitionBy("__pack_len", "__pack_salt").orderBy(*order)) - 1)
+    ranked = ranked.join(before, ["__pack_len", "__pack_salt"], "left")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
@@ -249,16 +262,17 @@ def best_fit_pack(items: DataFrame, capacity: int, length: str = "length", order
         run = np.searchsorted(p["key"], (lengths.to_numpy(np.int64) << 44) | rank, "right") - 1
         return pd.DataFrame({"sequence_id": p["sequence"][run] + rank - p["rank"][run], "offset": p["offset"][run]})
 
-    fits = F.col("_len").isNotNull()
+    fits = F.col("__pack_len").isNotNull()
     if not histogram:
         return items.withColumns({"sequence_id": F.lit(None).cast("bigint"), "offset": F.lit(None).cast("bigint")})
     shortest = min(histogram)
-    placed = ranked.withColumn("_at", place(F.coalesce("_len", F.lit(shortest)), F.when(fits, F.col("_rank") + F.col("_before")).otherwise(0).cast("bigint")))
-    return placed.select(*items.columns, F.when(fits, F.col("_at.sequence_id")).alias("sequence_id"), F.when(fits, F.col("_at.offset")).alias("offset"))
+    placed = ranked.withColumn("__pack_at", place(F.coalesce("__pack_len", F.lit(shortest)), F.when(fits, F.col("__pack_rank") + F.col("__pack_before")).otherwise(0).cast("bigint")))
+    return placed.select(*items.columns, F.when(fits, F.col("__pack_at.sequence_id")).alias("sequence_id"), F.when(fits, F.col("__pack_at.offset")).alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of all documents with ids_crc32, sequence_id and offset. The ids are written once, to the shared folder."""
-    pieces, _ = written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
-    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return best_fit_pack(slim, capacity)
+    made = token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("place", F.monotonically_increasing_id())
+    pieces, _ = written(made, "pieces")  # with its place, a piece is told from equal ones
+    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "place")
+    return best_fit_pack(slim, capacity, order=("doc_id", "piece", "place")).drop("place")
