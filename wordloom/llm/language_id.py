@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm._common import short_batches
@@ -144,17 +144,25 @@ def fold(m: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 500, landmarks: int = 320, ridge: float = 0.05) -> Model:
-    """Fit on about per_language texts (chosen by a hash of doc_id) of each language, of the documents that aren't held out."""
+def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 500, landmarks: int = 320, ridge: float = 0.05, most_languages: int = 200) -> Model:
+    """Fit on about per_language texts of each language, of the documents that aren't held out.
+
+    Texts are drawn by a hash of doc_id and text, equal rows as one, and at most twice per_language of a language are collected.
+    More than most_languages languages are an error: the model has a column of weights for each.
+    """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row a language
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*(x for k, v in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / v)))))
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    rows = own.where(draw < share[F.col("lang")]).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]))
+    own = own.withColumn("draw", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit(17)), F.lit(1 << 40)))
+    drawn = own.where(F.col("draw") < share[F.col("lang")] * float(1 << 40)).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rows = drawn.withColumn("turn", turn).where(F.col("turn") <= 2 * per_language).select("lang", "draw", "text").collect()
+    rows.sort(key=lambda r: (r["lang"], r["draw"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 
