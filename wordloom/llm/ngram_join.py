@@ -19,7 +19,6 @@ N-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import drop_folder, short_batches, shuffle_width, texts, written
+from wordloom.llm._common import bucket_count, drop_folder, short_batches, shuffle_width, texts, written
 from wordloom.llm.components import connected_components, forest, linked_labels
 
 SKETCH_BITS = 22
@@ -81,8 +80,8 @@ def keys(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> list[np.ndarray]
 
 
 def _described(docs: DataFrame, n: int, slots: int) -> DataFrame:
-    """A row for each document (kind 0: doc_id, set's id and size), and slices of a task's sketch of n-gram counts (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("n_shingles", pa.int64()), ("payload", pa.binary())])
+    """A row for each document (kind 0: doc_id, mark, set's id and size), and slices of a task's sketch of n-gram counts (kind 1)."""
+    schema = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("sid", pa.int64()), ("n_shingles", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -90,15 +89,15 @@ def _described(docs: DataFrame, n: int, slots: int) -> DataFrame:
             sets = [ngram_set(t or "", n) for t in batch.column(1).to_pylist()]
             m = len(sets)
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)) if m else 0
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([0] * m, pa.int32()), batch.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([None] * m, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([0] * m, pa.int32()), batch.column(0), batch.column(2), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([None] * m, pa.binary())], schema=schema)
         if counts.any():
             edges = np.linspace(0, len(counts), slots + 1).astype(np.int64)
             for k in range(slots):
                 part = counts[edges[k] : edges[k + 1]]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([B.pack(B.smallest(part))], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int32()), *[pa.array([None], pa.int64())] * 4, pa.array([B.pack(B.smallest(part))], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, slot int, doc_id bigint, sid bigint, n_shingles bigint, payload binary")
+    return docs.mapInArrow(run, "kind int, slot int, doc_id bigint, mark bigint, sid bigint, n_shingles bigint, payload binary")
 
 
 def _hot_counters(described: DataFrame, total: int, slots: int, width: int) -> np.ndarray:
@@ -191,12 +190,8 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, bl
             yield from packets()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots_held = defaultdict(list)
-        for batch in batches:
-            for slot, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                slots_held[slot].append(payload)
-        for payloads in slots_held.values():
-            parts = [B.unpack(p) for p in payloads]
+        for _, rows in B.grouped(batches, 0):
+            parts = [B.unpack(p) for _, p in rows]
             h = np.concatenate([p[0] for p in parts])
             sid = np.concatenate([p[2][p[1]] for p in parts])
             size = np.concatenate([p[3][p[1]] for p in parts]).astype(np.int64)
@@ -218,7 +213,7 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot, slots: int, bl
                 v, root = forest(pairs[:, 0].tolist(), pairs[:, 1].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(root, pa.int64())], names=["a", "b"])
 
-    return docs.select("text").mapInArrow(post, "slot int, payload binary").repartitionById(slots, F.col("slot")).mapInArrow(meet, "a bigint, b bigint")
+    return B.to_buckets(docs.select("text").mapInArrow(post, "slot int, payload binary"), slots).mapInArrow(meet, "a bigint, b bigint")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -298,19 +293,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     short_batches(spark)
     width = shuffle_width(spark)
-    own = texts(docs)
+    own = texts(docs).withColumn("mark", F.xxhash64("text"))  # with doc_id, finds a row of a set again, null and repeated ids too
     described, _ = written(_described(own, n, width), "described", "kind")
-    rows = described.where("kind = 0").select("doc_id", "sid", "n_shingles")
+    rows = described.where("kind = 0").select("doc_id", "mark", "sid", "n_shingles")
     total = rows.agg(F.sum("n_shingles")).collect()[0][0] or 0
     hot = spark.sparkContext.broadcast(np.packbits(_hot_counters(described, total, width, width)))
-    found, path = written(_candidates(own, n, num, den, hot, width), "candidates")
+    found, path = written(_candidates(own, n, num, den, hot, bucket_count(docs)), "candidates")
     groups, _ = written(connected_components(found), "groups")
     drop_folder(spark, path)
 
     # One document of each set, its group, size band and block.
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("d"), F.first("n_shingles").alias("n"))
+    sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")).alias("d"), F.first("n_shingles").alias("n"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) if num < den else 1.0) + 1e-9).cast("int")
-    members, _ = written(sets.join(groups.withColumnRenamed("vertex", "sid"), "sid").select("sid", F.col("d.doc_id").alias("doc_id"), "n", "root", band.alias("band")), "members")
+    members, _ = written(sets.join(groups.withColumnRenamed("vertex", "sid"), "sid").select("sid", "d.doc_id", "d.mark", "n", "root", band.alias("band")), "members")
     whole = members.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("cells"))
     small = whole.where((F.col("c") <= BLOCK) & (F.col("cells") <= BLOCK_CELLS)).select("root")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_CELLS)).cast("int")
@@ -323,10 +318,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     placed, _ = written(placed, "placed")
 
     n_members = placed.count()
-    lookup = placed.select(F.col("doc_id").alias("key"), F.col("sid").alias("want"), "root", "band", "blocks", "above", "below")
+    lookup = placed.select(F.col("doc_id").alias("key"), F.col("mark").alias("key_mark"), F.col("sid").alias("want"), "root", "band", "blocks", "above", "below")
     if n_members <= broadcast_rows:
         lookup = F.broadcast(lookup)
-    chosen = own.join(lookup, F.col("doc_id").eqNullSafe(F.col("key"))).select("text", "want", "root", "band", "blocks", "above", "below")
+    chosen = own.join(lookup, (F.col("mark") == F.col("key_mark")) & F.col("doc_id").eqNullSafe(F.col("key"))).select("text", "want", "root", "band", "blocks", "above", "below")
     pairs = _block_rows(chosen, n)
     linked = pairs.repartition(width, "task").sortWithinPartitions("task").mapInArrow(lambda b: _linked(b, num, den), "a bigint, b bigint")
     links, _ = written(linked, "linked")
@@ -352,12 +347,14 @@ def _block_rows(chosen: DataFrame, n: int) -> DataFrame:
         return out + [((root, band - 1, k, band, mine), 1) for k in range(below or 0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # of rows equal in doc_id and text one will do; others come twice at most for a task
         for batch in batches:
             rows = []
             for text, sid, *place in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if sid in seen:
+                    continue
+                seen.add(sid)
                 s = ngram_set(text or "", n)
-                if not len(s) or set_id(s) != sid:
-                    continue  # another text of a repeated doc_id
                 rows += [(xxhash.xxh3_64_intdigest(repr(t)) >> 1, sid, side, s.tobytes()) for t, side in tasks(sid, *place)]
                 if len(rows) > 500:
                     yield _rows(rows)
