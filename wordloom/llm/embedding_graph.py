@@ -1,16 +1,19 @@
 """Operator 10: near-duplicate embeddings by a robust-pruned flat graph.
 
 1. Balls. Vectors within ``ball_degrees`` of a leader form a ball; a ball is so small that its members surely link with
-   each other. A group of near copies, however large, is then a few balls, and pairs inside are counted, not listed.
+   each other. Leaders are found among the vectors of a nearest centroid, in parts of ``CHUNK`` where there are more; leaders of
+   such parts then take each other's balls over where the whole ball still fits. So a group of near copies, however large, is a
+   few balls, and pairs inside are counted, not listed.
 2. Graph. Centroids are fitted on a bounded sample. A ball's leader goes to the shard of its nearest centroid (its home)
    and to those of centroids at most ``margin_degrees`` farther. Each shard builds a robust-pruned graph (Vamana's rule);
    adjacency lists of a leader in several shards are united.
 3. Search. In its home shard each leader is searched for greedily, from the shard's medoid and its own node, and the range
    is then expanded over all nodes within reach.
-4. Verification. Two balls link surely, or not at all, by their leaders' angle and radii; members of the pairs between are
-   compared in double precision.
-5. Audit. The links of a bounded sample of vectors are counted by brute force over all vectors; if fewer than
-   ``recall`` of them were found, the margin is doubled and 2 to 4 are done again.
+4. Verification. Two balls link surely, or not at all, by their leaders' angle and radii, and so does a member with a ball; the
+   rest are compared in double precision, in blocks of ``COMPARED`` members a side.
+5. Audit. The links of all vectors whose vec_id is divisible by ``audit_every`` are counted by brute force over all vectors. If
+   of a vector's links outside its own ball fewer than ``recall`` were found (the mean over vectors that have such links), the margin
+   is doubled and 2 to 4 are done again; once it is a right angle, leaders are compared with each other in blocks instead.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from wordloom.llm.components import connected_components
 SAMPLE = 20_000  # vectors that centroids are fitted on, at most about
 SHARD = 1_500  # leaders of a home shard, about
 CHUNK = 20_000  # vectors among which leaders are chosen at once
+COMPARED = 1_024  # members of a ball in a block
+QUERIES = 8_192  # audited vectors compared in a pass over all others
 SLACK = 1e-7  # radians of rounding error
 
 
@@ -89,8 +94,7 @@ def robust_pruned(x: np.ndarray, degree: int = 16, pool: int = 40, alpha: float
     both: list[set] = [set(a) for a in kept]
     for a, mine in enumerate(kept):
         for b in mine:
-            if len(both[b]) < 2 * degree:
-                both[b].add(a)
+            both[b].add(a)
     return [np.fromiter(a, np.int64, len(a)) for a in both]
 
 
@@ -140,8 +144,14 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_degrees: float = 9.0, margin_degrees: float = 6.0, recall: float = 0.97, audited: int = 256) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row of vectors(vec_id, embedding).
+def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row of vectors(vec_id, embedding); see :func:`audited_near_duplicates`."""
+    return audited_near_duplicates(vectors, **options)[0]
+
+
+def audited_near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_degrees: float = 9.0, margin_degrees: float = 6.0, recall: float = 0.97, audit_every: int = 100) -> tuple[DataFrame, float | None]:
+    """vec_id, n_links, component_id, kept of each row of vectors(vec_id, embedding), and the recall that the audit measured (None if
+    no audited vector has a link outside its ball).
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of different
     lengths don't link. Rows with equal vec_ids are vectors of their own. Null vec_ids come after others: a component of
@@ -168,7 +178,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_degrees: f
     own, _ = written(rows.mapInArrow(normal, "rid bigint, vec_id bigint, dim int, u binary"), "vectors")
     valid = own.where("u is not null")
     counts = {r["dim"]: r["count"] for r in valid.groupBy("dim").count().collect()}  # lengths of vectors: a few
-    total = sum(counts.values())
     centres = {}
     for dim, n in counts.items():
         some = valid.where(F.col("dim") == dim)
@@ -178,23 +187,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_degrees: f
         centres[dim] = centroids(sample, max(1, n // SHARD))
     shared = spark.sparkContext.broadcast(centres)
     first = dict(zip(sorted(centres), np.concatenate([[0], np.cumsum([len(centres[d]) for d in sorted(centres)])]).tolist()))
-    salts = max(1, 2 * total // CHUNK)
 
-    # 1. Balls.
-    def dealt(batches):
+    members, balls = _balls(valid, shared, first, width, radius)
+    widest = balls.agg(F.max("radius")).collect()[0][0] or 0.0
+
+    queries = valid.where(F.pmod("vec_id", F.lit(audit_every)) == 0).select("rid", "dim", "u")
+    truth, margin = None, float(np.radians(margin_degrees))
+    while True:
+        exact = margin >= np.pi / 2
+        pairs = _all_pairs(balls, width, theta) if exact else _found_pairs(balls, shared, first, width, theta, widest, margin)
+        out, _ = written(_links(pairs, balls, members, own, width, theta, threshold), "links")
+        if truth is None:
+            inside = members.select("rid", "ball").join(balls.select("ball", "size"), "ball").select("rid", (F.col("size") - 1).alias("inside"))
+            truth, _ = written(_brute_counts(valid, queries, threshold).join(inside, "rid"), "truth")
+        share = (F.col("n_links") - F.col("inside")) / (F.col("n") - F.col("inside"))
+        reached = out.select("rid", "n_links").join(truth, "rid").where("n > inside").agg(F.avg(share)).collect()[0][0]
+        if reached is None or reached >= recall or exact:
+            return out.select("vec_id", "n_links", "component_id", "kept"), reached
+        margin *= 2
+
+
+def _balls(valid: DataFrame, shared, first: dict, width: int, radius: float) -> tuple[DataFrame, DataFrame]:
+    """members(ball, rid, vec_id, angle, u), angle being an upper bound of that to the leader, and balls(ball, size, radius, low, u)."""
+
+    def homed(batches):
         for batch in batches:
             out = []
             for rid, vec_id, dim, u in zip(*(c.to_pylist() for c in batch.columns)):
-                home = int((shared.value[dim] @ np.frombuffer(u, np.float64)).argmax())
-                out.append((((first[dim] + home) * salts + (rid * 2654435761 >> 7) % salts), rid, vec_id, u))
+                out.append((first[dim] + int((shared.value[dim] @ np.frombuffer(u, np.float64)).argmax()), rid, vec_id, u))
             if out:
-                yield _table(out, pa.schema([("part", pa.int64()), *[f for f in schema if f.name != "dim"]]))
-
-    ball_schema = pa.schema([("ball", pa.int64()), ("rid", pa.int64()), ("vec_id", pa.int64()), ("angle", pa.float64()), ("u", pa.binary())])
+                yield _table(out, pa.schema([("home", pa.int64()), ("rid", pa.int64()), ("vec_id", pa.int64()), ("u", pa.binary())]))
 
     def led(batches):
-        for _, members in _grouped(batches):
-            x = np.stack([np.frombuffer(m[2], np.float64) for m in members])
+        for _, rows in _grouped(batches):
+            x = np.stack([np.frombuffer(m[3], np.float64) for m in rows])
             ball, off = np.full(len(x), -1), np.zeros(len(x))
             while len(left := np.flatnonzero(ball < 0)):
                 leaders = left[:256]  # a block at once, then against each other
@@ -209,54 +235,84 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_degrees: f
                 near = a <= radius
                 ball[left[near]], off[left[near]] = leaders[good][at[near]], a[near]
                 ball[leaders[good]], off[leaders[good]] = leaders[good], 0.0
-            yield _table([(members[b][0], *m[:2], o, m[2]) for m, b, o in zip(members, ball.tolist(), off.tolist())], ball_schema)
+            yield _table([(rows[b][1], *m[:3], o, m[3]) for m, b, o in zip(rows, ball.tolist(), off.tolist())], pa.schema([("ball", pa.int64()), ("home", pa.int64()), ("rid", pa.int64()), ("vec_id", pa.int64()), ("angle", pa.float64()), ("u", pa.binary())]))
 
-    parts = valid.mapInArrow(dealt, "part bigint, rid bigint, vec_id bigint, u binary").repartition(width, "part").sortWithinPartitions("part", "rid")
-    members, _ = written(parts.mapInArrow(led, "ball bigint, rid bigint, vec_id bigint, angle double, u binary"), "balls")
+    def in_parts(rows: DataFrame, id_column: str) -> DataFrame:
+        """Rows of a home together, in parts of about CHUNK where there are more."""
+        large = rows.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))  # a row a centroid: SAMPLE at most a length
+        salt = F.pmod(F.xxhash64(id_column, F.lit(5)), F.col("parts"))
+        cut = rows.join(F.broadcast(large), "home").withColumn("part", F.concat_ws(":", "home", salt))
+        return cut.repartition(width, "part").sortWithinPartitions("part", id_column)
+
+    homes, _ = written(valid.mapInArrow(homed, "home bigint, rid bigint, vec_id bigint, u binary"), "homes")
+    parts = in_parts(homes, "rid").select("part", "home", "rid", "vec_id", "u")
+    members, _ = written(parts.mapInArrow(led, "ball bigint, home bigint, rid bigint, vec_id bigint, angle double, u binary"), "members")
+
+    def absorbed(batches):
+        """Of leaders, those whose whole ball fits into another's, and by which angle they are off."""
+        for _, rows in _grouped(batches):
+            rows.sort(key=lambda r: (-r[1], r[0]))
+            x, spread = np.stack([np.frombuffer(r[3], np.float64) for r in rows]), np.asarray([r[2] for r in rows])
+            into, out = np.full(len(x), -1), []
+            for k in range(len(rows)):
+                if into[k] < 0:
+                    a = angle(x[k + 1 :] @ x[k])
+                    fits = np.flatnonzero((into[k + 1 :] < 0) & (a + spread[k + 1 :] + SLACK <= radius)) + k + 1
+                    into[fits] = k
+                    out += [(rows[j][0], rows[k][0], float(a[j - k - 1]) + SLACK) for j in fits.tolist()]
+            if out:
+                yield _table(out, pa.schema([("ball", pa.int64()), ("into", pa.int64()), ("off", pa.float64())]))
+
+    # Leaders of homes that were cut into parts.
+    cut = members.groupBy("home").count().where(F.col("count") > CHUNK).select("home")
+    sums = members.join(F.broadcast(cut), "home").groupBy("home", "ball").agg(F.count("*").alias("size"), F.max("angle").alias("radius"))
+    leaders, _ = written(sums.join(members.where("ball = rid").select("ball", "u"), "ball").select("home", "ball", "size", "radius", "u"), "part-leaders")
+    if not leaders.isEmpty():
+        moved, _ = written(in_parts(leaders, "ball").select("part", "ball", "size", "radius", "u").mapInArrow(absorbed, "ball bigint, into bigint, off double"), "moved")
+        members, _ = written(members.join(moved, "ball", "left").select(F.coalesce("into", "ball").alias("ball"), "rid", "vec_id", (F.col("angle") + F.coalesce("off", F.lit(0.0))).alias("angle"), "u"), "balls")
+    members = members.select("ball", "rid", "vec_id", "angle", "u")
     balls = members.groupBy("ball").agg(F.count("*").alias("size"), F.max("angle").alias("radius"), F.min("vec_id").alias("low"))
-    balls, _ = written(balls.join(members.where("ball = rid").select("ball", "u"), "ball"), "leaders")
-    widest = balls.agg(F.max("radius")).collect()[0][0] or 0.0
+    return members, written(balls.join(members.where("ball = rid").select("ball", "u"), "ball"), "leaders")[0]
 
-    queries = valid.where(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(max(1, total))) < audited).select("rid", "dim", "u").orderBy("rid").limit(2 * audited).collect()
-    margin = float(np.radians(margin_degrees))
-    truth = None
-    while True:
-        out = _linked(balls, members, own, shared, first, width, theta, widest, margin, threshold)
-        if not queries or margin >= np.pi:
-            return out.select("vec_id", "n_links", "component_id", "kept")
-        out, _ = written(out, "links")
-        if truth is None:
-            truth = _brute_counts(valid, queries, threshold)
-        found = {r["rid"]: r["n_links"] for r in out.where(F.col("rid").isin([q["rid"] for q in queries])).select("rid", "n_links").collect()}
-        if sum(found.values()) >= recall * sum(truth.values()):
-            return out.select("vec_id", "n_links", "component_id", "kept")
-        margin *= 2
 
+def _brute_counts(valid: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """(rid, n): links of the audited vectors, by comparison with all others, some QUERIES of them at a time."""
+    blocks = max(1, -(-queries.count() // QUERIES))
+    out = []
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(blocks)) == block).collect()
+        of = {d: [r for r in rows if r["dim"] == d] for d in {r["dim"] for r in rows}}
+        q = valid.sparkSession.sparkContext.broadcast({d: (np.asarray([r["rid"] for r in some]), np.stack([np.frombuffer(r["u"], np.float64) for r in some])) for d, some in of.items()})
 
-def _brute_counts(valid: DataFrame, queries: list, threshold: float) -> dict[int, int]:
-    """Links of the audited vectors, by comparison with all others, in blocks."""
-    q = valid.sparkSession.sparkContext.broadcast({d: (np.asarray([r["rid"] for r in queries if r["dim"] == d]), np.stack([np.frombuffer(r["u"], np.float64) for r in queries if r["dim"] == d])) for d in {r["dim"] for r in queries}})
+        def run(batches, q=q):
+            sums = {d: np.zeros(len(rids), np.int64) for d, (rids, _) in q.value.items()}
+            for batch in batches:
+                dims = np.asarray(batch.column("dim"))
+                for d, (_, x) in q.value.items():
+                    at = np.flatnonzero(dims == d)
+                    if len(at):
+                        y = np.stack([np.frombuffer(batch.column("u")[i].as_py(), np.float64) for i in at.tolist()])
+                        sums[d] += np.concatenate([(x[i : i + 1024] @ y.T >= threshold).sum(axis=1) for i in range(0, len(x), 1024)])
+            for d, n in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(q.value[d][0]), pa.array(n)], names=["rid", "n"])
 
-    def run(batches):
-        sums: dict = {}
-        for batch in batches:
-            dims = np.asarray(batch.column("dim"))
-            for d, (rids, x) in q.value.items():
-                at = np.flatnonzero(dims == d)
-                if len(at):
-                    y = np.stack([np.frombuffer(batch.column("u")[i].as_py(), np.float64) for i in at.tolist()])
-                    n = ((x @ y.T) >= threshold).sum(axis=1)
-                    for rid, k in zip(rids.tolist(), n.tolist()):
-                        sums[rid] = sums.get(rid, 0) + k
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()))], names=["rid", "n"])
-
-    got = valid.select("dim", "u").mapInArrow(run, "rid bigint, n bigint").groupBy("rid").agg(F.sum("n").alias("n")).collect()
-    return {r["rid"]: r["n"] - 1 for r in got}
-
-
-def _linked(balls, members, own, shared, first, width, theta, widest, margin, threshold) -> DataFrame:
-    """Steps 2 to 4: rid, vec_id, n_links, component_id, kept."""
+        got = valid.select("dim", "u").mapInArrow(run, "rid bigint, n bigint").groupBy("rid").agg((F.sum("n") - 1).alias("n"))
+        out.append(written(got, "audit")[0] if blocks > 1 else got)
+    for more in out[1:]:
+        out[0] = out[0].union(more)
+    return out[0]
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("angle", pa.float64())])
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair of balls once in each direction."""
+    return pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "angle")).groupBy("a", "b").agg(F.max("angle").alias("angle"))
+
+
+def _found_pairs(balls, shared, first, width, theta, widest, margin) -> DataFrame:
+    """Steps 2 and 3: (a, b, angle) of balls whose members may link."""
     node = pa.schema([("shard", pa.int64()), ("ball", pa.int64()), ("home", pa.bool_()), ("radius", pa.float64()), ("u", pa.binary())])
 
     def sharded(batches):
@@ -294,40 +350,77 @@ def _linked(balls, members, own, shared, first, width, theta, widest, margin, th
                     continue
                 reach = float(np.cos(min(np.pi, theta + radius + widest + SLACK)))
                 for b in range_search(x, adjacency, list({medoid, k}), x[k], reach):
-                    if b == k:
-                        continue
-                    a, spread = float(angle(x[b] @ x[k])), radius + rows[b][2]
-                    if a <= theta + spread + SLACK:
-                        out.append((ball, rows[b][0], a + spread + SLACK <= theta))
+                    a = float(angle(x[b] @ x[k]))
+                    if b != k and a <= theta + radius + rows[b][2] + SLACK:
+                        out.append((ball, rows[b][0], a))
+                if len(out) > 50_000:
+                    yield _table(out, _PAIR)
+                    out = []
             if out:
-                yield _table(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())]))
+                yield _table(out, _PAIR)
 
     routed = nodes.join(graph, "ball").select("shard", "ball", "home", "radius", "u", "near")
-    pairs = routed.repartition(width, "shard").sortWithinPartitions("shard", "ball").mapInArrow(searched, "a bigint, b bigint, sure boolean")
-    pairs, _ = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sure")).distinct(), "pairs")
+    pairs = routed.repartition(width, "shard").sortWithinPartitions("shard", "ball").mapInArrow(searched, "a bigint, b bigint, angle double")
+    return _both_ways(pairs)
 
-    sure = pairs.where("sure").join(balls.select(F.col("ball").alias("b"), "size"), "b").groupBy(F.col("a").alias("ball")).agg(F.sum("size").alias("sure"))
-    # Pairs of balls that only their members decide: a's members in salted rows, each with the whole of b in blocks.
-    near, _ = written(pairs.where("not sure").select("a", "b"), "unsure")
-    left = near.join(members.select(F.col("ball").alias("a"), F.col("rid"), F.col("u")), "a")
-    left = left.select("a", "b", F.lit(0).alias("side"), "rid", "u")
-    right = near.join(members.select(F.col("ball").alias("b"), "rid", "u"), "b").select("a", "b", F.lit(1).alias("side"), "rid", "u")
-    parts = left.union(right).withColumn("pair", F.concat_ws(":", "a", "b")).select("pair", "a", "b", "side", "rid", "u")
+
+def _all_pairs(balls: DataFrame, width: int, theta: float) -> DataFrame:
+    """(a, b, angle) of balls whose members may link, by comparison of all leaders in blocks."""
+    blocks = max(1, -(-balls.count() // 2048))
+    mine = F.pmod(F.xxhash64("ball", F.lit(9)), F.lit(blocks))
+    rows = balls.select("ball", "radius", "u", mine.cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    task = F.concat_ws(":", F.length("u"), F.least("mine", "other"), F.greatest("mine", "other"))
+    rows = rows.select(task.alias("task"), "ball", "radius", "u", (F.col("mine") > F.col("other")).alias("side"))
+
+    def compared(batches):
+        for key, rows in _grouped(batches):
+            same = key.split(":")[1] == key.split(":")[2]
+            sides = [[r for r in rows if same or r[3] == k] for k in (False, True)]
+            if all(sides):
+                x, y = (np.stack([np.frombuffer(r[2], np.float64) for r in s]) for s in sides)
+                spread = np.asarray([r[1] for r in sides[1]])
+                for k, r in enumerate(sides[0]):
+                    a = angle(y @ x[k])
+                    if out := [(r[0], sides[1][j][0], float(a[j])) for j in np.flatnonzero(a <= theta + r[1] + spread + SLACK).tolist() if sides[1][j][0] != r[0]]:
+                        yield _table(out, _PAIR)
+
+    return _both_ways(rows.repartition(width, "task").sortWithinPartitions("task").mapInArrow(compared, "a bigint, b bigint, angle double"))
+
+
+def _links(pairs, balls, members, own, width, theta, threshold) -> DataFrame:
+    """Step 4 and the components: rid, vec_id, n_links, component_id, kept."""
+    side = lambda c: balls.select(F.col("ball").alias(c), F.col("size").alias(f"{c}_size"), F.col("radius").alias(f"{c}_radius"))
+    pairs, _ = written(pairs.join(side("a"), "a").join(side("b"), "b"), "pairs")
+    is_sure = F.col("angle") + F.col("a_radius") + F.col("b_radius") + SLACK <= theta
+    sure = pairs.where(is_sure).groupBy(F.col("a").alias("ball")).agg(F.sum("b_size").alias("sure"))
+
+    # Pairs of balls that their members decide. A member links with all of the other ball, with none, or has to be compared.
+    near, _ = written(pairs.where(~is_sure), "unsure")
+    of = lambda c: near.join(members.select(F.col("ball").alias(c), "rid", F.col("angle").alias("off"), "u"), c)
+    least, most = F.col("angle") - F.col("off"), F.col("angle") + F.col("off")
+    with_all = of("a").where(most + F.col("b_radius") + SLACK <= theta).select("a", "b", "rid", F.col("b_size").alias("n"))
+    left = of("a").where((most + F.col("b_radius") + SLACK > theta) & (least - F.col("b_radius") - SLACK <= theta))
+    right = of("b").where(least - F.col("a_radius") - SLACK <= theta)
+    blocks = lambda c: F.ceil(F.col(f"{c}_size") / COMPARED).cast("int")
+    salt = lambda c: F.pmod(F.xxhash64("rid", F.lit(13)), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    left = left.select("a", "b", salt("a").alias("i"), every("b").alias("j"), F.lit(0).alias("side"), "rid", "u")
+    right = right.select("a", "b", every("a").alias("i"), salt("b").alias("j"), F.lit(1).alias("side"), "rid", "u")
+    parts = left.union(right).select(F.concat_ws(":", "a", "b", "i", "j").alias("task"), "a", "b", "side", "rid", "u")
 
     def compared(batches):
         for _, rows in _grouped(batches):
             sides = [[r for r in rows if r[2] == k] for k in (0, 1)]
-            if not all(sides):
-                continue
-            x, y = (np.stack([np.frombuffer(r[4], np.float64) for r in s]) for s in sides)
-            n = np.concatenate([(x[i : i + 512] @ y.T >= threshold).sum(axis=1) for i in range(0, len(x), 512)])
-            if n.any():
-                at = np.flatnonzero(n)
-                yield _table([(rows[0][0], rows[0][1], sides[0][k][3], int(n[k])) for k in at.tolist()], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("rid", pa.int64()), ("n", pa.int64())]))
-
-    checked, _ = written(parts.repartition(width, "pair").sortWithinPartitions("pair", "side").mapInArrow(compared, "a bigint, b bigint, rid bigint, n bigint"), "checked")
+            if all(sides):
+                x, y = (np.stack([np.frombuffer(r[4], np.float64) for r in s]) for s in sides)
+                n = (x @ y.T >= threshold).sum(axis=1)
+                if n.any():
+                    yield _table([(rows[0][0], rows[0][1], sides[0][k][3], int(n[k])) for k in np.flatnonzero(n).tolist()], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("rid", pa.int64()), ("n", pa.int64())]))
+
+    counted = parts.repartition(width, "task").sortWithinPartitions("task").mapInArrow(compared, "a bigint, b bigint, rid bigint, n bigint")
+    checked, _ = written(counted.union(with_all), "checked")
     extra = checked.groupBy("rid").agg(F.sum("n").alias("extra"))
-    links = pairs.where("sure").select("a", "b").union(checked.select("a", "b").distinct())
+    links = pairs.where(is_sure).select("a", "b").union(checked.select("a", "b").distinct())
     comps = connected_components(links).select(F.col("vertex").alias("ball"), "root")
     labelled, _ = written(balls.select("ball", "size", "low").join(comps, "ball", "left").select("ball", "size", "low", F.coalesce("root", "ball").alias("root")).join(sure, "ball", "left"), "labelled")
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
