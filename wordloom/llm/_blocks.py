@@ -106,6 +106,13 @@ def apart(sizes: np.ndarray, data: bytes) -> Iterator[bytes]:
     return (data[a:b] for a, b in zip([0, *ends], ends))
 
 
+def numbers() -> dict:
+    """Numbers things from 0 in the order in which they are looked up first."""
+    of: dict = defaultdict()
+    of.default_factory = of.__len__
+    return of
+
+
 def by_slot(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each slot that occurs, and where, in order."""
     order = np.argsort(slot, kind="stable")
@@ -145,8 +152,7 @@ class Index:
 
     def __init__(self):
         self.ids, self.lengths, self.chunks, self.bytes = [], [], [], 0
-        self.of: dict = defaultdict()
-        self.of.default_factory = self.of.__len__
+        self.of = numbers()
 
     def add(self, doc_id, words: list, size: int) -> None:
         self.ids.append(doc_id)
@@ -166,7 +172,7 @@ class Index:
         order = np.lexsort((slot, -np.bincount(pos, minlength=len(words))))
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
-        return self.ids, np.asarray(self.lengths, np.int64), rank[pos], [words[i] for i in order], slot[order]
+        return self.ids, np.asarray(self.lengths, np.int64), rank[pos], [words[i] for i in order.tolist()], slot[order]
 
 
 def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: int = BLOCK_BYTES, extra: Callable | None = None, counted: Callable | None = None, route: Callable | None = None) -> DataFrame:
@@ -190,7 +196,7 @@ def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: in
                 times = np.bincount(pos[np.repeat(np.asarray(counted(ids), bool), lengths)], minlength=len(words))
             rows = [(DOCS, int(mixed(np.asarray([key], np.uint64))[0] % np.uint64(buckets)), pack((ids, lengths, len(words), pack_positions(pos))))]
             for b, at in by_slot(slot):
-                rows.append((WORDS, b, pack((steps(at), [words[i] for i in at], smallest(times[at])))))
+                rows.append((WORDS, b, pack((steps(at), [words[i] for i in at.tolist()], smallest(times[at])))))
             if extra is not None:
                 rows += [(EXTRA, s, p) for s, p in extra(ids, lengths, pos, words)]
             for i in range(0, len(rows), 64):
@@ -222,8 +228,7 @@ def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...]
         make = value()
         other = extra() if extra is not None else None
         for slot, rows in grouped(batches, 1):
-            of: dict = defaultdict()
-            of.default_factory = of.__len__
+            of = numbers()
             packets, more, total = [], [], np.zeros(0, np.int64)
             for kind, _, block, payload in rows:
                 if kind in pass_kinds:
@@ -242,7 +247,7 @@ def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...]
             values = make(list(of), total) if of else []
             array = values if isinstance(values, np.ndarray) else None
             for block, at, pos in packets:
-                yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else joined([values[i] for i in pos]))))
+                yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else joined([values[i] for i in pos.tolist()]))))
             del packets, values, array, of
             if other is not None and (more or len(total)):
                 for row in other(slot, total, more):
