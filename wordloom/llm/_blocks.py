@@ -58,6 +58,12 @@ def word_hash(words: list) -> np.ndarray:
     return np.fromiter(map(h, words), np.uint64, len(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads close inputs (the finaliser of SplitMix64)."""
     with np.errstate(over="ignore"):

@@ -83,6 +83,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's garbage collector find finished shuffles, whose files executors then delete. Nothing that is in use is touched."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,21 +17,19 @@ Lines and chunks are sent once for each block of documents, so one that a third
 
 from __future__ import annotations
 
-import itertools
+import gc
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import bucket_count, drop_folder, short_batches, written
+from wordloom.llm._common import bucket_count, drop_folder, free_shuffles, short_batches, written
 
 _STOPS, _WIDE, _OTHER, _BREAKS = ".!?", "。！？｡．", "؟۔।॥។။។", r"\n\r\v\f\x85\u2028\u2029"
 #: A sentence's end with the blanks after it, or a line break. It begins with one class of characters, which is quick to search for.
@@ -52,65 +50,117 @@ LAST = np.iinfo(np.int64).max  # where null doc_ids stand
 
 def lines(text: str) -> list[tuple[int, str]]:
     """Start and text of each line, without white space around it; blank lines are left out."""
-    out, a = [], 0
-    for b in [*(m.end() for m in LINE_ENDS.finditer(text)), len(text)]:
-        raw = text[a:b]
-        if own := raw.strip():
-            start = a if raw[0] == own[0] else text.index(own, a)
-            if len(own) > LONG and (len(own) > 2 * LONG or not own.isascii()) and weight(own) > LONG:
-                out += [(start + i, own[i:j]) for i, j in pieces(own)]
-            else:
-                out.append((start, own))
-        a = b
-    return out
-
-
-def pieces(line: str) -> list[tuple[int, int]]:
-    """Start and end of the pieces of a long line: a hash of two neighbouring atoms says whether the second ends a piece."""
-    atoms = line.split()
-    ends = list(itertools.accumulate(map(len, atoms)))
-    if ends[-1] + len(atoms) - 1 == len(line) and max(map(len, atoms)) <= 40 and (line.isascii() or not NO_BLANKS.search(line)):
-        ends = [e + k for k, e in enumerate(ends)]  # words with one blank between any two
-        starts = None
-    else:
-        spans = [m.span() for m in ATOMS.finditer(line)]
-        atoms, starts, ends = [line[a:b] for a, b in spans], [a for a, _ in spans], [b for _, b in spans]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, atoms), np.uint64, len(atoms))
+    starts, found, _ = lines_of([text])
+    return list(zip(starts, found))
+
+
+def lines_of(texts: list[str]) -> tuple[list[int], list[str], list[int]]:
+    """Starts and texts of the lines of all texts, and where each text's lines begin, and the end. Long lines are cut all together."""
+    starts: list[int] = []
+    found: list[str] = []
+    begin = [0]
+    long: list[tuple[int, list[str]]] = []  # places of long lines, and their words
+    for text in texts:
+        a = 0
+        for b in [*[m.end() for m in LINE_ENDS.finditer(text)], len(text)]:
+            line = text[a:b].rstrip()
+            if line:
+                if line[0].isspace():
+                    line = line.lstrip()
+                    a = text.index(line, a)
+                n = len(line)
+                unspaced = n > LONG and not line.isascii() and NO_BLANKS.search(line)
+                if n > 2 * LONG or unspaced:
+                    words = line.split()
+                    if len(words) > LONG or n >= (LONG + 1) * CHARS or unspaced and weights([line])[0] > LONG:
+                        long.append((len(found), words))
+                starts.append(a)
+                found.append(line)
+            a = b
+        begin.append(len(found))
+    if not long:
+        return starts, found, begin
+    all_starts: list[int] = []
+    all_found: list[str] = []
+    done, more, added = 0, [0], 0
+    for (at, _), cuts in zip(long, pieces([(found[at], words) for at, words in long])):
+        all_starts += starts[done:at]
+        all_found += found[done:at]
+        start, line, done = starts[at], found[at], at + 1
+        all_starts += [start + i for i, _ in cuts]
+        all_found += [line[i:j] for i, j in cuts]
+        added += len(cuts) - 1
+        more.append(added)
+    before = np.searchsorted([at for at, _ in long], begin)
+    return all_starts + starts[done:], all_found + found[done:], (np.asarray(begin) + np.asarray(more)[before]).tolist()
+
+
+def pieces(long: list[tuple[str, list[str]]]) -> list[list[tuple[int, int]]]:
+    """Start and end of the pieces of long lines, given with their words: a hash of two neighbouring atoms says whether the second ends
+    a piece."""
+    if not long:
+        return []
+    n = np.fromiter((len(words) for _, words in long), np.int64, len(long))
+    atoms = [w for _, words in long for w in words]
+    size = np.fromiter(map(len, atoms), np.int64, len(atoms))
+    first = np.cumsum(n) - n
+    start = np.cumsum(size + 1) - size - 1
+    start -= np.repeat(start[first], n)
+    # Words with one blank between any two; in other lines atoms are looked for one by one.
+    plain = (np.add.reduceat(size, first) + n - 1 == [len(line) for line, _ in long]) & (np.maximum.reduceat(size, first) <= 40)
+    plain &= [line.isascii() or not NO_BLANKS.search(line) for line, _ in long]
+    if not plain.all():
+        of = [(atoms[i : i + k], size[i : i + k], start[i : i + k]) for i, k in zip(first.tolist(), n.tolist())]
+        for i in np.flatnonzero(~plain).tolist():
+            line = long[i][0]
+            spans = np.asarray([m.span() for m in ATOMS.finditer(line)])
+            of[i] = ([line[a:b] for a, b in spans.tolist()], spans[:, 1] - spans[:, 0], spans[:, 0])
+        atoms, size, start = [w for x, _, _ in of for w in x], np.concatenate([x for _, x, _ in of]), np.concatenate([x for _, _, x in of])
+        n = np.asarray([len(x) for x, _, _ in of])
+    h = B.word_hash(atoms)
+    end = np.cumsum(n)
     mixed = h.copy()
     mixed[1:] += h[:-1] * np.uint64(0x9E3779B97F4A7C15)
-    last = np.flatnonzero((mixed >> np.uint64(40)) & np.uint64(0xFFFF) < 0x10000 // PIECE).tolist()
-    if not last or last[-1] != len(atoms) - 1:
-        last.append(len(atoms) - 1)
-    first = [0, *(k + 1 for k in last[:-1])]
-    if starts is None:
-        return [(ends[i - 1] + 1 if i else 0, ends[k]) for i, k in zip(first, last)]
-    return [(starts[i], ends[k]) for i, k in zip(first, last)]
+    mixed[end[:-1]] = h[end[:-1]]  # a line's first atom has none before it
+    last = (mixed >> np.uint64(40)) & np.uint64(0xFFFF) < 0x10000 // PIECE
+    last[end - 1] = True
+    to = np.flatnonzero(last)
+    spans = list(zip(start[np.concatenate([[0], to[:-1] + 1])].tolist(), (start[to] + size[to]).tolist()))
+    ends = np.searchsorted(to, end).tolist()
+    return [spans[i:j] for i, j in zip([0, *ends], ends)]
 
 
-def weight(line: str) -> int:
-    """What a line counts for the least number of words, by its words or by its characters: 1 at least."""
-    words = len(line.split())
-    if not line.isascii():
-        words += len(NO_BLANKS.findall(line)) // 2
-    return max(words, len(line) // CHARS)
+def weights(found: list[str]) -> np.ndarray:
+    """What each line counts for the least number of words, by its words or by its characters: 1 at least."""
+    words = np.fromiter((len(x.split()) for x in found), np.int64, len(found))
+    for i, x in enumerate(found):
+        if not x.isascii() and NO_BLANKS.search(x):
+            words[i] += len(NO_BLANKS.findall(x)) // 2
+    return np.maximum(words, np.fromiter(map(len, found), np.int64, len(found)) // CHARS)
 
 
-def runs(weights: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(weight: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last lines of the shortest runs that weigh ``least``, in order; begin: where each text's lines begin, and the end."""
-    total = np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
-    i, n = np.arange(len(weights)), len(weights) + 1
+    total = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
+    i, n = np.arange(len(weight)), len(weight) + 1
     per = np.diff(begin)
     last = np.searchsorted(total[1:], total[:-1] + least)
     first = np.searchsorted(total[:-1], total[1:] - least, "right") - 1
     ahead, back = last < np.repeat(begin[1:], per), first >= np.repeat(begin[:-1], per)
-    both = np.unique(np.concatenate([i[ahead] * n + last[ahead], first[back] * n + i[back]]))
+    both = B.distinct(np.concatenate([i[ahead] * n + last[ahead], first[back] * n + i[back]]))
     return both // n, both % n
 
 
+def first_of(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where the least keys of each group 0, 1, ... stand."""
+    order = np.lexsort((*keys[::-1], group))
+    return order[np.searchsorted(group[order], np.arange(int(group.max()) + 1))]
+
+
 def chunks(text: str, min_words: int = 10) -> list[tuple[int, int]]:
     """Start and end of the text's chunks that may be removed, in order; they overlap."""
     own = lines(text)
-    first, last = runs(np.asarray([weight(x) for _, x in own], np.int64), np.asarray([0, len(own)]), min_words)
+    first, last = runs(weights([x for _, x in own]), np.asarray([0, len(own)]), min_words)
     return [(own[i][0], own[j][0] + len(own[j][1])) for i, j in zip(first.tolist(), last.tolist())]
 
 
@@ -138,7 +188,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
         """Distinct words of a block, and columns about them, by bucket."""
         slot = (B.mixed(B.word_hash(words) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(n)).astype(np.int64)
         for s, at in B.by_slot(slot):
-            yield B._one(kind, s, key, B.pack((B.steps(at), [words[k] for k in at], *(c[at] for c in columns))))
+            yield B._one(kind, s, key, B.pack((B.steps(at), [words[k] for k in at.tolist()], *(c[at] for c in columns))))
 
     def home(key: int) -> int:
         return int(B.mixed(np.asarray([key], np.uint64))[0] % np.uint64(n))
@@ -149,21 +199,24 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
 
         def close() -> Iterator[pa.RecordBatch]:
             key = (part << 24) | done
-            of: dict = {}
-            starts, seq, begin = [], [], [0]
-            for row, _ in rows:
-                for a, line in lines(row[at_text] or ""):
-                    starts.append(a)
-                    seq.append(of.setdefault(line, len(of)))
-                begin.append(len(seq))
-            words, seq, begin = list(of), np.asarray(seq, np.int64), np.asarray(begin)
-            weights = np.asarray([weight(w) for w in words], np.int64)
-            first, _ = runs(weights[seq], begin, min_words)
-            ends = np.asarray(starts, np.int64) + np.fromiter(map(len, words), np.int64, len(words))[seq]
+            gc.disable()  # the many small objects made here hold no cycles
+            starts, found, begin = lines_of([row[at_text] or "" for row, _ in rows])
+            of = B.numbers()
+            seq = np.fromiter(map(of.__getitem__, found), np.int64, len(found))
+            words, begin = list(of), np.asarray(begin)
+            gc.enable()
+            weight = weights(words)
+            first, _ = runs(weight[seq], begin, min_words)
+            starts, sizes = np.asarray(starts, np.int64), np.fromiter(map(len, words), np.int64, len(words))[seq]
+            gaps = starts.copy()  # what stands before a line: little, so it takes little room
+            gaps[1:] -= starts[:-1] + sizes[:-1]
+            heads = begin[:-1][np.diff(begin) > 0]
+            gaps[heads] = starts[heads]
+            new = np.concatenate([[True], seq[1:] > np.maximum.accumulate(seq)[:-1]])[: len(seq)]  # lines seen first here are in order
             n_chunks = np.diff(np.searchsorted(first, begin))
             ids = np.asarray([LAST if i is None else i for _, i in rows], np.int64)
-            yield B._one(B.DOCS, home(key), key, B.pack(([row for row, _ in rows], np.asarray(starts, np.int32), ends.astype(np.int32), begin, n_chunks)))
-            yield B._one(B.EXTRA, home(key), key, B.pack((B.smallest(seq), B.smallest(weights), begin, ids)))
+            yield B._one(B.DOCS, home(key), key, B.pack(([row for row, _ in rows], B.smallest(gaps), B.smallest(sizes), begin, B.smallest(n_chunks))))
+            yield B._one(B.EXTRA, home(key), key, B.pack((np.packbits(new), B.smallest(seq[~new]), B.smallest(weight), begin, ids)))
             yield from dealt(key, B.WORDS, words, B.smallest(np.bincount(seq, minlength=len(words))))
 
         for batch in batches:
@@ -178,8 +231,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slot, rows in B.grouped(batches, 1):
-            of: dict = defaultdict()
-            of.default_factory = of.__len__  # equal bytes, not only equal hashes
+            of = B.numbers()  # equal bytes, not only equal hashes
             packets = []
             for _, _, block, payload in rows:
                 at, words, count = B.unpack(payload)
@@ -194,64 +246,56 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in B.grouped(batches, 2):
-            seq, weights, begin, ids = B.unpack(next(r[3] for r in rows if r[0] == B.EXTRA))
-            number = np.full(len(weights), -1, np.int64)
+            new, old, weight, begin, ids = B.unpack(next(r[3] for r in rows if r[0] == B.EXTRA))
+            new = np.unpackbits(new, count=int(begin[-1])).astype(bool)
+            seq = np.cumsum(new) - 1
+            seq[~new] = old
+            number = np.full(len(weight), -1, np.int64)
             for r in rows:
                 if r[0] == B.VALUES:
                     at, x = B.unpack(r[3])
                     number[at] = x
             number = number[seq]
-            a, b = runs(weights[seq], begin, min_words)
+            a, b = runs(weight[seq], begin, min_words)
             once = np.concatenate([[0], np.cumsum(number < 0)])
             both = once[b + 1] == once[a]
             a, b = a[both], b[both]
             if not len(a):
                 continue
-            doc = ids[np.searchsorted(begin, a, "right") - 1].tolist()
-            of: dict = {}
-            place, firsts, times = [], [], []
-            for w, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-                k = of.setdefault(number[i : j + 1].tobytes(), len(of))
-                if k == len(firsts):
-                    firsts.append((doc[w], w))
-                    times.append(1)
-                else:
-                    times[k] += 1
-                    firsts[k] = min(firsts[k], (doc[w], w))
-                place.append(k)
-            yield B._one(B.EXTRA, home(block), block, B.pack((a.astype(np.int32), b.astype(np.int32), np.asarray(place, np.int32), len(of))))
-            yield from dealt(block, B.WORDS, list(of), np.asarray(firsts, np.int64), B.smallest(np.asarray(times, np.int64)))
+            doc, data, of = ids[np.searchsorted(begin, a, "right") - 1], number.tobytes(), B.numbers()
+            place = np.fromiter((of[data[i:j]] for i, j in zip((8 * a).tolist(), (8 * b + 8).tolist())), np.int64, len(a))
+            first = first_of(place, doc, np.arange(len(a)))
+            yield B._one(B.EXTRA, home(block), block, B.pack((a.astype(np.int32), b.astype(np.int32), place.astype(np.int32), len(of))))
+            yield from dealt(block, B.WORDS, list(of), np.stack([doc[first], first], axis=1), B.smallest(np.bincount(place)))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slot, rows in B.grouped(batches, 1):
-            of: dict = {}
-            packets, firsts, totals = [], [], []
+            of, packets, columns = B.numbers(), [], []
             for kind, _, block, payload in rows:
                 if kind == B.EXTRA:
                     yield B._one(kind, slot, block, payload)
                     continue
                 at, words, first, count = B.unpack(payload)
-                pos = []
-                for w, f, c in zip(words, first.tolist(), count.tolist()):
-                    k = of.setdefault(w, len(of))
-                    f = (f[0], block, f[1])
-                    if k == len(firsts):
-                        firsts.append(f)
-                        totals.append(c)
-                    else:
-                        firsts[k] = min(firsts[k], f)
-                        totals[k] += c
-                    pos.append(k)
-                packets.append((block, np.cumsum(at, dtype=np.int64), np.asarray(pos)))
-            first, total = np.asarray(firsts, np.int64).reshape(-1, 3), np.asarray(totals)
+                pos = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+                packets.append((block, np.cumsum(at, dtype=np.int64), pos))
+                columns.append((pos, first[:, 0], np.full(len(pos), block), first[:, 1], count.astype(np.int64)))
+            if not packets:
+                continue
+            place, doc, of_block, at, count = map(np.concatenate, zip(*columns))
+            best = first_of(place, doc, of_block, at)
+            first, total = np.stack([of_block[best], at[best]], axis=1), np.bincount(place, count)
             for block, at, pos in packets:
                 again = total[pos] > 1
                 if again.any():
-                    yield B._one(B.VALUES, slot, block, B.pack((at[again], first[pos[again]][:, 1:])))
+                    yield B._one(B.VALUES, slot, block, B.pack((at[again], first[pos[again]])))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sent in B.grouped(batches, 2):
-            rows, starts, ends, begin, n_chunks = B.unpack(next(r[3] for r in sent if r[0] == B.DOCS))
+            rows, gaps, sizes, begin, n_chunks = B.unpack(next(r[3] for r in sent if r[0] == B.DOCS))
+            ends = np.cumsum(gaps, dtype=np.int64) + np.cumsum(sizes, dtype=np.int64)
+            before = np.concatenate([[0], ends])[begin[:-1]]  # where the texts before a text end in all
+            ends -= np.repeat(before, np.diff(begin))
+            starts = ends - sizes
             first = last = np.zeros(0, np.int64)
             if places := [r[3] for r in sent if r[0] == B.EXTRA]:
                 first, last, place, n_words = B.unpack(places[0])
@@ -287,6 +331,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
     kept = kept.select("kind", "slot", "block", "payload")
     again, _ = written(B.to_buckets(kept.where(F.col("kind") == B.WORDS), n).mapInArrow(numbered, B.ROW), "line-numbers")
     drop_folder(spark, f"{path}/kind={B.WORDS}")
+    free_shuffles(spark)
     sent = B.to_blocks(kept.where(F.col("kind") == B.EXTRA).union(again), n).mapInArrow(chunked, B.ROW)
     valued = B.to_buckets(sent, n).mapInArrow(met, B.ROW)
     return B.to_blocks(kept.where(F.col("kind") == B.DOCS).union(valued), n).mapInArrow(finished, shape)

@@ -50,7 +50,7 @@ def ngram_set(text: str, n: int) -> np.ndarray:
         out = np.full(m, np.uint64(k))
         for i in range(k):
             out = B.mixed(out * _STEP + h[i : i + m])
-    return np.unique(out)
+    return B.distinct(out)
 
 
 def set_id(s: np.ndarray) -> int:
