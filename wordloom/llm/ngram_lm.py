@@ -36,6 +36,8 @@ END = b"\n"  # no word can hold it
 STATS, LEVELS = 4, 5
 #: Bits of an n-gram's hash by which it is told.
 HASH_BITS = 52
+#: Text in a block. The arrays about a block's n-grams take some thirty times as much.
+BLOCK_BYTES = 8 << 20
 
 
 def tokens(text: str) -> list[bytes]:
@@ -151,7 +153,7 @@ def _of_planes(planes: list[bytes], n: int) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, prior2: float = 40.0, prior3: float = 3.0, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, prior2: float = 40.0, prior3: float = 3.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Learns from the documents whose crc32(doc_id as text) mod ``folds`` isn't ``held``. Null text is empty: its only token
