@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.functions import lexicon
 from wordloom.operators import books, compare, context, index, stats
+from wordloom.plans import explore
 from wordloom.plans.profile import analyse, corpus_profile
 from wordloom.settings import AnalysisSettings, context_of, limit_of, phrase_lengths, window_of
 
@@ -99,6 +101,42 @@ def test_phrases(chapters):
     assert rows(context.with_boundary(context.phrases(df, 3, 3)), "boundary") == [("content/content",)]
 
 
+def test_explorers(chapters):
+    df = chapters("the grey sea and the grey sky. the grey sea sang.", "a grey sea. the sky fell.")
+    assert rows(explore.next_words(df, "grey", 5, AnalysisSettings(min_next_word_pair_count=1)), "rank", "next_word", "count") == [(1, "sea", 3), (2, "sky", 1)]
+    assert rows(explore.previous_words(df, "GREY", 1, AnalysisSettings(min_next_word_pair_count=1)), "word", "count") == [("the", 3)]
+    assert rows(explore.ngrams(df, "sea", 2, kind="content", limit=1), "text", "count", "pattern") == [("grey sea", 3, "C-C")]
+    assert rows(explore.phrases(df, 2, 3, content_boundary=True, limit=5), "phrase", "count", "chapter_count") == [("grey sea", 3, 2)]
+    assert rows(context.content_boundary(context.phrases(df, 2, 2, 2)), "phrase") == [("grey sea",)]
+    first = explore.collocations(df, "grey", 1, word_class="content", limit=1).collect()[0]
+    assert (first["collocate"], first["rank"]) == ("sea", 1)
+    whole = {(r["section"], r["item"]): r["count"] for r in explore.word(df, "sea", settings=AnalysisSettings(min_next_word_pair_count=1)).collect()}
+    assert whole["word", "sea"] == 3 and whole["next", "sang"] == 1 and whole["previous", "grey"] == 3 and whole["book", "b"] == 3
+    assert sum(k[0] == "context" for k in whole) == 3 and explore.word(df, "none").count() == 0
+    words = stats.word_frequencies(chapters(("l", "b", "x x y"), ("r", "b", "y z")))
+    assert rows(explore.comparison(words, "l", "r", limit=1), "word", "rank") == [("x", 1)]
+    # With compat, filters see the first rows only: here 300 of the 441 pairs of function words, which all come before the content words.
+    stops = lexicon.stop_words("en")[:21]
+    many = chapters(". ".join([f"{a} {b}" for a in stops for b in stops] * 2 + ["grey sea"]))
+    one = AnalysisSettings(min_ngram_count=1, ngram_max_n=2)
+    assert rows(explore.ngrams(many, kind="content", limit=1, settings=one), "text") == [("grey sea",)]
+    assert explore.ngrams(many, kind="content", limit=1, compat=True, settings=one).count() == 0
+
+
+def test_find_positions(chapters):
+    text = "Sea, SEA and seas; no se a."
+    got = rows(books.find_positions(chapters(text, "none"), "sea").orderBy("match_index"), "chapter_id", "match_index", "start_offset", "match")
+    assert got == [(1, 1, 0, "Sea"), (1, 2, 5, "SEA"), (1, 3, 13, "sea")] and all(text[a : a + 3] == m for _, _, a, m in got)
+
+
+def test_offsets_of_long_chapters(chapters):
+    text = " ".join(f"w{'x' * (k % 7)}" for k in range(500))
+    got = index.token_index(chapters(text)).collect()
+    assert len(got) == 500 and all(text[r["start_offset"] : r["end_offset"]] == r["token_text"] for r in got)
+    lines = context.concordance(chapters(text), "wxx").collect()
+    assert len(lines) == 72 and all(text[r["start_offset"] :].startswith("wxx ") for r in lines[:-1])
+
+
 def test_word_books(chapters):
     df = chapters(("en", "Moby Dick", "whale whale sea"), ("en", "The Pirate", "sea whale"), ("en", "Other", "land"))
     got = rows(books.word_distribution(df, "Whale").orderBy(F.desc("count")), "book", "count", "word_token_count")
@@ -149,6 +187,8 @@ def test_profile_and_limits(chapters):
     p = corpus_profile(chapters(SAMPLE), 3).collect()[0]
     assert p["top_content_words"].split()[0] in {"hello", "know"} and p["top_function_words"].split()[0] == "don't"
     assert set(analyse(chapters(SAMPLE))) == {"summary", "words", "ngrams", "next_words", "categories"}
-    assert (limit_of(0), limit_of(5000), window_of(99), context_of(0), phrase_lengths(1, 99)) == (1, 1000, 10, 1, (2, 8))
+    assert (limit_of(0), limit_of(500), window_of(99), context_of(0), phrase_lengths(1, 99)) == (1, 500, 10, 1, (2, 8))
+    with pytest.raises(ValueError):
+        limit_of(5000)
     with pytest.raises(ValueError):
         stats.top_words(stats.word_frequencies(chapters(SAMPLE)), 3, "odd")

@@ -30,6 +30,11 @@ _BODY = rf"[^.?!]*+(?:{_NO_END}[^.?!]*+)*+"
 SENTENCE = rf"(?sU)(?:{_BODY}[.?!](?:{CLOSERS}++(?:[\s,;]*+(?=\p{{Ll}}){_BODY}[.?!]{CLOSERS}*+)?)?|.+)"
 
 
+def none() -> Column:
+    """An empty array of strings."""
+    return F.array().cast("array<string>")
+
+
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at its ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -139,8 +144,8 @@ def is_stop_word(word: Column, language: Column) -> Column:
 
 
 def grams(words: Column, low: int, high: int, gaps: Column | None = None, min_length: int = 1) -> Column:
-    """Array of (n, text) of the runs of low to high words; with gaps, only of those with nothing but white space between.
-    A run with a word shorter than min_length is left out."""
+    """Array of the runs of low to high words, as text; with gaps, only of those with nothing but white space between. A run with a
+    word shorter than min_length is left out."""
 
     def runs(n: int) -> Column:
         size = F.size(words)
@@ -152,9 +157,14 @@ def grams(words: Column, low: int, high: int, gaps: Column | None = None, min_le
                 ok = ok & F.forall(F.slice(gaps, i + 1, n - 1), lambda g: g.rlike(r"(?U)^\s*$"))
             if min_length > 1:
                 ok = ok & F.forall(own, lambda w: F.length(w) >= min_length)
-            return F.when(ok, F.struct(F.lit(n).cast("bigint").alias("n"), F.array_join(own, " ").alias("text")))
+            return F.when(ok, F.array_join(own, " "))
+
+        found = F.transform(F.sequence(F.lit(1), size - n + 1), run)
+        return F.when(size >= n, found if gaps is None and min_length <= 1 else F.array_compact(found))
+
+    return F.concat(*(F.coalesce(runs(n), none()) for n in range(low, high + 1)))
 
-        return F.when(size >= n, F.filter(F.transform(F.sequence(F.lit(1), size - n + 1), run), lambda x: x.isNotNull()))
 
-    empty = F.array().cast("array<struct<n:bigint,text:string>>")
-    return F.concat(*(F.coalesce(runs(n), empty) for n in range(low, high + 1)))
+def n_words(gram: Column) -> Column:
+    """Number of words of a run of words."""
+    return F.size(F.split(gram, " ")).cast("bigint")

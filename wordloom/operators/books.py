@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import lexicon
 from wordloom.functions import text as X
 from wordloom.functions.measures import per_million, ratio_of
-from wordloom.operators.index import sentence_word_counts, word_arrays
+from wordloom.operators.index import chapter_sizes, end_offset, with_offsets, word_arrays
 
 
 def run_books(chapters: DataFrame) -> DataFrame:
@@ -50,17 +50,14 @@ def _any_of(c: Column, terms: tuple[str, ...]) -> Column:
 
 def chapter_metrics(chapters: DataFrame) -> DataFrame:
     """Words, sentences, characters and quality label of each chapter."""
-    title = chapters["title"] if "title" in chapters.columns else F.lit("")
-    blank = ~chapters["text"].rlike(r"(?U)\S")
-    flags = chapters.select(
-        "run", "book", "chapter_id", F.length("text").cast("bigint").alias("character_count"), blank.alias("is_empty"),
-        (_any_of(title, lexicon.TITLE_MARKERS) | _any_of(F.col("text"), lexicon.TEXT_MARKERS)).alias("is_suspicious"),
+    title = F.col("title") if "title" in chapters.columns else F.lit("")
+    size, empty = F.length("text").cast("bigint"), ~F.col("text").rlike(r"(?U)\S")
+    odd = _any_of(title, lexicon.TITLE_MARKERS) | _any_of(F.col("text"), lexicon.TEXT_MARKERS)
+    labels = F.array_compact(F.array(F.when(empty, "empty").when(size < 200, "very short"), F.when(size >= 100_000, "very long"), F.when(odd, "potentially suspicious")))
+    return chapter_sizes(chapters).select(
+        "run", "book", "chapter_id", size.alias("character_count"), F.col("expected").alias("word_count"), F.col("sentences").alias("sentence_count"),
+        F.when(F.size(labels) == 0, "normal").otherwise(F.array_join(labels, " · ")).alias("quality"),
     )
-    sizes = sentence_word_counts(chapters).select("chapter_id", F.col("expected").alias("word_count"), F.col("sentences").alias("sentence_count"))
-    short = ~F.col("is_empty") & (F.col("character_count") < 200)
-    labels = F.array_compact(F.array(F.when(F.col("is_empty"), "empty").when(short, "very short"), F.when(F.col("character_count") >= 100_000, "very long"), F.when(F.col("is_suspicious"), "potentially suspicious")))
-    out = flags.join(sizes, "chapter_id")
-    return out.select("run", "book", "chapter_id", "character_count", "word_count", "sentence_count", F.when(F.size(labels) == 0, "normal").otherwise(F.array_join(labels, " · ")).alias("quality"))
 
 
 def find_in_chapters(chapters: DataFrame, term: str) -> DataFrame:
@@ -69,6 +66,20 @@ def find_in_chapters(chapters: DataFrame, term: str) -> DataFrame:
     return chapters.select("run", "book", "chapter_id", n.cast("bigint").alias("matches")).where("matches > 0")
 
 
+def find_positions(chapters: DataFrame, term: str) -> DataFrame:
+    """A row for each occurrence of a term in a chapter, whatever its case, without overlaps: match_index from 1, start_offset, match.
+
+    The text between the matches is what a split by them leaves, so offsets are sums of lengths.
+    """
+    pattern = F.lit("(?iu)" + _quoted(term))
+    found = F.regexp_extract_all("text", pattern, F.lit(0))
+    own = chapters.where(F.regexp_count("text", pattern) > 0).select("run", "book", "chapter_id", found.alias("raws"), F.slice(F.split("text", "(?iu)" + _quoted(term), -1), 1, F.size(found)).alias("gaps"))
+    own = with_offsets(own)
+    ends = F.transform(F.sequence(F.lit(1), F.size("raws")), end_offset)
+    rows = own.select("run", "book", "chapter_id", F.posexplode(F.arrays_zip(F.col("raws"), ends.alias("ends"))).alias("k", "t"))
+    return rows.select("run", "book", "chapter_id", (F.col("k") + 1).cast("bigint").alias("match_index"), (F.col("t.ends") - F.length("t.raws")).cast("bigint").alias("start_offset"), F.col("t.raws").alias("match"))
+
+
 def _quoted(term: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|&#~" else c for c in term)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import lexicon
 from wordloom.functions import text as X
 from wordloom.functions.measures import comparison, difficulty_score, ratio_of
-from wordloom.operators.stats import corpus_summary, word_frequencies
+from wordloom.operators.stats import run_words, summed
 
 
 def compare_words(words: DataFrame, left: str, right: str, presence: str = "any", min_count: int = 1, word_class: str = "all") -> DataFrame:
@@ -28,9 +28,13 @@ def compare_words(words: DataFrame, left: str, right: str, presence: str = "any"
 
 
 def difficulty(chapters: DataFrame, thresholds: tuple[int, int] | None = None) -> DataFrame:
+    """The difficulty of each run; see :func:`difficulty_of`."""
+    return difficulty_of(run_words(chapters), thresholds)
+
+
+def difficulty_of(words: DataFrame, thresholds: tuple[int, int] | None = None) -> DataFrame:
     """Shares of content, function, long and very long words, lexical diversity and the heuristic score of each run; lengths
     that count as long are those of the run's language unless given."""
-    words = word_frequencies(chapters)
     code = F.regexp_extract(F.lower(F.col("run")), "^[^-_]*", 0)
     long, very = F.lit((thresholds or lexicon.UNKNOWN_THRESHOLDS)[0]), F.lit((thresholds or lexicon.UNKNOWN_THRESHOLDS)[1])
     if thresholds is None:
@@ -39,11 +43,8 @@ def difficulty(chapters: DataFrame, thresholds: tuple[int, int] | None = None) -
     else:
         low = max(2, thresholds[0])
         long, very = F.lit(low), F.lit(max(low, thresholds[1]))
-    some = lambda test, name: F.sum(F.when(test, F.col("count")).otherwise(0)).alias(name)
-    sums = words.groupBy("run").agg(
-        some(~F.col("is_stop_word"), "content_tokens"), some(F.col("is_stop_word"), "function_tokens"), some(F.length("word") >= long, "long_tokens"), some(F.length("word") >= very, "very_long_tokens")
-    )
-    own = corpus_summary(chapters).join(sums, "run", "left").na.fill(0, ["content_tokens", "function_tokens", "long_tokens", "very_long_tokens"])
+    stop = X.is_stop_word(F.col("text"), F.col("run"))
+    own = summed(words, content_tokens=~stop, function_tokens=stop, long_tokens=F.length("text") >= long, very_long_tokens=F.length("text") >= very)
     n = F.greatest(F.col("word_token_count"), F.lit(1)).cast("double")
     own = own.withColumns({
         "content_share": F.col("content_tokens") / n, "function_share": F.col("function_tokens") / n, "long_share": F.col("long_tokens") / n, "very_long_share": F.col("very_long_tokens") / n,

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
 from wordloom.functions.measures import dice, per_million, ratio_of
-from wordloom.operators.index import index_arrays, word_arrays
-from wordloom.operators.stats import word_totals
+from wordloom.operators.index import counted, end_offset, index_arrays, on_counts, with_offsets, with_totals, word_arrays
 from wordloom.settings import context_of, phrase_lengths, window_of
 
 
@@ -19,49 +18,62 @@ def collocations(chapters: DataFrame, word: str, window: int = 4, min_count: int
     The word isn't a collocate of itself. A token in the windows of two occurrences counts twice; Dice bounds the count.
     """
     target, w = X.query_form(word), window_of(window)
-    own = word_arrays(chapters)
-    at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i) == target)
+    own = word_arrays(chapters).withColumn("at", F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: F.try_element_at("words", i) == target))
 
     def around(p):
         near = F.transform(F.sequence(F.greatest(p - w, F.lit(1)), F.least(p + w, F.size("words"))), lambda i: F.struct(F.element_at("words", i).alias("collocate"), (i - p).alias("offset")))
         return F.filter(near, lambda x: x["collocate"] != target)
 
-    pairs = own.where(F.array_contains("words", target)).select("run", F.explode(F.flatten(F.transform(at, around))).alias("p")).select("run", "p.*")
-    found = pairs.groupBy("run", "collocate").agg(
-        F.count("*").alias("count"), F.count_if(F.col("offset") < 0).alias("left_count"), F.count_if(F.col("offset") > 0).alias("right_count"), F.sum(F.abs("offset")).alias("distance")
-    )
-    counts = own.select("run", F.explode("words").alias("collocate")).groupBy("run", "collocate").agg(F.count("*").alias("collocate_count"))
-    targets = own.groupBy("run").agg(F.sum(F.size(F.filter("words", lambda x: x == target))).cast("bigint").alias("target_count"))
-    out = found.where(F.col("count") >= min_count).join(counts, ["run", "collocate"]).join(targets, "run")
+    # All words, for their own counts, at offset 0; then those of the windows.
+    own = own.withColumn("near", F.flatten(F.transform("at", around)))
+    rows = own.select("run", F.explode(F.arrays_zip(F.concat("words", "near.collocate").alias("collocate"), F.concat(F.array_repeat(F.lit(0), F.size("words")), "near.offset").alias("offset"))).alias("p")).select("run", "p.*")
+    found = rows.groupBy("run", "collocate").agg(
+        F.count_if(F.col("offset") == 0).alias("collocate_count"), F.count_if(F.col("offset") < 0).alias("left_count"), F.count_if(F.col("offset") > 0).alias("right_count"),
+        F.sum(F.abs("offset")).alias("distance"), F.max(F.col("collocate") == target).alias("is_target"),
+    )
+    # Both sides read all columns of the aggregation, so its exchange is made once and used twice.
+    whole = (F.col("left_count") >= 0) & (F.col("right_count") >= 0) & (F.col("distance") >= 0) & (F.col("collocate_count") >= 0)
+    targets = found.where(F.col("is_target") & whole).select("run", F.col("collocate_count").alias("target_count"))
+    found = found.where(~F.col("is_target")).withColumn("count", F.col("left_count") + F.col("right_count"))
+    out = found.where("count > 0").join(F.broadcast(targets), "run")  # a row a run
     out = out.select(
         "run", F.lit(target).alias("word"), "collocate", "count", "left_count", "right_count",
         ratio_of(F.col("count").cast("double"), F.col("target_count")).alias("rate_per_target"),
         ratio_of(F.col("distance").cast("double"), F.col("count")).alias("average_distance"),
         dice(F.col("count"), F.col("target_count"), F.col("collocate_count")).alias("dice"),
     )
-    if min_dice > 0:
-        out = out.where(F.col("dice") >= min_dice)
+    return matching(out, min_count, min_dice, word_class)
+
+
+def matching(found: DataFrame, min_count: int = 1, min_dice: float = 0.0, word_class: str = "all") -> DataFrame:
+    """Collocations of a least count and Dice coefficient: all, or those that are content or function words."""
+    out = found.where((F.col("count") >= min_count) & (F.col("dice") >= min_dice)) if min_count > 1 or min_dice > 0 else found
     stop = X.is_stop_word(F.col("collocate"), F.col("run"))
-    return {"all": out, "content": out.where(~stop), "function": out.where(stop)}[word_class]
+    return {"all": out, "content": out.where(on_counts(~stop)), "function": out.where(on_counts(stop))}[word_class]
 
 
 def concordance(chapters: DataFrame, word: str, context: int = 5) -> DataFrame:
-    """A row for each occurrence of the word: the words before and after it as they are written, and its place."""
+    """A row for each occurrence of the word: the words before and after it as they are written, and its place.
+
+    Occurrences are put together inside the chapter's row, and only they are exploded.
+    """
     target, k = X.query_form(word), context_of(context)
     own = index_arrays(chapters.where(X.word_form(F.col("text")).contains(target))).where(F.array_contains("words", target))
-    size = F.size("words")
-    at = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("words", i) == target)
-    rows = own.select("run", "book", "chapter_id", "raws", "gaps", F.posexplode(at).alias("k", "p"))
-    none = F.array().cast("array<string>")
-    spans = lambda a, b, f: F.array_join(F.when(a <= b, F.transform(F.sequence(a, b), f)).otherwise(none), "")
-    p = F.col("p")
+    own = with_offsets(own)
     size = F.size("raws")
-    left = spans(F.greatest(p - k, F.lit(1)), p - 1, lambda i: F.concat(F.element_at("raws", i), F.element_at("gaps", i + 1)))
-    right = spans(p + 1, F.least(p + k, size), lambda i: F.concat(F.element_at("gaps", i), F.element_at("raws", i)))
-    start = F.length(F.array_join(F.slice("gaps", 1, p), "")) + F.length(F.array_join(F.slice("raws", 1, p - 1), ""))
+    at = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("words", i) == target)
+    span = lambda a, b, f: F.array_join(F.when(a <= b, F.transform(F.sequence(a, b), f)).otherwise(X.none()), "")
+
+    def hit(p):
+        left = span(F.greatest(p - k, F.lit(1)), p - 1, lambda i: F.concat(F.element_at("raws", i), F.element_at("gaps", i + 1)))
+        right = span(p + 1, F.least(p + k, size), lambda i: F.concat(F.element_at("gaps", i), F.element_at("raws", i)))
+        token = F.element_at("raws", p)
+        return F.struct(p.alias("p"), token.alias("token_text"), left.alias("left"), right.alias("right"), (end_offset(p) - F.length(token)).alias("start"))
+
+    rows = own.select("run", "book", "chapter_id", F.posexplode(F.transform(at, hit)).alias("k", "h"))
     return rows.select(
-        "run", "book", "chapter_id", (F.col("k") + 1).cast("bigint").alias("occurrence_index"), p.cast("bigint").alias("chapter_position"),
-        F.element_at("raws", p).alias("token_text"), X.left_snippet(left).alias("left_context"), X.right_snippet(right).alias("right_context"), start.cast("bigint").alias("start_offset"),
+        "run", "book", "chapter_id", (F.col("k") + 1).cast("bigint").alias("occurrence_index"), F.col("h.p").cast("bigint").alias("chapter_position"), F.col("h.token_text").alias("token_text"),
+        X.left_snippet(F.col("h.left")).alias("left_context"), X.right_snippet(F.col("h.right")).alias("right_context"), F.col("h.start").cast("bigint").alias("start_offset"),
     )
 
 
@@ -69,11 +81,10 @@ def phrases(chapters: DataFrame, low: int = 2, high: int = 5, min_count: int = 2
     """Repeated runs of words with nothing but white space between them, within a chapter (they may cross line and sentence
     ends that have no punctuation)."""
     low, high = phrase_lengths(low, high)
-    own = chapters.repartition("chapter_id").select("run", "chapter_id", X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps"))
-    rows = own.select("run", "chapter_id", F.explode(X.grams(F.col("words"), low, high, F.col("gaps"))).alias("g")).select("run", "chapter_id", "g.n", F.col("g.text").alias("phrase"))
-    counts = rows.groupBy("run", "chapter_id", "n", "phrase").agg(F.count("*").alias("c")).groupBy("run", "n", "phrase").agg(F.sum("c").alias("count"), F.count("*").alias("chapter_count"))
-    out = counts.where((F.col("count") >= min_count) & (F.col("chapter_count") >= min_chapters)).join(word_totals(chapters), "run")
-    return out.select("run", "n", "phrase", "count", "chapter_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"))
+    own = chapters.select("run", X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps"))
+    out = with_totals(counted(own, X.grams(F.col("words"), low, high, F.col("gaps")), total=F.size("words")), "total")
+    out = out.where((F.col("count") >= min_count) & (F.col("document_count") >= min_chapters)).withColumnsRenamed({"text": "phrase", "document_count": "chapter_count"})
+    return out.select("run", X.n_words(F.col("phrase")).alias("n"), "phrase", "count", "chapter_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"))
 
 
 def with_boundary(found: DataFrame) -> DataFrame:
@@ -83,6 +94,11 @@ def with_boundary(found: DataFrame) -> DataFrame:
     return found.withColumn("boundary", F.concat_ws("/", kind(F.element_at(ends, 1)), kind(F.element_at(ends, -1))))
 
 
+def content_boundary(found: DataFrame) -> DataFrame:
+    """Phrases that begin and end with content words."""
+    return with_boundary(found).where(on_counts(F.col("boundary") == "content/content")).drop("boundary")
+
+
 def longest_only(found: DataFrame) -> DataFrame:
     """Phrases that aren't part of a longer one with the same count and number of chapters.
 
@@ -92,5 +108,5 @@ def longest_only(found: DataFrame) -> DataFrame:
     size = F.size(F.split("phrase", " "))
     split = F.split("phrase", " ")
     parts = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(size - 1, F.lit(2))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(split, i, n), " "))))
-    held = found.where(F.col("n") > 2).select("run", "count", "chapter_count", F.explode(F.array_distinct(parts)).alias("phrase")).distinct()
+    held = found.where(on_counts(F.col("n") > 2)).select("run", "count", "chapter_count", F.explode(F.array_distinct(parts)).alias("phrase")).distinct()
     return found.join(held, ["run", "phrase", "count", "chapter_count"], "left_anti")

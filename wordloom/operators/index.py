@@ -1,13 +1,13 @@
 """The positional token index of chapters.
 
-A chapter is a row (run, book, chapter_id, text). Its index is two arrays, the words and the gaps before them, made by one
-scan of the text; most queries work on the arrays, so they need no join and no shuffle before their aggregation. The exploded
-form has a row for each token.
+A chapter is a row (run, book, chapter_id, text). Its index is arrays: the words, the words as they are written, and the gaps before
+them, each made by a regular expression's scan of the text where a query needs it. Most queries work on the arrays, so they need no
+join and no shuffle before their aggregation. The exploded form has a row for each token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
@@ -24,23 +24,71 @@ def index_arrays(chapters: DataFrame) -> DataFrame:
     return chapters.select("run", "book", "chapter_id", X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps"), X.raw_words(F.col("text")).alias("raws"))
 
 
-def token_index(chapters: DataFrame) -> DataFrame:
-    """A row for each token: chapter_position from 1, token_text, word, start_offset, end_offset, is_stop_word.
+def counted(chapters: DataFrame, items: Column, /, **sums: Column) -> DataFrame:
+    """run, text, count, document_count of the items (an array of strings that aren't empty) of each chapter, after one scan.
 
-    Texts are dealt by chapter before they are exploded, so the running sums of lengths need no shuffle of tokens.
+    A chapter's items, then each distinct one once more, are exploded and summed up together: occurrences and chapters are both told
+    by the place in the array, so no chapter is shuffled, only (run, text) and their sums. Each chapter also gives one row of empty
+    text, which carries the chapter's own ``sums``; is_total marks the run's sum of these rows.
     """
-    own = index_arrays(chapters.repartition("chapter_id"))
-    zipped = F.posexplode(F.arrays_zip("gaps", "raws", "words")).alias("pos", "t")
-    rows = own.select("run", "book", "chapter_id", zipped).select(
-        "run", "book", "chapter_id",
-        (F.col("pos") + 1).cast("bigint").alias("chapter_position"),
-        F.col("t.raws").alias("token_text"), F.col("t.words").alias("word"), F.length("t.gaps").alias("gap"), F.length("t.raws").alias("size"),
+    own = chapters.select("run", items.alias("_items"), *(c.alias(k) for k, c in sums.items()))
+    # The size is a column of its own before the explosion, else each exploded row would carry the array.
+    own = own.select("run", F.coalesce("_items", X.none()).alias("_items"), *sums).select("run", "_items", F.size("_items").alias("_k"), *sums)
+    rows = own.select("run", "_k", *sums, F.posexplode(F.concat(F.array(F.lit("")), "_items", F.array_distinct("_items"))).alias("_i", "text"))
+    first = F.col("_i") == 0
+    return rows.groupBy("run", "text").agg(
+        F.count_if(~first & (F.col("_i") <= F.col("_k"))).alias("count"), F.count_if(F.col("_i") > F.col("_k")).alias("document_count"),
+        F.max(first).alias("is_total"), *(F.sum(F.when(first, F.col(k)).otherwise(0)).cast("bigint").alias(k) for k in sums),
     )
-    so_far = Window.partitionBy("chapter_id").orderBy("chapter_position").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("size")).over(so_far)
+
+
+def on_counts(test: Column) -> Column:
+    """A test of rows with counts that the optimizer can't push below the counting: where the counts are used twice, both uses then
+    share one exchange, and texts are scanned once."""
+    return test | (F.col("count") < 0)
+
+
+def with_totals(counts: DataFrame, *sums: str) -> DataFrame:
+    """Rows of :func:`counted` other than totals, with the run's sums.
+
+    Both sides read all columns of the same aggregation, so its exchange is made once and used twice. There is a total a run.
+    """
+    some = F.col("is_total") & (F.col("count") >= 0) & (F.col("document_count") >= 0)
+    totals = counts.where(some).select("run", *(F.col(c) for c in sums))
+    own = counts.where(~F.col("is_total") & (F.greatest(*sums, F.lit(0)) >= 0)).drop("is_total", *sums)
+    return own.join(F.broadcast(totals), "run")
+
+
+#: Tokens whose sizes are added up at once, so no offset takes a sum over a whole chapter.
+STRIDE = 64
+
+
+def _sum(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0), lambda total, x: total + x)
+
+
+def with_offsets(own: DataFrame) -> DataFrame:
+    """``own`` (with gaps and raws) and the arrays sizes, of gaps and words together, and so_far, ends of each STRIDE of them."""
+    own = own.withColumn("sizes", F.zip_with("gaps", "raws", lambda g, w: F.length(g) + F.length(w)))
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / STRIDE).cast("int")), lambda k: _sum(F.slice("sizes", k * STRIDE + 1, STRIDE)))
+    ends = F.aggregate(strides, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+    return own.withColumn("so_far", F.when(F.size("sizes") > 0, ends))
+
+
+def end_offset(position: Column) -> Column:
+    """Where the word at a position from 1 ends; for rows of :func:`with_offsets`."""
+    k = F.floor(position / STRIDE).cast("int")
+    return F.element_at("so_far", k + 1) + _sum(F.slice("sizes", k * STRIDE + 1, position - k * STRIDE))
+
+
+def token_index(chapters: DataFrame) -> DataFrame:
+    """A row for each token: chapter_position from 1, token_text, word, start_offset, end_offset, is_stop_word. Nothing is shuffled."""
+    own = with_offsets(index_arrays(chapters)).where(F.size("raws") > 0)
+    ends = F.transform(F.sequence(F.lit(1), F.size("raws")), end_offset)
+    rows = own.select("run", "book", "chapter_id", F.posexplode(F.arrays_zip(F.col("raws"), F.col("words"), ends.alias("ends"))).alias("pos", "t"))
     return rows.select(
-        "run", "book", "chapter_id", "chapter_position", "token_text", "word",
-        (end - F.col("size")).alias("start_offset"), end.alias("end_offset"), X.is_stop_word(F.col("word"), F.col("run")).alias("is_stop_word"),
+        "run", "book", "chapter_id", (F.col("pos") + 1).cast("bigint").alias("chapter_position"), F.col("t.raws").alias("token_text"), F.col("t.words").alias("word"),
+        (F.col("t.ends") - F.length("t.raws")).cast("bigint").alias("start_offset"), F.col("t.ends").cast("bigint").alias("end_offset"), X.is_stop_word(F.col("t.words"), F.col("run")).alias("is_stop_word"),
     )
 
 
@@ -68,32 +116,30 @@ def run_positions(chapters: DataFrame) -> DataFrame:
     return out.select("run", "book", "chapter_id", "tokens", (first + 1).alias("first_run_position"), (first + F.col("tokens")).alias("last_run_position"))
 
 
-def _by_word(chapters: DataFrame) -> DataFrame:
-    """run, word, n: counts of words by run."""
-    return word_arrays(chapters).select("run", F.explode("words").alias("word")).groupBy("run", "word").agg(F.count("*").alias("n"))
-
-
 def index_summary(chapters: DataFrame) -> DataFrame:
     """Tokens, distinct tokens, stop-word and content tokens, and chapters of each run."""
-    stop = X.is_stop_word(F.col("word"), F.col("run"))
-    counts = _by_word(chapters).groupBy("run").agg(
-        F.sum("n").alias("token_count"), F.count("*").alias("distinct_token_count"), F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stop_word_token_count")
-    )
-    indexed = chapters.where(X.word_form(F.col("text")).rlike(r"[\p{L}\p{M}]")).groupBy("run").agg(F.count("*").alias("chapter_count"))
-    out = counts.join(indexed, "run")
-    return out.select("run", "token_count", "distinct_token_count", "stop_word_token_count", (F.col("token_count") - F.col("stop_word_token_count")).alias("content_token_count"), "chapter_count")
+    words = X.words(F.col("text"))
+    counts = counted(chapters, words, chapters=(F.size(words) > 0).cast("int"))
+    stop, n = ~F.col("is_total") & X.is_stop_word(F.col("text"), F.col("run")), F.col("count")
+    out = counts.groupBy("run").agg(
+        F.sum("count").alias("token_count"), F.count_if(~F.col("is_total")).alias("distinct_token_count"),
+        F.sum(F.when(stop, n).otherwise(0)).alias("stop_word_token_count"), F.sum("chapters").alias("chapter_count"),
+    )
+    out = out.where("token_count > 0").withColumn("content_token_count", F.col("token_count") - F.col("stop_word_token_count"))
+    return out.select("run", "token_count", "distinct_token_count", "stop_word_token_count", "content_token_count", "chapter_count")
 
 
-def sentence_word_counts(chapters: DataFrame) -> DataFrame:
-    """chapter_id and the number of word tokens of its sentences, as the analyser counts them (from normalised sentences)."""
+def chapter_sizes(chapters: DataFrame) -> DataFrame:
+    """``chapters`` and the number of word tokens of its sentences, as the analyser counts them (from normalised sentences), and of
+    its sentences: expected, sentences."""
     found = X.sentences(X.for_reading(F.col("text")))
-    n = F.aggregate(found, F.lit(0), lambda total, s: total + F.size(X.words(s)))
-    return chapters.select("run", "book", "chapter_id", n.cast("bigint").alias("expected"), F.size(found).cast("bigint").alias("sentences"))
+    n = F.aggregate("_found", F.lit(0), lambda total, s: total + F.size(X.words(s)))
+    return chapters.withColumn("_found", found).withColumns({"expected": n.cast("bigint"), "sentences": F.size("_found").cast("bigint")}).drop("_found")
 
 
 def index_diagnostics(chapters: DataFrame) -> DataFrame:
     """Expected against indexed tokens, chapters and books of each run, gaps in run positions, coverage and delta."""
-    expected = sentence_word_counts(chapters).groupBy("run").agg(F.sum("expected").alias("expected_word_token_count"), F.count("*").alias("expected_chapter_count"), F.countDistinct("book").alias("source_book_count"))
+    expected = chapter_sizes(chapters).groupBy("run").agg(F.sum("expected").alias("expected_word_token_count"), F.count("*").alias("expected_chapter_count"), F.countDistinct("book").alias("source_book_count"))
     spans = run_positions(chapters).groupBy("run").agg(
         F.sum("tokens").alias("indexed_word_token_count"), F.count("*").alias("indexed_chapter_count"), F.countDistinct("book").alias("indexed_book_count"),
         F.min("first_run_position").alias("first_run_position"), F.max("last_run_position").alias("last_run_position"),

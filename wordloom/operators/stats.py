@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
 from wordloom.functions.measures import per_million, ratio_of
-from wordloom.operators.index import word_arrays
+from wordloom.operators.index import counted, on_counts, with_totals
 from wordloom.settings import AnalysisSettings, limit_of
 
 
@@ -18,22 +18,22 @@ def sentence_table(chapters: DataFrame) -> DataFrame:
     return rows.select("run", "book", "chapter_id", F.col("i").cast("bigint").alias("sentence_index"), "sentence", X.words(F.col("sentence")).alias("words"))
 
 
-def word_totals(chapters: DataFrame) -> DataFrame:
-    """run and its number of word tokens (total)."""
-    return word_arrays(chapters).groupBy("run").agg(F.sum(F.size("words")).cast("bigint").alias("total"))
-
-
 def word_frequencies(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> DataFrame:
-    """Counts, numbers of documents, frequency per million and stop-word flag of each word of a run.
-
-    Texts are dealt by chapter, so words are counted by chapter where they are, and only these counts are shuffled.
-    """
-    rows = word_arrays(chapters.repartition("chapter_id")).select("run", "chapter_id", F.explode("words").alias("word"))
+    """Counts, numbers of documents, frequency per million and stop-word flag of each word of a run."""
+    words = X.words(F.col("text"))
+    out = with_totals(counted(chapters, words, total=F.size(words)), "total")
     if settings.min_word_length > 1:
-        rows = rows.where(F.length("word") >= settings.min_word_length)
-    counts = rows.groupBy("run", "chapter_id", "word").agg(F.count("*").alias("n")).groupBy("run", "word").agg(F.sum("n").alias("count"), F.count("*").alias("document_count"))
-    out = counts.join(word_totals(chapters), "run")
-    return out.select("run", "word", "count", "document_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"), X.is_stop_word(F.col("word"), F.col("run")).alias("is_stop_word"))
+        out = out.where(F.length("text") >= settings.min_word_length)
+    return out.select(
+        "run", F.col("text").alias("word"), "count", "document_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"),
+        X.is_stop_word(F.col("text"), F.col("run")).alias("is_stop_word"),
+    )
+
+
+def ranked(rows: DataFrame, order: list[Column], n: int, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """The first n rows (see limit_of) of each group in an order, with their rank from 1."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= limit_of(n))
 
 
 def top_words(words: DataFrame, per_run: int = 100, word_class: str = "all") -> DataFrame:
@@ -44,8 +44,7 @@ def top_words(words: DataFrame, per_run: int = 100, word_class: str = "all") ->
         words = words.where("is_stop_word")
     elif word_class != "all":
         raise ValueError(f"no such class of words: {word_class}")
-    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("count"), "word"))
-    return words.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= limit_of(per_run))
+    return ranked(words, ORDERS["words"](), per_run)
 
 
 def word_detail(words: DataFrame, word: str) -> DataFrame:
@@ -54,11 +53,13 @@ def word_detail(words: DataFrame, word: str) -> DataFrame:
 
 def ngram_frequencies(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> DataFrame:
     """Runs of words within sentences that occur min_ngram_count times or more; per million of word tokens."""
-    found = X.grams(F.col("words"), settings.ngram_min_n, settings.ngram_max_n, min_length=settings.min_word_length)
-    rows = sentence_table(chapters.repartition("chapter_id")).select("run", "chapter_id", F.explode(found).alias("g")).select("run", "chapter_id", "g.n", "g.text")
-    counts = rows.groupBy("run", "chapter_id", "n", "text").agg(F.count("*").alias("c")).groupBy("run", "n", "text").agg(F.sum("c").alias("count"), F.count("*").alias("document_count"))
-    out = counts.where(F.col("count") >= settings.min_ngram_count).join(word_totals(chapters), "run")
-    return out.select("run", "n", "text", "count", "document_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"))
+    low, high, least = settings.ngram_min_n, settings.ngram_max_n, settings.min_word_length
+    sentences = F.transform(X.sentences(X.for_reading(F.col("text"))), X.words)
+    own = chapters.select("run", sentences.alias("words"))
+    found = F.flatten(F.transform("words", lambda ws: X.grams(ws, low, high, min_length=least)))
+    n = F.aggregate("words", F.lit(0), lambda total, ws: total + F.size(ws))
+    out = with_totals(counted(own, found, total=n), "total").where(F.col("count") >= settings.min_ngram_count)
+    return out.select("run", X.n_words(F.col("text")).alias("n"), "text", "count", "document_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"))
 
 
 def ngram_search(ngrams: DataFrame, term: str | None = None, n: int | None = None, min_count: int = 1) -> DataFrame:
@@ -73,38 +74,49 @@ def ngram_search(ngrams: DataFrame, term: str | None = None, n: int | None = Non
     return ngrams
 
 
-#: The n-gram explorer's orders.
-NGRAM_ORDERS = {"count": [F.desc, "count"], "text": [F.asc, "text"], "n": [F.asc, "n"], "frequency": [F.desc, "frequency_per_million"]}
+#: The n-gram explorer's sort keys; ties go by count, frequency, n and text.
+NGRAM_KEYS = {"count": [F.desc, "count"], "frequency": [F.desc, "frequency_per_million"], "documents": [F.desc, "document_count"], "text": [F.asc, "text"]}
 
 
 def ngram_order(key: str) -> list[Column]:
-    how, column = NGRAM_ORDERS[key]
+    how, column = NGRAM_KEYS[key]
     return [how(column), F.desc("count"), F.desc("frequency_per_million"), F.asc("n"), F.asc("text")]
 
 
+#: Orders of ranked results.
+ORDERS = {
+    "words": lambda: [F.desc("count"), F.asc("word")],
+    "ngrams": lambda: [F.desc("count"), F.asc("n"), F.asc("text")],
+    "next_words": lambda: [F.desc("count"), F.asc("word"), F.asc("next_word")],
+    "collocations": lambda: [F.desc("dice"), F.desc("count"), F.desc("right_count"), F.asc("collocate")],
+    "phrases": lambda: [F.desc("count"), F.desc("n"), F.asc("phrase")],
+    "comparison": lambda: [F.desc("absolute_difference_per_million"), F.desc("total_count"), F.asc("word")],
+    "books": lambda: [F.desc("count"), F.asc("book")],
+}
+
+
 def ngram_patterns(ngrams: DataFrame, kind: str = "all") -> DataFrame:
     """N-grams with their pattern of content (C) and function (F) words; kind: all, content, function or boundary (content
     words at both ends)."""
     letters = F.transform(F.split("text", " "), lambda w: F.when(X.is_stop_word(w, F.col("run")), "F").otherwise("C"))
     out = ngrams.withColumn("pattern", F.array_join(letters, "-"))
     tests = {"all": F.lit(True), "content": ~F.col("pattern").contains("F"), "function": ~F.col("pattern").contains("C"), "boundary": F.col("pattern").startswith("C") & F.col("pattern").endswith("C")}
-    return out.where(tests[kind])
-
-
-def _pairs(chapters: DataFrame) -> DataFrame:
-    own = F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("word"), F.slice("words", 2, F.size("words") - 1).alias("next_word"))
-    rows = sentence_table(chapters).where(F.size("words") > 1).select("run", F.explode(own).alias("p"))
-    return rows.select("run", F.col("p.word").alias("word"), F.col("p.next_word").alias("next_word"))
+    return out if kind == "all" else out.where(on_counts(tests[kind]))
 
 
 def next_words(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> DataFrame:
-    """Successors within sentences of a run's most frequent words, and their probability among all successors of the word."""
-    pairs = _pairs(chapters).groupBy("run", "word", "next_word").agg(F.count("*").alias("count"))
-    words = word_arrays(chapters).select("run", F.explode("words").alias("word")).groupBy("run", "word").agg(F.count("*").alias("count"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("count"), "word"))).where(F.col("r") <= settings.top_words_for_next_word_analysis)
-    pairs = pairs.join(F.broadcast(top.select("run", "word")), ["run", "word"], "left_semi")  # top words of a few runs
-    totals = pairs.groupBy("run", "word").agg(F.sum("count").alias("total"))
-    out = pairs.where(F.col("count") >= settings.min_next_word_pair_count).join(totals, ["run", "word"])
+    """Successors within sentences of a run's most frequent words, and their probability among all successors of the word.
+
+    A sentence's last word has no successor, so the counts of pairs also give those of words; texts are scanned once.
+    """
+    after = F.concat(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    rows = sentence_table(chapters).where(F.size("words") > 0).select("run", F.explode(F.arrays_zip(F.col("words").alias("word"), after.alias("next_word"))).alias("p")).select("run", "p.*")
+    # Both uses of the pairs read both counts, so the exchange is made once.
+    pairs = rows.groupBy("run", "word", "next_word").agg(F.count("*").alias("all"), F.count("next_word").alias("count"))
+    words = pairs.groupBy("run", "word").agg(F.sum("all").alias("n"), F.sum("count").alias("total"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("n"), "word"))
+    top = words.withColumn("r", place).where(F.col("r") <= settings.top_words_for_next_word_analysis).select("run", "word", "total")
+    out = pairs.where((F.col("count") >= max(1, settings.min_next_word_pair_count)) & (F.col("all") >= 1)).join(F.broadcast(top), ["run", "word"])  # so many words a run
     return out.select("run", "word", "next_word", "count", ratio_of(F.col("count").cast("double"), F.col("total")).alias("probability"))
 
 
@@ -137,17 +149,28 @@ def sentence_lengths(chapters: DataFrame, settings: AnalysisSettings = AnalysisS
     return sentence_table(chapters).select("run", "chapter_id", "sentence_index", "sentence", F.size(own).cast("bigint").alias("token_count"))
 
 
-def corpus_summary(chapters: DataFrame) -> DataFrame:
-    """Documents, sentences, tokens of all kinds, word tokens, distinct words, and the averages of each run."""
-    sizes = sentence_table(chapters).groupBy("run").agg(F.count("*").alias("sentence_count"), F.sum(F.size(X.tokens(F.col("sentence")))).cast("bigint").alias("token_count"))
-    words = word_arrays(chapters).select("run", F.explode("words").alias("word")).groupBy("run", "word").agg(F.count("*").alias("n"))
-    words = words.groupBy("run").agg(F.sum("n").alias("word_token_count"), F.count("*").alias("distinct_word_count"), F.sum(F.col("n") * F.length("word")).alias("chars"))
-    docs = chapters.groupBy("run").agg(F.count("*").alias("document_count"))
-    zero = F.lit(0).cast("bigint")
-    out = docs.join(sizes, "run", "left").join(words, "run", "left")
-    out = out.select("run", "document_count", *(F.coalesce(c, zero).alias(c) for c in ("sentence_count", "token_count", "word_token_count", "distinct_word_count", "chars")))
-    return out.select(
+def run_words(chapters: DataFrame) -> DataFrame:
+    """Counts of words (text) by run, and on the rows with is_total the run's documents, sentences and tokens, after one scan."""
+    own = chapters.withColumn("_found", X.sentences(X.for_reading(F.col("text"))))
+    tokens = F.aggregate("_found", F.lit(0), lambda total, s: total + F.size(X.tokens(s)))
+    own = own.withColumns({"_tokens": tokens, "_sentences": F.size("_found")})
+    return counted(own, X.words(F.col("text")), documents=F.lit(1), sentence_count=F.coalesce(F.greatest("_sentences", F.lit(0)), F.lit(0)), token_count=F.coalesce("_tokens", F.lit(0)))
+
+
+def summed(words: DataFrame, **more: Column) -> DataFrame:
+    """The summary of each run from :func:`run_words`; more: other sums over words."""
+    own = ~F.col("is_total")
+    sums = words.groupBy("run").agg(
+        F.sum("documents").alias("document_count"), F.sum("sentence_count").alias("sentence_count"), F.sum("token_count").alias("token_count"), F.sum("count").alias("word_token_count"),
+        F.count_if(own).alias("distinct_word_count"), F.sum(F.col("count") * F.length("text")).alias("chars"), *(F.sum(F.when(own & test, F.col("count")).otherwise(0)).alias(k) for k, test in more.items()),
+    )
+    return sums.select(
         "run", "document_count", "sentence_count", "token_count", "word_token_count", "distinct_word_count",
         ratio_of(F.col("word_token_count").cast("double"), F.col("sentence_count")).alias("average_words_per_sentence"),
-        ratio_of(F.col("chars").cast("double"), F.col("word_token_count")).alias("average_characters_per_word"),
+        ratio_of(F.col("chars").cast("double"), F.col("word_token_count")).alias("average_characters_per_word"), *more,
     )
+
+
+def corpus_summary(chapters: DataFrame) -> DataFrame:
+    """Documents, sentences, tokens of all kinds, word tokens, distinct words, and the averages of each run."""
+    return summed(run_words(chapters))

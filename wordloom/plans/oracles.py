@@ -133,7 +133,8 @@ word_token_delta = 0 and indexed_chapter_count = expected_chapter_count and inde
 def collocations(word: str, window: int, where: str = "true") -> str:
     return _with(TOKENS, select=f"""
 , cc as (select run, word, count(*) as n from t group by all),
-pairs as (select a.run, b.word as collocate, b.pos - a.pos as o from t a join t b on a.chapter_id = b.chapter_id and a.run = b.run and b.pos between a.pos - {window} and a.pos + {window} where a.word = {_q(word)} and b.word <> {_q(word)}),
+near as (select run, book, chapter_id, pos + o as pos, o from (select run, book, chapter_id, pos, unnest(range(-{window}, {window} + 1)) as o from t where word = {_q(word)}) where o <> 0),
+pairs as (select a.run, b.word as collocate, a.o from near a join t b on a.chapter_id = b.chapter_id and a.run = b.run and a.book = b.book and a.pos = b.pos where b.word <> {_q(word)}),
 found as (select run, collocate, count(*) as count, count(*) filter (o < 0) as left_count, count(*) filter (o > 0) as right_count, sum(abs(o))::bigint as distance from pairs group by all),
 done as (select f.run, {_q(word)} as word, collocate, f.count, left_count, right_count, f.count::double / g.n as rate_per_target, distance::double / f.count as average_distance,
 2.0::double * least(f.count, g.n, c.n) / (g.n + c.n) as dice from found f join cc c on f.run = c.run and f.collocate = c.word join cc g on g.run = f.run and g.word = {_q(word)})
@@ -154,6 +155,7 @@ select h.run, h.book, h.chapter_id, occurrence_index, pos as chapter_position, r
 from hits h join chapters c using (chapter_id)""".replace("chr(32)", "' '").replace("chr(103)", "'g'"))
 
 
+_FIRST, _LAST = "split_part(phrase, ' ', 1)", "split_part(phrase, ' ', -1)"
 PHRASES = r"""
 cut as (select *, sum(case when pos > 1 and not regexp_full_match(gap, '[\s\pZ]*') then 1 else 0 end) over (partition by chapter_id order by pos) as seg from t),
 segs as (select run, chapter_id, list(word order by pos) as ws from cut group by run, chapter_id, seg),
@@ -169,11 +171,18 @@ def phrases(low: int, high: int, least: int, how: str = "") -> str:
     if how == "boundary":
         kind = lambda w: f"case when {stop(w)} then 'function' else 'content' end"
         return _with(*parts, select=f"select *, {kind('''split_part(phrase, ' ', 1)''')} || '/' || {kind('''split_part(phrase, ' ', -1)''')} as boundary from phrases")
+    if how == "content":
+        return _with(*parts, select=f"select * from phrases where not {stop(_FIRST)} and not {stop(_LAST)}")
     if how == "longest":
         return _with(*parts, select="""select p.* from phrases p where not exists (select 1 from phrases q where q.run = p.run and q.count = p.count and q.chapter_count = p.chapter_count and q.n > p.n and contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))""")
     return _with(*parts, select="select * from phrases")
 
 
+def ranked(sql: str, order: str, n: int, by: str = "partition by run") -> str:
+    """The first n rows of a query's groups, with their rank."""
+    return f"select * from (select *, row_number() over ({by} order by {order}) as rank from ({sql})) where rank <= {n}"
+
+
 def sentences() -> str:
     return _with(SENTENCES, select="select run, chapter_id, sentence_index, sentence from s")
 
@@ -327,6 +336,25 @@ def find_in_chapters(term: str) -> str:
     return _with(select=f"select run, book, chapter_id, matches from (select *, len(regexp_extract_all(text, {_q('(?i)' + term)}))::bigint as matches from chapters) where matches > 0")
 
 
+def find_positions(term: str) -> str:
+    return _with(select=f"""
+, p as (select run, book, chapter_id, text, regexp_extract_all(text, {_q('(?i)' + term)}) as ms, regexp_split_to_array(text, {_q('(?i)' + term)}) as parts from chapters),
+u as (select run, book, chapter_id, unnest(range(1, len(ms) + 1)) as match_index, unnest(ms) as match, unnest(list_slice(parts, 1, len(ms))) as gap from p where len(ms) > 0)
+select run, book, chapter_id, match_index, match, (sum(length(gap) + length(match)) over (partition by run, book, chapter_id order by match_index) - length(match))::bigint as start_offset from u""")
+
+
+def word_explorer(word: str, related: int, contexts: int, k: int, books: int) -> str:
+    nexts = next_words(1000, 2)
+    one = lambda section, sql, order, n, item, count, value: f"select run, '{section}' as section, rank, {item} as item, {count} as count, {value}::double as value from ({ranked(sql, order, n)})"
+    return " union all ".join((
+        one("word", word_detail(word), "word", 1, "word", "count", "frequency_per_million"),
+        one("next", f"select * from ({nexts}) where word = {_q(word)}", "count desc, next_word", related, "next_word", "count", "probability"),
+        one("previous", f"select * from ({nexts}) where next_word = {_q(word)}", "count desc, word", related, "word", "count", "probability"),
+        one("context", concordance(word, k), "book, chapter_id, occurrence_index", contexts, "concat_ws(' | ', left_context, token_text, right_context)", "chapter_position", "null"),
+        one("book", word_distribution(word), "count desc, book", books, "book", "count", "frequency_per_million"),
+    ))
+
+
 def _suspicion() -> str:
     lines = "list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: " + trim("x") + "), lambda x: x <> ''), 1, 60)"
     contents = rf"(len(list_filter({lines}, lambda x: lower(x) in ('contents', 'indice', 'sommario'))) > 0 or len(list_filter({lines}, lambda x: regexp_matches(x, '(?i)^(chapter|capitolo)\s+([ivxlcdm]+|[0-9]+)'))) >= 5)"
@@ -356,12 +384,18 @@ def extreme_chapters(order: str, n: int) -> str:
     return _with(select=f"select run, book, chapter_id, length(text) as character_count, substr({one_line}, 1, 80) as preview from (select *, {FOR_READING} as reading from chapters) order by character_count {order}, run, book, chapter_id limit {n}")
 
 
-def corpus_profile(n: int) -> str:
-    return _with(TOKENS, WORDS, SENTENCES, SUMMARY, select=f"""
+def corpus_profile(n: int, low: int, high: int, least: int, chapters_least: int) -> str:
+    own = f"not {stop(_FIRST, 'p.run')} and not {stop(_LAST, 'p.run')} and chapter_count >= {chapters_least}"
+    return _with(TOKENS, WORDS, SENTENCES, SUMMARY, _difficulty(), PHRASES.format(low=low, high=high, least=least), select=f"""
 , ranked as (select run, word, row_number() over (partition by run, is_stop_word order by count desc, word) as r, is_stop_word from words),
-b as (select run, count(distinct book) as book_count from chapters group by run)
-select s.*, book_count, (select string_agg(word, ' ' order by r) from ranked k where k.run = s.run and r <= {n} and not is_stop_word) as top_content_words,
-coalesce((select string_agg(word, ' ' order by r) from ranked k where k.run = s.run and r <= {n} and is_stop_word), '') as top_function_words from summary s join b using (run)""")
+b as (select run, count(distinct book) as book_count from chapters group by run),
+chosen as (select * from phrases p where {own}),
+longest as (select * from chosen p where not exists (select 1 from chosen q where q.run = p.run and q.count = p.count and q.chapter_count = p.chapter_count and q.n > p.n and contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))),
+tops as (select run, string_agg(phrase, '; ' order by r) as top_phrases from (select *, row_number() over (partition by run order by count desc, n desc, phrase) as r from longest) where r <= {n} group by run)
+select s.*, book_count, content_share, function_share, long_share, very_long_share, lexical_diversity, score as difficulty_score,
+coalesce((select string_agg(word, ' ' order by r) from ranked k where k.run = s.run and r <= {n} and not is_stop_word), '') as top_content_words,
+coalesce((select string_agg(word, ' ' order by r) from ranked k where k.run = s.run and r <= {n} and is_stop_word), '') as top_function_words,
+coalesce(top_phrases, '') as top_phrases from summary s join b using (run) join (select run, content_share, function_share, long_share, very_long_share, lexical_diversity, score from profiles) using (run) left join tops using (run)""")
 
 
 def source_books() -> str:

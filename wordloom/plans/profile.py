@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.operators.stats import corpus_summary, ngram_frequencies, next_words, sentence_categories, top_words, word_frequencies
+from wordloom.functions.lexicon import language_code
+from wordloom.operators import context, stats
+from wordloom.operators.compare import difficulty_of
+from wordloom.operators.index import token_index
+from wordloom.operators.stats import corpus_summary, ngram_frequencies, next_words, ranked, run_words, sentence_categories, top_words, word_frequencies
 from wordloom.settings import AnalysisSettings
+from wordloom.sinks.catalog import Catalog
+from wordloom.sources import books
 
 
-def corpus_profile(chapters: DataFrame, n: int = 10) -> DataFrame:
-    """Summary, number of books, and the most frequent content and function words of each run."""
+def _listed(top: DataFrame, column: str, name: str, between: str) -> DataFrame:
+    """The ranked rows of each run as one text; there are some a run."""
+    rows = top.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("rank", column))).alias("rows"))
+    return rows.select("run", F.array_join(F.col(f"rows.{column}"), between).alias(name))
+
+
+def corpus_profile(chapters: DataFrame, n: int = 10, min_phrase_count: int = 3, min_phrase_chapters: int = 1) -> DataFrame:
+    """Summary, number of books, difficulty, the most frequent content and function words, and the most frequent phrases (of two to
+    five words, with content words at both ends, the longest only) of each run."""
     words = word_frequencies(chapters)
-    out = corpus_summary(chapters).join(chapters.groupBy("run").agg(F.countDistinct("book").alias("book_count")), "run")
+    table = run_words(chapters)
+    measures = ("content_share", "function_share", "long_share", "very_long_share", "lexical_diversity")
+    hard = difficulty_of(table).select("run", *measures, F.col("score").alias("difficulty_score"))
+    out = stats.summed(table).join(hard, "run").join(chapters.groupBy("run").agg(F.countDistinct("book").alias("book_count")), "run")
     for kind in ("content", "function"):
-        top = top_words(words, n, kind).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ws"))  # n words a run
-        out = out.join(top.select("run", F.array_join(F.col("ws.word"), " ").alias(f"top_{kind}_words")), "run", "left")
-    return out.na.fill("", ["top_content_words", "top_function_words"])
+        out = out.join(_listed(top_words(words, n, kind), "word", f"top_{kind}_words", " "), "run", "left")
+    found = context.longest_only(context.content_boundary(context.phrases(chapters, 2, 5, min_phrase_count, min_phrase_chapters)))
+    out = out.join(_listed(ranked(found, stats.ORDERS["phrases"](), n), "phrase", "top_phrases", "; "), "run", "left")
+    return out.na.fill("", ["top_content_words", "top_function_words", "top_phrases"])
+
+
+def analyse_folder(spark: SparkSession, folder: str, language: str, catalog: Catalog, corpus_id: int, settings: AnalysisSettings = AnalysisSettings(), pattern: str = "*.epub") -> int:
+    """Import a folder's books into a corpus and save a run with their statistics and token index; the run's id."""
+    found, _ = books.read_books(spark, folder, language, pattern)
+    chapters, _ = books.read_run(spark, folder, language, pattern, run=language_code(language))
+    catalog.add_books(corpus_id, found)
+    links = found.groupBy("book_id").agg(F.min(F.lower("source_path")).alias("path"))
+    links = links.select("book_id", F.row_number().over(Window.orderBy("path", "book_id")).alias("order_index"))  # a row a book
+    return catalog.save_run(corpus_id, {**analyse(chapters, settings), "tokens": token_index(chapters)}, links, settings)
 
 
 def analyse(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> dict[str, DataFrame]:

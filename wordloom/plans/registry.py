@@ -11,7 +11,7 @@ from wordloom.functions import cleaning, lexicon
 from wordloom.functions import text as X
 from wordloom.operators import books, compare, context, index, stats
 from wordloom.plans import oracles as O  # noqa: N812
-from wordloom.plans import profile
+from wordloom.plans import explore, profile
 from wordloom.settings import AnalysisSettings
 from wordloom.sources import html
 from wordloom.sources.tables import dialogue_chapters, document_chapters, labelled_chapters, table
@@ -45,7 +45,9 @@ _add("collocations_content", lambda c: context.collocations(c, "the", 4, word_cl
 _add("collocations_min_dice", lambda c: context.collocations(c, "that", 2, min_count=5, min_dice=0.01), O.collocations("that", 2, "count >= 5 and dice >= 0.01::double"))
 _add("kwic", lambda c: context.concordance(c, "That", 5), O.concordance("that", 5))
 _add("phrases", lambda c: context.phrases(c, 2, 5, 3), O.phrases(2, 5, 3))
-_add("phrases_content_boundary", lambda c: context.with_boundary(context.phrases(c, 2, 5, 3)), O.phrases(2, 5, 3, "boundary"))
+_add("phrases_with_boundary", lambda c: context.with_boundary(context.phrases(c, 2, 5, 3)), O.phrases(2, 5, 3, "boundary"))
+_add("phrases_content_boundary", lambda c: context.content_boundary(context.phrases(c, 2, 5, 3)), O.phrases(2, 5, 3, "content"))
+_add("phrases_min_chapters", lambda c: context.phrases(c, 2, 4, 2, min_chapters=3), f"select * from ({O.phrases(2, 4, 2)}) where chapter_count >= 3")
 _add("phrases_longest_only", lambda c: context.longest_only(context.phrases(c, 2, 5, 3)), O.phrases(2, 5, 3, "longest"))
 _add("sentences", lambda c: stats.sentence_table(c).select("run", "chapter_id", "sentence_index", "sentence"), O.sentences())
 _add("sentence_tokens", stats.sentence_tokens, O.sentence_tokens())
@@ -69,12 +71,13 @@ _add("compare_quality", lambda c: compare.compare_words(stats.word_frequencies(c
 _add("difficulty", compare.difficulty, O.difficulty())
 _add("compare_difficulty", lambda c: compare.compare_difficulty(compare.difficulty(c), "en", "de"), O.compare_difficulty("en", "de"))
 _add("language_note", lambda c: compare.language_note(c, "en", "de"), O.language_note())
-_add("corpus_profile", lambda c: profile.corpus_profile(c, 10), O.corpus_profile(10))
+_add("corpus_profile", lambda c: profile.corpus_profile(c, 10), O.corpus_profile(10, 2, 5, 3, 1))
 _add("run_books", books.run_books, O.run_books())
 _add("word_book_distribution", lambda c: books.word_distribution(c, "the"), O.word_distribution("the"))
 _add("word_books_coverage", lambda c: books.word_coverage(c, "that"), O.word_coverage("that"))
 _add("chapter_metrics", books.chapter_metrics, O.chapter_metrics())
 _add("find_in_chapters", lambda c: books.find_in_chapters(c, "license"), O.find_in_chapters("license"))
+_add("find_positions", lambda c: books.find_positions(c, "license"), O.find_positions("license"))
 _add("import_diagnostics", books.import_diagnostics, O.import_diagnostics())
 _add("suspicious_chapters", books.suspicious_chapters, O.suspicious_chapters())
 _add("suspicious_terms", books.suspicious_terms, O.suspicious_terms())
@@ -83,6 +86,24 @@ _add("longest_chapters", lambda c: books.extreme_chapters(c, longest=True), O.ex
 _add("normalize_text", lambda c: c.select("chapter_id", X.for_reading(F.col("text")).alias("reading"), X.inline(F.col("text")).alias("one_line"), X.key(F.col("text")).alias("key")), O.normalize_text())
 
 
+# Explorers: the first rows of each run.
+_HAS_THE = "contains(' ' || text || ' ', ' the ') and n = 3 and count >= 2"
+_COLLOCATIONS = "dice desc, count desc, right_count desc, collocate"
+_add("explore_next_words", lambda c: explore.next_words(c, limit=40), O.ranked(O.next_words(1000, 2), "count desc, word, next_word", 40))
+_add("explore_next_words_of", lambda c: explore.next_words(c, "the", 20), O.ranked(O.next_words(1000, 2, "word = 'the'"), "count desc, next_word", 20))
+_add("explore_previous_words", lambda c: explore.previous_words(c, "the", 20), O.ranked(O.next_words(1000, 2, "next_word = 'the'"), "count desc, word", 20))
+for _key, _order in (("count", "count desc"), ("frequency", "frequency_per_million desc"), ("documents", "document_count desc"), ("text", "text")):
+    _add(f"explore_ngrams_by_{_key}", lambda c, key=_key: explore.ngrams(c, sort=key, limit=30), O.ranked(O.ngram_patterns(2, 5, 2), f"{_order}, count desc, frequency_per_million desc, n, text", 30))
+_add("explore_ngrams_filtered", lambda c: explore.ngrams(c, "the", 3, 2, "boundary", "documents", 20), O.ranked(f"select * from ({O.ngram_patterns(2, 5, 2, _HAS_THE)}) where pattern like 'C%C'", "document_count desc, count desc, frequency_per_million desc, n, text", 20))
+_add("explore_collocations", lambda c: explore.collocations(c, "the", 4, 2, 0.001, "content", 30), O.ranked(O.collocations("the", 4, f"count >= 2 and dice >= 0.001::double and not {O.stop('collocate')}"), _COLLOCATIONS, 30))
+_add("explore_collocations_compat", lambda c: explore.collocations(c, "the", 4, 2, 0.0, "content", 5, compat=True), O.ranked(f"select * exclude (rank) from ({O.ranked(O.collocations('the', 4), _COLLOCATIONS, 200)}) where count >= 2 and not {O.stop('collocate')}", _COLLOCATIONS, 5))
+_add("explore_phrases", lambda c: explore.phrases(c, 2, 5, 3, 2, limit=30), O.ranked(f"select * from ({O.phrases(2, 5, 3, 'boundary')}) where chapter_count >= 2", "count desc, n desc, phrase", 30))
+_add("explore_phrases_content", lambda c: explore.phrases(c, 2, 3, 3, 1, content_boundary=True, limit=30), O.ranked(f"select * from ({O.phrases(2, 3, 3, 'boundary')}) where boundary = 'content/content'", "count desc, n desc, phrase", 30))
+_add("explore_comparison", lambda c: explore.comparison(stats.word_frequencies(c), "en", "de", min_count=2, limit=50), O.ranked(O.compare_words("en", "de", 2), "absolute_difference_per_million desc, total_count desc, word", 50, ""))
+_add("explore_comparison_exclusive", lambda c: explore.comparison(stats.word_frequencies(c), "fr", "es", "exclusive", 2, "content", 50), O.ranked(O.compare_words("fr", "es", 2, "(left_count = 0 or right_count = 0) and not is_function_word"), "absolute_difference_per_million desc, total_count desc, word", 50, ""))
+_add("explore_word", lambda c: explore.word(c, "the", 10, 10, 4, 10), O.word_explorer("the", 10, 10, 4, 10))
+
+
 def _language_profiles(spark: SparkSession, folder: str) -> DataFrame:
     rows = [(*p, len(lexicon.STOP_WORDS[p[0]])) for p in lexicon.PROFILES]
     return spark.createDataFrame(rows, "code string, name string, family string, long_word_length bigint, very_long_word_length bigint, apostrophes string, stop_word_count bigint")
@@ -104,5 +125,5 @@ def _marked(chapters: DataFrame) -> DataFrame:
 
 
 _add("boilerplate_markers", _marked, O.boilerplate_markers())
-QUERIES["boilerplate_clean"] = lambda spark, folder: table(spark, folder, "pages").select("page_id", cleaning.cleaned(html.text_column(F.col("html"))).alias("c")).select("page_id", "c.text", "c.is_front_matter")
+QUERIES["boilerplate_clean"] = lambda spark, folder: cleaning.with_cleaned(html.page_texts(table(spark, folder, "pages")).select("page_id", F.col("text").alias("page")), F.col("page")).select("page_id", "text", "is_front_matter")
 QUERIES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages"))

@@ -27,9 +27,15 @@ def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(high, value))
 
 
+#: Most rows of a ranked result.
+MOST_ROWS = 1000
+
+
 def limit_of(n: int) -> int:
-    """Results have 1 to 1000 rows."""
-    return clamp(n, 1, 1000)
+    """Ranked results have 1 to MOST_ROWS rows; more is an error, lest rows be missed unawares."""
+    if n > MOST_ROWS:
+        raise ValueError(f"a ranked result has at most {MOST_ROWS} rows, not {n}")
+    return max(1, n)
 
 
 def window_of(n: int) -> int:
