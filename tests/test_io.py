@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import cleaning
 from wordloom.operators import books, stats
-from wordloom.plans.profile import analyse
+from wordloom.plans.profile import analyse, analyse_folder
 from wordloom.sinks import reports
-from wordloom.sinks.catalog import Catalog
+from wordloom.sinks.catalog import Catalog, Conflict
 from wordloom.sources import books as sources
 from wordloom.sources.html import html_to_text
 from wordloom.streaming import ingest
@@ -27,13 +27,32 @@ def test_markers(spark):
     assert [r[0].strip() for r in got] == ["Body one.\nBody two.", "plain"]
 
 
-def test_contents_and_library_matter():
-    toc = "Title\n\nContents\nCHAPTER I.\nCHAPTER II.\n\nCHAPTER I.\nDown the hole she went.\nCHAPTER II.\nThe pool."
-    assert cleaning.clean_rest(toc).startswith("CHAPTER I.\nDown")
-    book = "Liber Liber\nQuesto e-book è stato realizzato\nTITOLO: X\nAUTORE: Y\n\nCapitolo I\nEra una notte buia."
-    assert cleaning.clean_rest(book).startswith("Capitolo I")
-    assert cleaning.is_front_matter("Questo e-book\nLiber Liber\nlicenza: libera") and cleaning.is_front_matter("") and not cleaning.is_front_matter("Once upon a time.")
-    assert cleaning.is_front_matter("Contents\nChapter I\nChapter II\nChapter III")
+def cleaned(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, page string")
+    return [tuple(r) for r in cleaning.with_cleaned(df, F.col("page")).orderBy("k").select("text", "is_front_matter").collect()]
+
+
+def test_contents_and_library_matter(spark):
+    toc = "The Ferry\n\nContents\nChapter I.\nChapter II.\n\n\nChapter I.\nThe boat left before dawn.\nChapter II.\nNobody spoke."
+    far = "Contents\nChapter I.\n" + "word " * 4000 + "\nChapter I.\nToo far."
+    book = "Liber Liber\nQuesto e-book fu preparato\nTITOLO: Il faro\nAUTORE: N. N.\n\n  Capitolo I\r\nPioveva sul porto."
+    roman = "Liber Liber\nautore: N. N.\nII\nhttp://x\nLa casa\nAltro."
+    prose = "Liber Liber\nindice dei nomi\nUna riga breve.\n" + "parola " * 13
+    got = cleaned(spark, toc, far, book, roman, prose, None, "  \n ", "Just prose.\nMore of it.")
+    assert got[0] == ("Chapter I.\nThe boat left before dawn.\nChapter II.\nNobody spoke.", False)
+    assert got[1][0].startswith("Contents\nChapter I.")
+    assert got[2][0] == "Capitolo I\r\nPioveva sul porto." and got[3][0] == "II\nhttp://x\nLa casa\nAltro." and got[4][0].startswith("parola parola")
+    assert got[5:] == [("", True), ("", True), ("Just prose.\nMore of it.", False)]
+
+
+def test_front_matter(spark):
+    only = "Questo e-book\nLiber Liber\nlicenza: libera"
+    chapters = "Indice\nCapitolo I\nCapitolo II\n3 - La fine"
+    long = chapters + "\n" + "word " * 12
+    prose = "Contents of the chest:\nChapter I\nChapter II\nChapter III"
+    df = spark.createDataFrame(list(enumerate([only, "", None, chapters, long, prose])), "k int, t string")
+    got = [r[0] for r in cleaning.with_front_matter(df, "t").orderBy("k").select("is_front_matter").collect()]
+    assert got == [True, True, True, True, False, False]
 
 
 def _epub(path, title, chapters):
@@ -106,7 +125,44 @@ def test_catalog(spark, chapters, library, tmp_path):
     assert [r["word"] for r in c.statistics(run, "word").collect()] == ["four"] and c.statistics(second, "word").count() == 1
     c.delete_books([ids[0]])
     assert c.table("book").count() == 1 and [r["run_id"] for r in c.runs().collect()] == [second] and c.statistics(run, "word").count() == 0
-    assert c.artifacts({"a": None, "b": str(tmp_path), "c": str(tmp_path / "no")}) == {"a": "NotGenerated", "b": "Available", "c": "Missing"}
+    (tmp_path / "cat" / "out").mkdir()
+    (tmp_path / "cat" / "out" / "import_diagnostics.md").write_text("x")
+    (tmp_path / "cat" / "out" / "words.csv").write_text("x")
+    got = {k: v[1] for k, v in c.artifacts({"report": "out/report.md", "words": str(tmp_path / "cat/out/words.csv"), "ngrams": None}).items()}
+    assert got == {"report": "Missing", "words": "Available", "ngrams": "NotGenerated", "next-words": "NotGenerated", "extracted-text": "NotGenerated", "import-diagnostics": "Available", "import-failures": "NotGenerated"}
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    c.create_corpus("One", "en")
+    version, rows = c._at("corpus")
+    c.create_corpus("Two", "fr")
+    with pytest.raises(Conflict):
+        c._replace("corpus", version, rows)
+    assert [r["name"] for r in c.corpora().collect()] == ["One", "Two"]
+
+
+def test_from_files_to_statistics(spark, tmp_path):
+    (tmp_path / "books").mkdir()
+    _epub(tmp_path / "books" / "b.epub", "Beta", ["<p>The sea was calm. The sea was grey.</p>", "<p>A sail!</p>"])
+    _epub(tmp_path / "books" / "a.epub", "Alpha", ["<p>The sea again.</p>"])
+    c = Catalog(spark, str(tmp_path / "cat"))
+    corpus = c.create_corpus("Sea", "en")
+    run = analyse_folder(spark, str(tmp_path / "books"), "en-GB", c, corpus)
+    words = {r["word"]: (r["count"], r["document_count"]) for r in c.statistics(run, "word").collect()}
+    assert words["sea"] == (3, 2) and words["sail"] == (1, 1)
+    assert [r["title"] for r in c.run_books(run).collect()] == ["Alpha", "Beta"] and c.languages(run) == ["en-gb"]
+    assert c.runs().first()["document_count"] == 3 and c.statistics(run, "token_occurrence").count() == 13
+    chapters, _ = sources.read_run(spark, str(tmp_path / "books"), "en")
+    assert {r["chapter_id"] for r in books.chapter_metrics(chapters).collect()} == {1, 2} and books.chapter_metrics(chapters).count() == 3
+    one, same = sources.folder_hash(spark, str(tmp_path / "books")), sources.folder_hash(spark, str(tmp_path / "books") + "/")
+    (tmp_path / "books" / "a.epub").rename(tmp_path / "books" / "c.epub")
+    assert one == same != sources.folder_hash(spark, str(tmp_path / "books")) and len(one) == 64
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.epub").write_bytes(b"no archive")
+    with pytest.raises(sources.BookError):
+        sources.read_run(spark, str(tmp_path / "none"), "en")
+    assert stats.word_frequencies(sources.demo_chapters(spark)).count() > 10
 
 
 def test_failed_run_leaves_nothing(spark, chapters, tmp_path):

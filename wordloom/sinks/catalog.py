@@ -1,13 +1,16 @@
 """A catalog of corpora, books, runs and their statistics as Parquet tables under a folder.
 
 Statistics are partitioned by run, so a run is replaced by a dynamic overwrite of its partition and deleted by removing it.
-Small tables are rewritten beside the old ones and renamed into place.
+A small table is a series of versions: its rows are written to a folder of their own, and the version is committed by creating a file of its
+number, which holds the folder's name. Creating a file that exists fails, so of two writers one is told to begin again (:class:`Conflict`),
+and whenever a writer stops, the last committed version is whole.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,18 @@ STATISTICS = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the version first."""
+
+
+#: Names and files of a run's artifacts; the last two are found beside the others.
+ARTIFACTS = {
+    "report": "report.md", "words": "words.csv", "ngrams": "ngrams.csv", "next-words": "next_words.csv", "extracted-text": "extracted_text.txt",
+    "import-diagnostics": "import_diagnostics.md", "import-failures": "import_failures.csv",
+}
+RECORDED = 5
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -42,22 +57,38 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         """A table's rows; empty before the first write."""
-        path = f"{self.root}/{name}"
         if name in SMALL:
-            return self.spark.read.schema(SMALL[name]).parquet(path) if self._exists(path) else self.spark.createDataFrame([], SMALL[name])
+            return self._at(name)[1]
+        path = f"{self.root}/{name}"
         if not self._exists(path):
             raise LookupError(f"no statistics have been saved: {name}")
         # Columns that older files lack are null.
         return self.spark.read.schema(STATISTICS[name] + ", run_id bigint").parquet(path)
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        """Write aside, then swap: a failed write leaves the old table."""
-        path, staged, old = f"{self.root}/{name}", f"{self.root}/_new-{uuid.uuid4().hex}", f"{self.root}/_old-{uuid.uuid4().hex}"
-        df.write.parquet(staged)
-        if self._exists(path):
-            self.fs.rename(self._path(path), self._path(old))
-        self.fs.rename(self._path(staged), self._path(path))
-        self.fs.delete(self._path(old), True)
+    def _at(self, name: str) -> tuple[int, DataFrame]:
+        """The last committed version of a small table, 0 before the first, and its rows."""
+        folder = f"{self.root}/{name}/_versions"
+        versions = [int(f.getPath().getName()) for f in self.fs.listStatus(self._path(folder))] if self._exists(folder) else []
+        if not versions:
+            return 0, self.spark.createDataFrame([], SMALL[name])
+        stream = self.fs.open(self._path(f"{folder}/{max(versions):08d}"))
+        try:
+            data = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return max(versions), self.spark.read.schema(SMALL[name]).parquet(f"{self.root}/{name}/{data}")
+
+    def _replace(self, name: str, version: int, df: DataFrame) -> None:
+        """Commit ``df`` as the version after ``version``."""
+        data = f"rows-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{data}")
+        try:
+            out = self.fs.create(self._path(f"{self.root}/{name}/_versions/{version + 1:08d}"), False)
+        except Py4JJavaError as e:
+            self.fs.delete(self._path(f"{self.root}/{name}/{data}"), True)
+            raise Conflict(f"{name}: version {version + 1} has been committed by another writer") from e
+        out.write(bytearray(data.encode()))
+        out.close()
 
     # Corpora and books
 
@@ -68,12 +99,12 @@ class Catalog:
             raise ValueError("a corpus needs a name")
         if code not in STOP_WORDS:
             raise ValueError(f"no such language: {language}")
-        rows = self.table("corpus")
-        if self.find_corpus(own) is not None:
+        version, rows = self._at("corpus")
+        if rows.where(F.lower("name") == own.lower()).count():
             raise ValueError(f"there is a corpus of this name: {own}")
         new = (rows.agg(F.max("corpus_id")).collect()[0][0] or 0) + 1
         row = self.spark.range(1).select(F.lit(new).cast("bigint"), F.lit(own), F.lit(code), F.lit(description), F.current_timestamp(), F.current_timestamp())
-        self._replace("corpus", rows.union(row))
+        self._replace("corpus", version, rows.union(row))
         return new
 
     def find_corpus(self, name: str):
@@ -87,18 +118,23 @@ class Catalog:
         """Register the books of read_books' chapters that the corpus doesn't have yet (by file hash)."""
         own = chapters.select("book_id", "title", "author", "lang", "source_path").distinct()
         new = own.select("book_id", F.lit(corpus_id).cast("bigint").alias("corpus_id"), "title", "author", F.col("lang").alias("language_code"), "source_path", F.col("book_id").alias("file_hash"), F.current_timestamp().alias("imported_at"), F.lit("Imported").alias("status"), F.lit(None).cast("string").alias("error_message"))
-        rows = self.table("book")
-        self._replace("book", rows.union(new.join(rows.where(F.col("corpus_id") == corpus_id).select("file_hash"), "file_hash", "left_anti").select(*rows.columns)))
+        version, rows = self._at("book")
+        self._replace("book", version, rows.union(new.join(rows.where(F.col("corpus_id") == corpus_id).select("file_hash"), "file_hash", "left_anti").select(*rows.columns)))
 
     # Runs
 
     def save_run(self, corpus_id: int, tables: dict[str, DataFrame], books: DataFrame | None = None, settings: AnalysisSettings = AnalysisSettings()) -> int:
         """Store one run's tables (summary of one row, words, ngrams, next_words, categories, maybe tokens) and return its id.
 
-        The run becomes visible last; if a table can't be written, what was written of the run is taken away.
+        The run's row is committed first, as Running, which takes its id; it becomes Completed last. If a table can't be written, what was
+        written of the run is taken away.
         """
-        runs = self.table("run")
+        version, runs = self._at("run")
         run_id = (runs.agg(F.max("run_id")).collect()[0][0] or 0) + 1
+        cols = [c.split()[0] for c in RUN.split(", ")][6:]
+        own = lambda done, status, of: of.select(F.lit(run_id).cast("bigint").alias("run_id"), F.lit(corpus_id).cast("bigint").alias("corpus_id"), F.current_timestamp().alias("started_at"), done.cast("timestamp").alias("completed_at"), F.lit(status).alias("status"), F.lit(settings.to_json()).alias("settings_json"), *(F.col(c) for c in cols))
+        none = self.spark.range(1).select(*(F.lit(None).alias(c) for c in cols))
+        self._replace("run", version, runs.union(own(F.lit(None), "Running", none)))
         names = {"words": "word", "ngrams": "ngram", "next_words": "next_word", "categories": "category", "tokens": "token_occurrence"}
         try:
             for key, name in names.items():
@@ -106,10 +142,12 @@ class Catalog:
                     self.replace_statistics(run_id, name, tables[key])
             if books is not None:
                 links = books.select(F.lit(run_id).cast("bigint"), F.col("book_id").cast("string"), F.col("order_index").cast("bigint"))
-                self._replace("run_book", self.table("run_book").union(links))
-            cols = [c.split()[0] for c in RUN.split(", ")][6:]
-            row = tables["summary"].select(F.lit(run_id).cast("bigint"), F.lit(corpus_id).cast("bigint"), F.current_timestamp(), F.current_timestamp(), F.lit("Completed"), F.lit(settings.to_json()), *cols)
-            self._replace("run", runs.union(row))
+                at, rows = self._at("run_book")
+                self._replace("run_book", at, rows.union(links))
+            version, runs = self._at("run")
+            began = runs.where(F.col("run_id") == run_id).select("started_at")
+            row = own(F.current_timestamp(), "Completed", tables["summary"]).drop("started_at").crossJoin(began).select(*runs.columns)  # a row each
+            self._replace("run", version, runs.where(F.col("run_id") != run_id).union(row))
         except Exception:
             self.delete_run(run_id)
             raise
@@ -128,29 +166,52 @@ class Catalog:
 
     def runs(self, corpus_id: int | None = None) -> DataFrame:
         """Runs with the names of their corpora, the latest first."""
-        own = self.table("run").join(self.table("corpus").select("corpus_id", F.col("name").alias("corpus_name")), "corpus_id", "left")
+        own = self.table("run").where("status = 'Completed'").join(self.table("corpus").select("corpus_id", F.col("name").alias("corpus_name")), "corpus_id", "left")
         if corpus_id is not None:
             own = own.where(F.col("corpus_id") == corpus_id)
         return own.orderBy(F.desc("run_id"))
 
+    def run_books(self, run_id: int) -> DataFrame:
+        """The run's books in their order, with titles and authors, and the name of its corpus."""
+        links = self.table("run_book").where(F.col("run_id") == run_id)
+        books = self.table("book").select("book_id", "title", "author", "language_code", "source_path")
+        corpora = self.runs().select("run_id", "corpus_name")
+        return links.join(books, "book_id").join(corpora, "run_id").orderBy("order_index")
+
+    def languages(self, run_id: int) -> list[str]:
+        """Codes of the languages of a run's books; all with a word list if there are none."""
+        codes = [r[0] for r in self.run_books(run_id).select(F.lower("language_code").alias("c")).where("c <> ''").distinct().orderBy("c").limit(1000).collect()]
+        return codes or sorted(STOP_WORDS)
+
     def delete_run(self, run_id: int) -> None:
         for name in STATISTICS:
             self.fs.delete(self._path(f"{self.root}/{name}/run_id={run_id}"), True)
         for name in ("run", "run_book"):
-            if self._exists(f"{self.root}/{name}"):
-                self._replace(name, self.table(name).where(F.col("run_id") != run_id))
+            version, rows = self._at(name)
+            if version:
+                self._replace(name, version, rows.where(F.col("run_id") != run_id))
 
     def delete_books(self, book_ids: list[str]) -> None:
         """Delete books with their links, and runs that have no book left."""
-        links = self.table("run_book")
+        at, links = self._at("run_book")
         left = links.where(~F.col("book_id").isin(book_ids))
         bare = [r[0] for r in links.select("run_id").distinct().join(left.select("run_id").distinct(), "run_id", "left_anti").collect()]  # runs of these books
-        if self._exists(f"{self.root}/run_book"):
-            self._replace("run_book", left)
-        self._replace("book", self.table("book").where(~F.col("book_id").isin(book_ids)))
+        if at:
+            self._replace("run_book", at, left)
+        version, books = self._at("book")
+        self._replace("book", version, books.where(~F.col("book_id").isin(book_ids)))
         for run_id in bare:
             self.delete_run(run_id)
 
-    def artifacts(self, paths: dict[str, str | None]) -> dict[str, str]:
-        """Available, Missing or NotGenerated for each named artifact."""
-        return {name: "NotGenerated" if not p else "Available" if self._exists(p) else "Missing" for name, p in paths.items()}
+    def artifacts(self, paths: dict[str, str | None], folder: str | None = None) -> dict[str, tuple[str | None, str]]:
+        """Path and state (Available, Missing or NotGenerated) of each of ARTIFACTS. The first RECORDED have the paths given, relative ones
+        being looked for in the catalog's folder; the others are looked for in ``folder``, or beside the first of those with a path."""
+        whole = {name: f"{self.root}/{p}" if p and not p.startswith("/") and ":" not in p else p for name, p in paths.items()}
+        recorded = list(ARTIFACTS)[:RECORDED]
+        folder = folder or next((whole[n].rsplit("/", 1)[0] for n in recorded if whole.get(n)), None)
+        out = {}
+        for name, file in ARTIFACTS.items():
+            path = whole.get(name) if name in recorded else f"{folder}/{file}" if folder else None
+            there = bool(path) and self._exists(path)
+            out[name] = (path, "Available" if there else "Missing" if path and name in recorded else "NotGenerated")
+        return out

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.cleaning import cleaned
+from wordloom.functions.cleaning import with_cleaned
 from wordloom.sources.html import text_column
 
 
@@ -79,26 +79,61 @@ def read_books(spark: SparkSession, folder: str, language: str, pattern: str = "
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("file_hash"), "content")
     parts = _parts(files)
-    own = parts.where("error is null").withColumn("c", cleaned(text_column(F.col("html"))))
-    kept = own.where((F.trim("c.text") != "") & ~F.col("c.is_front_matter"))
+    own = with_cleaned(parts.where("error is null").withColumn("page", text_column(F.col("html"))), F.col("page"))
+    kept = own.where((F.col("text") != "") & ~F.col("is_front_matter"))
     order = F.row_number().over(Window.partitionBy("path").orderBy("part"))
     chapters = kept.withColumn("order_index", order).select(
         F.col("file_hash").alias("book_id"), "title", "author", F.lit(language.strip()).alias("lang"), F.col("path").alias("source_path"), "order_index",
-        F.format_string("Chapter %d", "order_index").alias("chapter_title"), "part_path", F.col("c.text").alias("text"),
+        F.format_string("Chapter %d", "order_index").alias("chapter_title"), "part_path", "text",
     )
     bad = parts.where("error is not null").select("path", "name", F.col("error").alias("error_message"), F.col("error_type").alias("exception_type"))
     empty = own.select("path", "name").distinct().join(kept.select("path").distinct(), "path", "left_anti")
     return chapters, bad.union(empty.select("path", "name", F.lit("no readable text content"), F.lit("BookError")))
 
 
+def run_chapters(books: DataFrame, run: str | None = None) -> DataFrame:
+    """read_books' chapters as the operators want them: run (the language unless given), book (its id), chapter_id (its place in the book),
+    text; title and book_title go with them. A chapter is told by book and chapter_id."""
+    return books.select((F.lit(run) if run else F.col("lang")).alias("run"), F.col("book_id").alias("book"), F.col("order_index").cast("bigint").alias("chapter_id"), "text", F.col("chapter_title").alias("title"), F.col("title").alias("book_title"))
+
+
+def read_run(spark: SparkSession, folder: str, language: str, pattern: str = "*.epub", recursive: bool = False, run: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chapters of a folder's books for the operators, and the failures. No readable book is an error; a single bad one isn't."""
+    chapters, failures = read_books(spark, folder, language, pattern, recursive)
+    if chapters.isEmpty():
+        raise BookError(f"no readable book in {folder}: {failures.count()} failures")
+    return run_chapters(chapters, run), failures
+
+
+def folder_hash(spark: SparkSession, folder: str, pattern: str = "*.epub") -> str:
+    """SHA-256 over the relative path, a zero byte and the SHA-256 of each file of a folder and those below it, in order of path."""
+    import hashlib
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toUri().getPath().rstrip("/")
+    own = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/]*)?", "")
+    rows = files.select(own.alias("path"), F.sha2("content", 256).alias("hash")).collect()  # two short strings a book
+    out = hashlib.sha256()
+    for path, digest in sorted(((r["path"][len(root) + 1 :], r["hash"]) for r in rows), key=lambda x: (x[0].lower(), x[0])):
+        out.update(path.encode() + b"\0" + bytes.fromhex(digest))
+    return out.hexdigest()
+
+
+def demo_chapters(spark: SparkSession) -> DataFrame:
+    """A small English chapter to try things on."""
+    text = "Good evening, Mara! Have you seen the lighthouse? I haven't seen it yet. The old lighthouse stands on the cliff. Please take the lamp with you."
+    return spark.createDataFrame([("en", "demo", 1, text, "Chapter 1")], "run string, book string, chapter_id bigint, text string, title string")
+
+
 def aggregate_book(chapters: DataFrame) -> DataFrame:
-    """All chapters of all books (in order of title, then path) as one book's: a view, texts aren't copied together.
+    """All chapters of all books (in order of file name, then path) as one book's: a view, texts aren't copied together.
 
     Chapters are renumbered through the books by adding up the books' numbers of chapters.
     """
     name = F.element_at(F.split("source_path", "/"), -1)
     sizes = chapters.groupBy(F.lower(name).alias("_n"), "source_path").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_n", "source_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a book
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_n", "source_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # two numbers and a path a book
     own = chapters.join(sizes.select("source_path", before.alias("_before")), "source_path")
     return own.select(
         F.lit("aggregate").alias("book_id"), (F.col("_before") + F.col("order_index")).alias("order_index"), F.concat_ws(" — ", "title", "chapter_title").alias("chapter_title"),
