@@ -48,6 +48,10 @@ CHARS = 8  # so many characters count as a word, if there are fewer words
 LAST = np.iinfo(np.int64).max  # where null doc_ids stand
 
 
+def has_unspaced(text: str) -> bool:
+    return not text.isascii() and NO_BLANKS.search(text) is not None
+
+
 def lines(text: str) -> list[tuple[int, str]]:
     """Start and text of each line, without white space around it; blank lines are left out."""
     starts, found, _ = lines_of([text])
@@ -61,7 +65,7 @@ def lines_of(texts: list[str]) -> tuple[list[int], list[str], list[int]]:
     begin = [0]
     long: list[tuple[int, list[str]]] = []  # places of long lines, and their words
     for text in texts:
-        a = 0
+        a, wide = 0, has_unspaced(text)
         for b in [*[m.end() for m in LINE_ENDS.finditer(text)], len(text)]:
             line = text[a:b].rstrip()
             if line:
@@ -69,7 +73,7 @@ def lines_of(texts: list[str]) -> tuple[list[int], list[str], list[int]]:
                     line = line.lstrip()
                     a = text.index(line, a)
                 n = len(line)
-                unspaced = n > LONG and not line.isascii() and NO_BLANKS.search(line)
+                unspaced = wide and n > LONG and has_unspaced(line)
                 if n > 2 * LONG or unspaced:
                     words = line.split()
                     if len(words) > LONG or n >= (LONG + 1) * CHARS or unspaced and weights([line])[0] > LONG:
@@ -108,7 +112,7 @@ def pieces(long: list[tuple[str, list[str]]]) -> list[list[tuple[int, int]]]:
     start -= np.repeat(start[first], n)
     # Words with one blank between any two; in other lines atoms are looked for one by one.
     plain = (np.add.reduceat(size, first) + n - 1 == [len(line) for line, _ in long]) & (np.maximum.reduceat(size, first) <= 40)
-    plain &= [line.isascii() or not NO_BLANKS.search(line) for line, _ in long]
+    plain &= [not has_unspaced(line) for line, _ in long]
     if not plain.all():
         of = [(atoms[i : i + k], size[i : i + k], start[i : i + k]) for i, k in zip(first.tolist(), n.tolist())]
         for i in np.flatnonzero(~plain).tolist():
@@ -132,10 +136,11 @@ def pieces(long: list[tuple[str, list[str]]]) -> list[list[tuple[int, int]]]:
 
 def weights(found: list[str]) -> np.ndarray:
     """What each line counts for the least number of words, by its words or by its characters: 1 at least."""
-    words = np.fromiter((len(x.split()) for x in found), np.int64, len(found))
-    for i, x in enumerate(found):
-        if not x.isascii() and NO_BLANKS.search(x):
-            words[i] += len(NO_BLANKS.findall(x)) // 2
+    words = np.fromiter([len(x.split()) for x in found], np.int64, len(found))
+    if has_unspaced("".join(found)):
+        for i, x in enumerate(found):
+            if has_unspaced(x):
+                words[i] += len(NO_BLANKS.findall(x)) // 2
     return np.maximum(words, np.fromiter(map(len, found), np.int64, len(found)) // CHARS)
 
 
