@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import _blocks as B
-from wordloom.llm._common import bucket_count, drop_folder, short_batches, texts, written
+from wordloom.llm._common import bucket_count, free_shuffles, short_batches, source_bytes, texts, written
 
 END = b"\n"  # no word can hold it
 STATS, LEVELS = 4, 5
-#: Bits of an n-gram's hash by which it is told.
-HASH_BITS = 52
+#: Bits of an n-gram's hash by which it is told, beyond those of the source's size in bytes: that two n-grams of the corpus are taken for
+#: one is then far rarer than a false positive of the filter.
+SPARE_BITS = 15
 #: Text in a block. The arrays about a block's n-grams take some thirty times as much.
 BLOCK_BYTES = 8 << 20
 
@@ -119,7 +120,7 @@ class Grams:
     pos: positions of all tokens in the list of distinct words; word: these words' hashes; end: the end's position.
     """
 
-    def __init__(self, lengths: np.ndarray, pos: np.ndarray, word: np.ndarray, end: int, buckets: int):
+    def __init__(self, lengths: np.ndarray, pos: np.ndarray, word: np.ndarray, end: int, buckets: int, bits: int):
         own = word[pos]
         before = np.empty_like(own)
         before[1:], before[:1] = own[:-1], word[end]  # each document ends with the end
@@ -128,10 +129,10 @@ class Grams:
         self.inner = np.ones(len(pos), bool)
         self.inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
         at = np.flatnonzero(self.inner)
-        self.hashes, place = np.unique(np.concatenate([two, chained(two[at - 1], own[at])]) >> np.uint64(64 - HASH_BITS), return_inverse=True)
+        self.hashes, place = np.unique(np.concatenate([two, chained(two[at - 1], own[at])]) >> np.uint64(64 - bits), return_inverse=True)
         self.pair, self.triple = place[: len(pos)], place[len(pos) :]
         self.history = self.pair[at - 1]
-        bounds = [-(-(s << HASH_BITS) // buckets) for s in range(buckets)]
+        bounds = [-(-(s << bits) // buckets) for s in range(buckets)]
         self.ends = np.append(np.searchsorted(self.hashes, np.asarray(bounds, np.uint64)), len(self.hashes))
 
     def times(self, counted: np.ndarray) -> np.ndarray:
@@ -163,12 +164,13 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5,
     spark = docs.sparkSession
     short_batches(spark)
     n = bucket_count(docs)
+    bits = min(60, max(40, source_bytes(docs).bit_length() + SPARE_BITS))
     bounds = level_bounds(base)
     trained = lambda ids: np.asarray([remainder(i, folds) != held for i in ids], bool)
 
     def ngrams(ids, lengths, pos, words):
         """The block's n-grams and their counts in training documents, by bucket."""
-        g = Grams(lengths, pos, B.word_hash(words), words.index(END), n)
+        g = Grams(lengths, pos, B.word_hash(words), words.index(END), n, bits)
         times = g.times(np.repeat(trained(ids), lengths))
         for s in np.flatnonzero(np.diff(g.ends)).tolist():
             at = slice(g.ends[s], g.ends[s + 1])
@@ -202,11 +204,13 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5,
         return make
 
     rows = B.index_blocks(texts(docs), lambda: tokens, n, block_bytes, extra=ngrams, counted=trained)
-    kept, path = written(B.valued(rows, n, value, extra=reduced), "lm", "kind")
+    kept, _ = written(B.valued(rows, n, value, extra=reduced), "lm", "kind")
+    del rows
+    free_shuffles(spark)
     kept = kept.select("kind", "slot", "block", "payload")
     stats = [B.unpack(bytes(r["payload"])) for r in kept.where(F.col("kind") == STATS).select("payload").collect()]  # two numbers a bucket
     n_train, n_words = sum(s[0] for s in stats), sum(s[1] for s in stats)
-    scored = B.reassemble(kept.where(F.col("kind") != STATS), n, _scoring(bounds, n_train + n_words + 1, prior2, prior3, n), SCORES, extra=LEVELS)
+    scored = B.reassemble(kept.where(F.col("kind") != STATS), n, _scoring(bounds, n_train + n_words + 1, prior2, prior3, n, bits), SCORES, extra=LEVELS)
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
 
@@ -221,7 +225,7 @@ def token_scores(c: np.ndarray, cv: np.ndarray, q2: np.ndarray, q3: np.ndarray,
     return np.log10((np.minimum(q3, up) + prior3 * p2) / (up + prior3))
 
 
-def _scoring(bounds: np.ndarray, size: int, prior2: float, prior3: float, buckets: int):
+def _scoring(bounds: np.ndarray, size: int, prior2: float, prior3: float, buckets: int, bits: int):
     """Scores of a block's documents from its words' counts and the levels of its n-grams."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     schema = pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.float64()] * 2)))
@@ -231,7 +235,7 @@ def _scoring(bounds: np.ndarray, size: int, prior2: float, prior3: float, bucket
     def finish():
         def make(_, ids, lengths, pos, values, levels) -> Iterator[pa.RecordBatch]:
             count, word = values[:, 0], np.ascontiguousarray(values[:, 1]).view(np.uint64)
-            g = Grams(lengths, pos, word, int(pos[lengths[0] - 1]), buckets)
+            g = Grams(lengths, pos, word, int(pos[lengths[0] - 1]), buckets, bits)
             level = np.zeros(len(g.hashes), np.uint8)
             for slot, payload in levels:
                 level[g.ends[slot] : g.ends[slot + 1]] = np.frombuffer(B.expanded(payload), np.uint8)
