@@ -152,13 +152,13 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 50
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().limit(most_languages + 1).collect()}
+    own = own.withColumn("draw", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit(17)), F.lit(1 << 40)))
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*(x for k, v in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / v)))))
-    own = own.withColumn("draw", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit(17)), F.lit(1 << 40)))
     drawn = own.where(F.col("draw") < share[F.col("lang")] * float(1 << 40)).groupBy("lang", "draw").agg(F.first("text").alias("text"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     rows = drawn.withColumn("turn", turn).where(F.col("turn") <= 2 * per_language).select("lang", "draw", "text").collect()
