@@ -122,6 +122,58 @@ def test_language_id(spark):
     assert language_id.identify(df.where("false"), model).count() == 0
 
 
+def kernel_grams(text):
+    """The n-grams of a text as strings."""
+    out, before = [], False
+    for c in text.lower():
+        if c.isalpha() or before:
+            out.append(c if c.isalpha() else " ")
+        before = c.isalpha()
+    line = " " + "".join(out) + " "
+    return {line[i : i + n] for n in range(1, 5) for i in range(len(line) - n + 1)}
+
+
+def test_language_grams_are_those_of_the_strings():
+    for text in ("Straße, und Übung!", "a", "l'été  est là", "x1y2 z"):
+        assert len(language_id.ngrams(text, np.zeros(language_id.BUCKETS, bool))) == len(kernel_grams(text))
+
+
+@pytest.mark.parametrize("landmarks", [6, 40])
+def test_language_id_is_kernel_ridge_regression(landmarks):
+    """Against kernels of strings, a Nystroem map and ridge regressions written out, without hashing or weight tables."""
+    rng = np.random.default_rng(5)
+    text = lambda lang: " ".join(rng.choice(LANGS[lang].split(), rng.integers(2, 9)))
+    names = sorted(LANGS)
+    texts, labels = zip(*[(text(lang), lang) for _ in range(14) for lang in LANGS])
+    tests = [text(lang) for lang in LANGS for _ in range(8)]
+    model = language_id.fit(list(texts), list(labels), landmarks, 0.05)
+    k = lambda a, b: np.asarray([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+    own = [kernel_grams(t) for t in texts]
+    order = sorted(range(len(own)), key=lambda i: (labels[:i].count(labels[i]), names.index(labels[i])))[:landmarks]
+    marks = [own[i] for i in order]
+    values, vectors = np.linalg.eigh(k(marks, marks))
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    features = lambda rows: np.hstack([k(rows, marks) @ root, np.full((len(rows), 1), 0.1)])
+    phi, weight = features(own), np.asarray([len(labels) / len(names) / labels.count(x) for x in labels])
+    y = np.asarray([[1.0 if x == name else -1.0 for name in names] for x in labels])
+    w = np.linalg.inv(phi.T @ np.diag(weight) @ phi + 0.05 * np.eye(phi.shape[1])) @ phi.T @ np.diag(weight) @ y
+    f = (features([kernel_grams(t) for t in tests]) - [*[0.0] * root.shape[1], 0.1]) @ w  # texts are scored without the constant
+    p = np.exp(4 * f) / np.exp(4 * f).sum(axis=1, keepdims=True)
+    for (label, score), own_p in zip(model.decide(tests), p):
+        # Few n-grams share a bucket, and kernels are in single precision.
+        assert abs(score - own_p.max()) < 0.02 and (label == names[int(own_p.argmax())] or np.sort(own_p)[-1] - np.sort(own_p)[-2] < 0.04)
+
+
+def test_language_sample_has_bounds(spark):
+    known = next(k for k in range(9) if language_id.remainder(k, 5) != 0)
+    rows = [(known, "the house of the garden", "en")] * 300 + [(k, f"le jardin de la maison {k}", "fr") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df, per_language=10)
+    assert model.labels == ["en", "fr"]
+    with pytest.raises(ValueError):
+        language_id.train(df, most_languages=1)
+
+
 def test_language_kernel_is_the_collapsed_product():
     texts = [f"{a} {b}" for a in LANGS.values() for b in ("x", "yy")]
     m = language_id.fit(texts, [k for k in LANGS for _ in range(2)], 4, 0.01)
@@ -151,6 +203,25 @@ def test_tiers(spark, tmp_path):
     assert [[s["path"] for s in run] for run in store.merge_plan(shards)] == [["0", "1", "2", "3"]]
 
 
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    """Whatever the ids: repeated, null, or shared by rows of different classes."""
+    import corpus_pipeline as P
+
+    same, other = prose(1, 60), prose(2, 60)
+    rows = [(1, same), (1, same), (5, same), (None, same), (None, same), (9, same), (5, other), (None, other), (3, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = P.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert key((r["doc_id"], r["text"]) for r in got.collect()) == key([(1, same), (5, other), (3, None), (None, ""), (None, "")])
+
+
+def test_pipeline_without_labels_keeps_texts(spark):
+    import corpus_pipeline as P
+
+    df = spark.createDataFrame([(1, "some words here", None, "s", 1), (2, "12 !", None, "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r["doc_id"] for r in P.identify_language(spark, df, "").collect()] == [1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -264,6 +264,38 @@ def test_embeddings(spark):
     assert G.near_duplicates(df.where("false")).count() == 0
 
 
+def clustered(seed, n, dims=24):
+    """A third in one group of near and exact copies, groups around the threshold, and others alone."""
+    rng = np.random.default_rng(seed)
+    hot = rng.normal(size=dims)
+    x = [hot + rng.normal(size=dims) * 0.05 * rng.integers(0, 3) for _ in range(n // 3)]
+    while len(x) < n:
+        centre = rng.normal(size=dims)
+        x += [centre + rng.normal(size=dims) * rng.choice([0.0, 0.1, 0.22]) for _ in range(rng.integers(1, 9))]
+    return np.asarray(x[:n])[rng.permutation(n)]
+
+
+@pytest.mark.parametrize(("recall", "exact"), [(0.9, False), (2.0, True)])
+def test_embeddings_of_many_shards(spark, monkeypatch, recall, exact):
+    """Overlapping shards, homes cut into parts, blocks of members; an unreachable recall ends in the comparison of all leaders."""
+    for name, value in (("SHARD", 100), ("CHUNK", 120), ("SAMPLE", 600), ("COMPARED", 16), ("QUERIES", 50)):
+        monkeypatch.setattr(G, name, value)
+    x = clustered(3, 1500)
+    unit = np.stack([G.unit(v) for v in x])
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(5)
+    out, reached = G.audited_near_duplicates(df, recall=recall, audit_every=3)
+    got = {r["vec_id"]: r for r in out.collect()}
+    truth, found = link.sum(axis=1), np.asarray([got[k]["n_links"] for k in range(len(x))])
+    assert (found <= truth).all() and reached >= 0.9
+    some = truth > 0
+    assert (found[some] / truth[some]).mean() >= 0.97
+    if exact:
+        label = linked_labels(link)
+        assert (found == truth).all() and [got[k]["component_id"] for k in range(len(x))] == label.tolist()
+
+
 def test_graph_search_finds_the_range():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(300, 12)), np.ones((40, 12)) + rng.normal(size=(40, 12)) * 0.1])
@@ -276,3 +308,20 @@ def test_graph_search_finds_the_range():
         found += len(want & set(G.range_search(x, graph, list({medoid, k}), x[k], 0.9)))
         total += len(want)
     assert found >= 0.97 * total
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op10_embedding_near_dedup"])
+def test_against_sql(spark, name):
+    import os
+
+    from wordloom.llm.queries import ORACLES, QUERIES
+
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = QUERIES[name](spark, folder)
+    want = con.execute(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall()
+    assert key(map(tuple, df.collect())) == key(want)

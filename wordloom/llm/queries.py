@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, line_dedup, ngram_join, ngram_lm, packing, sharding
+from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, line_dedup, ngram_join, ngram_lm, oracles, packing, sharding
 from wordloom.llm import token_counts as counts
 from wordloom.llm._common import new_folder, table
 
@@ -63,4 +63,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op5_line_dedup, op6_language_id, op7_fingerprints, op8_token_counts, op9_sharding, op10_embedding_near_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
