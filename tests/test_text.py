@@ -81,3 +81,17 @@ def test_snippets(spark):
     assert column(spark, "A tall\n boy cried: “", X.left_snippet) == "A tall boy cried: “"
     assert column(spark, "A tall boy , ", X.left_snippet) == "A tall boy"
     assert column(spark, ": “There is land", X.right_snippet) == "There is land"
+
+
+def test_shown_numbers(spark):
+    from wordloom.functions import measures as M
+
+    def all_of(f, *values):
+        return [r[0] for r in spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(f(F.col("v"))).collect()]
+
+    assert all_of(M.shown, 1.0, 0.126, -0.001, 12.5) == ["1", "0.13", "0", "12.5"]
+    assert all_of(lambda c: M.shown(c, signed=True), 3, -2.5, 0) == ["+3", "-2.5", "0"]
+    assert all_of(M.shown_ratio, float("inf"), float("nan"), 0.001, 0.0, 2.345) == ["inf", "n/a", "<0.01", "0", "2.35"]
+    assert all_of(M.shown_size, 10, 1536, 5 * 2**20, 3 * 2**30) == ["10 B", "1.5 KiB", "5 MiB", "3 GiB"]
+    assert all_of(M.shown_share, 0.5, 0.12346) == ["50.00%", "12.35%"]
+    assert column(spark, "lighthouse", lambda c: M.shortened(c, 6)) == "light…" and column(spark, "lamp", lambda c: M.shortened(c, 6)) == "lamp"

@@ -37,3 +37,34 @@ def comparison(left: Column, right: Column) -> dict[str, Column]:
 def short_number(c: Column) -> Column:
     """At most four decimals, without trailing zeros."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", c), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def shown(c: Column, digits: int = 2, signed: bool = False) -> Column:
+    """A number as reports show it: so many decimals at most, without trailing zeros, on demand with its sign."""
+    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", c.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.when(plain == "-0", "0").otherwise(plain)
+    return F.when((plain != "0") & (c > 0), F.concat(F.lit("+"), plain)).otherwise(plain) if signed else plain
+
+
+def shown_ratio(c: Column) -> Column:
+    """A ratio: inf, n/a, <0.01, or two decimals at most."""
+    return F.when(F.isnan(c), "n/a").when(c == float("inf"), "inf").when((c > 0) & (c < 0.01), "<0.01").otherwise(shown(c))
+
+
+def shown_share(c: Column) -> Column:
+    """A probability as a percentage with two decimals."""
+    return F.format_string("%.2f%%", c * 100.0)
+
+
+def shown_size(c: Column) -> Column:
+    """Bytes in the largest binary unit that leaves one or more, GiB at most; null: n/a."""
+    units = ("B", "KiB", "MiB", "GiB")
+    out = F.concat_ws(" ", shown(c / float(1024 ** (len(units) - 1))), F.lit(units[-1]))
+    for k in range(len(units) - 2, -1, -1):
+        out = F.when(c < 1024 ** (k + 1), F.concat_ws(" ", shown(c / float(1024**k)), F.lit(units[k]))).otherwise(out)
+    return F.when(c.isNull(), "n/a").otherwise(out)
+
+
+def shortened(c: Column, most: int) -> Column:
+    """Text of at most so many characters, the last an ellipsis if some were cut off."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most - 1), F.lit("…")))

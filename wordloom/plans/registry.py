@@ -111,7 +111,8 @@ def _language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def _source_books(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("lang").alias("run_id"), F.col("source").alias("book_id"))
-    links = docs.where("run_id <> 'es'").distinct().withColumn("order_index", F.lit(2))
+    links = docs.where("run_id <> 'es'").distinct()  # the tables link no books, so one run is left without links to show its fallback
+    links = links.withColumn("order_index", F.lit(2))
     return books.source_books(docs.groupBy("run_id").agg(F.min("book_id").alias("book_id")), links)
 
 
