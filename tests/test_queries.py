@@ -27,7 +27,7 @@ def cells(rows):
     return sorted(repr([None if isinstance(x, float) and math.isnan(x) else x for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["top_content_words", "kwic", "collocations_min_dice", "phrases_longest_only", "sentence_categories", "ngrams_search", "difficulty", "health", "import_diagnostics", "boilerplate_markers"])
+@pytest.mark.parametrize("name", ["top_content_words", "kwic", "collocations_min_dice", "phrases_longest_only", "sentence_categories", "ngrams_search", "difficulty", "health", "import_diagnostics", "boilerplate_markers", "token_index", "next_words", "corpus_profile", "chapter_metrics", "find_positions", "phrases_content_boundary", "explore_word", "explore_ngrams_by_documents", "explore_collocations_compat", "explore_comparison"])
 def test_against_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
