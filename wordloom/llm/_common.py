@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -84,7 +85,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver's garbage collector find finished shuffles, whose files executors then delete. Nothing that is in use is touched."""
+    """Let the driver's garbage collectors find finished shuffles, whose files executors then delete. Nothing that is in use is touched.
+
+    Python's comes first: data frames are part of cycles, and hold on to the plans of the JVM until they are collected.
+    """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
