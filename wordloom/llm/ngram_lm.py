@@ -36,9 +36,9 @@ END = b"\n"  # no word can hold it
 STATS, LEVELS = 4, 5
 #: Bits of an n-gram's hash by which it is told, beyond those of the source's size in bytes: that two n-grams of the corpus are taken for
 #: one is then far rarer than a false positive of the filter.
-SPARE_BITS = 15
+SPARE_BITS = 12
 #: Text in a block. The arrays about a block's n-grams take some thirty times as much.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def tokens(text: str) -> list[bytes]:
