@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, line_dedup, ngram_join, ngram_lm, oracles, packing, sharding
+from wordloom.llm import bpe, embedding_graph, fingerprints, language_id, license_scan, line_dedup, ngram_join, ngram_lm, oracles, packing, periodic_runs, sharding, source_divergence
 from wordloom.llm import token_counts as counts
 from wordloom.llm._common import new_folder, table
 
@@ -61,6 +61,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-OPERATORS = (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op5_line_dedup, op6_language_id, op7_fingerprints, op8_token_counts, op9_sharding, op10_embedding_near_dedup)
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan_report(license_scan.license_scan(docs, license_scan.build_index(docs)))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+OPERATORS = (op1_best_fit_packing, op2_byte_bpe, op3_ngram_jaccard_join, op4_lm_scoring, op5_line_dedup, op6_language_id, op7_fingerprints, op8_token_counts, op9_sharding, op10_embedding_near_dedup, op11_license_scan, op12_source_divergence, op13_periodic_runs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
