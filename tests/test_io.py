@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import cleaning
-from wordloom.operators import books, stats
+from wordloom.operators import books, stats, stored
 from wordloom.plans.profile import analyse, analyse_folder
 from wordloom.sinks import reports
 from wordloom.sinks.catalog import Catalog, Conflict
@@ -153,6 +153,16 @@ def test_from_files_to_statistics(spark, tmp_path):
     assert words["sea"] == (3, 2) and words["sail"] == (1, 1)
     assert [r["title"] for r in c.run_books(run).collect()] == ["Alpha", "Beta"] and c.languages(run) == ["en-gb"]
     assert c.runs().first()["document_count"] == 3 and c.statistics(run, "token_occurrence").count() == 13
+    assert [(r["title"], r["word_count"]) for r in c.chapters(run).orderBy("book", "chapter_id").collect()] != [] and c.chapters(run).count() == 3
+    assert [r["word"] for r in stored.concordance(c.store, c._run(run)["stored_run_id"], "sail").select(F.col("token_text").alias("word")).collect()] == ["sail"]
+    alpha, beta = (c.table("book").where(F.col("title") == t).first()["book_id"] for t in ("Alpha", "Beta"))
+    c._replace("run_book", *(lambda at, rows: (at, rows.where("false")))(*c._at("run_book")))  # without links the stored chapters' books are the run's
+    assert {r["title"] for r in c.run_books(run).collect()} == {"Alpha", "Beta"}
+    c._replace("run_book", *(lambda at, rows: (at, rows.union(spark.createDataFrame([(run, alpha, 1), (run, beta, 2)], rows.schema))))(*c._at("run_book")))
+    c.delete_books([alpha], analyse)
+    words = {r["word"]: (r["count"], r["document_count"]) for r in c.statistics(run, "word").collect()}
+    assert words["sea"] == (2, 1) and "again" not in words and c.runs().first()["document_count"] == 2 and c.chapters(run).count() == 2
+    assert {(r["word"], r["next_word"]) for r in c.statistics(run, "next_word").collect()} == {("the", "sea"), ("sea", "was")}
     chapters, _ = sources.read_run(spark, str(tmp_path / "books"), "en")
     assert {r["chapter_id"] for r in books.chapter_metrics(chapters).collect()} == {1, 2} and books.chapter_metrics(chapters).count() == 3
     one, same = sources.folder_hash(spark, str(tmp_path / "books")), sources.folder_hash(spark, str(tmp_path / "books") + "/")

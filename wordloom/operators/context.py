@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
@@ -11,6 +11,16 @@ from wordloom.operators.index import counted, end_offset, index_arrays, on_count
 from wordloom.settings import context_of, phrase_lengths, window_of
 
 
+def around(target: str, window: int) -> Column:
+    """Array of the words (collocate, offset) in the windows around the places ``at`` of a chapter's ``words``, without the word itself."""
+
+    def near(p):
+        found = F.transform(F.sequence(F.greatest(p - window, F.lit(1)), F.least(p + window, F.size("words"))), lambda i: F.struct(F.element_at("words", i).alias("collocate"), (i - p).alias("offset")))
+        return F.filter(found, lambda x: x["collocate"] != target)
+
+    return F.flatten(F.transform("at", near))
+
+
 def collocations(chapters: DataFrame, word: str, window: int = 4, min_count: int = 1, min_dice: float = 0.0, word_class: str = "all") -> DataFrame:
     """Words within ``window`` words of each occurrence of ``word`` in the same chapter: counts by side, mean distance, rate
     for each occurrence and Dice coefficient.
@@ -20,12 +30,8 @@ def collocations(chapters: DataFrame, word: str, window: int = 4, min_count: int
     target, w = X.query_form(word), window_of(window)
     own = word_arrays(chapters).withColumn("at", F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: F.try_element_at("words", i) == target))
 
-    def around(p):
-        near = F.transform(F.sequence(F.greatest(p - w, F.lit(1)), F.least(p + w, F.size("words"))), lambda i: F.struct(F.element_at("words", i).alias("collocate"), (i - p).alias("offset")))
-        return F.filter(near, lambda x: x["collocate"] != target)
-
     # All words, for their own counts, at offset 0; then those of the windows.
-    own = own.withColumn("near", F.flatten(F.transform("at", around)))
+    own = own.withColumn("near", around(target, w))
     rows = own.select("run", F.explode(F.arrays_zip(F.concat("words", "near.collocate").alias("collocate"), F.concat(F.array_repeat(F.lit(0), F.size("words")), "near.offset").alias("offset"))).alias("p")).select("run", "p.*")
     found = rows.groupBy("run", "collocate").agg(
         F.count_if(F.col("offset") == 0).alias("collocate_count"), F.count_if(F.col("offset") < 0).alias("left_count"), F.count_if(F.col("offset") > 0).alias("right_count"),
@@ -59,9 +65,13 @@ def concordance(chapters: DataFrame, word: str, context: int = 5) -> DataFrame:
     """
     target, k = X.query_form(word), context_of(context)
     own = index_arrays(chapters.where(X.word_form(F.col("text")).contains(target))).where(F.array_contains("words", target))
-    own = with_offsets(own)
-    size = F.size("raws")
-    at = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("words", i) == target)
+    at = F.filter(F.sequence(F.lit(1), F.size("raws")), lambda i: F.element_at("words", i) == target)
+    return lines(own.withColumn("at", at), k)
+
+
+def lines(own: DataFrame, k: int) -> DataFrame:
+    """Concordance lines of the places ``at`` of chapters (run, book, chapter_id) with the arrays gaps and raws, with k words on each side."""
+    own, size = with_offsets(own), F.size("raws")
     span = lambda a, b, f: F.array_join(F.when(a <= b, F.transform(F.sequence(a, b), f)).otherwise(X.none()), "")
 
     def hit(p):
@@ -70,7 +80,7 @@ def concordance(chapters: DataFrame, word: str, context: int = 5) -> DataFrame:
         token = F.element_at("raws", p)
         return F.struct(p.alias("p"), token.alias("token_text"), left.alias("left"), right.alias("right"), (end_offset(p) - F.length(token)).alias("start"))
 
-    rows = own.select("run", "book", "chapter_id", F.posexplode(F.transform(at, hit)).alias("k", "h"))
+    rows = own.select("run", "book", "chapter_id", F.posexplode(F.transform("at", hit)).alias("k", "h"))
     return rows.select(
         "run", "book", "chapter_id", (F.col("k") + 1).cast("bigint").alias("occurrence_index"), F.col("h.p").cast("bigint").alias("chapter_position"), F.col("h.token_text").alias("token_text"),
         X.left_snippet(F.col("h.left")).alias("left_context"), X.right_snippet(F.col("h.right")).alias("right_context"), F.col("h.start").cast("bigint").alias("start_offset"),
@@ -80,8 +90,13 @@ def concordance(chapters: DataFrame, word: str, context: int = 5) -> DataFrame:
 def phrases(chapters: DataFrame, low: int = 2, high: int = 5, min_count: int = 2, min_chapters: int = 1) -> DataFrame:
     """Repeated runs of words with nothing but white space between them, within a chapter (they may cross line and sentence
     ends that have no punctuation)."""
-    low, high = phrase_lengths(low, high)
     own = chapters.select("run", X.words(F.col("text")).alias("words"), X.gaps(F.col("text")).alias("gaps"))
+    return phrases_in(own, low, high, min_count, min_chapters)
+
+
+def phrases_in(own: DataFrame, low: int = 2, high: int = 5, min_count: int = 2, min_chapters: int = 1) -> DataFrame:
+    """:func:`phrases` of chapters (run) with the arrays words and gaps."""
+    low, high = phrase_lengths(low, high)
     out = with_totals(counted(own, X.grams(F.col("words"), low, high, F.col("gaps")), total=F.size("words")), "total")
     out = out.where((F.col("count") >= min_count) & (F.col("document_count") >= min_chapters)).withColumnsRenamed({"text": "phrase", "document_count": "chapter_count"})
     return out.select("run", X.n_words(F.col("phrase")).alias("n"), "phrase", "count", "chapter_count", per_million(F.col("count"), F.col("total")).alias("frequency_per_million"))

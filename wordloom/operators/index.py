@@ -108,7 +108,11 @@ def prefix_sums(rows: DataFrame, groups: list[str], order: str, value: str, widt
 def run_positions(chapters: DataFrame) -> DataFrame:
     """run, book, chapter_id, tokens, first_run_position and last_run_position of each chapter with tokens; positions count
     from 1 through a run's books (in order of name) and their chapters (in order of id)."""
-    sizes = word_arrays(chapters).select("run", "book", "chapter_id", F.size("words").cast("bigint").alias("tokens"))
+    return positions_of(word_arrays(chapters).select("run", "book", "chapter_id", F.size("words").cast("bigint").alias("tokens")))
+
+
+def positions_of(sizes: DataFrame) -> DataFrame:
+    """:func:`run_positions` of chapters whose numbers of tokens are known."""
     earlier = Window.partitionBy("run").orderBy("book").rowsBetween(Window.unboundedPreceding, -1)
     books = sizes.groupBy("run", "book").agg(F.sum("tokens").alias("n")).select("run", "book", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("of_book"))
     out = prefix_sums(sizes, ["run", "book"], "chapter_id", "tokens").join(books, ["run", "book"]).where("tokens > 0")
@@ -144,7 +148,11 @@ def index_diagnostics(chapters: DataFrame) -> DataFrame:
         F.sum("tokens").alias("indexed_word_token_count"), F.count("*").alias("indexed_chapter_count"), F.countDistinct("book").alias("indexed_book_count"),
         F.min("first_run_position").alias("first_run_position"), F.max("last_run_position").alias("last_run_position"),
     )
-    out = expected.join(spans, "run", "left")
+    return with_deviations(expected.join(spans, "run", "left"))
+
+
+def with_deviations(out: DataFrame) -> DataFrame:
+    """Expected and indexed numbers of each run, with the gaps in its run positions, delta and coverage."""
     n = F.coalesce("indexed_word_token_count", F.lit(0))
     return out.select(
         "run", "expected_word_token_count", "expected_chapter_count", "source_book_count",
@@ -160,7 +168,11 @@ def index_diagnostics(chapters: DataFrame) -> DataFrame:
 
 def health(chapters: DataFrame) -> DataFrame:
     """Whether each run's index is sound, and what isn't."""
-    d = index_diagnostics(chapters)
+    return warnings_of(index_diagnostics(chapters))
+
+
+def warnings_of(d: DataFrame) -> DataFrame:
+    """What the diagnostics of each run say, in words."""
     warnings = F.filter(
         F.array(
             F.when(F.col("indexed_word_token_count") == 0, "token index is missing"),

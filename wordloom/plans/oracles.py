@@ -36,11 +36,19 @@ DOCS = "chapters as (select lang as run, source as book, doc_id as chapter_id, t
 TALK = "chapters as (select role as run, conv_id::varchar as book, conv_id * 1000 + turn as chapter_id, text from conversations)"
 LABELLED = "chapters as (select case when quality = 1 then 'good' else 'poor' end as run, source as book, d.doc_id as chapter_id, text from documents d join labels l on d.doc_id = l.doc_id where quality is not null)"
 
+#: A book that is added to a saved run, and those (run, book) that are taken from it.
+ADDED, REMOVED = "src1", (("en", "src2"), ("de", "src0"))
+LEFT = f"chapters as (select lang as run, source as book, doc_id as chapter_id, text from documents where not ({' or '.join(f'lang = {_q(a)} and source = {_q(b)}' for a, b in REMOVED)}))"
+
+#: Books whose index is damaged, the words that one loses, and what is added to ids of chapters that aren't there.
+FAULTS = {"missing": "src3", "lost": "src7", "twice": "src5", "unknown": "src9"}
+LOST_WORDS, FAR = ("the", "that", "de", "la", "und"), 10**12
+
 #: t: a row for each word of each chapter; totals: words of each run.
 TOKENS = f"""
 arrays as (select run, book, chapter_id, regexp_extract_all(text, {_GAP_WORD}, 2) as raws, regexp_extract_all(text, {_GAP_WORD}, 1) as gaps from chapters),
 raw_t as (select run, book, chapter_id, unnest(generate_series(1, len(raws)))::bigint as pos, unnest(raws) as raw, unnest(gaps) as gap from arrays),
-t as (select *, {form('raw')} as word from raw_t),
+t as materialized (select *, {form('raw')} as word from raw_t),
 totals as (select run, count(*) as total from t group by run)"""
 
 FOR_READING = trim(
@@ -416,3 +424,23 @@ def boilerplate_markers() -> str:
     marked = " || ".join((_q(MARKED[0]), "text", _q(MARKED[1])))
     body = rf"regexp_replace({marked}, '(?i)(?m:^)\s*\*{{3}}\s*END OF (?:THE )?PROJECT GUTENBERG EBOOK(?s:.*)', '')"
     return rf"select doc_id as chapter_id, regexp_replace({body}, '(?i)^(?s:.*?)\n\s*\*{{3}}\s*START OF (?:THE )?PROJECT GUTENBERG EBOOK.*?\*{{3}}\s*', '') as text from documents"
+
+
+def stored_chapters() -> str:
+    return _with(SENTENCES, select="""select c.run, c.book, c.chapter_id, length(text)::bigint as character_count, coalesce(n, 0)::bigint as word_count, coalesce(k, 0)::bigint as sentence_count
+from chapters c left join (select run, book, chapter_id, sum(len(ws)) as n, count(*) as k from sw group by all) using (run, book, chapter_id)""")
+
+
+def index_faults() -> str:
+    words = _list(LOST_WORDS)
+    book = {k: _q(v) for k, v in FAULTS.items()}
+    return _with(TOKENS, SENTENCES, select=f"""select * from (with p as materialized (select run, book, chapter_id, pos, word from t),
+sizes as (select run, book, chapter_id, sum(len(ws))::bigint as n from sw group by all having sum(len(ws)) > 0),
+have as materialized (select * from p where book <> {book['missing']} and not (book = {book['lost']} and word in ({words})) union all select * from p where book = {book['twice']}
+ union all select run, book, chapter_id + {FAR}, pos, word from p where book = {book['unknown']} and word in ({words})),
+keys as (select distinct run, book, chapter_id from have),
+lost as (select run, book, chapter_id, pos, pos - row_number() over (partition by run, book, chapter_id order by pos) as island from (select run, book, chapter_id, pos from p semi join keys using (run, book, chapter_id) except select run, book, chapter_id, pos from have))
+select run, book, chapter_id, 'missing chapter' as fault, 1::bigint as first, n as last from sizes anti join keys using (run, book, chapter_id)
+union all select run, book, chapter_id, 'unknown chapter', null, null from keys anti join chapters using (run, book, chapter_id)
+union all select run, book, chapter_id, 'repeated token', pos, count(*) from have semi join chapters using (run, book, chapter_id) group by all having count(*) > 1
+union all select run, book, chapter_id, 'token gap', min(pos), max(pos) from lost group by run, book, chapter_id, island)""")

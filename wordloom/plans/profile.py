@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,22 @@ def corpus_profile(chapters: DataFrame, n: int = 10, min_phrase_count: int = 3,
 
 
 def analyse_folder(spark: SparkSession, folder: str, language: str, catalog: Catalog, corpus_id: int, settings: AnalysisSettings = AnalysisSettings(), pattern: str = "*.epub") -> int:
-    """Import a folder's books into a corpus and save a run with their statistics and token index; the run's id."""
-    found, _ = books.read_books(spark, folder, language, pattern)
-    chapters, _ = books.read_run(spark, folder, language, pattern, run=language_code(language))
+    """Import a folder's books into a corpus and save a run with their chapters, index and statistics; the run's id. Statistics are made from the
+    stored chapters."""
+    read, failures = books.read_books(spark, folder, language, pattern)
+    path = f"{catalog.root}/imports/{uuid.uuid4().hex}"
+    read.write.option("compression", "zstd").parquet(path)  # archives are unpacked once
+    found = spark.read.schema(read.schema).parquet(path)
+    if found.isEmpty():
+        raise books.BookError(f"no readable book in {folder}: {failures.count()} failures")
+    stored = catalog.store.save(books.run_chapters(found, language_code(language)))
+    chapters = catalog.store.chapters(stored)
     catalog.add_books(corpus_id, found)
     links = found.groupBy("book_id").agg(F.min(F.lower("source_path")).alias("path"))
     links = links.select("book_id", F.row_number().over(Window.orderBy("path", "book_id")).alias("order_index"))  # a row a book
-    return catalog.save_run(corpus_id, {**analyse(chapters, settings), "tokens": token_index(chapters)}, links, settings)
+    run_id = catalog.save_run(corpus_id, {**analyse(chapters, settings), "tokens": token_index(chapters)}, links, settings, stored)
+    catalog.fs.delete(catalog._path(path), True)
+    return run_id
 
 
 def analyse(chapters: DataFrame, settings: AnalysisSettings = AnalysisSettings()) -> dict[str, DataFrame]:

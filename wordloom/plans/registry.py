@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import cleaning, lexicon
 from wordloom.functions import text as X
-from wordloom.operators import books, compare, context, index, stats
+from wordloom.operators import books, compare, context, index, stats, stored
 from wordloom.plans import oracles as O  # noqa: N812
 from wordloom.plans import explore, profile
 from wordloom.settings import AnalysisSettings
+from wordloom.sinks.store import RunStore, shared_folder
 from wordloom.sources import html
 from wordloom.sources.tables import dialogue_chapters, document_chapters, labelled_chapters, table
 
@@ -128,3 +129,43 @@ def _marked(chapters: DataFrame) -> DataFrame:
 _add("boilerplate_markers", _marked, O.boilerplate_markers())
 QUERIES["boilerplate_clean"] = lambda spark, folder: cleaning.with_cleaned(html.page_texts(table(spark, folder, "pages")).select("page_id", F.col("text").alias("page")), F.col("page")).select("page_id", "text", "is_front_matter")
 QUERIES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages"))
+
+
+# Saved runs: each query saves the corpus as a run and reads it back.
+
+
+def _add_stored(name: str, ask: Callable[[RunStore, int], DataFrame], sql: str) -> None:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        store = RunStore(spark, shared_folder(spark, "runs"))
+        return ask(store, store.save(document_chapters(spark, folder), name))
+
+    QUERIES[name], ORACLES[name] = query, sql
+
+
+def _changed(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of a run to which a book has been added, and from which others have been taken."""
+    chapters, store = document_chapters(spark, folder), RunStore(spark, shared_folder(spark, "runs"))
+    run_id = store.save(chapters.where(F.col("book") != O.ADDED))
+    store.append(run_id, chapters.where(F.col("book") == O.ADDED))
+    store.delete_books(run_id, list(O.REMOVED))
+    return store.words(run_id)
+
+
+def _faults(store: RunStore, run_id: int) -> DataFrame:
+    """Faults of an index in which a book is missing, one has lost words, one is held twice, and one has chapters the run hasn't."""
+    own, book = store.postings(run_id), F.col("book")
+    sound = own.where((book != O.FAULTS["missing"]) & ~((book == O.FAULTS["lost"]) & F.col("word").isin(*O.LOST_WORDS)))
+    twice = own.where(book == O.FAULTS["twice"])
+    strange = own.where((book == O.FAULTS["unknown"]) & F.col("word").isin(*O.LOST_WORDS)).withColumn("chapter_id", F.col("chapter_id") + O.FAR)
+    store.replace_index(run_id, sound.union(twice).union(strange))
+    return stored.index_faults(store, run_id)
+
+
+_add_stored("stored_chapters", lambda s, r: stored.chapters(s, r).drop("title"), O.stored_chapters())
+_add_stored("stored_kwic", lambda s, r: stored.concordance(s, r, "That", 5), O.concordance("that", 5))
+_add_stored("stored_collocations", lambda s, r: stored.collocations(s, r, "that", 2, min_count=5, min_dice=0.01), O.collocations("that", 2, "count >= 5 and dice >= 0.01::double"))
+_add_stored("stored_phrases", lambda s, r: stored.phrases(s, r, 2, 5, 3), O.phrases(2, 5, 3))
+_add_stored("stored_word_books", lambda s, r: stored.word_distribution(s, r, "the"), O.word_distribution("the"))
+_add_stored("stored_index_diagnostics", stored.index_diagnostics, O.index_diagnostics())
+_add_stored("stored_index_faults", _faults, O.index_faults())
+QUERIES["stored_words_after_changes"], ORACLES["stored_words_after_changes"] = _changed, O.word_frequencies(O.LEFT)

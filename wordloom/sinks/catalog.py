@@ -8,18 +8,21 @@ and whenever a writer stops, the last committed version is whole.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.lexicon import STOP_WORDS, language_code
 from wordloom.settings import AnalysisSettings
+from wordloom.sinks.store import RunStore
 
 CORPUS = "corpus_id bigint, name string, language_code string, description string, created_at timestamp, updated_at timestamp"
 BOOK = "book_id string, corpus_id bigint, title string, author string, language_code string, source_path string, file_hash string, imported_at timestamp, status string, error_message string"
-RUN = "run_id bigint, corpus_id bigint, started_at timestamp, completed_at timestamp, status string, settings_json string, document_count bigint, sentence_count bigint, token_count bigint, word_token_count bigint, distinct_word_count bigint, average_words_per_sentence double, average_characters_per_word double"
+RUN = "run_id bigint, corpus_id bigint, started_at timestamp, completed_at timestamp, status string, settings_json string, document_count bigint, sentence_count bigint, token_count bigint, word_token_count bigint, distinct_word_count bigint, average_words_per_sentence double, average_characters_per_word double, stored_run_id bigint"
 RUN_BOOK = "run_id bigint, book_id string, order_index bigint"
 SMALL = {"corpus": CORPUS, "book": BOOK, "run": RUN, "run_book": RUN_BOOK}
 STATISTICS = {
@@ -29,6 +32,8 @@ STATISTICS = {
     "category": "run string, category string, count bigint, percentage double",
     "token_occurrence": "run string, book string, chapter_id bigint, chapter_position bigint, token_text string, word string, start_offset bigint, end_offset bigint, is_stop_word boolean",
 }
+#: The names of an analysis' tables, and those of the statistics they are stored as.
+_TABLES = {"words": "word", "ngrams": "ngram", "next_words": "next_word", "categories": "category", "tokens": "token_occurrence"}
 
 
 class Conflict(RuntimeError):
@@ -48,6 +53,8 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
         self.jvm = spark.sparkContext._jvm
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        #: Chapters and indexes of runs, which their rows name by stored_run_id.
+        self.store = RunStore(spark, f"{self.root}/store")
 
     def _path(self, p: str):
         return self.jvm.org.apache.hadoop.fs.Path(p)
@@ -123,21 +130,21 @@ class Catalog:
 
     # Runs
 
-    def save_run(self, corpus_id: int, tables: dict[str, DataFrame], books: DataFrame | None = None, settings: AnalysisSettings = AnalysisSettings()) -> int:
-        """Store one run's tables (summary of one row, words, ngrams, next_words, categories, maybe tokens) and return its id.
+    def save_run(self, corpus_id: int, tables: dict[str, DataFrame], books: DataFrame | None = None, settings: AnalysisSettings = AnalysisSettings(), stored_run_id: int | None = None) -> int:
+        """Store one run's tables (summary of one row, words, ngrams, next_words, categories, maybe tokens) and return its id. Its chapters and
+        index may be those of a run of the store.
 
         The run's row is committed first, as Running, which takes its id; it becomes Completed last. If a table can't be written, what was
         written of the run is taken away.
         """
         version, runs = self._at("run")
         run_id = (runs.agg(F.max("run_id")).collect()[0][0] or 0) + 1
-        cols = [c.split()[0] for c in RUN.split(", ")][6:]
-        own = lambda done, status, of: of.select(F.lit(run_id).cast("bigint").alias("run_id"), F.lit(corpus_id).cast("bigint").alias("corpus_id"), F.current_timestamp().alias("started_at"), done.cast("timestamp").alias("completed_at"), F.lit(status).alias("status"), F.lit(settings.to_json()).alias("settings_json"), *(F.col(c) for c in cols))
+        cols = [c.split()[0] for c in RUN.split(", ")][6:-1]
+        own = lambda done, status, of: of.select(F.lit(run_id).cast("bigint").alias("run_id"), F.lit(corpus_id).cast("bigint").alias("corpus_id"), F.current_timestamp().alias("started_at"), done.cast("timestamp").alias("completed_at"), F.lit(status).alias("status"), F.lit(settings.to_json()).alias("settings_json"), *(F.col(c) for c in cols), F.lit(stored_run_id).cast("bigint").alias("stored_run_id"))
         none = self.spark.range(1).select(*(F.lit(None).alias(c) for c in cols))
         self._replace("run", version, runs.union(own(F.lit(None), "Running", none)))
-        names = {"words": "word", "ngrams": "ngram", "next_words": "next_word", "categories": "category", "tokens": "token_occurrence"}
         try:
-            for key, name in names.items():
+            for key, name in _TABLES.items():
                 if key in tables:
                     self.replace_statistics(run_id, name, tables[key])
             if books is not None:
@@ -161,8 +168,20 @@ class Catalog:
         own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.root}/{name}")
 
     def statistics(self, run_id: int, name: str) -> DataFrame:
-        """A run's rows: only its partition is read."""
-        return self.table(name).where(F.col("run_id") == run_id)
+        """A run's rows: only its partition is read. Of a run that isn't complete there are none."""
+        rows = self.table(name)
+        return rows.where(F.col("run_id") == run_id) if self._run(run_id) else rows.where("false")
+
+    def _run(self, run_id: int):
+        """The row of a completed run, or None."""
+        return self.table("run").where((F.col("run_id") == run_id) & (F.col("status") == "Completed")).first()
+
+    def chapters(self, run_id: int) -> DataFrame:
+        """The stored chapters of a run: run, book, chapter_id, title, text and their numbers of words and sentences."""
+        own = self._run(run_id)
+        if own is None or own["stored_run_id"] is None:
+            raise LookupError(f"no chapters are stored of run {run_id}")
+        return self.store.chapters(own["stored_run_id"])
 
     def runs(self, corpus_id: int | None = None) -> DataFrame:
         """Runs with the names of their corpora, the latest first."""
@@ -172,8 +191,14 @@ class Catalog:
         return own.orderBy(F.desc("run_id"))
 
     def run_books(self, run_id: int) -> DataFrame:
-        """The run's books in their order, with titles and authors, and the name of its corpus."""
+        """The run's books in their order, with titles and authors, and the name of its corpus: those it is linked with, else those whose
+        chapters are stored."""
         links = self.table("run_book").where(F.col("run_id") == run_id)
+        own = self._run(run_id)
+        if own and own["stored_run_id"] is not None and links.isEmpty():
+            found = self.store.chapters(own["stored_run_id"]).select(F.col("book").alias("book_id")).distinct()
+            place = F.row_number().over(Window.orderBy("book_id")).cast("bigint").alias("order_index")  # a row a book
+            links = found.select(F.lit(run_id).cast("bigint").alias("run_id"), "book_id", place)
         books = self.table("book").select("book_id", "title", "author", "language_code", "source_path")
         corpora = self.runs().select("run_id", "corpus_name")
         return links.join(books, "book_id").join(corpora, "run_id").orderBy("order_index")
@@ -184,24 +209,52 @@ class Catalog:
         return codes or sorted(STOP_WORDS)
 
     def delete_run(self, run_id: int) -> None:
+        own = self._run(run_id)
         for name in STATISTICS:
             self.fs.delete(self._path(f"{self.root}/{name}/run_id={run_id}"), True)
         for name in ("run", "run_book"):
             version, rows = self._at(name)
             if version:
                 self._replace(name, version, rows.where(F.col("run_id") != run_id))
+        if own and own["stored_run_id"] is not None:
+            self.store.delete_run(own["stored_run_id"])
 
-    def delete_books(self, book_ids: list[str]) -> None:
-        """Delete books with their links, and runs that have no book left."""
+    def delete_books(self, book_ids: list[str], remake: Callable[[DataFrame, AnalysisSettings], dict[str, DataFrame]] | None = None) -> None:
+        """Delete books with their links, and runs that have no book left. A run that keeps others and has its chapters stored loses the books'
+        chapters, index and word counts, which are subtracted; ``remake`` (such as plans.profile.analyse) makes its other statistics anew
+        from the chapters left."""
         at, links = self._at("run_book")
+        touched = links.where(F.col("book_id").isin(book_ids)).select("run_id").distinct()
         left = links.where(~F.col("book_id").isin(book_ids))
         bare = [r[0] for r in links.select("run_id").distinct().join(left.select("run_id").distinct(), "run_id", "left_anti").collect()]  # runs of these books
+        kept = [r[0] for r in touched.join(left.select("run_id").distinct(), "run_id").collect()]
         if at:
             self._replace("run_book", at, left)
         version, books = self._at("book")
         self._replace("book", version, books.where(~F.col("book_id").isin(book_ids)))
         for run_id in bare:
             self.delete_run(run_id)
+        for run_id in kept:
+            own = self._run(run_id)
+            if own and own["stored_run_id"] is not None:
+                self._correct(run_id, own, book_ids, remake)
+
+    def _correct(self, run_id: int, own, book_ids: list[str], remake) -> None:
+        stored = own["stored_run_id"]
+        gone = [tuple(r) for r in self.store.chapters(stored).where(F.col("book").isin(book_ids)).select("run", "book").distinct().collect()]  # some of book_ids
+        if gone:
+            self.store.delete_books(stored, gone)
+        self.replace_statistics(run_id, "word", self.store.words(stored))
+        if remake is None:
+            return
+        tables = remake(self.store.chapters(stored), AnalysisSettings(**json.loads(own["settings_json"])))
+        for key, name in _TABLES.items():
+            if key in tables and name != "word":
+                self.replace_statistics(run_id, name, tables[key])
+        version, runs = self._at("run")
+        summary = tables["summary"].drop("run").withColumn("run_id", F.lit(run_id).cast("bigint"))
+        fresh = runs.where(F.col("run_id") == run_id).drop(*[c for c in summary.columns if c != "run_id"]).join(summary, "run_id").select(*runs.columns)
+        self._replace("run", version, runs.where(F.col("run_id") != run_id).union(fresh))
 
     def artifacts(self, paths: dict[str, str | None], folder: str | None = None) -> dict[str, tuple[str | None, str]]:
         """Path and state (Available, Missing or NotGenerated) of each of ARTIFACTS. The first RECORDED have the paths given, relative ones
