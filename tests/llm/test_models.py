@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pytest
@@ -181,13 +182,31 @@ def test_language_kernel_is_the_collapsed_product():
     assert [x for x, _ in one] == [x for x, _ in m.decide(texts)] and m.labels == ["de", "en", "fr"]
 
 
+def brute_tiering(sizes, target, fan_out):
+    """Tiers after each arrival of these sizes in bytes, one shard each: fan_out shards of a tier below the target become one."""
+    tier = lambda n: max(0, math.ceil(math.log(target / n, fan_out) - 1e-9))
+    live = []
+    for k, n in enumerate(sizes):
+        live.append(n)
+        while (k + 1) % fan_out == 0 or k + 1 == len(sizes):
+            full = [t for t in {tier(x) for x in live} if t > 0 and sum(tier(x) == t and x <= target // 2 for x in live) >= fan_out]
+            if not full:
+                break
+            for t in full:
+                merged = [x for x in live if tier(x) == t and x <= target // 2]
+                live = [x for x in live if x not in merged] + [sum(merged)]
+    return live
+
+
 def test_sharding(spark, docs, empty, tmp_path):
-    out = sharding.sharded(docs, f"file://{tmp_path}/s", arrivals=3, target_bytes=40_000, fan_out=2)
-    assert key((r["doc_id"], r["text"]) for r in out.collect()) == key(ROWS)
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", 40_000, 2)
+    out = sharding.sharded(docs, f"file://{tmp_path}/s")
+    rows = out.collect()
+    assert key((r["doc_id"], r["text"]) for r in rows) == key(ROWS) and out.columns == [*docs.columns, *sharding._ADDED]
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", sharding.TARGET_BYTES, sharding.FAN_OUT)
     last = store.version()
-    assert last >= 4 and len(store.manifest(3)) > len(store.manifest())
+    assert {r["store_version"] for r in rows} == {last} and max(r["shard_arrivals"] for r in rows) >= 4
     assert sum(s["rows"] for s in store.manifest()) == len(ROWS) and store.read(1).count() < len(ROWS)
+    assert len(store.manifest()) < max(len(store.manifest(v)) for v in range(1, last))  # fewer shards after merges
     with pytest.raises(sharding.Conflict):
         store.commit(store.manifest(), last - 1)
     assert store.version() == last
@@ -196,6 +215,24 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert sharding.sharded(empty, f"file://{tmp_path}/e").count() == 0
 
 
+def test_sharding_merges_over_two_tiers(spark, tmp_path):
+    """As brute force over the arrivals' sizes says, with the query's parameters; keys of any type, and columns of clashing names."""
+    body = [(f"key{k}", "".join(random.Random(k).choices("abcdefghijklmnop", k=6000)), 1, "x") for k in range(400)] + [(None, "t", 2, "y")] * 2
+    df = spark.createDataFrame(body, "doc_id string, text string, arrival int, shard string").coalesce(1)
+    rows = sharding.sharded(df, f"file://{tmp_path}/t").collect()
+    assert key((r["doc_id"], r["text"]) for r in rows) == key(r[:2] for r in body)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/t", sharding.TARGET_BYTES, sharding.FAN_OUT)
+    seen, arrivals = [store.manifest(v) for v in range(store.version() + 1)], []
+    for before, now in zip(seen, seen[1:]):
+        if len(now) > len(before):  # an arrival; a merge leaves fewer
+            arrivals += [s["bytes"] for s in now if s["path"] not in {x["path"] for x in before}]
+    want = brute_tiering(arrivals, sharding.TARGET_BYTES, sharding.FAN_OUT)
+    assert len(arrivals) == sharding.ARRIVALS and len(want) == len(store.manifest()) < 8
+    assert max(r["shard_arrivals"] for r in rows) == 16 and {s["tier"] for s in store.manifest()} == {r["shard_tier"] for r in rows}
+    one = next(s for s in store.manifest() if s["rows"] == max(x["rows"] for x in store.manifest()))
+    assert abs(one["bytes"] / max(want) - 1) < 0.2
+
+
 def test_tiers(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/t", 1000, 4)
     assert [store.tier(n) for n in (2000, 1000, 999, 250, 249, 10)] == [0, 0, 1, 1, 2, 4]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ROWS, key, prose
+from wordloom.llm import _blocks as B
 from wordloom.llm import embedding_graph as G
 from wordloom.llm import fingerprints, line_dedup, ngram_join
 from wordloom.llm.components import connected_components, forest, linked_labels
@@ -102,10 +103,31 @@ def test_components_that_run_out_of_rounds_are_an_error(spark):
         connected_components(path, most_rounds=1)
 
 
+def brute_chunks(text, least=10):
+    """Start and end of each chunk, line by line."""
+    own = line_dedup.lines(text)
+    hashes = [int(h) for h in B.word_hash([x for _, x in own])]
+    window = [int(B.mixed(np.asarray([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(hashes, hashes[1:])]
+    weigh = lambda a, b: sum(max(len(x.split()), len(x) // 8) for _, x in own[a : b + 1])
+    spans, n = set(), len(own)
+    for i in range(n):
+        a, b = i - 1, i + 1
+        if i + 2 < n and window[i + 1] < window[i]:
+            b = i + 2
+        if i >= 2 and window[i - 2] <= window[i - 1]:
+            a = i - 2
+        while b < n and weigh(i, b) < least:
+            b += 1
+        while a >= 0 and weigh(a, i) < least:
+            a -= 1
+        spans |= {(x, y) for x, y in ((i, b), (a, i)) if 0 <= x and y < n}
+    return [(own[a][0], own[b][0] + len(own[b][1])) for a, b in sorted(spans)]
+
+
 def brute_lines(rows):
     seen, out = set(), []
     for i, t in rows:
-        spans, kept, last, gone = line_dedup.chunks(t) if t else [], [], 0, 0
+        spans, kept, last, gone = brute_chunks(t) if t else [], [], 0, 0
         for a, b in spans:
             if t[a:b] in seen:
                 kept.append(t[last:a])
@@ -168,7 +190,7 @@ def test_line_dedup_finds_passages_of_all_kinds(spark):
     thai = lambda n: "".join(chr(rng.randrange(0xE01, 0xE2E)) for _ in range(n))
     spaced = lambda n: " ".join(word() for _ in range(n))
     kinds = [
-        (spaced(60), lambda: spaced(30), " ", 0.6), (spaced(150), lambda: spaced(30), " ", 0.85), (spaced(14), lambda: spaced(12), "\n", 1.0),
+        (spaced(60), lambda: spaced(30), " ", 0.6), (spaced(150), lambda: spaced(30), " ", 0.85), (f"{spaced(14)}\n{spaced(9)}\n{spaced(14)}", lambda: spaced(12), "\n", 1.0),
         ("".join(han(18) + "。" for _ in range(5)), lambda: han(30) + "。", "", 1.0), (han(200), lambda: han(60), "", 0.8), (thai(300), lambda: thai(80), "", 0.8),
         ("".join(rng.choices("0123456789abcdef", k=400)), lambda: "".join(rng.choices("0123456789abcdef", k=90)), "\n", 1.0),
     ]
@@ -178,6 +200,25 @@ def test_line_dedup_finds_passages_of_all_kinds(spark):
         assert got[2 * k]["removed_chars"] == 0 and part * len(passage) - 1 <= got[2 * k + 1]["removed_chars"] <= len(passage) + 1, k
 
 
+def test_line_dedup_leaves_single_lines(spark):
+    """A line of any number of words up to LONG stays wherever it stands alone, as do two lines in another order."""
+    line, other = sentences(1, 13, 1), sentences(2, 15, 1)
+    rows = [(k, "\n".join([sentences(100 + k, 30, 3), line, sentences(200 + k, 30, 3), other if k % 2 else line, sentences(300 + k, 30, 3)])) for k in range(8)] + [(20, line), (21, line), (22, f"{line}\n{other}"), (23, f"{other}\n{line}")]
+    got = {r["doc_id"]: r for r in line_dedup.removal_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert all(got[i]["n_removed"] == 0 and got[i]["text"] == t for i, t in rows)
+
+
+def test_line_dedup_boundaries_move_with_the_lines():
+    rng = random.Random(4)
+    passage = "\n".join(sentences(k, rng.randrange(8, 20), 1) for k in range(40, 52))
+    alone = {passage[a:b] for a, b in line_dedup.chunks(passage)}
+    for k in range(20):
+        text = "\n".join([sentences(1000 + k, 40, 1 + k % 5), passage, sentences(2000 + k, 60, 4)])
+        starts = [a for a, _ in line_dedup.lines(text)]
+        assert all(sum(a <= x < b for x in starts) >= 2 for a, b in line_dedup.chunks(text))
+        assert len(alone & {text[a:b] for a, b in line_dedup.chunks(text)}) >= len(alone) - 3
+
+
 def weighted_jaccard(a, b):
     a, b = (collections.Counter(x.encode().lower().split()) for x in (a, b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))

@@ -1,10 +1,16 @@
 """Operator 5: removal of repeated content-defined line chunks.
 
 A text is cut into lines, at line breaks and after sentence ends (a long line is many sentences). A line of over ``LONG``
-words is cut further where a rolling hash over its words says so, or over its characters where there are no blanks. A chunk is a shortest run
-of lines with ``min_words`` words: one begins at each line and one ends at each line. Chunks overlap and depend on their own
-lines alone, so those of a passage are the same wherever it stands, and together they cover all its lines. Of each chunk that
-occurs more than once, the first occurrence (least doc_id, nulls last, then place) stays and the lines of the others are
+words is cut further where a rolling hash over its words says so, or over its characters where there are no blanks.
+
+A rolling hash over the hashes of each two neighbouring lines chooses the boundaries of chunks: of the two windows in any three lines, that of the
+smaller hash. A chunk begins at each line and ends with the window chosen of it and the two lines after it; and one ends at each line and
+begins with the window chosen of it and the two lines before it. So a chunk has two or three lines, or as many more as it takes to
+have ``min_words`` words, and depends on lines beside it at most where it has two. Chunks overlap; those of a passage of three lines or
+more are the same wherever it stands, and cover it whole. A line alone is no chunk: it stays, however often it occurs, unless it is long
+and so cut into several.
+
+Of each chunk that occurs more than once, the first occurrence (least doc_id, nulls last, then place) stays and the lines of the others are
 removed; so the first occurrence of each line stays too. White space between lines doesn't count.
 
 1. The distinct lines of a block of documents go, with their bytes, to the bucket of their hash, where equal bytes meet. Lines
@@ -144,16 +150,36 @@ def weights(found: list[str]) -> np.ndarray:
     return np.maximum(words, np.fromiter(map(len, found), np.int64, len(found)) // CHARS)
 
 
-def runs(weight: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last lines of the shortest runs that weigh ``least``, in order; begin: where each text's lines begin, and the end."""
+def boundaries(line_hash: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether of the two windows in the three lines from each line on the second has the smaller hash; begin: where each text's lines begin, and
+    the end."""
+    n = len(line_hash)
+    second = np.zeros(n, bool)
+    if n > 2:
+        window = B.mixed(line_hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + line_hash[1:])
+        second[:-2] = window[1:] < window[:-1]
+        for back in (1, 2):  # three lines of one text
+            at = begin - back
+            second[at[(at >= 0) & (begin <= n)]] = False
+    return second
+
+
+def runs(weight: np.ndarray, begin: np.ndarray, second: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the chunks, in order. begin: where each text's lines begin, and the end; second: of :func:`boundaries`; least:
+    what a chunk weighs."""
+    n = len(weight)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
-    i, n = np.arange(len(weight)), len(weight) + 1
-    per = np.diff(begin)
-    last = np.searchsorted(total[1:], total[:-1] + least)
-    first = np.searchsorted(total[:-1], total[1:] - least, "right") - 1
-    ahead, back = last < np.repeat(begin[1:], per), first >= np.repeat(begin[:-1], per)
-    both = B.distinct(np.concatenate([i[ahead] * n + last[ahead], first[back] * n + i[back]]))
-    return both // n, both % n
+    i, per = np.arange(n), np.diff(begin)
+    low, high = np.repeat(begin[:-1], per), np.repeat(begin[1:], per)
+    last = np.maximum(np.searchsorted(total[1:], total[:-1] + least), i + 1 + second)
+    first = np.concatenate([[-1], i[:-1]])
+    first[2:] -= ~second[:-2] & (low[2:] <= i[:-2])
+    first = np.minimum(np.searchsorted(total[:-1], total[1:] - least, "right") - 1, first)
+    ahead, back = last < high, first >= low
+    both = B.distinct(np.concatenate([i[ahead] * (n + 1) + last[ahead], first[back] * (n + 1) + i[back]]))
+    return both // (n + 1), both % (n + 1)
 
 
 def first_of(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -165,7 +191,8 @@ def first_of(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 def chunks(text: str, min_words: int = 10) -> list[tuple[int, int]]:
     """Start and end of the text's chunks that may be removed, in order; they overlap."""
     own = lines(text)
-    first, last = runs(weights([x for _, x in own]), np.asarray([0, len(own)]), min_words)
+    found, begin = [x for _, x in own], np.asarray([0, len(own)])
+    first, last = runs(weights(found), begin, boundaries(B.word_hash(found), begin), min_words)
     return [(own[i][0], own[j][0] + len(own[j][1])) for i, j in zip(first.tolist(), last.tolist())]
 
 
@@ -211,7 +238,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             words, begin = list(of), np.asarray(begin)
             gc.enable()
             weight = weights(words)
-            first, _ = runs(weight[seq], begin, min_words)
+            second = boundaries(B.word_hash(words)[seq], begin)
+            first, _ = runs(weight[seq], begin, second, min_words)
             starts, sizes = np.asarray(starts, np.int64), np.fromiter(map(len, words), np.int64, len(words))[seq]
             gaps = starts.copy()  # what stands before a line: little, so it takes little room
             gaps[1:] -= starts[:-1] + sizes[:-1]
@@ -221,7 +249,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             n_chunks = np.diff(np.searchsorted(first, begin))
             ids = np.asarray([LAST if i is None else i for _, i in rows], np.int64)
             yield B._one(B.DOCS, home(key), key, B.pack(([row for row, _ in rows], B.smallest(gaps), B.smallest(sizes), begin, B.smallest(n_chunks))))
-            yield B._one(B.EXTRA, home(key), key, B.pack((np.packbits(new), B.smallest(seq[~new]), B.smallest(weight), begin, ids)))
+            yield B._one(B.EXTRA, home(key), key, B.pack((np.packbits(new), B.smallest(seq[~new]), B.smallest(weight), np.packbits(second), begin, ids)))
             yield from dealt(key, B.WORDS, words, B.smallest(np.bincount(seq, minlength=len(words))))
 
         for batch in batches:
@@ -251,7 +279,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in B.grouped(batches, 2):
-            new, old, weight, begin, ids = B.unpack(next(r[3] for r in rows if r[0] == B.EXTRA))
+            new, old, weight, second, begin, ids = B.unpack(next(r[3] for r in rows if r[0] == B.EXTRA))
             new = np.unpackbits(new, count=int(begin[-1])).astype(bool)
             seq = np.cumsum(new) - 1
             seq[~new] = old
@@ -261,7 +289,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
                     at, x = B.unpack(r[3])
                     number[at] = x
             number = number[seq]
-            a, b = runs(weight[seq], begin, min_words)
+            a, b = runs(weight[seq], begin, np.unpackbits(second, count=len(seq)).astype(bool), min_words)
             once = np.concatenate([[0], np.cumsum(number < 0)])
             both = once[b + 1] == once[a]
             a, b = a[both], b[both]

@@ -54,7 +54,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
-    return out.select("doc_id", F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.regexp_extract("shard", "[^/]+$", 0).alias("shard"), "shard_bytes")
+    return out.select("doc_id", F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.regexp_extract("shard", "[^/]+$", 0).alias("shard"), "shard_bytes", "shard_tier", "shard_arrivals", "store_version")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

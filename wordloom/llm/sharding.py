@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Conflict(RuntimeError):
@@ -77,20 +78,34 @@ class ShardStore:
         """0 for shards of the target size, and one more for each factor of fan_out below."""
         return max(0, math.ceil(math.log(self.target_bytes / max(1, size), self.fan_out) - 1e-9))
 
-    def _described(self, folder: str) -> list[dict]:
-        df = self.spark.read.parquet(folder)
+    def _described(self, folder: str, schema: T.StructType) -> list[dict]:
+        df = _files(self.spark, folder, schema=schema)
         meta = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col(self.key).alias("k"))
         rows = meta.groupBy("path", "bytes").agg(F.count("*").alias("rows"), F.min("k").alias("low"), F.max("k").alias("high")).collect()  # a row a shard
         return sorted(({**r.asDict(), "tier": self.tier(r["bytes"])} for r in rows), key=lambda s: s["path"])
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame, by: str | None = None) -> str:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(folder)
         return folder
 
     def append(self, df: DataFrame) -> int:
         """Write the rows as new shards, one a partition, and commit them with the live ones. Of no rows: no new version."""
-        new = self._described(self._write(df))
+        return self._add(self._described(self._write(df), df.schema))
+
+    def append_arrivals(self, df: DataFrame, turn: str) -> None:
+        """Write the rows of each value of a column as an arrival, one or more shards of its own, after one scan. Each is committed by itself, and
+        the shards are compacted whenever fan_out of them have been."""
+        arrivals: dict[str, list[dict]] = {}
+        for s in self._described(self._write(df.withColumn("_arrival", F.col(turn)), "_arrival"), df.schema):
+            arrivals.setdefault(s["path"].split("/")[-2], []).append(s)
+        for k, name in enumerate(sorted(arrivals), 1):
+            self._add(arrivals[name])
+            if k % self.fan_out == 0:
+                self.compact()
+
+    def _add(self, new: list[dict]) -> int:
         if not new:
             return self.version()
         while True:
@@ -122,8 +137,9 @@ class ShardStore:
             reader.conf.set("spark.sql.files.minPartitionNum", "1")
             gone, new = set(), []
             for run in runs:
-                folder = self._write(reader.read.parquet(*[s["path"] for s in run]))
-                made = self._described(folder)
+                rows = _files(reader, *[s["path"] for s in run])
+                folder = self._write(rows)
+                made = self._described(folder, rows.schema)
                 if len(made) >= len(run):  # the cluster's settings keep read partitions this small
                     self.fs.delete(self._path(folder), True)
                     continue
@@ -138,7 +154,7 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with shard (path) and shard_bytes. Fails on a version without shards."""
-        df = self.spark.read.parquet(*[s["path"] for s in self.manifest(version)])
+        df = _files(self.spark, *[s["path"] for s in self.manifest(version)])
         return df.select("*", F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
 
     def vacuum(self) -> None:
@@ -154,19 +170,35 @@ class ShardStore:
             self.fs.delete(p, False)
 
 
-def sharded(docs: DataFrame, root: str, arrivals: int = 3, target_bytes: int = 128 << 20, fan_out: int = 4) -> DataFrame:
-    """Append ``docs`` in arrivals (by a hash of doc_id), compact, and return the rows as they are then stored.
+def _files(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows as they are in the files, whatever the names of their folders."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return (reader.schema(schema) if schema else reader).parquet(*paths)
 
-    All columns and rows are kept, with nulls, repeated rows and empty texts as they are; columns named shard or shard_bytes
-    are replaced by the shard's. An empty table gives an empty result.
+
+#: What a shard is aimed at, how many of a tier are merged, and arrivals: enough of them that shards are merged, and that what the first merges
+#: make is merged again, whatever the size of the table and the partitions it is read in.
+TARGET_BYTES, FAN_OUT, ARRIVALS = 128 << 20, 4, 20
+_ADDED = {"shard": "string", "shard_bytes": "bigint", "shard_tier": "int", "shard_arrivals": "bigint", "store_version": "bigint"}
+
+
+def sharded(docs: DataFrame, root: str, arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
+    """Append ``docs`` in arrivals (by a hash of doc_id), compact whenever fan_out of them have come, and return the rows as they are then
+    stored, with shard, shard_bytes, shard_tier, shard_arrivals (how many arrivals have rows in the shard) and store_version.
+
+    All columns and rows are kept, with nulls, repeated rows and empty texts as they are; columns of these five names are replaced. Keys of any
+    type will do. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    own = docs.drop("shard", "shard_bytes")
-    store = ShardStore(spark, root, target_bytes, fan_out)
-    turn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(own.where(turn == k))
-    store.compact()
-    if not store.version():
-        return own.withColumns({"shard": F.lit(None).cast("string"), "shard_bytes": F.lit(None).cast("bigint")})
-    return store.read()
+    own = docs.drop(*_ADDED)
+    turn = "arrival"
+    while turn in own.columns:
+        turn += "_"
+    store = ShardStore(docs.sparkSession, root, target_bytes, fan_out)
+    store.append_arrivals(own.withColumn(turn, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(arrivals))), turn)
+    version = store.compact()
+    if not version:
+        return own.withColumns({c: F.lit(None).cast(t) for c, t in _ADDED.items()})
+    rows = store.read()
+    by_shard = rows.groupBy("shard", turn).count().groupBy("shard").agg(F.count("*").alias("shard_arrivals"))
+    tier = F.greatest(F.ceil(F.log(F.lit(float(target_bytes)) / F.col("shard_bytes")) / math.log(fan_out) - 1e-9), F.lit(0)).cast("int")
+    return rows.join(by_shard, "shard").withColumns({"shard_tier": tier, "store_version": F.lit(version).cast("bigint")}).select(*own.columns, *_ADDED)
