@@ -11,14 +11,21 @@ from wordloom.plans.profile import analyse, analyse_folder
 from wordloom.sinks import reports
 from wordloom.sinks.catalog import Catalog, Conflict
 from wordloom.sources import books as sources
-from wordloom.sources.html import html_to_text
+from wordloom.sources.html import visible_text
 from wordloom.streaming import ingest
 
 
-def test_html():
-    assert html_to_text("<p>Hello,    Tom.</p><p>Good&nbsp;&nbsp;morning.</p>") == "Hello, Tom.\nGood morning."
-    assert html_to_text("<html><head><title>x</title><style>p{}</style></head><body><script>a()</script><p>Visible text.</p></body></html>") == "Visible text."
-    assert html_to_text(None) == "" and html_to_text("a<br>b") == "a\nb"
+def test_html(spark):
+    pages = {
+        "<p>Hello,    Tom.</p><p>Good&nbsp;&nbsp;morning.</p>": "Hello, Tom.\nGood morning.", None: "", " \n": "", "a<br>b<BR/>c": "a\nb\nc",
+        "<html><head><title>x</title><style>p{}</style></head><body><script>a('<p>')</script><p>Visible text.</p></body></html>": "Visible text.",
+        "x &lt;p&gt; &amp;lt; a&#10;b": "x <p> &lt; a b", "&#65;&#x42;&#x110000;&#0;&#150;&notit;&copy 5&copycat;&bogus;&": "AB\ufffd\ufffd–¬it;© 5©cat;&bogus;&", "&#99999999999999999999;": "\ufffd",
+        "a < b > c <3": "a < b > c <3", "<a title='x>y'>z</a>": "z", "<!-- <p> -->t<!-- open": "t", "<script>x": "", "1<prefix>2</prefix>3<p>4": "123\n4", "<noscript>n</noscript>m<scripted>q</scripted>": "mq",
+        "pre<BODY class=x>in<body>again": "in\nagain", "cut <p": "cut", "é&eacute;&#233; ": "ééé", "<!DOCTYPE html><?x y?>t": "t", "<ul><li>one<li>two &#128512;</ul>": "one\ntwo 😀",
+    }
+    got = spark.createDataFrame(list(enumerate(pages)), "k int, h string").select("k", visible_text(F.col("h")).alias("t")).orderBy("k")
+    assert [r["t"] for r in got.collect()] == list(pages.values())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_markers(spark):
@@ -81,6 +88,11 @@ def test_books(library):
     assert sorted(r["name"] for r in failures.collect()) == ["bad.epub", "empty.epub"]
     whole = [tuple(r) for r in sources.aggregate_book(chapters).select("order_index", "chapter_title").orderBy("order_index").collect()]
     assert whole == [(1, "Alpha — Chapter 1"), (2, "Alpha — Chapter 2"), (3, "Beta — Chapter 1")]
+    named = sources.aggregate_book(chapters, "/books/of mine").first()
+    assert named["book_id"] == sources.folder_id("/books/of mine") and named["title"] == "EPUB folder: of mine" and len(named["book_id"]) == 28
+    many = chapters.sparkSession.createDataFrame([(f"/x/{n}", n[0], "", k, f"p{k}", "en", "t") for n in ("b2", "B1", "ba", "a", "_c", "C") for k in (1, 2)], "source_path string, title string, chapter_title string, order_index int, part_path string, lang string, text string")
+    order = sources.aggregate_book(many).orderBy("order_index").collect()
+    assert [r["order_index"] for r in order] == list(range(1, 13)) and [r["source"] for r in order][:4] == ["/x/a::p1", "/x/a::p2", "/x/B1::p1", "/x/B1::p2"] and order[0]["chapter_title"] == "a"
     assert sources.aggregate_id(["b", "a"]) == sources.aggregate_id(["a", "b"])
 
 
@@ -95,6 +107,8 @@ def test_reports(spark, chapters, tmp_path):
     reports.write_csv(tables["words"], "words", str(tmp_path / "w"))
     lines = "".join(p.read_text() for p in (tmp_path / "w").glob("part-*")).splitlines()
     assert lines[0] == "word,count,document_count,frequency_per_million,is_stop_word" and lines[1].startswith("he,2,1,285714.2857,")
+    reports.write_csv(tables["words"], "words", str(tmp_path / "m"), mark=True)
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfword,count") for p in (tmp_path / "m").glob("part-*"))
     text = reports.markdown_report("T", tables["summary"], tables["words"], tables["ngrams"], tables["next_words"], tables["categories"])
     assert "| Documents | 1 |" in text and "## Next words" in text
     fails = spark.createDataFrame([("/x", "x", "m", "E")], "path string, name string, error_message string, exception_type string")

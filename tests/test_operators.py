@@ -187,7 +187,10 @@ def test_profile_and_limits(chapters):
     p = corpus_profile(chapters(SAMPLE), 3).collect()[0]
     assert p["top_content_words"].split()[0] in {"hello", "know"} and p["top_function_words"].split()[0] == "don't"
     assert set(analyse(chapters(SAMPLE))) == {"summary", "words", "ngrams", "next_words", "categories"}
-    assert (limit_of(0), limit_of(500), window_of(99), context_of(0), phrase_lengths(1, 99)) == (1, 500, 10, 1, (2, 8))
+    assert (limit_of(0, compat=True), limit_of(500), window_of(99, True), context_of(0, True), phrase_lengths(1, 99, True), phrase_lengths(5, 3, True)) == (1, 500, 10, 1, (2, 8), (5, 5))
+    for f, *bad in ((limit_of, 0), (limit_of, 500, 100), (window_of, 11), (context_of, 31), (phrase_lengths, 1, 5), (phrase_lengths, 2, 9), (phrase_lengths, 5, 3)):
+        with pytest.raises(ValueError):
+            f(*bad)
     with pytest.raises(ValueError):
         limit_of(5000)
     with pytest.raises(ValueError):

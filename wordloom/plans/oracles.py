@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wordloom.functions import lexicon
+from wordloom.sources import html
 
 
 def _q(s: str) -> str:
@@ -302,7 +303,9 @@ from profiles "left", profiles "right" where "left".run = {_q(left)} and "right"
 
 def language_profiles() -> str:
     rows = ", ".join("(" + ", ".join(_q(x) if isinstance(x, str) else f"{x}::bigint" for x in p) + f", {len(lexicon.STOP_WORDS[p[0]])}::bigint)" for p in lexicon.PROFILES)
-    return f"select * from (values {rows}) v(code, name, family, long_word_length, very_long_word_length, apostrophes, stop_word_count)"
+    counts = f"select run as code, count(distinct chapter_id) as document_count, count(*) filter ({stop('word')}) as stop_word_token_count from t group by run"
+    return _with(TOKENS, select=f"""select v.*, coalesce(document_count, 0) as document_count, coalesce(stop_word_token_count, 0) as stop_word_token_count
+from (values {rows}) v(code, name, family, long_word_length, very_long_word_length, apostrophes, stop_word_count) left join ({counts}) using (code)""")
 
 
 def normalize_text() -> str:
@@ -444,3 +447,24 @@ select run, book, chapter_id, 'missing chapter' as fault, 1::bigint as first, n
 union all select run, book, chapter_id, 'unknown chapter', null, null from keys anti join chapters using (run, book, chapter_id)
 union all select run, book, chapter_id, 'repeated token', pos, count(*) from have semi join chapters using (run, book, chapter_id) group by all having count(*) > 1
 union all select run, book, chapter_id, 'token gap', min(pos), max(pos) from lost group by run, book, chapter_id, island)""")
+
+
+#: Character references that the tables' pages have, with and without a semicolon; "&amp" comes last, lest what it leaves be taken for another.
+_REFERENCES = {"copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "nbsp": " ", "amp": "&"}
+
+
+def page_texts() -> str:
+    """Table expression page_texts (page_id, url, text)."""
+    rest, attributes = r"(?:[\s/][^>]*)?>", r"(?:[\s/](?:[^>\x22\x27]|\x22[^\x22]*\x22|\x27[^\x27]*\x27)*)?>"
+    unseen = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{x}{rest}.*?(?:</{x}\s*>|\z)" for x in html.HIDDEN)
+    blank = lambda c: rf"regexp_replace({c}, '[\s\pZ\x{{0085}}]+', ' ', 'g')"
+    line = "x"
+    for name, c in _REFERENCES.items():
+        line = f"regexp_replace({line}, '&{name};?', {_q(c)}, 'g')"
+    return rf"""seen as (select page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), {_q(unseen)}, '', 'g'), '(?is)\A.*?<body{rest}', '') as h from pages),
+broken as (select page_id, url, regexp_replace(regexp_replace({blank("h")}, '(?is)</?(?:br|{"|".join(html.BLOCKS)}){attributes}', chr(10), 'g'), '(?is)<[a-z/!?](?:[^>]*>|[^>]*\z)', '', 'g') as h from seen),
+page_texts as (select page_id, url, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim({blank(line)})), lambda x: x <> ''), chr(10)) as text from broken)"""
+
+
+def html_to_text() -> str:
+    return f"with {page_texts()} select * from page_texts"

@@ -106,8 +106,11 @@ _add("explore_word", lambda c: explore.word(c, "the", 10, 10, 4, 10), O.word_exp
 
 
 def _language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The language profiles, with the numbers of a corpus' documents in each language and of their words that are its stop words."""
     rows = [(*p, len(lexicon.STOP_WORDS[p[0]])) for p in lexicon.PROFILES]
-    return spark.createDataFrame(rows, "code string, name string, family string, long_word_length bigint, very_long_word_length bigint, apostrophes string, stop_word_count bigint")
+    profiles = spark.createDataFrame(rows, "code string, name string, family string, long_word_length bigint, very_long_word_length bigint, apostrophes string, stop_word_count bigint")
+    own = index.index_summary(document_chapters(spark, folder)).select(F.col("run").alias("code"), F.col("chapter_count").alias("document_count"), "stop_word_token_count")
+    return profiles.join(own, "code", "left").na.fill(0, ["document_count", "stop_word_token_count"])
 
 
 def _source_books(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +131,7 @@ def _marked(chapters: DataFrame) -> DataFrame:
 
 _add("boilerplate_markers", _marked, O.boilerplate_markers())
 QUERIES["boilerplate_clean"] = lambda spark, folder: cleaning.with_cleaned(html.page_texts(table(spark, folder, "pages")).select("page_id", F.col("text").alias("page")), F.col("page")).select("page_id", "text", "is_front_matter")
-QUERIES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages"))
+QUERIES["html_to_text"], ORACLES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages")), O.html_to_text()
 
 
 # Saved runs: each query saves the corpus as a run and reads it back.

@@ -27,28 +27,37 @@ def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(high, value))
 
 
-#: Most rows of a ranked result.
-MOST_ROWS = 1000
+#: Most rows of a ranked result, and of one that an explorer shows.
+MOST_ROWS, MOST_SHOWN = 1000, 100
+#: Least and most words of a window, of a context and of a phrase.
+WINDOW, CONTEXT, PHRASE = (1, 10), (1, 30), (2, 8)
 
 
-def limit_of(n: int) -> int:
-    """Ranked results have 1 to MOST_ROWS rows; more is an error, lest rows be missed unawares."""
-    if n > MOST_ROWS:
-        raise ValueError(f"a ranked result has at most {MOST_ROWS} rows, not {n}")
-    return max(1, n)
+def bounded(what: str, value: int, low: int, high: int, compat: bool = False) -> int:
+    """A value from low to high. Others are an error, lest less be counted or shown than was asked for; with compat they become the nearest."""
+    if not compat and not low <= value <= high:
+        raise ValueError(f"{what}: {value} isn't from {low} to {high}")
+    return clamp(value, low, high)
 
 
-def window_of(n: int) -> int:
-    """Collocation windows reach 1 to 10 words."""
-    return clamp(n, 1, 10)
+def limit_of(n: int, most: int = MOST_ROWS, compat: bool = False) -> int:
+    """The number of rows of a ranked result."""
+    return bounded("rows of a ranked result", n, 1, most, compat)
 
 
-def context_of(n: int) -> int:
-    """Concordance lines show 1 to 30 words on each side."""
-    return clamp(n, 1, 30)
+def window_of(n: int, compat: bool = False) -> int:
+    """How many words a collocation window reaches to each side."""
+    return bounded("words of a window", n, *WINDOW, compat)
 
 
-def phrase_lengths(low: int, high: int) -> tuple[int, int]:
-    """Phrases have 2 to 8 words."""
-    low = clamp(low, 2, 8)
-    return low, max(low, clamp(high, 2, 8))
+def context_of(n: int, compat: bool = False) -> int:
+    """How many words a concordance line shows on each side."""
+    return bounded("words of a context", n, *CONTEXT, compat)
+
+
+def phrase_lengths(low: int, high: int, compat: bool = False) -> tuple[int, int]:
+    """Least and most words of a phrase; with compat, the most is the least if it was smaller."""
+    low, high = bounded("words of a phrase", low, *PHRASE, compat), bounded("words of a phrase", high, *PHRASE, compat)
+    if high < low and not compat:
+        raise ValueError(f"words of a phrase: from {low} to {high}")
+    return low, max(low, high)

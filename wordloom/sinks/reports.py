@@ -16,13 +16,20 @@ COLUMNS = {
 ORDERS = {"words": [F.desc, "count", F.asc, "word"], "ngrams": [F.asc, "n", F.desc, "count", F.asc, "text"], "next_words": [F.desc, "count", F.asc, "word", F.asc, "next_word"], "failures": [F.asc, "name"]}
 
 
-def write_csv(df: DataFrame, kind: str, path: str) -> None:
-    """One run's table as CSV with a header: numbers with four decimals at most, quotes only where needed."""
+#: What tells some spreadsheets that a file is UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(df: DataFrame, kind: str, path: str, mark: bool = False) -> None:
+    """One run's table as CSV with a header: numbers with four decimals at most, quotes only where needed. It is a folder of files in order, as
+    many as tasks wrote; with ``mark`` each begins with a byte-order mark."""
     order = ORDERS[kind]
     keys = [f(c) for f, c in zip(order[::2], order[1::2])]
     types = dict(df.dtypes)
     shown = [short_number(F.col(c)).alias(c) if types[c] == "double" else F.col(c).cast("string").alias(c) for c in COLUMNS[kind]]
     out = df.orderBy(*keys).select(*shown)
+    if mark:
+        out = out.withColumnRenamed(out.columns[0], BYTE_ORDER_MARK + out.columns[0])
     out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.cleaning import with_cleaned
-from wordloom.sources.html import text_column
+from wordloom.sources.html import visible_text
 
 
 def read_texts(spark: SparkSession, path: str, language: str, title: str | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def read_books(spark: SparkSession, folder: str, language: str, pattern: str = "
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("file_hash"), "content")
     parts = _parts(files)
-    own = with_cleaned(parts.where("error is null").withColumn("page", text_column(F.col("html"))), F.col("page"))
+    own = with_cleaned(parts.where("error is null").withColumn("page", visible_text(F.col("html"))), F.col("page"))
     kept = own.where((F.col("text") != "") & ~F.col("is_front_matter"))
     order = F.row_number().over(Window.partitionBy("path").orderBy("part"))
     chapters = kept.withColumn("order_index", order).select(
@@ -126,21 +126,34 @@ def demo_chapters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("en", "demo", 1, text, "Chapter 1")], "run string, book string, chapter_id bigint, text string, title string")
 
 
-def aggregate_book(chapters: DataFrame) -> DataFrame:
-    """All chapters of all books (in order of file name, then path) as one book's: a view, texts aren't copied together.
+def aggregate_book(chapters: DataFrame, folder: str | None = None) -> DataFrame:
+    """All chapters of all books (in order of path, whatever its case) as one book's: a view, texts aren't copied together. Given the folder they
+    come from, the book is named after it.
 
-    Chapters are renumbered through the books by adding up the books' numbers of chapters.
+    Chapters are renumbered through the books by adding up the books' numbers of chapters: those of the books that begin alike, and those
+    of the beginnings before.
     """
-    name = F.element_at(F.split("source_path", "/"), -1)
-    sizes = chapters.groupBy(F.lower(name).alias("_n"), "source_path").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_n", "source_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # two numbers and a path a book
-    own = chapters.join(sizes.select("source_path", before.alias("_before")), "source_path")
+    path = F.upper("source_path")
+    sizes = chapters.groupBy(path.alias("_p"), "source_path").agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumn("_start", F.substring(F.element_at(F.split("_p", "/"), -1), 1, 2)).withColumn("_where", F.regexp_replace("_p", "[^/]*$", ""))
+    earlier = lambda w: F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.groupBy("_where", "_start").agg(F.sum("_size").alias("_size")).select("_where", "_start", earlier(Window.orderBy("_where", "_start")).alias("_starts"))  # a row a beginning
+    own = sizes.select("source_path", "_where", "_start", earlier(Window.partitionBy("_where", "_start").orderBy("_p", "source_path")).alias("_own")).join(starts, ["_where", "_start"])
+    own = chapters.join(own.select("source_path", (F.col("_own") + F.col("_starts")).alias("_before")), "source_path")
+    title = F.when(F.trim(F.coalesce("chapter_title", F.lit(""))) == "", F.col("title")).otherwise(F.concat_ws(" — ", "title", "chapter_title"))
     return own.select(
-        F.lit("aggregate").alias("book_id"), (F.col("_before") + F.col("order_index")).alias("order_index"), F.concat_ws(" — ", "title", "chapter_title").alias("chapter_title"),
-        F.concat_ws("::", name, "part_path").alias("source"), "lang", "text",
+        F.lit(folder_id(folder) if folder else "aggregate").alias("book_id"), F.lit(f"EPUB folder: {folder.rstrip('/').rsplit('/', 1)[-1]}" if folder else "").alias("title"),
+        (F.col("_before") + F.col("order_index")).alias("order_index"), title.alias("chapter_title"), F.concat_ws("::", "source_path", "part_path").alias("source"), "lang", "text",
     )
 
 
+def folder_id(folder: str) -> str:
+    """Id of a folder's aggregate book, from its path."""
+    import hashlib
+
+    return "epub-folder-" + hashlib.sha256(folder.encode()).hexdigest()[:16]
+
+
 def aggregate_id(hashes: list[str]) -> str:
     """Id of an aggregate of books, from their sorted file hashes."""
     import hashlib
