@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.llm._common import written
+
 
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
@@ -200,5 +202,6 @@ def sharded(docs: DataFrame, root: str, arrivals: int = ARRIVALS, target_bytes:
         return own.withColumns({c: F.lit(None).cast(t) for c, t in _ADDED.items()})
     rows = store.read()
     by_shard = rows.groupBy("shard", turn).count().groupBy("shard").agg(F.count("*").alias("shard_arrivals"))
+    by_shard, _ = written(by_shard, "shard-arrivals")  # a row a shard: read back, its size is known, so the rows needn't be shuffled to meet it
     tier = F.greatest(F.ceil(F.log(F.lit(float(target_bytes)) / F.col("shard_bytes")) / math.log(fan_out) - 1e-9), F.lit(0)).cast("int")
     return rows.join(by_shard, "shard").withColumns({"shard_tier": tier, "store_version": F.lit(version).cast("bigint")}).select(*own.columns, *_ADDED)
