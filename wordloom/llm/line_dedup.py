@@ -48,10 +48,12 @@ UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u
 NO_BLANKS = re.compile(f"[{UNSPACED}]")
 #: What a long line is cut between: words, but single characters of unspaced scripts and of strings of over 40 characters.
 ATOMS = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,40}}+(?![^\s{UNSPACED}])|\S")
-LONG = 24  # words in a line that is cut further
+LONG = 24  # words, with single blanks between, in a line that is cut further
 PIECE = 4  # atoms in a piece of a long line, about
 CHARS = 8  # so many characters count as a word, if there are fewer words
 LAST = np.iinfo(np.int64).max  # where null doc_ids stand
+#: A repeated line's number is its bucket's and BITS of its own, SIZE bytes in all.
+BITS, SIZE = 28, 6
 
 
 def has_unspaced(text: str) -> bool:
@@ -71,22 +73,25 @@ def lines_of(texts: list[str]) -> tuple[list[int], list[str], list[int]]:
     begin = [0]
     long: list[tuple[int, list[str]]] = []  # places of long lines, and their words
     for text in texts:
-        a, wide = 0, has_unspaced(text)
-        for b in [*[m.end() for m in LINE_ENDS.finditer(text)], len(text)]:
-            line = text[a:b].rstrip()
-            if line:
-                if line[0].isspace():
-                    line = line.lstrip()
-                    a = text.index(line, a)
-                n = len(line)
-                unspaced = wide and n > LONG and has_unspaced(line)
-                if n > 2 * LONG or unspaced:
-                    words = line.split()
-                    if len(words) > LONG or n >= (LONG + 1) * CHARS or unspaced and weights([line])[0] > LONG:
-                        long.append((len(found), words))
-                starts.append(a)
-                found.append(line)
-            a = b
+        ends = [m.end() for m in LINE_ENDS.finditer(text)]
+        own = [0, *ends]
+        raw = [text[a:b] for a, b in zip(own, ends)]
+        raw.append(text[own[-1] :])
+        cut = list(map(str.strip, raw))
+        if "" in cut:  # blank lines
+            some = [k for k, x in enumerate(cut) if x]
+            own, raw, cut = [own[k] for k in some], [raw[k] for k in some], [cut[k] for k in some]
+        if any(map(str.isspace, [x[0] for x in raw])):  # lines that begin with blanks
+            own = [a + len(x) - len(x.lstrip()) for a, x in zip(own, raw)]
+        wide = has_unspaced(text)
+        for k, n in enumerate(map(len, cut), len(found)):
+            if n > 2 * LONG or wide and n > LONG:
+                line = cut[k - len(found)]
+                unspaced = wide and has_unspaced(line)
+                if line.count(" ") >= LONG or n >= (LONG + 1) * CHARS or unspaced and weights([line])[0] > LONG:
+                    long.append((k, line.split()))
+        starts += own
+        found += cut
         begin.append(len(found))
     if not long:
         return starts, found, begin
@@ -141,12 +146,15 @@ def pieces(long: list[tuple[str, list[str]]]) -> list[list[tuple[int, int]]]:
 
 
 def weights(found: list[str]) -> np.ndarray:
-    """What each line counts for the least number of words, by its words or by its characters: 1 at least."""
-    words = np.fromiter([len(x.split()) for x in found], np.int64, len(found))
-    if has_unspaced("".join(found)):
-        for i, x in enumerate(found):
-            if has_unspaced(x):
-                words[i] += len(NO_BLANKS.findall(x)) // 2
+    """What each line counts for the least number of words, by its words (between ASCII white space) or by its characters: 1 at least."""
+    data = np.frombuffer("\n".join(found).encode("utf-8", "surrogatepass"), np.uint8)  # no line holds a line break
+    blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13))])
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    words = np.diff(np.searchsorted(np.flatnonzero(~blank[1:] & blank[:-1]), ends), prepend=0)
+    wide = np.flatnonzero(data >= 0xE0)  # scripts without blanks are beyond the alphabets of two bytes
+    if len(wide):
+        for i in B.distinct(np.searchsorted(ends, wide)).tolist():
+            words[i] += len(NO_BLANKS.findall(found[i])) // 2
     return np.maximum(words, np.fromiter(map(len, found), np.int64, len(found)) // CHARS)
 
 
@@ -272,10 +280,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             total = np.zeros(len(of), np.int64)
             for _, _, pos, count in packets:
                 total[pos] += count  # a block's lines are distinct
+            if len(of) > 1 << BITS:
+                raise OverflowError(f"a bucket has {len(of)} distinct lines; {1 << BITS} have numbers")
             for block, at, pos, _ in packets:
                 again = total[pos] > 1
                 if again.any():
-                    yield B._one(B.VALUES, slot, block, B.pack((at[again], pos[again] | slot << 40)))
+                    yield B._one(B.VALUES, slot, block, B.pack((B.steps(at[again]), pos[again] | slot << BITS)))
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in B.grouped(batches, 2):
@@ -287,7 +297,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             for r in rows:
                 if r[0] == B.VALUES:
                     at, x = B.unpack(r[3])
-                    number[at] = x
+                    number[np.cumsum(at, dtype=np.int64)] = x
             number = number[seq]
             a, b = runs(weight[seq], begin, np.unpackbits(second, count=len(seq)).astype(bool), min_words)
             once = np.concatenate([[0], np.cumsum(number < 0)])
@@ -295,10 +305,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             a, b = a[both], b[both]
             if not len(a):
                 continue
-            doc, data, of = ids[np.searchsorted(begin, a, "right") - 1], number.tobytes(), B.numbers()
-            place = np.fromiter((of[data[i:j]] for i, j in zip((8 * a).tolist(), (8 * b + 8).tolist())), np.int64, len(a))
+            doc, of = ids[np.searchsorted(begin, a, "right") - 1], B.numbers()
+            data = np.ascontiguousarray(number.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :SIZE]).tobytes()
+            place = np.fromiter((of[data[i:j]] for i, j in zip((SIZE * a).tolist(), (SIZE * (b + 1)).tolist())), np.int64, len(a))
             first = first_of(place, doc, np.arange(len(a)))
-            yield B._one(B.EXTRA, home(block), block, B.pack((a.astype(np.int32), b.astype(np.int32), place.astype(np.int32), len(of))))
+            yield B._one(B.EXTRA, home(block), block, B.pack((B.steps(a), B.smallest(b - a), B.smallest(place), len(of))))
             yield from dealt(block, B.WORDS, list(of), np.stack([doc[first], first], axis=1), B.smallest(np.bincount(place)))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +343,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, block_bytes: int = 8 << 20
             first = last = np.zeros(0, np.int64)
             if places := [r[3] for r in sent if r[0] == B.EXTRA]:
                 first, last, place, n_words = B.unpack(places[0])
+                first = np.cumsum(first, dtype=np.int64)
+                last = first + last
                 keeper = np.full((n_words, 2), -1, np.int64)
                 for r in sent:
                     if r[0] == B.VALUES:
