@@ -48,13 +48,21 @@ def brute_scores(rows, prior2=400.0, prior3=3.0):
     return key(out)
 
 
-@pytest.mark.parametrize("block_bytes", [24 << 20, 4000])
-def test_lm(docs, block_bytes):
-    got = ngram_lm.lm_scores(docs, bits_per_entry=200, block_bytes=block_bytes).collect()  # next to no false positives
+@pytest.mark.parametrize("block_bytes,broadcast_bytes", [(24 << 20, 1 << 30), (4000, 1 << 30), (24 << 20, -1), (4000, -1)])
+def test_lm(docs, block_bytes, broadcast_bytes):
+    got = ngram_lm.lm_scores(docs, bits_per_entry=200, block_bytes=block_bytes, broadcast_bytes=broadcast_bytes).collect()  # next to no false positives
     assert key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == brute_base(ROWS)
     assert key((r["doc_id"], round(r["score"], 4)) for r in got) == brute_scores(ROWS)
 
 
+def test_lm_scores_are_the_same_however_the_filter_is_probed(spark):
+    """Broadcast, by the segments' reducers, and where a filter turns out to be larger than was allowed; with false positives."""
+    rows = [(k, prose(k % 9, 200)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [key(map(tuple, ngram_lm.lm_scores(df, bits_per_entry=4, hashes=2, broadcast_bytes=n).collect())) for n in (1 << 30, -1, 500)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_lm_learns(spark, empty):
     rows = [(k, prose(k % 7, 80)) for k in range(60)]
     got = ngram_lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -252,6 +260,38 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
     assert key((r["doc_id"], r["text"]) for r in got.collect()) == key([(1, same), (5, other), (3, None), (None, ""), (None, "")])
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as P
+
+    names = ["lang_pred", "score", "__row", "__class", "_found", "row", "row_", "class", "n_chunks", "id"]
+    rows = [(k, prose(k % 5, 60), "en", "s", 1, *(f"{x}{k}" for x in names)) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{x} string" for x in names))
+    for stage in (P.identify_language, P.drop_near_duplicates):
+        got = stage(spark, df, "")
+        kept = [tuple(r) for r in got.collect()]
+        assert got.columns == df.columns and kept and set(kept) <= set(rows)
+
+
+def test_pipeline_rejects_other_languages(spark):
+    """Texts of the languages learned stay, short ones too; texts in other scripts go, and most in another language of the same script."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    more = {"es": "el tiempo de la casa es una cosa que no pasa para los hombres del mundo con sus palabras y las noches de una ciudad"}
+    known = {k: v.split() for k, v in {**LANGS, **more}.items()}
+    other = {
+        "fi": "aamu aika alku asia auto ehto elämä hetki huone hyvä ihminen joki kala kaupunki kesä kirja koira koti kuva lapsi lumi mäki matka metsä nyt päivä sanoa silmä tyttö työ yö", "ru": "время год человек дело жизнь день рука раз работа слово место лицо друг глаз вопрос дом сторона",
+        "el": "χρόνος άνθρωπος ζωή μέρα χέρι δουλειά λόγος τόπος πρόσωπο φίλος μάτι ερώτηση σπίτι",
+    }
+    rows = [(i, " ".join(rng.choices(known[k], k=rng.choice([4, 12, 40]))), k) for i, k in enumerate([*known] * 60)]
+    strange = [(1000 + i, " ".join(rng.choices(other[k].split(), k=30)), None) for i, k in enumerate([*other] * 5)]
+    df = spark.createDataFrame(rows + strange, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r["doc_id"] for r in P.identify_language(spark, df, "").collect()}
+    assert {i for i, _, _ in rows} <= got
+    left = [strange[i - 1000][1] for i in got if i >= 1000]
+    assert all(max(t) < "\u0250" for t in left) and len(left) <= 2
+
+
 def test_pipeline_without_labels_keeps_texts(spark):
     import corpus_pipeline as P
 

@@ -68,18 +68,30 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray):
         self.labels, self.weights = labels, weights
 
-    def decide(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Label and score of each text."""
+    def values(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+        """Which texts have a letter, and the values of the languages' regressions for them."""
         seen = np.zeros(BUCKETS, bool)
         grams = [None if t is None else ngrams(t, seen) for t in texts]
-        out = [(UNDETERMINED, 0.0)] * len(texts)
         at = [i for i, g in enumerate(grams) if g is not None]
         if not at or not self.labels:
-            return out
+            return [], np.zeros((0, len(self.labels)))
         size = np.asarray([len(grams[i]) for i in at])
         # X times the weights: the rows of the n-grams a text has, added up.
         flat = self.weights[np.concatenate([grams[i] for i in at])]
-        f = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / np.sqrt(size)[:, None]
+        return at, np.add.reduceat(flat, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / np.sqrt(size)[:, None]
+
+    def claims(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Which texts have a letter, the greatest value of each, and by how much it exceeds the next one (0, if there is one language)."""
+        at, f = self.values(texts)
+        own = np.sort(np.hstack([f, np.zeros((len(f), max(0, 2 - f.shape[1])))]), axis=1)
+        return at, f.max(axis=1, initial=-np.inf), own[:, -1] - own[:, -2]
+
+    def decide(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Label and score of each text."""
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        at, f = self.values(texts)
+        if not at:
+            return out
         # The targets are -1 and 1; a difference of 2 between languages is certain, one of 0 a tie.
         e = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
         p = e / e.sum(axis=1, keepdims=True)
@@ -144,12 +156,17 @@ def fold(m: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 500, landmarks: int = 320, ridge: float = 0.05, most_languages: int = 200) -> Model:
+def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 500, landmarks: int = 320, ridge: float = 0.05, most_languages: int = 200, language_chars: int = 8 << 20) -> Model:
     """Fit on about per_language texts of each language, of the documents that aren't held out.
 
-    Texts are drawn by a hash of doc_id and text, equal rows as one, and at most twice per_language of a language are collected.
-    More than most_languages languages are an error: the model has a column of weights for each.
+    Texts are drawn by a hash of doc_id and text, equal rows as one, and at most twice per_language of a language, or those before
+    language_chars characters, are collected. More than most_languages languages are an error: the model has a column of weights for each.
     """
+    rows = _drawn(docs, folds, held, per_language, most_languages, language_chars)
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
+
+
+def _drawn(docs: DataFrame, folds: int, held: int, per_language: int, most_languages: int, language_chars: int) -> list:
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held))
     own = own.withColumn("draw", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit(17)), F.lit(1 << 40)))
@@ -157,35 +174,77 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 50
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counts:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
+        return []
     share = F.create_map(*(x for k, v in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / v)))))
     drawn = own.where(F.col("draw") < share[F.col("lang")] * float(1 << 40)).groupBy("lang", "draw").agg(F.first("text").alias("text"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    rows = drawn.withColumn("turn", turn).where(F.col("turn") <= 2 * per_language).select("lang", "draw", "text").collect()
-    rows.sort(key=lambda r: (r["lang"], r["draw"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
+    by_draw = Window.partitionBy("lang").orderBy("draw")
+    before = F.coalesce(F.sum(F.length("text")).over(by_draw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumns({"turn": F.row_number().over(by_draw), "before": before})
+    rows = drawn.where((F.col("turn") <= 2 * per_language) & (F.col("before") < language_chars)).select("lang", "draw", "text").collect()
+    return sorted(rows, key=lambda r: (r["lang"], r["draw"]))
+
+
+#: A text that no language's regression gives more than this (the targets are -1 and 1) is claimed by none, if it is also as near to two of them
+#: as texts of a language hardly ever are: the margin that ODD_SHARE of the UNSURE_SHARE least sure texts have, times SLACK.
+UNCLAIMED, UNSURE_SHARE, ODD_SHARE, SLACK = 0.05, 0.1, 0.05, 0.25
+
+
+def train_with_margin(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 500, landmarks: int = 320, ridge: float = 0.05, most_languages: int = 200, language_chars: int = 8 << 20) -> tuple[Model, float]:
+    """The model of :func:`train`, and a margin for :func:`claimed`, chosen on the fifth of the drawn texts that a second model, fitted on the others,
+    hasn't seen."""
+    rows = _drawn(docs, folds, held, per_language, most_languages, language_chars)
+    rest = [r for r in rows if r["draw"] % 5]
+    second = fit([r["text"] for r in rest], [r["lang"] for r in rest], landmarks, ridge)
+    _, best, margin = second.claims([r["text"] for r in rows if r["draw"] % 5 == 0])
+    unsure = margin[np.argsort(best)[: max(1, int(len(best) * UNSURE_SHARE))]]
+    least = float(np.quantile(unsure, ODD_SHARE)) * SLACK if len(unsure) else 0.0
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge), least
+
+
+def claimed(docs: DataFrame, model: Model, least_margin: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and is claimed by one of the model's languages (see UNCLAIMED). Whatever their names, all
+    columns stay as they are. With a model of no language, all rows with a letter stay."""
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights))  # BUCKETS rows, a column for each language
+
+    @F.pandas_udf("boolean")
+    def ours(texts: pd.Series) -> pd.Series:
+        m, out = Model(*shared.value), np.zeros(len(texts), bool)
+        for i in range(0, len(texts), 16):
+            at, best, margin = m.claims([t if isinstance(t, str) else None for t in texts.iloc[i : i + 16]])
+            out[[i + k for k in at]] = (best > UNCLAIMED) | (margin >= least_margin)
+        return pd.Series(out)
+
+    return docs.where(ours(F.col("text").cast("string")))
+
+
+def _decided(model: Model, texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for i in range(0, len(texts), 16):
+        rows += model.decide([t if isinstance(t, str) else None for t in texts.iloc[i : i + 16]])
+    return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (or, with keep, all of docs and these two): only texts are looked at.
+    """doc_id, lang_pred, score of each row (or, with keep, all of docs, whose columns of the last two names are replaced): only texts are looked
+    at.
 
     Null texts and those without a letter are ``und`` with score 0. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast((model.labels, model.weights))  # BUCKETS rows, a column for each language
+    if keep:
 
-    @F.pandas_udf("lang_pred string, score double")
-    def decided(texts: pd.Series) -> pd.DataFrame:
-        m = Model(*shared.value)
-        rows = []
-        for i in range(0, len(texts), 16):
-            rows += m.decide([t if isinstance(t, str) else None for t in texts.iloc[i : i + 16]])
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+        @F.pandas_udf("lang_pred string, score double")
+        def found(texts: pd.Series) -> pd.DataFrame:
+            return _decided(Model(*shared.value), texts)
 
-    if keep:
         names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-        return docs.withColumn("_found", decided(F.col("text").cast("string"))).select(*names, "_found.lang_pred", "_found.score")
+        both = docs.select(*names, found(F.col("text").cast("string")).alias("lang_pred"))
+        return both.select(*names, F.col("lang_pred.lang_pred").alias("lang_pred"), F.col("lang_pred.score").alias("score"))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

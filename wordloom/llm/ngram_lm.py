@@ -4,10 +4,11 @@ A trigram model. Counts of words are exact: they are joined to the documents blo
 triples of words, all of them, are kept in a Bloom filter that holds level 1, 2, ... of an n-gram up to its quantised log count;
 levels are probed one by one until one fails, which gives the count rounded down to a level's bound.
 
-The filter is cut into segments by the n-gram's hash. A block sends its distinct n-grams, and how often its training documents
-have them, to the segments' buckets. The bucket's reducer adds the counts up, fills its segment, probes it once for each
-distinct n-gram of the bucket, held-out ones too, and sends each block the levels found, a byte each. So no segment leaves its
-reducer: a filter broadcast to all workers would grow with the corpus, without a bound. Data sent grow in proportion to the
+The filter is the model: it is filled from training documents alone, in segments by the n-gram's hash, each by the reducer of its n-grams. Where
+all segments together have ``broadcast_bytes`` or less they are broadcast, and each block of documents probes them for its own n-grams,
+a segment at a time. A larger filter isn't broadcast, as it grows with the corpus: there each block sends its distinct n-grams to
+the segments' reducers, which probe the same segments once for each distinct n-gram and send the levels back, a byte each. Both ways
+give the same levels, so the same scores. Data sent grow in proportion to the
 corpus; the number of buckets with it too. Probabilities are
 
     p1(w)     = (c(w) + 1) / (N + V + 1)
@@ -16,13 +17,13 @@ corpus; the number of buckets with it too. Probabilities are
 
 where q is the count found, rounded down, and Q the upper bound of the level found, so that the sum over w stays at 1 or less
 (but for the filter's false positives). A text begins after an end; its first word has no triple. m2 and m3 (``prior2``,
-``prior3``) are pseudo-counts; 400 and 3 give held-out texts of the test tables 0.2 more in log10 a token than p1 does.
+``prior3``) are pseudo-counts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from wordloom.llm import _blocks as B
 from wordloom.llm._common import bucket_count, free_shuffles, short_batches, source_bytes, texts, written
 
 END = b"\n"  # no word can hold it
-STATS, LEVELS = 4, 5
+STATS, LEVELS, SEGMENT = 4, 5, 6
 #: Bits of an n-gram's hash by which it is told, beyond those of the source's size in bytes: that two n-grams of the corpus are taken for
 #: one is then far rarer than a false positive of the filter.
 SPARE_BITS = 12
+#: A filter up to this size is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Text in a block. The arrays about a block's n-grams take some thirty times as much.
 BLOCK_BYTES = 12 << 20
 
@@ -154,7 +157,7 @@ def _of_planes(planes: list[bytes], n: int) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, prior2: float = 400.0, prior3: float = 3.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5, bits_per_entry: float = 12.0, hashes: int = 8, prior2: float = 400.0, prior3: float = 3.0, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Learns from the documents whose crc32(doc_id as text) mod ``folds`` isn't ``held``. Null text is empty: its only token
@@ -164,6 +167,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5,
     spark = docs.sparkSession
     short_batches(spark)
     n = bucket_count(docs)
+    alone = source_bytes(docs) <= broadcast_bytes  # the filter of such a source may fit; its true size is looked at before it is broadcast
     bits = min(60, max(40, source_bytes(docs).bit_length() + SPARE_BITS))
     bounds = level_bounds(base)
     trained = lambda ids: np.asarray([remainder(i, folds) != held for i in ids], bool)
@@ -173,8 +177,11 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5,
         g = Grams(lengths, pos, B.word_hash(words), words.index(END), n, bits)
         times = g.times(np.repeat(trained(ids), lengths))
         for s in np.flatnonzero(np.diff(g.ends)).tolist():
-            at = slice(g.ends[s], g.ends[s + 1])
-            yield s, B.pack((int(g.ends[s + 1] - g.ends[s]), _planes(np.diff(g.hashes[at].view(np.int64), prepend=0)), _planes(times[at])))
+            own, n_times = g.hashes[g.ends[s] : g.ends[s + 1]].view(np.int64), times[g.ends[s] : g.ends[s + 1]]
+            if alone:  # scoring doesn't need the others here
+                own, n_times = own[n_times > 0], n_times[n_times > 0]
+            if len(own):
+                yield s, B.pack((len(own), _planes(np.diff(own, prepend=0)), _planes(n_times)))
 
     def value():
         return lambda words, total: np.stack([total, B.word_hash(words).view(np.int64)], axis=1)
@@ -197,6 +204,9 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5,
             counts = np.bincount(place, times, len(distinct)).astype(np.int64)
             segment = LogFrequencyFilter(bounds, hashes, bits_per_entry)
             segment.fill(distinct[counts > 0], counts[counts > 0])
+            if alone:
+                yield SEGMENT, slot, -1, B.pack((len(segment.bits), np.packbits(segment.bits)))
+                return
             found = segment.levels(distinct)[place]
             for block, a, b in zip(blocks, [0, *ends.tolist()], ends.tolist()):
                 yield LEVELS, slot, block, B.squeezed(found[a:b].tobytes())
@@ -208,9 +218,17 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, base: float = 1.5,
     del rows
     free_shuffles(spark)
     kept = kept.select("kind", "slot", "block", "payload")
+    segments = None
+    if alone:
+        model = kept.where(F.col("kind") == SEGMENT)
+        if (model.agg(F.sum(F.length("payload"))).first()[0] or 0) > broadcast_bytes:
+            return lm_scores(docs, folds, held, base, bits_per_entry, hashes, prior2, prior3, block_bytes, -1)
+        segments = spark.sparkContext.broadcast({r["slot"]: bytes(r["payload"]) for r in model.collect()})  # broadcast_bytes at most
     stats = [B.unpack(bytes(r["payload"])) for r in kept.where(F.col("kind") == STATS).select("payload").collect()]  # two numbers a bucket
     n_train, n_words = sum(s[0] for s in stats), sum(s[1] for s in stats)
-    scored = B.reassemble(kept.where(F.col("kind") != STATS), n, _scoring(bounds, n_train + n_words + 1, prior2, prior3, n, bits), SCORES, extra=LEVELS)
+    levels = None if segments is None else _broadcast_levels(segments, lambda: LogFrequencyFilter(bounds, hashes, bits_per_entry))
+    finish = _scoring(bounds, n_train + n_words + 1, prior2, prior3, n, bits, levels)
+    scored = B.reassemble(kept.where(~F.col("kind").isin(STATS, SEGMENT)), n, finish, SCORES, extra=LEVELS)
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
 
@@ -225,20 +243,43 @@ def token_scores(c: np.ndarray, cv: np.ndarray, q2: np.ndarray, q3: np.ndarray,
     return np.log10((np.minimum(q3, up) + prior3 * p2) / (up + prior3))
 
 
-def _scoring(bounds: np.ndarray, size: int, prior2: float, prior3: float, buckets: int, bits: int):
+def _sent_levels(g: Grams, sent: list) -> np.ndarray:
+    """Levels of a block's n-grams as the segments' reducers have sent them."""
+    level = np.zeros(len(g.hashes), np.uint8)
+    for slot, payload in sent:
+        level[g.ends[slot] : g.ends[slot + 1]] = np.frombuffer(B.expanded(payload), np.uint8)
+    return level
+
+
+def _broadcast_levels(segments, make: Callable[[], LogFrequencyFilter]) -> Callable[[Grams, list], np.ndarray]:
+    """Levels of a block's n-grams, probed in the segments that have been broadcast."""
+
+    def levels(g: Grams, _: list) -> np.ndarray:
+        level = np.zeros(len(g.hashes), np.uint8)
+        for slot in np.flatnonzero(np.diff(g.ends)).tolist():
+            if slot in segments.value:
+                segment = make()
+                size, packed = B.unpack(segments.value[slot])
+                segment.bits = np.unpackbits(packed, count=size)
+                level[g.ends[slot] : g.ends[slot + 1]] = segment.levels(g.hashes[g.ends[slot] : g.ends[slot + 1]])
+        return level
+
+    return levels
+
+
+def _scoring(bounds: np.ndarray, size: int, prior2: float, prior3: float, buckets: int, bits: int, levels: Callable | None = None):
     """Scores of a block's documents from its words' counts and the levels of its n-grams."""
+    levels = levels or _sent_levels
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     schema = pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.float64()] * 2)))
     least = np.concatenate([[0], bounds])
     most = np.concatenate([[0], bounds[1:] - 1, [np.iinfo(np.int64).max]])
 
     def finish():
-        def make(_, ids, lengths, pos, values, levels) -> Iterator[pa.RecordBatch]:
+        def make(_, ids, lengths, pos, values, sent) -> Iterator[pa.RecordBatch]:
             count, word = values[:, 0], np.ascontiguousarray(values[:, 1]).view(np.uint64)
             g = Grams(lengths, pos, word, int(pos[lengths[0] - 1]), buckets, bits)
-            level = np.zeros(len(g.hashes), np.uint8)
-            for slot, payload in levels:
-                level[g.ends[slot] : g.ends[slot + 1]] = np.frombuffer(B.expanded(payload), np.uint8)
+            level = levels(g, sent)
             ends = np.cumsum(lengths)
             c = count[pos]
             cv = np.empty_like(c)
