@@ -13,20 +13,13 @@ from pyspark.sql import functions as F
 from wordloom.llm import language_id, line_dedup, ngram_join, packing
 from wordloom.llm._common import new_folder, written
 
-#: A text is taken for none of the languages if the best one's score is under this many times an even split between them all.
-LEAST_LIFT = 1.15
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a letter, and those that the classifier takes for none of its languages (see LEAST_LIFT).
+    """Reject documents without a letter, and those that none of the classifier's languages claims, by a margin that is chosen on documents it
+    hasn't been fitted on (see language_id.claimed).
 
     Where no document has a language to learn from, only those without a letter go.
     """
-    model = language_id.train(docs)
-    if not model.labels:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, model, keep=True)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") * len(model.labels) >= min(LEAST_LIFT, len(model.labels)))).select(*docs.columns)
+    return language_id.claimed(docs, *language_id.train_with_margin(docs))
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +29,19 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of near-duplicates the row with the smallest doc_id (nulls last), of several such rows one."""
-    rows, _ = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
-    classes = ngram_join.jaccard_classes(rows.select(F.col("__row").alias("doc_id"), "text"))
-    classes, _ = written(classes.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")), "row-classes")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
-    large = classes.groupBy("__class").count().where("count > 1").select("__class")
-    several = classes.join(large, "__class", "left_semi")
-    first = rows.select("__row", "doc_id").join(several, "__row").groupBy("__class").agg(F.min(order).alias("k")).select(F.col("k.__row").alias("__row"))
-    gone, _ = written(several.join(first, "__row", "left_anti").select("__row"), "near-duplicates")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    """Keep of each class of near-duplicates the row with the smallest doc_id (nulls last), of several such rows one. All columns stay as they
+    are: those that are added on the way have names that no column has."""
+    row = next(x for x in (f"row{'_' * k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+    rows, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
+    classes = ngram_join.jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"))
+    classes, _ = written(classes.select(F.col("doc_id").alias(row), F.col("component_id").alias("class")), "row-classes")
+    ids = rows.select(row, F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col(row).alias("row"))
+    large = classes.groupBy("class").count().where("count > 1").select("class")
+    several = classes.join(large, "class", "left_semi")
+    first = ids.join(several, row).groupBy("class").agg(F.min(order).alias("k")).select(F.col("k.row").alias(row))
+    gone, _ = written(several.join(first, row, "left_anti").select(row), "near-duplicates")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
