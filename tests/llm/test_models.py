@@ -20,7 +20,7 @@ def brute_base(rows):
     return key((i, held, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 1) / size) for w in ws), 6)) for i, ws, held in own)
 
 
-def brute_scores(rows, prior2=400.0, prior3=3.0):
+def brute_scores(rows, prior2=1600.0, prior3=5.0):
     """The model of exact counts, rounded down to the levels' bounds, word by word."""
     own = [(i, (t or "").encode().lower().split() + [b"\n"], ngram_lm.remainder(i, 7) != 2) for i, t in rows]
     one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
