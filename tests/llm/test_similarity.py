@@ -316,6 +316,22 @@ def clustered(seed, n, dims=24):
     return np.asarray(x[:n])[rng.permutation(n)]
 
 
+def test_embeddings_are_audited_whatever_their_ids(spark):
+    """No id is divisible by 100, or none of those that are has a link."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.22 for _ in range(8)])
+    for first in (1, 100):
+        rows = [(first + 2 * k if first == 1 else k * 7 + 1, v.tolist()) for k, v in enumerate(x)] + ([(100, rng.normal(size=16).tolist())] if first == 100 else [])
+        out, reached = G.audited_near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), ball_degrees=1.0)
+        unit = np.stack([v for _, v in rows])
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        links = ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
+        assert reached is not None and reached >= 0.97 and sum(links) > 0
+        got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+        assert sum(got.values()) >= 0.95 * sum(links) and all(got[i] <= n for (i, _), n in zip(rows, links))
+
+
 @pytest.mark.parametrize(("recall", "exact"), [(0.9, False), (2.0, True)])
 def test_embeddings_of_many_shards(spark, monkeypatch, recall, exact):
     """Overlapping shards, homes cut into parts, blocks of members; an unreachable recall ends in the comparison of all leaders."""

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -67,6 +68,12 @@ def test_token_counts(docs, empty):
     assert T.token_counts(empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_long_pre_tokens_that_begin_alike_are_dealt_apart():
+    rng = random.Random(1)
+    words = ["https" + "".join(rng.choices("abcdef0123456789", k=40)) for _ in range(2000)]
+    assert len({T.dealt_by(w) for w in words}) > 1900 and {T.dealt_by(w) for w in ("house", "houses", "household")} == {"house"}
+
+
 def test_trie_ties():
     trie = T.VocabularyTrie({b"a": -1.0, b"b": -1.0, b"ab": -2.0, b"abc": -9.0, b"c": -1.0})
     assert T.trie_counts([b"ab", b"abc", b"", b"a", b"ab"], trie).tolist() == [1, 2, 0, 1, 1]

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm._common import shuffle_width, written
@@ -35,6 +35,7 @@ CHUNK = 20_000  # vectors among which leaders are chosen at once
 COMPARED = 1_024  # members of a ball in a block
 QUERIES = 8_192  # audited vectors compared in a pass over all others
 SLACK = 1e-7  # radians of rounding error
+AUDITED = 1_000  # vectors of the second audit, about, in a small table
 
 
 def unit(x) -> np.ndarray | None:
@@ -150,8 +151,9 @@ def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
 
 
 def audited_near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_degrees: float = 9.0, margin_degrees: float = 6.0, recall: float = 0.97, audit_every: int = 100) -> tuple[DataFrame, float | None]:
-    """vec_id, n_links, component_id, kept of each row of vectors(vec_id, embedding), and the recall that the audit measured (None if
-    no audited vector has a link outside its ball).
+    """vec_id, n_links, component_id, kept of each row of vectors(vec_id, embedding), and the recall that the audit measured: on the ids
+    divisible by audit_every, or on about AUDITED vectors or one in audit_every where those have no links to be missed. None if these
+    have none either.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of different
     lengths don't link. Rows with equal vec_ids are vectors of their own. Null vec_ids come after others: a component of
@@ -191,17 +193,26 @@ def audited_near_duplicates(vectors: DataFrame, threshold: float = 0.95, ball_de
     members, balls = _balls(valid, shared, first, width, radius)
     widest = balls.agg(F.max("radius")).collect()[0][0] or 0.0
 
-    queries = valid.where(F.pmod("vec_id", F.lit(audit_every)) == 0).select("rid", "dim", "u")
+    inside = members.select("rid", "ball").join(balls.select("ball", "size"), "ball").select("rid", (F.col("size") - 1).alias("inside"))
+
+    def audit(queries: Column) -> DataFrame:
+        """All links of the vectors asked for, by brute force, and how many of them are inside their balls."""
+        return written(_brute_counts(valid, valid.where(queries).select("rid", "dim", "u"), threshold).join(inside, "rid"), "truth")[0]
+
+    # Where no vector of these ids has a link outside its ball, so that they tell nothing, others are audited: all of a small table.
+    one_in = max(1, min(audit_every, sum(counts.values()) // AUDITED))
+    audits = [F.pmod("vec_id", F.lit(audit_every)) == 0, F.pmod(F.xxhash64("rid", F.lit(9)), F.lit(one_in)) == 0]
     truth, margin = None, float(np.radians(margin_degrees))
     while True:
         exact = margin >= np.pi / 2
         pairs = _all_pairs(balls, width, theta) if exact else _found_pairs(balls, shared, first, width, theta, widest, margin)
         out, _ = written(_links(pairs, balls, members, own, width, theta, threshold), "links")
-        if truth is None:
-            inside = members.select("rid", "ball").join(balls.select("ball", "size"), "ball").select("rid", (F.col("size") - 1).alias("inside"))
-            truth, _ = written(_brute_counts(valid, queries, threshold).join(inside, "rid"), "truth")
-        share = (F.col("n_links") - F.col("inside")) / (F.col("n") - F.col("inside"))
-        reached = out.select("rid", "n_links").join(truth, "rid").where("n > inside").agg(F.avg(share)).collect()[0][0]
+        reached = None
+        while reached is None and (truth is not None or audits):
+            truth = audit(audits.pop(0)) if truth is None else truth
+            share = (F.col("n_links") - F.col("inside")) / (F.col("n") - F.col("inside"))
+            reached = out.select("rid", "n_links").join(truth, "rid").where("n > inside").agg(F.avg(share)).collect()[0][0]
+            truth = None if reached is None else truth
         if reached is None or reached >= recall or exact:
             return out.select("vec_id", "n_links", "component_id", "kept"), reached
         margin *= 2

@@ -4,8 +4,8 @@ A text's tokens are those of the best unigram segmentation of its pre-tokens: ea
 -ln(r + 2), as in a Zipf distribution of the ranks, a segmentation scores the sum, and the best one counts (at equal scores
 the one with fewer tokens). A forward score depends on a prefix alone, so distinct pre-tokens go into a trie and each node
 is scored once, for all that share it; the terminal nodes keep the counts, which are joined back to the documents. Pre-tokens
-are dealt to reducers by their first ``SHARED`` characters, so a node at that depth or below is scored once in all, one above it
-once in each reducer that has it.
+are dealt to reducers by their first ``SHARED`` characters, long ones by their first half, so that the many long strings that begin alike (addresses,
+runs of digits, code) don't meet in one reducer. A node is scored once in each reducer that has it.
 
 Null text counts 0. Null and repeated doc_ids are kept, a row for each row. Other columns are ignored; an empty table
 gives an empty result. Every single byte must be in the vocabulary, so any text has a segmentation.
@@ -24,10 +24,14 @@ from wordloom.llm import _blocks as B
 from wordloom.llm._common import short_batches, bucket_count, texts
 from wordloom.llm.bpe import load_ranks, splitter
 
-#: Characters by which pre-tokens are dealt.
+#: Characters by which pre-tokens are dealt, at least.
 SHARED = 5
 
 
+def dealt_by(word: str) -> str:
+    return word[: max(SHARED, len(word) // 2)]
+
+
 def piece_scores(path: str) -> dict[bytes, float]:
     return {token: -math.log(rank + 2) for token, rank in load_ranks(path).items()}
 
@@ -116,5 +120,5 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: in
 
         return safe
 
-    rows = B.index_blocks(texts(docs), splitter(pattern), n, block_bytes, route=lambda word: word[:SHARED])
+    rows = B.index_blocks(texts(docs), splitter(pattern), n, block_bytes, route=dealt_by)
     return B.reassemble(B.valued(rows, n, value), n, finish, "doc_id bigint, n_pretokens bigint, n_tokens bigint, n_bytes bigint")
