@@ -27,7 +27,7 @@ def cells(rows):
     return sorted(repr([None if isinstance(x, float) and math.isnan(x) else x for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["top_content_words", "kwic", "collocations_min_dice", "phrases_longest_only", "sentence_categories", "ngrams_search", "difficulty", "health", "import_diagnostics", "boilerplate_markers", "token_index", "next_words", "corpus_profile", "chapter_metrics", "find_positions", "phrases_content_boundary", "explore_word", "explore_ngrams_by_documents", "explore_collocations_compat", "explore_comparison"])
+@pytest.mark.parametrize("name", ["top_content_words", "kwic", "collocations_min_dice", "phrases_longest_only", "sentence_categories", "ngrams_search", "difficulty", "health", "import_diagnostics", "boilerplate_markers", "token_index", "next_words", "corpus_profile", "chapter_metrics", "find_positions", "phrases_content_boundary", "explore_word", "explore_ngrams_by_documents", "explore_collocations_compat", "explore_comparison", "html_to_text", "boilerplate_clean", "stored_kwic", "stored_collocations", "stored_index_faults", "stored_words_after_changes", "language_profiles"])
 def test_against_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
@@ -35,6 +35,13 @@ def test_against_sql(spark, duck, name):
     assert cells(map(tuple, df.select(*columns).collect())) == cells(want)
 
 
+def test_cleaning_has_something_to_clean(spark):
+    df = registry.QUERIES["boilerplate_clean"](spark, FOLDER).collect()
+    texts = {k: [r["text"] for r in df if r["page_id"] % 5 == k] for k in range(5)}
+    assert all(t.startswith("Chapter I.\n") and t.endswith("Nobody spoke.") for t in texts[2]) and all(t.startswith("Capitolo I\n") for t in texts[3])
+    assert not any("GUTENBERG" in t for t in texts[1]) and {r["is_front_matter"] for r in df if r["page_id"] % 5 == 4} == {True}
+
+
 def test_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns[:2] == ["run", "word"] or "word" in entry.entry(spark).columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wordloom.functions import cleaning as K  # noqa: N812
 from wordloom.functions import lexicon
 from wordloom.sources import html
 
@@ -468,3 +469,49 @@ page_texts as (select page_id, url, array_to_string(list_filter(list_transform(s
 
 def html_to_text() -> str:
     return f"with {page_texts()} select * from page_texts"
+
+
+#: What books have around their texts, by the remainder of a page's id: nothing, marker lines, a list of contents, a library's imprint, or
+#: nothing but that. The query puts it around the pages' texts.
+MATTER = (
+    ("", ""), MARKED, ("The Ferry\n\nContents\nChapter I.\nChapter II.\n\n\nChapter I.\n", "\nChapter II.\nNobody spoke."),
+    ("Liber Liber\nQuesto e-book fu preparato\nTITOLO: Il faro\nAUTORE: N. N.\nhttp://example.org\n\nCapitolo I\n", ""), ("Questo e-book\nLiber Liber\nlicenza: libera", None),
+)
+
+
+def boilerplate_clean() -> str:
+    """Cleaning line by line: a row for each line with its classes, and windows over them."""
+    has = lambda c, phrases, how=any: "(" + (" and " if how is all else " or ").join(f"contains({c}, {_q(p)})" for p in phrases) + ")"
+    library = lambda c: "(" + " or ".join(has(c, signs, all) for signs in K.LIBRARY_SIGNS) + ")"
+    around = "case page_id % 5 " + " ".join(f"when {k} then {_q(a)}" + (f" || text || {_q(b)}" if b is not None else "") for k, (a, b) in enumerate(MATTER)) + " end"
+    classes = ", ".join(f"regexp_matches(line, {_q(pattern)}) as is_{name}" for name, (_, pattern) in K.LINE_CLASSES.items())
+    markers = " + ".join(f"contains(top, {_q(m)})::int" for m in K.LIBRARY_MARKERS)
+    only = " or ".join(f"(markers >= {m} and imprint >= {i} and listed >= {n}{f' and words <= {w}' if w else ''} and long <= {long})" for m, i, n, w, long in K.FRONT_MATTER)
+    heading = rf"(?i)^[^\S\n]*({K.HEADING})\s*$"
+    lines = lambda source, column: f"""select page_id, i, line, sum(length(line) + 1) over (partition by page_id order by i) - length(line) - 1 as before
+ from (select page_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select page_id, string_split({column}, chr(10)) as ls from {source}))"""
+    return rf"""with {page_texts()},
+pages_around as (select page_id, {around} as page from page_texts),
+marked as materialized (select page_id, regexp_replace(regexp_replace(page, '(?i)(?m:^)\s*\*{{3}}\s*END OF (?:THE )?PROJECT GUTENBERG EBOOK(?s:.*)', ''), '(?i)^(?s:.*?)\n\s*\*{{3}}\s*START OF (?:THE )?PROJECT GUTENBERG EBOOK.*?\*{{3}}\s*', '') as text from pages_around),
+lines1 as materialized ({lines("marked", "text")}),
+names as (select page_id, i, before, lower(regexp_replace(regexp_replace(regexp_extract(line, {_q(heading)}, 1), '\s*\.*\s*$', ''), '\s+', ' ', 'g')) as name from lines1 where regexp_matches(line, {_q(heading)})),
+numbered as (select *, row_number() over (partition by page_id, name order by i) as nth, first(name) over (partition by page_id order by i) as first_name from names),
+again as (select page_id, before from numbered where name = first_name and nth = 2),
+listed_at as (select page_id, min(before) as contents_before from lines1 where regexp_matches(line, '(?i)^\s*(?:contents|table of contents|indice|sommario)\s*$') group by page_id),
+past_contents as materialized (select m.page_id, case when contents_before <= {K.CONTENTS_WITHIN} and length(regexp_replace(left(text, before::bigint), '\n\s*$', chr(10))) <= {K.REPEAT_WITHIN} then substr(text, before::bigint + 1) else text end as text
+ from marked m left join again using (page_id) left join listed_at using (page_id)),
+lines2 as materialized (select page_id, before, lower({trim("line")}) as line, row_number() over (partition by page_id order by i) as r from ({lines("past_contents", "text")}) where {trim("line")} <> ''),
+coded as materialized (select page_id, before, r, {classes} from lines2),
+tops as (select page_id, string_agg(line, chr(10) order by r) filter (r <= {K.LIBRARY_WITHIN}) as top from lines2 group by page_id),
+fronts as (select page_id, max(r) as last from coded join tops using (page_id) where is_front and r <= {K.FRONT_WITHIN} and {library("top")} group by page_id),
+near as (select c.*, last, max((is_words and not is_imprint and not is_listing)::int) over (partition by page_id order by r rows between 1 following and {K.FOLLOWED_WITHIN} following) = 1 as followed from coded c join fronts using (page_id)),
+opened as (select page_id, arg_min(before, r) filter (is_opening or is_numeral and followed) as opening, arg_min(before, r) filter (is_long and not is_imprint) as prose
+ from near where r > last and r <= last + {K.OPENING_WITHIN} group by page_id),
+past_front as materialized (select p.page_id, {trim("case when coalesce(opening, prose) between 1 and " + str(K.START_WITHIN) + " then substr(text, coalesce(opening, prose)::bigint + 1) else text end")} as text from past_contents p left join opened using (page_id)),
+lines3 as materialized (select page_id, lower({trim("line")}) as line, row_number() over (partition by page_id order by i) as r from ({lines("past_front", "text")}) where {trim("line")} <> ''),
+sums as (select page_id, string_agg(line, chr(10) order by r) filter (r <= {K.LIBRARY_WITHIN}) as top, string_agg(line, chr(10) order by r) filter (r <= {K.TOP_LINES}) as head, bool_or(is_contents and r <= {K.CONTENTS_LINES}) as contents,
+ sum(len(regexp_extract_all(line, '\p{{L}}+'))) as words, count(*) filter (is_long) as long, count(*) filter (is_imprint) as imprint, count(*) filter (is_imprint) + count(*) filter (is_listing) as listed, count(*) filter (is_heading) as headings
+ from (select *, {classes} from lines3) group by page_id),
+judged as (select *, {markers} as markers, {library("head")} as library, {has("top", K.LICENSED, all)} as licensed from sums)
+select p.page_id, p.text, coalesce(library and (licensed and words <= {K.LICENSED_WORDS} and long <= {K.LICENSED_LONG} or {only}) or (library or contents) and long = 0 and headings >= {K.CHAPTER_LIST}, true) as is_front_matter
+from past_front p left join judged using (page_id)"""

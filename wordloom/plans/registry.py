@@ -130,7 +130,17 @@ def _marked(chapters: DataFrame) -> DataFrame:
 
 
 _add("boilerplate_markers", _marked, O.boilerplate_markers())
-QUERIES["boilerplate_clean"] = lambda spark, folder: cleaning.with_cleaned(html.page_texts(table(spark, folder, "pages")).select("page_id", F.col("text").alias("page")), F.col("page")).select("page_id", "text", "is_front_matter")
+
+
+def _cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages' texts, with a book's matter around them, after cleaning."""
+    parts = [F.lit(a) if b is None else F.concat(F.lit(a), "text", F.lit(b)) for a, b in O.MATTER]
+    around = F.element_at(F.array(*parts), (F.col("page_id") % len(parts) + 1).cast("int"))
+    books = html.page_texts(table(spark, folder, "pages")).select("page_id", around.alias("page"))
+    return cleaning.with_cleaned(books, F.col("page")).select("page_id", "text", "is_front_matter")
+
+
+QUERIES["boilerplate_clean"], ORACLES["boilerplate_clean"] = _cleaned, O.boilerplate_clean()
 QUERIES["html_to_text"], ORACLES["html_to_text"] = lambda spark, folder: html.page_texts(table(spark, folder, "pages")), O.html_to_text()
 
 
