@@ -8,10 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import LONG, ROWS, key
+from wordloom.llm import _blocks as B
 from wordloom.llm import bpe, packing
 from wordloom.llm import token_counts as T
 
@@ -74,6 +77,19 @@ def test_long_pre_tokens_that_begin_alike_are_dealt_apart():
     assert len({T.dealt_by(w) for w in words}) > 1900 and {T.dealt_by(w) for w in ("house", "houses", "household")} == {"house"}
 
 
+def test_blocks_made_again_of_other_rows_are_an_error(spark, docs):
+    """As when an executor is lost and its source gives its rows in another order."""
+    split = lambda: str.split
+    index = lambda df: B.index_blocks(df.select("doc_id", "text").coalesce(1), split, 4)
+    once, again = index(docs.where("doc_id < 8")), index(docs.where("doc_id < 8 and doc_id <> 2"))
+    sizes = lambda: lambda words, _: np.asarray([[len(w)] for w in words])
+    finish = lambda: lambda _, ids, lengths, pos, values: iter([pa.record_batch({"n": pa.array([int(values.sum())])})])
+    assert B.reassemble(B.valued(once, 4, sizes), 4, finish, "n bigint").count() == 1
+    mixed = once.where(F.col("kind") == B.DOCS).union(again.where(F.col("kind") == B.WORDS))
+    with pytest.raises(Exception, match="made again of other rows"):
+        B.reassemble(B.valued(mixed, 4, sizes), 4, finish, "n bigint").count()
+
+
 def test_trie_ties():
     trie = T.VocabularyTrie({b"a": -1.0, b"b": -1.0, b"ab": -2.0, b"abc": -9.0, b"c": -1.0})
     assert T.trie_counts([b"ab", b"abc", b"", b"a", b"ab"], trie).tolist() == [1, 2, 0, 1, 1]

@@ -9,7 +9,9 @@ A task cuts its documents into blocks of some megabytes of text. For each block
 for it. It sends ``VALUES`` rows back to the blocks, where :func:`reassemble` puts the values into the words' places.
 
 A hot word costs one entry a block, however often it occurs. The rows of a block come from one task, so the scheme is
-sound under retries as long as the source gives a partition's rows in the same order again, as file scans do.
+sound under retries as long as the source gives a partition's rows in the same order again, as file scans do. Each packet of a block holds a
+digest of its documents and words; where a lost block has been made again of other rows, its packets don't agree, and :func:`reassemble`
+raises.
 """
 
 from __future__ import annotations
@@ -93,6 +95,16 @@ def unpack_positions(parts: list[bytes]) -> np.ndarray:
     return pos
 
 
+def digest_of(ids: list, lengths: np.ndarray, packed: list[bytes], words: list) -> int:
+    """64 bits that tell a block's documents and distinct words from those of others."""
+    import xxhash
+
+    h = xxhash.xxh3_64()
+    for part in (repr(ids).encode(), np.asarray(lengths, np.int64).tobytes(), *packed, word_hash(words).tobytes()):
+        h.update(part)
+    return h.intdigest()
+
+
 def smallest(x: np.ndarray) -> np.ndarray:
     """Numbers from 0 in as few bytes each as they need."""
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
@@ -200,9 +212,11 @@ def index_blocks(docs: DataFrame, split: Callable, buckets: int, block_bytes: in
                 times = np.bincount(pos, minlength=len(words))
             else:
                 times = np.bincount(pos[np.repeat(np.asarray(counted(ids), bool), lengths)], minlength=len(words))
-            rows = [(DOCS, int(mixed(np.asarray([key], np.uint64))[0] % np.uint64(buckets)), pack((ids, lengths, len(words), pack_positions(pos))))]
+            packed = pack_positions(pos)
+            digest = digest_of(ids, lengths, packed, words)
+            rows = [(DOCS, int(mixed(np.asarray([key], np.uint64))[0] % np.uint64(buckets)), pack((ids, lengths, len(words), packed, digest)))]
             for b, at in by_slot(slot):
-                rows.append((WORDS, b, pack((steps(at), [words[i] for i in at.tolist()], smallest(times[at])))))
+                rows.append((WORDS, b, pack((steps(at), [words[i] for i in at.tolist()], smallest(times[at]), digest))))
             if extra is not None:
                 rows += [(EXTRA, s, p) for s, p in extra(ids, lengths, pos, words)]
             for i in range(0, len(rows), 64):
@@ -242,18 +256,18 @@ def valued(rows: DataFrame, n: int, value: Callable, pass_kinds: tuple[int, ...]
                 elif kind != WORDS:
                     more.append((block, payload))
                 else:
-                    at, words, times = unpack(payload)
+                    at, words, times, digest = unpack(payload)
                     pos = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
                     if len(of) > len(total):
                         total = np.concatenate([total, np.zeros(max(len(of), 2 * len(total)) - len(total), np.int64)])
                     total[pos] += times  # a block's words are distinct
-                    packets.append((block, at, pos))
+                    packets.append((block, at, pos, digest))
             rows.clear()
             total = total[: len(of)]
             values = make(list(of), total) if of else []
             array = values if isinstance(values, np.ndarray) else None
-            for block, at, pos in packets:
-                yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else joined([values[i] for i in pos.tolist()]))))
+            for block, at, pos, digest in packets:
+                yield _one(VALUES, slot, block, pack((at, array[pos] if array is not None else joined([values[i] for i in pos.tolist()]), digest)))
             del packets, values, array, of
             if other is not None and (more or len(total)):
                 for row in other(slot, total, more):
@@ -276,17 +290,19 @@ def reassemble(rows: DataFrame, n: int, finish: Callable, schema: str, extra: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = finish()
         for block, rows in grouped(batches, 2):
-            ids, lengths, n_words, packed = unpack(next(r[3] for r in rows if r[0] == DOCS))
+            ids, lengths, n_words, packed, digest = unpack(next(r[3] for r in rows if r[0] == DOCS))
             found = [unpack(r[3]) for r in rows if r[0] == VALUES]
+            if any(d != digest for _, _, d in found):
+                raise RuntimeError(f"block {block} has been made again of other rows: the source doesn't give a partition's rows in the same order")
             more = [[(r[1], r[3]) for r in rows if r[0] == extra]] if extra is not None else []
             rows.clear()
             if found and isinstance(found[0][1], np.ndarray):
                 values = np.zeros((n_words, *found[0][1].shape[1:]), found[0][1].dtype)
-                for at, v in found:
+                for at, v, _ in found:
                     values[np.cumsum(at, dtype=np.int64)] = v
             else:
                 values = [None] * n_words
-                for at, v in found:
+                for at, v, _ in found:
                     for i, x in zip(np.cumsum(at, dtype=np.int64).tolist(), apart(*v)):
                         values[i] = x
             found.clear()
