@@ -40,6 +40,7 @@ def test_stored_queries_equal_those_on_texts(corpus, saved):
         assert rows(stored.concordance(store, run, word, 3)) == rows(context.concordance(corpus, word, 3))
         assert rows(stored.collocations(store, run, word, 2)) == rows(context.collocations(corpus, word, 2))
         assert rows(stored.word_distribution(store, run, word)) == rows(books.word_distribution(corpus, word))
+        assert rows(stored.word_coverage(store, run, word)) == rows(books.word_coverage(corpus, word))
     assert rows(stored.phrases(store, run)) == rows(context.phrases(corpus)) and rows(store.words(run)) == rows(stats.word_frequencies(corpus))
     assert rows(store.positions(run)) == rows(index.run_positions(corpus)) and rows(stored.index_diagnostics(store, run)) == rows(index.index_diagnostics(corpus))
     assert rows(stored.health(store, run)) == rows(index.health(corpus)) and stored.index_faults(store, run).isEmpty()
@@ -100,6 +101,20 @@ def test_changes_equal_a_recount(spark, corpus, tmp_path):
     same()
 
 
+def test_a_run_without_an_index(spark, corpus, saved, tmp_path):
+    """Its texts are looked at; when the index is made, the answers stay the same."""
+    store, (whole, of_whole) = RunStore(spark, f"file://{tmp_path}"), saved
+    run = store.save(corpus, index=False)
+    assert not store.indexed(run) and store.postings(run).isEmpty() and store.tokens(run).isEmpty() and store.postings(run, "sea").isEmpty()
+    asked = (lambda s, r: stored.concordance(s, r, "sea"), lambda s, r: stored.collocations(s, r, "sea"), lambda s, r: stored.word_distribution(s, r, "sea"), lambda s, r: stored.word_coverage(s, r, "sea"), stored.phrases, lambda s, r: s.words(r))
+    want = [rows(f(whole, of_whole)) for f in asked]
+    assert [rows(f(store, run)) for f in asked] == want
+    assert all("token index is missing" in r["warnings"] for r in stored.health(store, run).collect())
+    assert {r["fault"] for r in stored.index_faults(store, run).collect()} == {"missing chapter"}
+    store.replace_index(run)
+    assert store.indexed(run) and [rows(f(store, run)) for f in asked] == want and stored.index_faults(store, run).isEmpty()
+
+
 def test_faults_are_found(spark, corpus, saved, tmp_path):
     store = RunStore(spark, f"file://{tmp_path}")
     run = store.save(spark.createDataFrame([("en", "b", k, "one two three four five six") for k in range(1, 6)], "run string, book string, chapter_id bigint, text string"))

@@ -1,4 +1,5 @@
-"""Queries on a saved run (see :mod:`wordloom.sinks.store`): its index and counts are read instead of all its texts."""
+"""Queries on a saved run (see :mod:`wordloom.sinks.store`): its index and counts are read instead of all its texts. Of a run that was saved without
+an index, the stored texts are."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as X
 from wordloom.functions.measures import dice, per_million, ratio_of
+from wordloom.operators import books as of_books
+from wordloom.operators import context as of_texts
 from wordloom.operators.context import around, lines, matching, phrases_in
 from wordloom.operators.index import warnings_of, with_deviations
 from wordloom.settings import context_of, window_of
@@ -21,11 +24,15 @@ def _places(store: RunStore, run_id: int, word: str) -> DataFrame:
 
 def concordance(store: RunStore, run_id: int, word: str, context: int = 5) -> DataFrame:
     """:func:`wordloom.operators.context.concordance` of a saved run: the word's postings tell which chapters are looked at, and where."""
+    if not store.indexed(run_id):
+        return of_texts.concordance(store.chapters(run_id), word, context)
     return lines(_places(store, run_id, X.query_form(word)), context_of(context))
 
 
 def collocations(store: RunStore, run_id: int, word: str, window: int = 4, min_count: int = 1, min_dice: float = 0.0, word_class: str = "all") -> DataFrame:
     """:func:`wordloom.operators.context.collocations` of a saved run. Only windows are counted; the words' own counts are stored."""
+    if not store.indexed(run_id):
+        return of_texts.collocations(store.chapters(run_id), word, window, min_count, min_dice, word_class)
     target = X.query_form(word)
     own = _places(store, run_id, target).select("run", "words", F.transform("at", lambda p: p.cast("int")).alias("at"))
     rows = own.select("run", F.explode(around(target, window_of(window))).alias("p")).select("run", "p.*")
@@ -44,6 +51,8 @@ def collocations(store: RunStore, run_id: int, word: str, window: int = 4, min_c
 
 def word_distribution(store: RunStore, run_id: int, word: str) -> DataFrame:
     """:func:`wordloom.operators.books.word_distribution` of a saved run: the word's postings, and a row of numbers for each chapter."""
+    if not store.indexed(run_id):
+        return of_books.word_distribution(store.chapters(run_id), word)
     hits = store.postings(run_id, X.query_form(word)).groupBy("run", "book").agg(F.sum("n").alias("count"))
     sizes = store.chapters(run_id).groupBy("run", "book").agg(F.count("*").alias("chapter_count"), F.sum(F.length("text")).alias("character_count"))
     tokens = store.positions(run_id).groupBy("run", "book").agg(F.sum("tokens").alias("word_token_count"))
@@ -51,8 +60,20 @@ def word_distribution(store: RunStore, run_id: int, word: str) -> DataFrame:
     return out.select("run", "book", "chapter_count", "character_count", "word_token_count", "count", per_million(F.col("count"), F.col("word_token_count")).alias("frequency_per_million"))
 
 
+def word_coverage(store: RunStore, run_id: int, word: str) -> DataFrame:
+    """:func:`wordloom.operators.books.word_coverage` of a saved run: of the books only names are read."""
+    if not store.indexed(run_id):
+        return of_books.word_coverage(store.chapters(run_id), word)
+    have = store.postings(run_id, X.query_form(word)).select("run", "book").distinct().withColumn("has", F.lit(1))
+    books = store.chapters(run_id).select("run", "book").distinct().join(have, ["run", "book"], "left")
+    sums = books.groupBy("run").agg(F.count("has").alias("matched_books"), F.count("*").alias("source_books"))
+    return sums.withColumn("coverage_percentage", ratio_of(F.col("matched_books") * 100.0, F.col("source_books")))
+
+
 def phrases(store: RunStore, run_id: int, low: int = 2, high: int = 5, min_count: int = 2, min_chapters: int = 1) -> DataFrame:
     """:func:`wordloom.operators.context.phrases` of a saved run, from the forward index."""
+    if not store.indexed(run_id):
+        return of_texts.phrases(store.chapters(run_id), low, high, min_count, min_chapters)
     return phrases_in(store.tokens(run_id).select("run", "words", "gaps"), low, high, min_count, min_chapters)
 
 
@@ -71,7 +92,7 @@ def chapters(store: RunStore, run_id: int, run: str | None = None, book: str | N
 def books(store: RunStore, run_id: int, links: DataFrame | None = None) -> DataFrame:
     """run, book, order_index of a saved run: the books that it is linked with (run, book, order_index), and of runs without links those of
     which it has chapters, by name."""
-    own = store.positions(run_id).select("run", "book").distinct() if links is None else store.chapters(run_id).select("run", "book").distinct()
+    own = store.chapters(run_id).select("run", "book").distinct()
     own = own.withColumn("order_index", F.row_number().over(Window.partitionBy("run").orderBy("book")).cast("bigint"))  # a row a book
     if links is None:
         return own

@@ -179,6 +179,7 @@ _add_stored("stored_kwic", lambda s, r: stored.concordance(s, r, "That", 5), O.c
 _add_stored("stored_collocations", lambda s, r: stored.collocations(s, r, "that", 2, min_count=5, min_dice=0.01), O.collocations("that", 2, "count >= 5 and dice >= 0.01::double"))
 _add_stored("stored_phrases", lambda s, r: stored.phrases(s, r, 2, 5, 3), O.phrases(2, 5, 3))
 _add_stored("stored_word_books", lambda s, r: stored.word_distribution(s, r, "the"), O.word_distribution("the"))
+_add_stored("stored_word_coverage", lambda s, r: stored.word_coverage(s, r, "that"), O.word_coverage("that"))
 _add_stored("stored_index_diagnostics", stored.index_diagnostics, O.index_diagnostics())
 _add_stored("stored_index_faults", _faults, O.index_faults())
 QUERIES["stored_words_after_changes"], ORACLES["stored_words_after_changes"] = _changed, O.word_frequencies(O.LEFT)

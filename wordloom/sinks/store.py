@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as X
 from wordloom.functions.measures import per_million
 from wordloom.operators.index import chapter_sizes, positions_of
+from wordloom.operators.stats import word_frequencies
 from wordloom.sinks.manifest import Manifest
 
 KEYS = ["run", "book", "chapter_id"]
@@ -58,11 +59,12 @@ class RunStore:
 
     # Writing
 
-    def save(self, chapters: DataFrame, name: str = "") -> int:
-        """Store chapters (run, book, chapter_id, text, maybe title) and their index as a new run; its number."""
+    def save(self, chapters: DataFrame, name: str = "", index: bool = True) -> int:
+        """Store chapters (run, book, chapter_id, text, maybe title) and their index as a new run; its number. Without ``index`` queries look at the
+        chapters' texts, until :meth:`replace_index` has made one."""
         run_id = self._begin(name)
         try:
-            part = self._write_part(run_id, chapters)
+            part = self._write_part(run_id, chapters, index)
             self._complete(run_id, parts=[part], positions=self._write_positions(run_id, [part], []))
         except Exception:
             self.delete_run(run_id)
@@ -72,7 +74,7 @@ class RunStore:
     def append(self, run_id: int, chapters: DataFrame) -> None:
         """Add chapters of further books, or further chapters, to a run; only these are read. A key that the run has already is an error."""
         old = self._run(run_id)
-        part = self._write_part(run_id, chapters)
+        part = self._write_part(run_id, chapters, self.indexed(run_id))
         keys = self._bucketed(part, "chapter").select(*KEYS)
         if not keys.join(self.chapters(run_id).select(*KEYS), KEYS, "left_semi").isEmpty():
             self._delete(part["folder"])
@@ -89,7 +91,7 @@ class RunStore:
     def compact(self, run_id: int) -> None:
         """Write a run of several parts, or with removed books, as one part."""
         old = self._run(run_id)
-        part = self._write_part(run_id, self.chapters(run_id).select(*KEYS, "title", "text"))
+        part = self._write_part(run_id, self.chapters(run_id).select(*KEYS, "title", "text"), self.indexed(run_id))
         self._complete(run_id, old, parts=[part], removed=[], positions=self._write_positions(run_id, [part], []))
 
     def replace_index(self, run_id: int, postings: DataFrame | None = None) -> None:
@@ -149,11 +151,11 @@ class RunStore:
 
     # Parts
 
-    def _write_part(self, run_id: int, chapters: DataFrame) -> dict:
+    def _write_part(self, run_id: int, chapters: DataFrame, index: bool = True) -> dict:
         size = _bytes_of(chapters)
         width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         part = {
-            "folder": f"{self.root}/run-{run_id}/part-{uuid.uuid4().hex}", "index": f"index-{uuid.uuid4().hex}",
+            "folder": f"{self.root}/run-{run_id}/part-{uuid.uuid4().hex}", "index": f"index-{uuid.uuid4().hex}" if index else None,
             "buckets": max(width, min(MOST_BUCKETS, -(-size // BUCKET_BYTES))), "files": max(width, min(MOST_BUCKETS, -(-size // FILE_BYTES))),
         }
         title = F.col("title").cast("string") if "title" in chapters.columns else F.lit(None).cast("string")
@@ -161,8 +163,9 @@ class RunStore:
         own = chapters.select(F.col("run").cast("string").alias("run"), F.col("book").cast("string").alias("book"), F.col("chapter_id").cast("bigint").alias("chapter_id"), title.alias("title"), text.alias("text"))
         sized = chapter_sizes(own.repartition(part["buckets"], *KEYS)).withColumnsRenamed({"expected": "word_count", "sentences": "sentence_count"})
         self._write_bucketed(sized.na.fill(0, ["word_count", "sentence_count"]), part, "chapter")
-        self._write_tokens(part)
-        self._write_index(part, self._postings_of(part))
+        if index:
+            self._write_tokens(part)
+            self._write_index(part, self._postings_of(part))
         return part
 
     def _write_bucketed(self, rows: DataFrame, part: dict, name: str) -> None:
@@ -227,11 +230,16 @@ class RunStore:
         return rows.where(~_among(removed)) if removed else rows
 
     def _all(self, parts: list[dict], name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[self._path(p, name) for p in parts])
+        """The rows of a table of the index, of the parts that have one."""
+        paths = [self._path(p, name) for p in parts if p["index"]]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _holding(self, parts: list[dict], name: str, keys: list[str]) -> DataFrame:
         """Rows from the files of a sorted table in whose range one of ``keys`` is."""
-        files = self.spark.read.schema("path string, low string, high string").parquet(*[f"{self._path(p, name)}-files" for p in parts])
+        paths = [f"{self._path(p, name)}-files" for p in parts if p["index"]]
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        files = self.spark.read.schema("path string, low string, high string").parquet(*paths)
         own = files.where(reduce(Column.__or__, [(F.col("low") <= k) & (F.col("high") >= k) for k in keys])).select("path").collect()  # files that are read
         if not own:
             return self.spark.createDataFrame([], SCHEMAS[name])
@@ -246,9 +254,14 @@ class RunStore:
         own = self._run(run_id)
         return self._kept(_union([self._bucketed(p, "chapter") for p in own["parts"]]), own["removed"])
 
+    def indexed(self, run_id: int) -> bool:
+        """Whether the run has an index of all its parts."""
+        return all(p["index"] for p in self._run(run_id)["parts"])
+
     def tokens(self, run_id: int) -> DataFrame:
         own = self._run(run_id)
-        return self._kept(_union([self._bucketed(p, "token") for p in own["parts"]]), own["removed"])
+        parts = [self._bucketed(p, "token") for p in own["parts"] if p["index"]]
+        return self._kept(_union(parts) if parts else self.spark.createDataFrame([], SCHEMAS["token"]), own["removed"])
 
     def indexed_chapters(self, run_id: int) -> DataFrame:
         """Chapters with their tokens, joined bucket by bucket."""
@@ -272,8 +285,10 @@ class RunStore:
         return self._kept(self._holding(own["parts"], "book_word", sorted({b for _, b in books})).where(_among(books)), own["removed"])
 
     def words(self, run_id: int) -> DataFrame:
-        """Word frequencies of a run: the parts' sums, less the counts of removed books."""
+        """Word frequencies of a run: the parts' sums, less the counts of removed books. Without an index they are counted in the texts."""
         own = self._run(run_id)
+        if not self.indexed(run_id):
+            return word_frequencies(self.chapters(run_id))
         sums = self._all(own["parts"], "word")
         if own["removed"]:
             gone = self._holding(own["parts"], "book_word", sorted({b for _, b in own["removed"]})).where(_among(own["removed"]))
