@@ -195,3 +195,12 @@ def test_profile_and_limits(chapters):
         limit_of(5000)
     with pytest.raises(ValueError):
         stats.top_words(stats.word_frequencies(chapters(SAMPLE)), 3, "odd")
+
+
+def test_stop_words_of_regional_and_padded_languages(spark):
+    from wordloom.functions import text as X
+
+    df = spark.createDataFrame([("the", x) for x in ("en", " EN-gb\t", " en_US-x", " en　", "fr", "", "e n", None)], "word string, run string")
+    assert [r[0] for r in df.select(X.is_stop_word(F.col("word"), F.col("run"))).collect()] == [True, True, True, True, False, False, False, False]
+    plan = index.token_index(df.select("run", F.lit("b").alias("book"), F.lit(1).alias("chapter_id"), F.col("word").alias("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" not in plan and "zip_with" not in plan  # nothing is added up or matched for each token's language
