@@ -204,3 +204,9 @@ def test_stop_words_of_regional_and_padded_languages(spark):
     assert [r[0] for r in df.select(X.is_stop_word(F.col("word"), F.col("run"))).collect()] == [True, True, True, True, False, False, False, False]
     plan = index.token_index(df.select("run", F.lit("b").alias("book"), F.lit(1).alias("chapter_id"), F.col("word").alias("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract(" not in plan and "zip_with" not in plan  # nothing is added up or matched for each token's language
+
+
+def test_next_words_are_cut_from_the_text_once(chapters):
+    df = stats.next_words(chapters("One two. Two three two\n\nthree?", ""), AnalysisSettings(min_next_word_pair_count=1))
+    assert sorted(rows(df, "word", "next_word", "count", "probability")) == [("one", "two", 1, 1.0), ("three", "two", 1, 0.5 * 2), ("two", "three", 2, 1.0)]
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
