@@ -55,3 +55,15 @@ def test_stretches_and_sentences_are_those_of_words_and_gaps(chapters):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
     own = df.select(X.sentence_words(F.col("text")).alias("w"), F.transform(X.sentences(X.for_reading(F.col("text"))), X.words).alias("v")).first()
     assert [w for w in own["w"] if w] == [v for v in own["v"] if v]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_chapters_without_text(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([("en", "b", 1, None), ("en", "b", 2, "Go on go on"), ("en", "b", 3, "")], "run string, book string, chapter_id bigint, text string")
+        for found in (stats.ngram_frequencies(df), context.phrases(df)):
+            assert [tuple(r)[-4:] for r in found.collect()] == [("go on", 2, 1, 2 * 1e6 / 4)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
